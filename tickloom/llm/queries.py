@@ -6,19 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, lengths, mixing, sharding, toxicity
+from . import bpe, exact_dedup, lengths, mixing, near_dedup, sharding, topk, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": sharding.op1_sharding,
+        "op2_exact_topk": topk.op2_exact_topk,
         "op4_bpe": bpe.op4_bpe,
         "op5_token_counts": lengths.op5_token_counts,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op7_toxicity": toxicity.op7_toxicity,
+        "op9_near_dedup": near_dedup.op9_near_dedup,
         "op10_mixing": mixing.op10_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": exact_dedup.OP6_SQL}
+    return {"op2_exact_topk": topk.OP2_SQL, "op6_exact_dedup": exact_dedup.OP6_SQL}
