@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, lengths, mixing, near_dedup, sharding, topk, toxicity
+from . import bpe, chunk_dedup, exact_dedup, lengths, mixing, near_dedup, sharding, topk, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_token_counts": lengths.op5_token_counts,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op7_toxicity": toxicity.op7_toxicity,
+        "op8_substring_dedup": chunk_dedup.op8_substring_dedup,
         "op9_near_dedup": near_dedup.op9_near_dedup,
         "op10_mixing": mixing.op10_mixing,
     }
