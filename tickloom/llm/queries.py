@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chunk_dedup, exact_dedup, lengths, mixing, near_dedup, sharding, topk, toxicity
+from . import bpe, chunk_dedup, exact_dedup, lengths, mixing, near_dedup, sharding, suffix_dedup, topk, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": sharding.op1_sharding,
         "op2_exact_topk": topk.op2_exact_topk,
+        "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
         "op4_bpe": bpe.op4_bpe,
         "op5_token_counts": lengths.op5_token_counts,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
