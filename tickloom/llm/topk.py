@@ -13,7 +13,7 @@ its bound is strictly under the k-th score, as an equal score may have a smaller
 Defined results: a vector that is null or empty, or holds null or a value that isn't finite, or whose
 identifier is null takes no part; vectors of different lengths are not compared; rows that share the query's
 identifier count as its own row; a repeated query row asks once and a repeated candidate counts for each row;
-a query without candidates has no result; an empty table gives an empty result.
+a query without candidates has no result; scores that a long can't hold are cut to its limits; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -115,7 +115,7 @@ def plain(qids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: in
     for qid, row in zip(qids.tolist(), q.tolist(), strict=True):
         own = [int(v) for v in row]
         best = sorted((-sum(u * v for u, v in zip(own, c, strict=True)), i) for i, c in zip(ids.tolist(), big, strict=True) if i != qid)[:k]
-        yield from ((qid, i, -s) for s, i in best)
+        yield from ((qid, i, max(-(1 << 63), min((1 << 63) - 1, -s))) for s, i in best)
 
 
 def _packed(rows: int):
