@@ -78,8 +78,9 @@ def log_step(mu: float, sigma: float, step_seconds: float, shock: Column) -> Col
 
 def pareto(u: Column, scale: float, alpha: float) -> Column:
     """scale / u^(1 / alpha), cut to a long; u = 0 counts as the least normal double."""
-    raw = F.lit(scale) / F.pow(F.greatest(u, F.lit(2.2250738585072014e-308)), F.lit(1 / alpha))
-    return F.least(raw, F.lit(9.223372036854775e18)).cast("long")
+    most = F.lit(9.223372036854775e18)
+    raw = F.try_divide(F.lit(float(scale)), F.pow(F.greatest(u, F.lit(2.2250738585072014e-308)), F.lit(1 / alpha)))
+    return F.least(F.coalesce(raw, most), most).cast("long")  # a power that comes to 0 means no bound
 
 
 def age_seconds(now_ms: Column, event_ms: Column) -> Column:
