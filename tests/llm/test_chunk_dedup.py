@@ -57,6 +57,7 @@ def test_planted_passages_and_clean_texts(spark):
     found = {r_["id"]: r_ for r_ in C.repeats(d.drop("spans")).collect()}
     caught = [i for i in range(10, 40) if i in found and found[i]["n_removed"] >= C.LEAST_RUN]
     assert len(caught) >= 28 and not [i for i in range(10) if i in found and found[i]["n_removed"]] and not [i for i in range(100, 140) if i in found and found[i]["n_removed"]]
+    assert len([i for i in range(40) if i in found and found[i]["n_shared"] >= C.LEAST_RUN]) >= 38 and not [i for i in range(100, 140) if i in found and found[i]["n_shared"]]
     for i in caught:
         text = rows[i][1].encode()
         assert all(text[s["start"] : s["end"]].decode() in rows[i % 10][1] for s in found[i]["spans"])

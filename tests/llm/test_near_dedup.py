@@ -84,6 +84,7 @@ def test_similarity_and_estimate():
 @pytest.mark.parametrize("leaders", [N.LEADERS, 3])
 def test_classes_equal_brute_force(spark, leaders, monkeypatch):
     monkeypatch.setattr(N, "LEADERS", leaders)
+    monkeypatch.setattr(N, "PAIRS", leaders)
     texts = corpus()
     d = spark.createDataFrame([(i, t, 0) for i, t in texts.items()], DDL).repartition(4)
     got = {r["doc_id"]: r["class_id"] for r in N.near_classes(d).collect()}

@@ -90,36 +90,51 @@ def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), part.column("id").take(pa.array(text)), part.column("th").take(pa.array(text)), pa.array(place), pa.array(again)], ["d1", "d2", "id", "th", "place", "again"])
 
 
+def _long_runs(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of the runs of neighbouring places that are long enough. p: packed places, in order."""
+    if not len(p):
+        return p, p
+    a, e = p >> 11, (p >> 11) + (p & 2047)
+    first = np.r_[True, a[1:] != e[:-1]]
+    a, e = a[first], e[np.r_[first[1:], True]]
+    ok = e - a >= LEAST_RUN
+    return a[ok], e[ok]
+
+
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of repeats that are long enough, from each row's repeated chunks."""
+    """Long runs of each row's shared chunks, and of those among them that repeat an earlier place."""
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     for b in batches:
-        spans, removed = [], []
+        repeats_, removed, shared, spans = [], [], [], []
         for places in b.column("places").to_pylist():
             p = np.sort(np.array(places, np.int64))
-            a, e = p >> 11, (p >> 11) + (p & 2047)
-            first = np.r_[True, a[1:] != e[:-1]]
-            a, e = a[first], e[np.r_[first[1:], True]]
-            ok = e - a >= LEAST_RUN
-            spans.append([{"start": x, "end": y} for x, y in zip(a[ok].tolist(), e[ok].tolist(), strict=True)])
-            removed.append(int((e - a)[ok].sum()))
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        yield pa.RecordBatch.from_arrays([b.column("id"), b.column("th"), pa.array([len(x) for x in b.column("places").to_pylist()], pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, kind)], ["id", "th", "n_repeats", "n_removed", "spans"])
+            later = p[(p & 1) == 1] >> 1
+            a, e = _long_runs(later)
+            repeats_.append(len(later))
+            removed.append(int((e - a).sum()))
+            spans.append([{"start": x, "end": y} for x, y in zip(a.tolist(), e.tolist(), strict=True)])
+            a, e = _long_runs(p >> 1)
+            shared.append(int((e - a).sum()))
+        yield pa.RecordBatch.from_arrays([b.column("id"), b.column("th"), pa.array(repeats_, pa.int64()), pa.array(removed, pa.int64()), pa.array(shared, pa.int64()), pa.array(spans, kind)], ["id", "th", "n_repeats", "n_removed", "n_shared", "spans"])
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """id, th, n_repeats, n_removed, spans of the rows that hold repeated chunks; a null doc_id is id LAST."""
+    """id, th, n_repeats, n_removed, n_shared, spans of the rows that hold shared chunks; a null doc_id is id LAST.
+
+    n_shared counts the bytes in long runs of chunks that stand elsewhere too, first occurrences included.
+    """
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
     chunks = rows.mapInArrow(_chunked, "d1 long, d2 long, id long, th long, place long, again boolean")
     first = chunks.filter("not again").groupBy("d1", "d2").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").drop("last")
-    elsewhere = chunks.filter("not again").join(first, ["d1", "d2"]).filter("id > first").select("id", "th", "place")
-    within = chunks.filter("again").select("id", "th", "place")
+    elsewhere = chunks.filter("not again").join(first, ["d1", "d2"]).select("id", "th", (F.col("place") * 2 + (F.col("id") > F.col("first")).cast("long")).alias("place"))
+    within = chunks.filter("again").select("id", "th", (F.col("place") * 2 + 1).alias("place"))
     # Rows that are alike in doc_id and text give each place more than once.
-    return elsewhere.unionByName(within).groupBy("id", "th").agg(F.collect_set("place").alias("places")).mapInArrow(_runs, "id long, th long, n_repeats long, n_removed long, spans array<struct<start:long,end:long>>")
+    return elsewhere.unionByName(within).groupBy("id", "th").agg(F.collect_set("place").alias("places")).mapInArrow(_runs, "id long, th long, n_repeats long, n_removed long, n_shared long, spans array<struct<start:long,end:long>>")
 
 
 def with_spans(docs: DataFrame) -> DataFrame:
-    """docs with `_bytes`, `_repeats`, `_removed`, `_spans` (byte ranges, in order, that repeat an earlier place)."""
-    found = repeats(docs).withColumnsRenamed({"id": "_id", "th": "_th", "n_repeats": "_repeats", "n_removed": "_removed", "spans": "_spans"})
+    """docs with `_bytes`, `_repeats`, `_removed`, `_shared`, `_spans` (byte ranges, in order, that repeat an earlier place)."""
+    found = repeats(docs).withColumnsRenamed({"id": "_id", "th": "_th", "n_repeats": "_repeats", "n_removed": "_removed", "n_shared": "_shared", "spans": "_spans"})
     text = F.coalesce("text", F.lit(""))
     key = (F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)) == F.col("_id")) & (F.xxhash64(text) == F.col("_th"))
     return docs.withColumn("_bytes", F.octet_length(text).cast("long")).join(found, key, "left").drop("_id", "_th")
@@ -141,4 +156,4 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     slim = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), F.octet_length(text).cast("long").alias("n_bytes"), F.xxhash64(text).alias("th"))
     out = slim.join(repeats(docs), ["id", "th"], "left")
-    return out.select("doc_id", "n_bytes", F.coalesce("n_repeats", zero).alias("n_repeats"), F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce(F.size("spans"), F.lit(0)).cast("long").alias("n_spans"), F.coalesce("spans", F.array().cast("array<struct<start:long,end:long>>")).alias("spans"))
+    return out.select("doc_id", "n_bytes", F.coalesce("n_repeats", zero).alias("n_repeats"), F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_shared", zero).alias("n_shared"), F.coalesce(F.size("spans"), F.lit(0)).cast("long").alias("n_spans"), F.coalesce("spans", F.array().cast("array<struct<start:long,end:long>>")).alias("spans"))
