@@ -29,7 +29,6 @@ gives an empty result; extra columns may have any name.
 from __future__ import annotations
 
 import hashlib
-import os
 import tempfile
 from collections.abc import Iterator
 
@@ -38,6 +37,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import stored, table
 from .words import PRIME, mixed, slices
@@ -47,6 +47,8 @@ LENGTH, GRAM = 400, 32
 HOT = 64
 #: Strings in a collection, unless one core has more.
 COLLECTION = 4096
+#: Bytes of a construction's file that are buffered before it goes to disk.
+BUFFER = 32 << 20
 #: Bytes of a text that are anchored at once; places within have 24 bits.
 PART = 8_000_000
 WIDTHS = (64, 8, 1)
@@ -188,27 +190,33 @@ def _finer(width: int, finer: int):
 
 
 class Files:
-    """The arrays of a construction as sequential files: read whole, in order, and written anew in each round."""
+    """The arrays of a construction as sequential files: each round reads one whole, in order, and writes the next.
+
+    Files of up to `BUFFER` bytes stay in memory until they grow beyond it.
+    """
 
     def __init__(self, **first: np.ndarray):
-        self.folder = tempfile.TemporaryDirectory(prefix="columns-")
         self.kinds = {k: v.dtype for k, v in first.items()}
-        self.turn = 0
+        self.files: dict = {}
         self.write(**first)
 
-    def path(self, name: str) -> str:
-        return os.path.join(self.folder.name, f"{name}.{self.turn % 2}")
-
     def read(self) -> tuple[np.ndarray, ...]:
-        return tuple(np.fromfile(self.path(k), d) for k, d in self.kinds.items())
+        out = []
+        for k, kind in self.kinds.items():
+            self.files[k].seek(0)
+            out.append(np.frombuffer(self.files[k].read(), kind))
+        return tuple(out)
 
     def write(self, **arrays: np.ndarray) -> None:
-        self.turn += 1
+        self.close()
         for k, v in arrays.items():
-            v.tofile(self.path(k))
+            self.files[k] = tempfile.SpooledTemporaryFile(BUFFER, prefix="columns-")
+            self.files[k].write(v.data)
 
     def close(self) -> None:
-        self.folder.cleanup()
+        for f in self.files.values():
+            f.close()
+        self.files = {}
 
 
 def range_min(x: np.ndarray, low: np.ndarray, high: np.ndarray, block: int = 32) -> np.ndarray:
@@ -243,19 +251,20 @@ def construct(strings: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.nda
     each. The transform has 0 where a suffix is a whole string. Common prefixes are below 255.
     """
     m = len(strings)
-    files = Files(bwt=strings[:, 0].astype(np.uint16), lcp=np.zeros(m, np.uint8), who=np.arange(m, dtype=np.int32), long=np.zeros(m, np.uint8))
+    files = Files(bwt=strings[:, 0].astype(np.uint16), lcp=np.zeros(m, np.uint8))
+    columns = np.ascontiguousarray(strings.T)
     try:
         at = np.arange(m)  # where each string's last inserted symbol stands
         going = np.flatnonzero(size > 0)
         for j in range(1, int(size.max(initial=0)) + 1):
             going = going[size[going] >= j]
-            bwt, lcp, who, long = files.read()
-            order = np.argsort(bwt, kind="stable")
+            bwt, lcp = files.read()
+            order = np.argsort(bwt, kind="stable").astype(np.int32)
             ended = int(np.count_nonzero(bwt == 0))
-            turn = np.empty(len(bwt), np.int64)
-            turn[order] = np.arange(len(bwt))
+            turn = np.empty(len(bwt), np.int32)
+            turn[order] = np.arange(len(bwt), dtype=np.int32)
             here = at[going]
-            k = turn[here]
+            k = turn[here].astype(np.int64)
             new = m + k - ended
             total = m + len(bwt) - ended
             before, after = order[np.maximum(k - 1, 0)], order[np.minimum(k + 1, len(bwt) - 1)]
@@ -264,23 +273,29 @@ def construct(strings: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.nda
             shared = range_min(lcp, np.r_[before[with_before], here[with_after]] + 1, np.r_[here[with_before], after[with_after]]) + 1
             old = np.ones(total, bool)
             old[new] = False
-            out = []
-            symbol = np.where(size[going] > j, strings[going, np.minimum(j, strings.shape[1] - 1)], 0)
-            for had, now in ((bwt, symbol), (lcp, 0), (who, going), (long, j)):
-                x = np.empty(total, had.dtype)
-                x[old] = had
-                x[new] = now
-                out.append(x)
-            follows = new[new + 1 < total] + 1
-            out[1][follows] = 0
-            out[1][new] = 0
-            out[1][new[with_before]] = shared[: len(with_before)]
-            out[1][new[with_after] + 1] = shared[len(with_before) :]
+            symbols, prefixes = np.empty(total, np.uint16), np.empty(total, np.uint8)
+            symbols[old], prefixes[old] = bwt, lcp
+            symbols[new] = np.where(size[going] > j, columns[min(j, len(columns) - 1), going], 0)
+            prefixes[new[new + 1 < total] + 1] = 0
+            prefixes[new] = 0
+            prefixes[new[with_before]] = shared[: len(with_before)]
+            prefixes[new[with_after] + 1] = shared[len(with_before) :]
             at[going] = new
-            files.write(bwt=out[0], lcp=out[1], who=out[2], long=out[3])
-        return files.read()
+            files.write(bwt=symbols, lcp=prefixes)
+        bwt, lcp = files.read()
     finally:
         files.close()
+    # The last column's order leads from each string's empty suffix to longer and longer ones.
+    ended = int(np.count_nonzero(bwt == 0))
+    longer = np.empty(len(bwt), np.int64)
+    longer[np.argsort(bwt, kind="stable")] = np.arange(len(bwt)) + m - ended
+    who, long = np.zeros(len(bwt), np.int32), np.zeros(len(bwt), np.int32)
+    walk, place = np.arange(m), np.arange(m)
+    for j in range(int(size.max(initial=0)) + 1):
+        who[place], long[place] = walk, j
+        on = size[walk] > j
+        walk, place = walk[on], longer[place[on]]
+    return bwt, lcp, who, long
 
 
 def repeated(group: list[int], left: list[bytes], right: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -356,7 +371,7 @@ def _settle(rows: DataFrame, by: list[str], keep: list[str]) -> DataFrame:
 def removed(docs: DataFrame) -> DataFrame:
     """t, n, spans: byte ranges (pairs of little-endian longs) of the texts that lose bytes. docs: doc_id, text."""
     texts = named(docs.select("text")).filter(F.col("n") >= LENGTH)
-    segs = texts.select("t", "text").mapInArrow(_segmented, "h long, g long, t long, n long, place long")
+    segs = stored(texts.select("t", "text").mapInArrow(_segmented, "h long, g long, t long, n long, place long"))
     known = stored(_settle(segs, ["h", "g"], ["t", "n", "place"]))
     first = F.shiftright("place", 20)
     done = [known.filter("c > 1").select("t", "n", first.alias("a"), (first + F.shiftright("place", 10).bitwiseAND(1023)).alias("z"))]
@@ -404,13 +419,12 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def suffix_dedup(docs: DataFrame) -> DataFrame:
     """docs with `kept` (binary): the text's bytes without those that are repeated."""
+    names = list(docs.columns)
 
     def run(batches):
         for b in batches:
             kept = [kept_bytes(t.encode("utf-8", "replace"), s)[0] for t, s in zip(b.column("_text").to_pylist(), b.column("_spans").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in docs.columns), pa.array(kept, pa.binary())], [*docs.columns, "kept"])
-
-    from pyspark.sql import types as T
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(kept, pa.binary())], [*names, "kept"])
 
     found = removed(docs).withColumnsRenamed({"t": "_t", "n": "_n", "spans": "_spans"})
     text = F.coalesce("text", F.lit(""))
