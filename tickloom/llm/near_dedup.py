@@ -9,11 +9,12 @@ shingle sets, which is the plain Jaccard similarity when no shingle repeats.
 
 Documents with the same weighted shingles become one node (they are copies); nodes are banded. In the first
 round every node of a bucket is paired with the bucket's first node, which joins large groups of near copies
-with one pair for each. Later rounds look only at buckets that still hold more than one component: about
-`LEADERS` nodes of such a bucket, chosen by hash, meet every node there of another component and then leave
-the bucket, until no bucket holds two components. So no link that banding finds between components is lost,
-no cap is set on buckets, and no bucket's pairs are all made unless the bucket is small. A pair is screened by
-its signatures and then verified by the exact probability Jaccard similarity of the texts' shingles.
+with one pair for each; the verified pairs give components. Later rounds look only at buckets that still hold
+more than one of these: about `LEADERS` nodes outside the component of the bucket's first node, chosen by hash,
+meet every node there of another component and then leave the bucket, until no bucket holds two components. So
+no link that banding finds between components is lost, no cap is set on buckets, and no bucket's pairs are all
+made unless the bucket is small. A pair is screened by its signatures; what passes is verified by the exact
+probability Jaccard similarity of the texts' shingles, once after the first round and once after all others.
 
 Defined results: words are lower-case runs of letters, marks, numbers and connecting lines; a text of one to
 four words is one shingle; a text without words (null and empty ones too) is in a class of its own doc_id; a
@@ -37,8 +38,8 @@ from .words import PRIME, hashed_words, mixed, slices
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 25, 5
 M = BANDS * ROWS
-#: Nodes of a bucket that meet all others in a round.
-LEADERS = 32
+#: Nodes of a bucket that meet all others in a round, at least; more if that makes no more than PAIRS pairs.
+LEADERS, PAIRS = 32, 65_536
 #: Signatures of pairs at SIMILARITY agree in at least this share of components, but for 6 standard deviations.
 SCREEN = SIMILARITY - 6 * (SIMILARITY * (1 - SIMILARITY) / M) ** 0.5
 SHINGLE_BITS = 44
@@ -152,9 +153,11 @@ def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _verified(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols = [b.column(c).to_pylist() for c in ("s1", "t1", "s2", "t2")]
-            good = [probability_jaccard(np.frombuffer(p, "<u8"), np.frombuffer(q, "<u4"), np.frombuffer(r, "<u8"), np.frombuffer(s, "<u4")) >= least - 1e-12 for p, q, r, s in zip(*cols, strict=True)]
-            yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+            for x in range(0, b.num_rows, 64):  # few pairs' shingles at once
+                part = b.slice(x, 64)
+                cols = [part.column(c).to_pylist() for c in ("s1", "t1", "s2", "t2")]
+                good = [probability_jaccard(np.frombuffer(p, "<u8"), np.frombuffer(q, "<u4"), np.frombuffer(r, "<u8"), np.frombuffer(s, "<u4")) >= least - 1e-12 for p, q, r, s in zip(*cols, strict=True)]
+                yield part.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return run
 
@@ -171,44 +174,52 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     nodes = some.join(reps, (F.col("id") == F.col("rep")) & (some["key"] == reps["key"]), "left_semi").dropDuplicates(["id"]).select("id", "th", "sig")
     nodes = stored(nodes)
     bands = nodes.select("id", "sig").mapInArrow(_banded, "band long, id long")
-    sizes = bands.groupBy("band").agg(F.count("*").alias("n"), F.min_by("id", F.xxhash64("id")).alias("lead"), F.min("id").alias("least")).filter("n > 1")
+    sizes = bands.groupBy("band").agg(F.count("*").alias("n"), F.min_by("id", F.xxhash64("id")).alias("lead")).filter("n > 1")
     rows = stored(bands.join(sizes, "band").select("band", "id", "lead", "n"))
 
-    def links(pairs: DataFrame) -> DataFrame:
-        """Those of the pairs (a < b) that are as similar as asked."""
+    def screened(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs (a < b) whose signatures may be of texts as similar as asked."""
         sig = nodes.select("id", "sig")
         near = pairs.join(sig.withColumnsRenamed({"id": "a", "sig": "sa"}), "a").join(sig.withColumnsRenamed({"id": "b", "sig": "sb"}), "b").select("a", "b", "sa", "sb")
-        near = stored(near.mapInArrow(_screened, "a long, b long"))
+        return stored(near.mapInArrow(_screened, "a long, b long"))
+
+    def verified(near: DataFrame) -> DataFrame:
+        """Those of the pairs that are as similar as asked. Texts are exchanged here, so it is done twice only."""
         wanted = near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct().join(nodes.select("id", "th"), "id")
         texts = marked.join(wanted, ["id", "th"], "left_semi").dropDuplicates(["id", "th"])
         shingles = stored(texts.select("id", "text").mapInArrow(_shingled, "id long, shingles binary, times binary"))
         full = near.join(shingles.withColumnsRenamed({"id": "a", "shingles": "s1", "times": "t1"}), "a").join(shingles.withColumnsRenamed({"id": "b", "shingles": "s2", "times": "t2"}), "b")
-        return full.select("a", "b", "s1", "t1", "s2", "t2").mapInArrow(_verified(similarity), "a long, b long")
+        return stored(full.select("a", "b", "s1", "t1", "s2", "t2").mapInArrow(_verified(similarity), "a long, b long"))
+
+    def pair(x: str, y: str) -> tuple:
+        return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
 
-    pair = (F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b"))
-    found = stored(links(rows.filter("id <> lead").select(*pair).distinct()))
+    found = verified(screened(rows.filter("id <> lead").select(*pair("id", "lead")).distinct()))
     comps = stored(components(found))
-    # A bucket's lead has met every node there.
-    left = rows.filter("id <> lead").select("band", "id")
-    turn = 0
+    # A bucket's lead has met every node there; what isn't of its component still has to meet the others.
+    of = lambda node, name: comps.select(F.col("node").alias(node), F.col("component").alias(f"_{name}"))
+    left = rows.filter("id <> lead").select("band", "id", "lead").join(of("id", "c"), "id", "left").join(of("lead", "m"), "lead", "left")
+    left = left.select("band", "id", F.coalesce("_c", "id").alias("c"), F.coalesce("_m", "lead").alias("main"))
+    near, turn = None, 0
     while True:
-        turn += 1
-        named = left.join(comps.withColumnRenamed("node", "id"), "id", "left").select("band", "id", F.coalesce("component", "id").alias("c"))
-        mixed_ = named.groupBy("band").agg(F.count("*").alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 < c1").select("band", "n")
-        left_now = stored(named.join(mixed_, "band"))
-        if left_now.isEmpty():
+        sizes = left.groupBy("band").agg(F.count("*").alias("n"), F.count_if(F.col("c") != F.col("main")).alias("others"), F.min("c").alias("c0"), F.max("c").alias("c1")).filter("others > 0 and c0 < c1").select("band", "n", "others")
+        now = stored(left.join(sizes, "band"))
+        if now.isEmpty():
             break
-        chance = F.pmod(F.xxhash64(F.lit(turn), "band", "id"), F.lit(1 << 20)) * F.col("n") < F.lit(LEADERS << 20)
-        marks = left_now.withColumn("leads", chance)
+        turn += 1
+        many = F.greatest(F.lit(LEADERS), F.floor(F.lit(PAIRS) / F.col("n")))
+        chance = F.pmod(F.xxhash64(F.lit(turn), "band", "id"), F.lit(1 << 20)) * F.col("others") < many * F.lit(1 << 20)
+        marks = now.withColumn("leads", (F.col("c") != F.col("main")) & chance).drop("n", "others")
         leaders = marks.filter("leads").select("band", F.col("id").alias("lead"), F.col("c").alias("lc"))
-        met = marks.join(leaders, "band").filter("c <> lc and (not leads or id < lead)").select(*pair).distinct()
-        more = stored(links(met))
+        met = screened(marks.join(leaders, "band").filter("c <> lc and (not leads or id < lead)").select(*pair("id", "lead")).distinct())
+        near = met if near is None else near.unionByName(met)
+        left = marks.filter("not leads").drop("leads")
+    if near is not None:
+        more = verified(stored(near.distinct()))
         if not more.isEmpty():
-            found = stored(found.unionByName(more))
-            comps = stored(components(found))
-        left = marks.filter("not leads").select("band", "id")
+            comps = stored(components(found.unionByName(more)))
     own = signed.select("id", "th", "key").join(reps, "key", "left")
-    rep = F.coalesce("rep", "id")
+    rep = F.when(F.col("id").isNotNull(), F.coalesce("rep", "id"))
     out = own.select("id", "th", rep.alias("rep")).join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("id", "th", "rep", F.coalesce("component", "rep").alias("class_id"))
     return out.select(F.col("id").alias("doc_id"), "th", "class_id", F.col("rep").alias("rep_id"))
 
