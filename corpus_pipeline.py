@@ -35,9 +35,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, ids, n_tokens, and whether decoding gives the text again."""
-    back = bpe.decoded(bpe.encoded(docs.select("doc_id", "lang", "source", "text"), *bpe.rank_file()), *bpe.rank_file())
-    same = F.col("decoded") == F.encode(F.coalesce("text", F.lit("")), "utf-8")
-    return back.select("doc_id", "lang", "source", "ids", F.size("ids").alias("n_tokens"), same.alias("round_trip"))
+    out = bpe.encoded(docs.select("doc_id", "lang", "source", "text"), *bpe.rank_file(), check=True)
+    return out.select("doc_id", "lang", "source", "ids", F.size("ids").alias("n_tokens"), "round_trip")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

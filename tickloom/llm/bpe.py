@@ -29,9 +29,9 @@ from pyspark.sql import types as T
 from .common import table
 
 #: Pieces whose tokens a Python worker keeps between slices; the most frequent half survives an overflow.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 #: Characters of text in a slice.
-SLICE = 2_000_000
+SLICE = 1_000_000
 #: A merge at fewer places than this is replayed place by place.
 FEW = 12
 
@@ -343,22 +343,26 @@ def _texts(batches: Iterator[pa.RecordBatch], path: str, pattern: str):
     """(rows of a batch, their texts' tokens) for small runs of rows, so that few texts are held at once."""
     c = codec(path, pattern)
     for b in batches:
-        for at in range(0, b.num_rows, 512):
-            part = b.slice(at, 512)
+        for at in range(0, b.num_rows, 256):
+            part = b.slice(at, 256)
             yield c, part, c.encode([t or "" for t in part.column("text").to_pylist()])
 
 
-def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """docs with `ids` (array of int): the tokens of `text`."""
-    keep = [f.name for f in docs.schema.fields if f.name != "ids"]
-    schema = T.StructType([*docs.select(*[f"`{c}`" for c in keep]).schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
+def encoded(docs: DataFrame, path: str, pattern: str, check: bool = False) -> DataFrame:
+    """docs with `ids` (array of int): the tokens of `text`. check: also `round_trip`, whether they decode to it again."""
+    new = ["ids", *["round_trip"] * check]
+    keep = [f.name for f in docs.schema.fields if f.name not in new]
+    kinds = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("round_trip", T.BooleanType())]
+    schema = T.StructType([*docs.select(*[f"`{c}`" for c in keep]).schema.fields, *kinds[: len(new)]])
 
     def run(batches):
-        for _, part, tokens in _texts(batches, path, pattern):
-            ids = [np.frombuffer(x, "<i4") for x in tokens]
+        for c, part, tokens in _texts(batches, path, pattern):
+            raw = list(tokens)
+            ids = [np.frombuffer(x, "<i4") for x in raw]
             offsets = pa.array(np.r_[0, np.cumsum([len(x) for x in ids])].astype(np.int32))
             column = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids)))
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), column], [*keep, "ids"])
+            same = [pa.array([c.decode(x) == (t or "").encode("utf-8", "replace") for x, t in zip(raw, part.column("text").to_pylist(), strict=True)], pa.bool_())] * check
+            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), column, *same], [*keep, *new])
 
     return docs.select(*[f"`{c}`" for c in keep]).mapInArrow(run, schema)
 
