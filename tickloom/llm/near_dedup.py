@@ -12,8 +12,8 @@ round every node of a bucket is paired with the bucket's first node, which joins
 with one pair for each; the verified pairs give components. Later rounds look only at buckets that still hold
 more than one of these: about `LEADERS` nodes outside the component of the bucket's first node, chosen by hash,
 meet every node there of another component and then leave the bucket, until no bucket holds two components. So
-no link that banding finds between components is lost, no cap is set on buckets, and no bucket's pairs are all
-made unless the bucket is small. A pair is screened by its signatures; what passes is verified by the exact
+no link that banding finds between components is lost and no cap is set on buckets. A large bucket of many
+components that lie just under the similarity still makes nearly all its pairs, a known fault (see the README). A pair is screened by its signatures; what passes is verified by the exact
 probability Jaccard similarity of the texts' shingles, once after the first round and once after all others.
 
 Defined results: words are lower-case runs of letters, marks, numbers and connecting lines; a text of one to
