@@ -69,3 +69,11 @@ def test_planted_passages_and_clean_texts(spark):
 
 def test_empty(spark):
     assert C.repeats(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_tables_without_any_cut(spark):
+    for text in ("short", "x" * 17, "z" * 450_000):
+        d = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        found = C.repeats(d).collect()
+        assert (len(text) < 100 and not found) or found[0]["n_removed"] >= 440_000
+        assert C.substring_dedup(d).count() == 1

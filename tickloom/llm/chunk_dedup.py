@@ -58,7 +58,8 @@ def cuts(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     text = np.searchsorted(starts, at, side="right") - 1
     ok = at - starts[text] > WINDOW
     at, text = at[ok], text[ok]
-    near = np.r_[False, (np.diff(at) < LEAST) & (text[1:] == text[:-1])]
+    near = np.zeros(len(at), bool)
+    near[1:] = (np.diff(at) < LEAST) & (text[1:] == text[:-1])
     at = at[~near]
     at = np.union1d(at, starts[:-1][np.diff(starts) > 0])
     gap = np.diff(np.r_[at, n])
