@@ -77,3 +77,32 @@ def test_tables_without_any_cut(spark):
         found = C.repeats(d).collect()
         assert (len(text) < 100 and not found) or found[0]["n_removed"] >= 440_000
         assert C.substring_dedup(d).count() == 1
+
+
+def test_no_passage_of_51_words_is_missed(spark):
+    r = random.Random(51)
+    passages = [prose(r, 51) for _ in range(400)]
+    rows = [(i + 1000 * k, f"{prose(r, 30)} {p} {prose(r, 30)}") for k in range(2) for i, p in enumerate(passages)]
+    found = {x["id"]: x for x in C.repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    for i, p in enumerate(passages):
+        least = len(p.encode()) - 32 - 2 * C.STRETCH
+        assert least >= C.LEAST_RUN and found[i]["n_removed"] == 0
+        assert found[i]["n_shared"] >= least and found[1000 + i]["n_removed"] >= least
+
+
+def test_repeated_short_strings_are_cut_and_characters_stay_whole():
+    for text in ("z" * 5000, "ab " * 300, "é" * 400, "abcdefgh" * 500):
+        raw = text.encode()
+        at, _ = C.chunks(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        size = np.diff(np.r_[at, len(raw)])
+        assert at[0] == 0 and size.max() < 2 * C.STRETCH and len(at) <= len(raw) // C.LEAST + 2
+        assert "".join(raw[x : x + n].decode() for x, n in zip(at, size, strict=True)) == text
+
+
+def test_parts_change_no_cut(monkeypatch):
+    r = random.Random(7)
+    texts = [prose(r, n).encode() for n in (900, 2, 700)]
+    starts, data = np.r_[0, np.cumsum([len(t) for t in texts])], np.frombuffer(b"".join(texts), np.uint8)
+    whole = C.chunks(data, starts)[0].tolist()
+    monkeypatch.setattr(C, "PART", 100)
+    assert C.chunks(data, starts)[0].tolist() == whole

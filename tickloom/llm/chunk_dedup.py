@@ -2,8 +2,11 @@
 
 The gear hash of a place depends on the last `WINDOW` bytes alone. Texts are cut where it falls under a
 threshold, so an insertion moves no cut but those beside it, and the same passage is cut alike wherever it
-stands. A cut too near to the one before is left out by a rule that again looks at nearby bytes only; a stretch
-without cuts is cut every `LONGEST` bytes; cuts are moved on to the next character.
+stands. A cut too near to the one before is left out by a rule that again looks at nearby bytes only; cuts are
+moved on to the next character. Every `STRETCH` places without a cut are cut at their least hash, so two copies of
+a passage have common cuts within 32 + STRETCH bytes of its start and STRETCH bytes of its end, whatever stands
+around them: of L bytes at least L - 32 - 2 * STRETCH are in common chunks, where no hash stands twice within
+LEAST bytes. What is left at the ends, less than a chunk and what the hash looks back on, isn't found as repeated.
 
 A chunk is kept where its digest occurs first (smallest doc_id, then place) and is a repeat elsewhere. Repeats
 that follow each other make a run; runs of `LEAST_RUN` bytes or more are removed. Single short chunks that
@@ -32,7 +35,13 @@ from pyspark.sql import functions as F
 from .common import table
 from .words import PRIME, mixed, slices
 
-WINDOW, LEAST, LONGEST = 16, 16, 1024
+WINDOW, LEAST = 16, 16
+#: Chunks are shorter by far, as no stretch stays whole; places are packed by twice that.
+LONGEST = 1024
+#: Places in a row of which one is a cut.
+STRETCH = 48
+#: Places that are looked over at once.
+PART = 1 << 20
 #: Bytes between cuts, about, before those that are too near are left out.
 MEAN = 40
 LEAST_RUN = 96
@@ -49,8 +58,7 @@ def gear(data: np.ndarray) -> np.ndarray:
 
 
 def cuts(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where chunks begin, and of which text. data: bytes of all texts; starts: where texts begin, and the end."""
-    n = len(data)
+    """Where texts and low hashes are cut, and of which text. data: bytes of all texts; starts: where texts begin, and the end."""
     at = np.flatnonzero(gear(data) < np.uint32(2**32 // MEAN)) + 1
     lead = np.flatnonzero((data & 0xC0) != 0x80)  # characters' first bytes
     at = at[at <= lead[-1]] if len(lead) else at[:0]
@@ -62,12 +70,60 @@ def cuts(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     near[1:] = (np.diff(at) < LEAST) & (text[1:] == text[:-1])
     at = at[~near]
     at = np.union1d(at, starts[:-1][np.diff(starts) > 0])
-    gap = np.diff(np.r_[at, n])
-    long = np.flatnonzero(gap > LONGEST)
-    if len(long):  # stretches end at a cut or at a text's end, as every text's start is a cut
-        more = np.concatenate([np.arange(a + LONGEST, a + g, LONGEST) for a, g in zip(at[long], gap[long], strict=True)])
-        more = more[more <= lead[-1]]
-        at = np.union1d(at, lead[np.searchsorted(lead, more)])
+    return at, np.searchsorted(starts, at, side="right") - 1
+
+
+def alike(data: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the same WINDOW bytes stand before the places a and b."""
+    same = np.ones(len(a), bool)
+    for k in range(1, WINDOW + 1):
+        same &= data[a - k] == data[b - k]
+    return same
+
+
+def least_places(data: np.ndarray, starts: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Place of the least hash in each stretch of STRETCH places of one text that holds none of the cuts `at`."""
+    n, far = len(data), np.uint64(1 << 32)
+    found = [np.zeros(0, np.int64)]
+    heads = starts[:-1][np.diff(starts) > 0]
+    for x in range(0, n - STRETCH + 1, PART):
+        y = min(n, x + PART + STRETCH - 1)
+        low = max(0, x - WINDOW - 1)
+        v = np.full(-(-(y - x) // STRETCH) * STRETCH + STRETCH, far)
+        h = gear(data[low:y])
+        first = max(x, 1)  # a cut at p comes after the hash of p - 1
+        v[first - x : y - x] = h[first - 1 - low : y - 1 - low]
+        v[: y - x][(data[x:y] & 0xC0) == 0x80] = far
+        near = heads[(heads > x - WINDOW - 1) & (heads < y)]
+        own = (near[:, None] + np.arange(WINDOW + 1)).ravel() - x
+        v[own[(own >= 0) & (own < y - x)]] = far
+        v = v << np.uint64(31) | np.arange(len(v), dtype=np.uint64)
+        # Sliding minimum: the rest of one stretch and the beginning of the next.
+        v = v.reshape(-1, STRETCH)
+        m = y - x - STRETCH + 1
+        least = np.minimum(np.minimum.accumulate(v[:, ::-1], axis=1)[:, ::-1].ravel()[:m], np.minimum.accumulate(v, axis=1).ravel()[STRETCH - 1 : STRETCH - 1 + m])
+        cut = np.zeros(y - x + 1, np.int32)
+        cut[at[np.searchsorted(at, x) : np.searchsorted(at, y)] - x + 1] = 1
+        cut = np.cumsum(cut)
+        least = least[(cut[STRETCH:] == cut[:-STRETCH]) & (least >> np.uint64(31) < far)]
+        found.append((least[np.diff(least, prepend=~np.uint64(0)) != 0] & np.uint64((1 << 31) - 1)).astype(np.int64) + x)
+    return np.unique(np.concatenate(found))
+
+
+def chunks(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where chunks begin, and of which text."""
+    at, _ = cuts(data, starts)
+    more = least_places(data, starts, at)
+    if len(more):
+        # Hashes that stand again within LEAST bytes are those of a repeated short string; one in about LEAST bytes is a cut.
+        step = np.diff(more)
+        same = np.zeros(len(more), bool)
+        same[1:] = (step < LEAST) & alike(data, more[1:], more[:-1])
+        head = np.flatnonzero(~same)
+        rank = np.arange(len(more)) - np.repeat(head, np.diff(np.r_[head, len(more)]))
+        every = np.ones(len(more), np.int64)
+        every[1:][same[1:]] = -(-LEAST // step[same[1:]])
+        at = np.union1d(at, more[rank % every == 0])
     return at, np.searchsorted(starts, at, side="right") - 1
 
 
@@ -80,7 +136,7 @@ def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not raw:
                 continue
             starts = np.r_[0, np.cumsum([len(x) for x in raws])]
-            at, text = cuts(np.frombuffer(raw, np.uint8), starts)
+            at, text = chunks(np.frombuffer(raw, np.uint8), starts)
             ends = np.r_[at[1:], len(raw)]
             digest = np.frombuffer(b"".join([xxhash.xxh3_128_digest(raw[x:y]) for x, y in zip(at.tolist(), ends.tolist(), strict=True)]), "<i8").reshape(-1, 2)
             order = np.lexsort((at, digest[:, 0], digest[:, 1], text))
