@@ -118,3 +118,22 @@ def test_components(spark):
     want = {i: root(i) for a, b in links if a != b for i in (a, b)}
     assert {r_["node"]: r_["component"] for r_ in components(spark.createDataFrame(links, "a long, b long")).collect()} == want
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_less_similar_pairs_are_found_if_asked_for(spark):
+    r = random.Random(6)
+    rows = []
+    for i in range(40):
+        words = prose(r, 100, 10**6)
+        other = [f"e{i}x{k}" if k in (10, 30, 50, 70, 97) else w for k, w in enumerate(words)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    assert 0.61 < plain(bag(rows[0][1]), bag(rows[1][1])) < 0.62
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {x["doc_id"]: x["class_id"] for x in N.near_classes(d, 0.6).collect()} == {i: i // 2 * 2 for i in range(80)}
+
+
+def test_banding():
+    assert N.banding(N.SIMILARITY) == (N.BANDS, N.ROWS) and N.banding(0.6) == (41, 3) and abs(N.screen(0.8) - 0.5853) < 1e-3
+    for wrong in (0.0, 0.05, 1.1):
+        with pytest.raises(ValueError):
+            N.banding(wrong)

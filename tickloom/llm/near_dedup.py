@@ -36,15 +36,29 @@ from .graph import components
 from .words import PRIME, hashed_words, mixed, slices
 
 WORDS, SIMILARITY = 5, 0.8
+#: Bands and their rows at SIMILARITY; less similar pairs need more bands of fewer rows, see `banding`.
 BANDS, ROWS = 25, 5
 M = BANDS * ROWS
+#: Chance at most with which banding may miss a pair that is just as similar as asked.
+MISS = 1e-4
 #: Nodes of a bucket that meet all others in a round, at least; more if that makes no more than PAIRS pairs.
 LEADERS, PAIRS = 32, 65_536
-#: Signatures of pairs at SIMILARITY agree in at least this share of components, but for 6 standard deviations.
-SCREEN = SIMILARITY - 6 * (SIMILARITY * (1 - SIMILARITY) / M) ** 0.5
 SHINGLE_BITS = 44
 
 
+def banding(similarity: float) -> tuple[int, int]:
+    """(bands, rows) of signatures for pairs of that similarity: as many rows as MISS allows, ROWS at most."""
+    for rows in range(ROWS, 0, -1):
+        if 0 < similarity <= 1 and (1 - similarity**rows) ** (M // rows) <= MISS:
+            return M // rows, rows
+    raise ValueError(f"similarity {similarity}: signatures of {M} components find pairs from about 0.071 to 1 only")
+
+
+def screen(similarity: float) -> float:
+    """Signatures of pairs of that similarity agree in at least this share of components, but for 6 standard deviations."""
+    return similarity - 6 * (similarity * (1 - similarity) / M) ** 0.5
+
+
 def weighted_shingles(texts: list[str], n: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, shingle, times): every shingle of every text once, in order; shingles are SHINGLE_BITS wide."""
     words, upto = hashed_words(texts)
@@ -124,21 +138,28 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("id"), part.column("th"), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], ["id", "th", "key", "sig"])
 
 
-def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    salt = mixed(np.arange(1, BANDS + 1, dtype=np.uint64) * PRIME)
-    for b in batches:
-        sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), "<u4").reshape(-1, BANDS, ROWS).astype(np.uint64)
-        band = np.broadcast_to(salt, sig.shape[:2])
-        for k in range(ROWS):
-            band = mixed(band * PRIME + sig[:, :, k])
-        ids = np.repeat(b.column("id").to_numpy(), BANDS)
-        yield pa.RecordBatch.from_arrays([pa.array(band.view(np.int64).ravel()), pa.array(ids)], ["band", "id"])
+def _banded(bands: int, rows: int):
+    salt = mixed(np.arange(1, bands + 1, dtype=np.uint64) * PRIME)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), "<u4").reshape(-1, M)[:, : bands * rows].reshape(-1, bands, rows).astype(np.uint64)
+            band = np.broadcast_to(salt, sig.shape[:2])
+            for k in range(rows):
+                band = mixed(band * PRIME + sig[:, :, k])
+            ids = np.repeat(b.column("id").to_numpy(), bands)
+            yield pa.RecordBatch.from_arrays([pa.array(band.view(np.int64).ravel()), pa.array(ids)], ["band", "id"])
 
-def _screened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), "<u4").reshape(-1, M) for c in ("sa", "sb"))
-        yield b.select(["a", "b"]).filter(pa.array((x == y).mean(axis=1) >= SCREEN))
+    return run
+
+
+def _screened(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), "<u4").reshape(-1, M) for c in ("sa", "sb"))
+            yield b.select(["a", "b"]).filter(pa.array((x == y).mean(axis=1) >= least))
+
+    return run
 
 
 def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +194,7 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     reps = stored(some.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
     nodes = some.join(reps, (F.col("id") == F.col("rep")) & (some["key"] == reps["key"]), "left_semi").dropDuplicates(["id"]).select("id", "th", "sig")
     nodes = stored(nodes)
-    bands = nodes.select("id", "sig").mapInArrow(_banded, "band long, id long")
+    bands = nodes.select("id", "sig").mapInArrow(_banded(*banding(similarity)), "band long, id long")
     sizes = bands.groupBy("band").agg(F.count("*").alias("n"), F.min_by("id", F.xxhash64("id")).alias("lead")).filter("n > 1")
     rows = stored(bands.join(sizes, "band").select("band", "id", "lead", "n"))
 
@@ -181,7 +202,7 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         """Those of the pairs (a < b) whose signatures may be of texts as similar as asked."""
         sig = nodes.select("id", "sig")
         near = pairs.join(sig.withColumnsRenamed({"id": "a", "sig": "sa"}), "a").join(sig.withColumnsRenamed({"id": "b", "sig": "sb"}), "b").select("a", "b", "sa", "sb")
-        return stored(near.mapInArrow(_screened, "a long, b long"))
+        return stored(near.mapInArrow(_screened(screen(similarity)), "a long, b long"))
 
     def verified(near: DataFrame) -> DataFrame:
         """Those of the pairs that are as similar as asked. Texts are exchanged here, so it is done twice only."""
