@@ -12,7 +12,8 @@
    counts as one symbol that no other core shares), in which windows are the substrings of 64 symbols. A
    collection of such strings goes through column-wise construction of its Burrows-Wheeler transform: each
    round inserts one symbol for each string, from the right end on, and updates the transform and the common
-   prefixes of neighbouring suffixes, which are read from and written to sequential external files. Suffixes
+   prefixes of neighbouring suffixes, which are read from and written to sequential files; those of up to
+   `BUFFER` bytes, as all of collections of at most COLLECTION + HOT - 1 strings are, stay in memory. Suffixes
    whose common prefix with a neighbour is 64 symbols or more are repeated windows.
 
 A core with more than `HOT` different surroundings is not collected in one task: its blocks are cut into blocks
