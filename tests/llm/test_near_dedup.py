@@ -137,3 +137,66 @@ def test_banding():
     for wrong in (0.0, 0.05, 1.1):
         with pytest.raises(ValueError):
             N.banding(wrong)
+
+
+def test_a_large_group_just_under_the_similarity(spark, monkeypatch):
+    """2,200 texts of one base of 120 words, most of them 0.7 to 0.9 from it and less from each other."""
+    made = []
+    spread = N.Scratch.__call__
+    monkeypatch.setattr(N.Scratch, "__call__", lambda self, df, name: (lambda out: made.append((name, out.count() if name.startswith("pairs") else 0)) or out)(spread(self, df, name)))
+    r = random.Random(8)
+    base = prose(r, 120, 10**6)
+    texts = [" ".join(base), *(" ".join(edited(r, base, r.choice((1, 2, 3, 4, 4, 5)))) for _ in range(2200))]
+    texts += [" ".join(edited(r, texts[7].split(), 1)) for _ in range(20)]  # near copies of one of them
+    bags = [frozenset(bag(t)) for t in texts]
+    shingles = {x: k for k, x in enumerate({x for b in bags for x in b})}
+    has = np.zeros((len(texts), len(shingles)), np.float32)
+    for i, b in enumerate(bags):
+        has[i, [shingles[x] for x in b]] = 1
+    common, size = has @ has.T, has.sum(axis=1)
+    near = common / (size[:, None] + size - common) >= N.SIMILARITY - 1e-6
+    want = np.arange(len(texts))
+    while True:
+        now = np.array([want[row].min() for row in near])
+        if (now == want).all():
+            break
+        want = now
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert {x["doc_id"]: x["class_id"] for x in N.near_classes(d).collect()} == dict(enumerate(want.tolist()))
+    assert len(set(want.tolist())) > 300 and sum(n for _, n in made) < 2 * len(texts)
+
+
+def test_bound_holds():
+    """The similarity of two weighted sets is at most what the facts about each and a third tell."""
+    g = np.random.default_rng(3)
+    for _ in range(400):
+        w = g.integers(0, 4, (3, 30)) * (g.random((3, 30)) < g.choice([0.3, 0.9, 0.97]))
+        x, y, c = w
+        if not (x.any() and y.any() and c.any()):
+            continue
+        facts = []
+        for a, b in ((x, y), (y, x)):
+            facts.append((int(a[(c == 0) & (b == 0)].sum()), int(((c > 0) & (a == 0)).sum()), int(a.sum())))
+        (ux, ax, wx), (uy, ay, wy) = facts
+        p, q = 1 - (ux + max(0, ay - ax)) / wx, 1 - (uy + max(0, ax - ay)) / wy
+        i, j = np.flatnonzero(x).astype(np.uint64), np.flatnonzero(y).astype(np.uint64)
+        exact = N.probability_jaccard(i, x[x > 0], j, y[y > 0])
+        assert exact <= (1 / (1 / p + 1 / q - 1) if p > 0 and q > 0 else 0) + 1e-9
+
+
+def test_rows_that_share_a_doc_id(spark):
+    r = random.Random(4)
+    x, y, z = (prose(r, 80, 10**6) for _ in range(3))
+    rows = [(1, x), (1, y), (2, edited(r, x, 1)), (3, edited(r, y, 1)), (4, z), (5, z), (5, x)]
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    out = N.near_classes(d).collect()
+    assert Counter(r_["class_id"] for r_ in out) == {1: 7}  # document 5 has a text of 4 and one of 1
+    kept = sorted((r_["doc_id"], r_["text"]) for r_ in N.near_dedup(d).collect())
+    assert kept == sorted([(1, " ".join(x)), (1, " ".join(y)), (4, " ".join(z))])
+
+
+def test_any_column_names(spark):
+    names = ["near_id", "_near_id", "NEAR_TEXT", "node", "component", "kept", "th", "a.b", "x`y"]
+    d = spark.createDataFrame([(i, "a b c d e f", *range(9)) for i in range(3)], ["doc_id", "text", *names])
+    out = N.near_dedup(d)
+    assert out.columns == d.columns and out.collect() == d.filter("doc_id = 0").collect()

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +18,8 @@ def shared_folder(spark: SparkSession) -> str:
     """The session's checkpoint folder; one of our own only where the session names none, as in tests."""
     sc = spark.sparkContext
     if not sc.getConf().get("spark.checkpoint.dir") and sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tickloom-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -32,3 +35,39 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """The tables that one run of an operator writes to the shared folder, by name."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.names = spark, f"{shared_folder(spark)}/run-{uuid.uuid4().hex}", set()
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        """Write df; what comes after reads it and needs nothing before it."""
+        df.write.parquet(f"{self.folder}/{name}")
+        self.names.add(name)
+        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
+
+    def drop_but(self, *names: str) -> None:
+        """Delete all tables but these, once nothing that is still to run reads them."""
+        for name in sorted(self.names - set(names)):
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.names &= set(names)
+
+
+def unclashing(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many lines before it as it takes to be no column of df."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
+def columns(df: DataFrame) -> list[Column]:
+    """All columns of df, whatever their names."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]

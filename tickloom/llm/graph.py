@@ -17,7 +17,7 @@ def _star(pairs: DataFrame, own: bool) -> DataFrame:
     return out.filter("a <> b").distinct()
 
 
-def components(links: DataFrame, rounds: int = 50) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """node, component (the least node of it) of every node that has a link. links: a, b (long).
 
     A node with very many links is never gathered: its least neighbour is an aggregate that starts on the map
@@ -25,7 +25,7 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
     """
     edges = stored(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
-    for _ in range(rounds):
+    while True:  # large-star and small-star settle in O(log^2) rounds
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
@@ -35,4 +35,3 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
         if now == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
         before = now
-    raise RuntimeError("components did not settle")

@@ -7,19 +7,28 @@ first arrival over all components (early termination), so long texts cost little
 each shingle. Two signatures agree in a component with the probability Jaccard similarity of the weighted
 shingle sets, which is the plain Jaccard similarity when no shingle repeats.
 
-Documents with the same weighted shingles become one node (they are copies); nodes are banded. In the first
-round every node of a bucket is paired with the bucket's first node, which joins large groups of near copies
-with one pair for each; the verified pairs give components. Later rounds look only at buckets that still hold
-more than one of these: about `LEADERS` nodes outside the component of the bucket's first node, chosen by hash,
-meet every node there of another component and then leave the bucket, until no bucket holds two components. So
-no link that banding finds between components is lost and no cap is set on buckets. A large bucket of many
-components that lie just under the similarity still makes nearly all its pairs, a known fault (see the README). A pair is screened by its signatures; what passes is verified by the exact
-probability Jaccard similarity of the texts' shingles, once after the first round and once after all others.
+Documents with the same weighted shingles become one node (they are copies); nodes are banded. Every node of a
+bucket meets the bucket's lead, the node whose buckets are the largest in all, which stands near the middle of a
+group of near copies, and the pair is verified exactly; this makes one pair for each node and joins large groups.
+What is left are pairs of nodes that met one lead but are in different components. Before any such pair is made
+it has to pass an exact bound. Of a node x that met lead c are known: its weight W, how many shingles of c it
+lacks (a), and the weight of its shingles outside c that no other component that met c has (u). For x and y,
+
+    P = 1 - (u(x) + max(0, a(y) - a(x))) / W(x),   Q = 1 - (u(y) + max(0, a(x) - a(y))) / W(y)
+
+are at least the shares of their weights in common shingles, and the similarity is at most 1 / (1/P + 1/Q - 1).
+Nodes that can pass with no other node of a bucket, by the bucket's extremes of u, a and W, leave it unpaired, so
+groups of documents that share a template, or that lie just under the similarity, cost a pass over their nodes.
+What passes is met in rounds: about `LEADERS` nodes outside the lead's component (eight times more in each
+round) meet all that pass, pairs are screened by signatures and verified, components and u are brought up to
+date, until no bucket holds two components. No link that banding finds between components is lost, and no cap is
+set on buckets.
 
 Defined results: words are lower-case runs of letters, marks, numbers and connecting lines; a text of one to
 four words is one shingle; a text without words (null and empty ones too) is in a class of its own doc_id; a
-null doc_id is in no class (null) and is always kept; rows that share a doc_id are one document for the
-classes, so they share one; an empty table gives an empty result; extra columns may have any name.
+null doc_id is in no class (null) and is always kept; rows that share a doc_id are one document, whose texts
+bring all that they are near to into one class, but a row is only dropped for a text that its own text is near
+to; an empty table gives an empty result; extra columns may have any name.
 """
 
 from __future__ import annotations
@@ -28,10 +37,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import Scratch, columns, table, unclashing
 from .graph import components
 from .words import PRIME, hashed_words, mixed, slices
 
@@ -41,7 +50,7 @@ BANDS, ROWS = 25, 5
 M = BANDS * ROWS
 #: Chance at most with which banding may miss a pair that is just as similar as asked.
 MISS = 1e-4
-#: Nodes of a bucket that meet all others in a round, at least; more if that makes no more than PAIRS pairs.
+#: Nodes of a bucket that meet others in the first round, at least; more if the bucket makes no more than PAIRS pairs.
 LEADERS, PAIRS = 32, 65_536
 SHINGLE_BITS = 44
 
@@ -147,8 +156,8 @@ def _banded(bands: int, rows: int):
             band = np.broadcast_to(salt, sig.shape[:2])
             for k in range(rows):
                 band = mixed(band * PRIME + sig[:, :, k])
-            ids = np.repeat(b.column("id").to_numpy(), bands)
-            yield pa.RecordBatch.from_arrays([pa.array(band.view(np.int64).ravel()), pa.array(ids)], ["band", "id"])
+            nodes = np.repeat(b.column("node").to_numpy(), bands)
+            yield pa.RecordBatch.from_arrays([pa.array(band.view(np.int64).ravel()), pa.array(nodes)], ["band", "node"])
 
     return run
 
@@ -163,94 +172,165 @@ def _screened(least: float):
 
 
 def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted shingles of each node, and how often they occur (empty: each once)."""
     for b in batches:
         for part, texts in slices(b):
             text, shingle, times = weighted_shingles(texts)
-            cuts = np.searchsorted(text, np.arange(len(texts) + 1))
+            cuts = np.searchsorted(text, np.arange(len(texts) + 1)).tolist()
             pairs = list(zip(cuts[:-1], cuts[1:], strict=True))
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([shingle[x:y].tobytes() for x, y in pairs], pa.binary()), pa.array([times[x:y].astype("<u4").tobytes() for x, y in pairs], pa.binary())], ["id", "shingles", "times"])
+            often = [times[x:y].astype("<u4").tobytes() if (times[x:y] > 1).any() else b"" for x, y in pairs]
+            yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([shingle[x:y].tobytes() for x, y in pairs], pa.binary()), pa.array(often, pa.binary())], ["node", "shingles", "times"])
 
 
-def _verified(least: float):
+MET = "a long, b long, near boolean, missing long, weight long, fresh binary, often binary"
+
+
+def _met(least: float, batch: int = 64):
+    """Pairs, whether they are as similar as asked, and what the bound needs to know of a, which met b, where `stats` is set."""
+
+    def one(s1: bytes, t1: bytes, s2: bytes, t2: bytes, stats: bool) -> tuple:
+        x, y = np.frombuffer(s1, "<u8"), np.frombuffer(s2, "<u8")
+        at = np.searchsorted(y, x)
+        at[at == len(y)] = 0
+        both = y[at] == x
+        common = int(np.count_nonzero(both))
+        wx = np.frombuffer(t1, "<u4") if t1 else np.ones(len(x), "<u4")
+        if t1 or t2:
+            similarity = probability_jaccard(x, wx, y, np.frombuffer(t2, "<u4") if t2 else np.ones(len(y), "<u4"))
+        else:
+            similarity = common / (len(x) + len(y) - common)
+        rest = (x[~both].tobytes(), wx[~both].tobytes()) if stats else (None, None)
+        return similarity >= least - 1e-12, len(y) - common, int(wx.sum()), *rest
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for x in range(0, b.num_rows, 64):  # few pairs' shingles at once
-                part = b.slice(x, 64)
-                cols = [part.column(c).to_pylist() for c in ("s1", "t1", "s2", "t2")]
-                good = [probability_jaccard(np.frombuffer(p, "<u8"), np.frombuffer(q, "<u4"), np.frombuffer(r, "<u8"), np.frombuffer(s, "<u4")) >= least - 1e-12 for p, q, r, s in zip(*cols, strict=True)]
-                yield part.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+            for at in range(0, b.num_rows, batch):  # few pairs' shingles at once
+                part = b.slice(at, batch)
+                out = [one(*row) for row in zip(*(part.column(c).to_pylist() for c in ("s1", "t1", "s2", "t2", "stats")), strict=True)]
+                kinds = (pa.bool_(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+                cols = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), *cols], ["a", "b", "near", "missing", "weight", "fresh", "often"])
 
     return run
 
 
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each shingle that a node has and the lead lacks."""
+    for b in batches:
+        for at in range(0, b.num_rows, 256):
+            part = b.slice(at, 256)
+            fresh = [np.frombuffer(x, "<i8") for x in part.column("fresh").to_pylist()]
+            size = [len(x) for x in fresh]
+            own = [pa.array(np.repeat(part.column(c).to_numpy(), size)) for c in ("node", "lead", "c")]
+            times = np.frombuffer(b"".join(part.column("often").to_pylist()), "<u4").astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*own, pa.array(np.concatenate(fresh)), pa.array(times)], ["node", "lead", "c", "shingle", "times"])
+
+
+def similarity_bound(p: Column, q: Column) -> Column:
+    """The most that two nodes with these shares of weight in common shingles can be similar."""
+    return F.when((p > 0) & (q > 0), 1 / (1 / p + 1 / q - 1)).otherwise(0.0)
+
+
+def _links(nodes: DataFrame, bands: DataFrame, shingles: DataFrame, similarity: float, keep: Scratch) -> DataFrame:
+    """node, component of every node that banding links with another. bands: band, node, n, lead; shingles: node, shingles, times."""
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        """pairs: a, b, stats."""
+        s = lambda node, i: shingles.select(F.col("node").alias(node), F.col("shingles").alias(f"s{i}"), F.col("times").alias(f"t{i}"))
+        full = pairs.join(s("a", 1), "a").join(s("b", 2), "b").select("a", "b", "s1", "t1", "s2", "t2", "stats")
+        return keep(full.mapInArrow(_met(similarity), MET), name)
+
+    met = verified(bands.filter("node <> lead").groupBy(F.col("node").alias("a"), F.col("lead").alias("b")).agg(F.max(F.col("n") > 2).alias("stats")), "met")
+    comps = keep(components(met.filter("near")), "components-0")
+    known = met.filter("fresh is not null").withColumnsRenamed({"a": "node", "b": "lead"}).drop("near")
+    # A bucket's lead has met every node there; nodes of other components may still have to meet.
+    left, turn = bands.filter("n > 2 and node <> lead").select("band", "node", "lead"), 0
+    is_open = "others > 0 and c0 < c1"
+    of_band = [F.count("*").alias("n"), F.count_if(F.col("c") != F.col("main")).alias("others"), F.min("c").alias("c0"), F.max("c").alias("c1")]
+    while True:
+        turn += 1
+        of = lambda node, name: comps.select(F.col("node").alias(node), F.col("component").alias(f"_{name}"))  # noqa: B023, E731
+        now = left.join(of("node", "c"), "node", "left").join(of("lead", "m"), "lead", "left")
+        now = now.select("band", "node", "lead", F.coalesce("_c", "node").alias("c"), F.coalesce("_m", "lead").alias("main"))
+        now = keep(now.join(now.groupBy("band").agg(*of_band).filter(is_open).select("band"), "band"), f"open-{turn}")
+        if now.isEmpty():
+            return comps
+        here = known.join(now.select("node", "lead", "c").distinct(), ["node", "lead"])
+        spread = keep(here.select("node", "lead", "c", "fresh", "often").mapInArrow(_spread, "node long, lead long, c long, shingle long, times long"), f"spread-{turn}")
+        alone = spread.groupBy("lead", "shingle").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo = hi").select("lead", "shingle")
+        own = spread.join(alone, ["lead", "shingle"]).groupBy("node", "lead").agg(F.sum("times").alias("u"))
+        facts = here.select("node", "lead", "missing", "weight").join(own, ["node", "lead"], "left").na.fill(0, ["u"])
+        facts = now.join(facts, ["node", "lead"])
+        edge = facts.groupBy("band").agg(F.min(F.col("u") / F.col("weight")).alias("m1"), F.min(F.col("u") - F.col("missing")).alias("m2"), F.max("weight").alias("most"))
+        far = F.greatest("m1", (F.col("missing") + F.col("m2")) / F.col("most"))
+        may = facts.join(edge, "band").filter(similarity_bound(1 - F.col("u") / F.col("weight"), 1 - far) >= similarity - 1e-9).drop("m1", "m2", "most")
+        may = keep(may, f"may-{turn}")
+        many = F.greatest(F.lit(LEADERS * 8 ** (turn - 1)), F.floor(F.lit(PAIRS) / F.col("n")))
+        chance = F.pmod(F.xxhash64(F.lit(turn), "node"), F.lit(1 << 20)) * F.col("others") < many * F.lit(1 << 20)
+        marks = may.join(may.groupBy("band").agg(*of_band).filter(is_open).select("band", "n", "others"), "band")
+        marks = keep(marks.withColumn("leads", (F.col("c") != F.col("main")) & chance).drop("n", "others"), f"marks-{turn}")
+        first = marks.filter("leads").select("band", *[F.col(c).alias(f"{c}_") for c in ("node", "c", "missing", "weight", "u")])
+        p = 1 - (F.col("u") + F.greatest(F.lit(0), F.col("missing_") - F.col("missing"))) / F.col("weight")
+        q = 1 - (F.col("u_") + F.greatest(F.lit(0), F.col("missing") - F.col("missing_"))) / F.col("weight_")
+        apart = (F.col("c") != F.col("c_")) & (~F.col("leads") | (F.col("node") < F.col("node_")))
+        pairs = marks.join(first, "band").filter(apart & (similarity_bound(p, q) >= similarity - 1e-9))
+        pairs = pairs.select(F.least("node", "node_").alias("a"), F.greatest("node", "node_").alias("b")).distinct()
+        sig = lambda node, name: nodes.select(F.col("node").alias(node), F.col("sig").alias(name))
+        pairs = keep(pairs.join(sig("a", "sa"), "a").join(sig("b", "sb"), "b").select("a", "b", "sa", "sb").mapInArrow(_screened(screen(similarity)), "a long, b long"), f"pairs-{turn}")
+        found = verified(pairs.withColumn("stats", F.lit(False)), f"met-{turn}").filter("near").select("a", "b")
+        if not found.isEmpty():
+            comps = keep(components(found.unionByName(comps.select(F.col("node").alias("a"), F.col("component").alias("b")))), f"components-{turn}")
+        left = marks.filter("not leads").select("band", "node", "lead")
+
+
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, th (hash of the text), class_id, rep_id of every row. docs: doc_id, text.
+    """doc_id, th (hash of the text), class_id, rep_id, kept of every row. docs: doc_id, text.
 
-    class_id is the smallest doc_id of the class, rep_id that of the rows with the same weighted shingles.
+    class_id is the smallest doc_id of the class, rep_id that of the rows with the same weighted shingles; kept
+    are the rows of one document of each class, or of one for each of its texts if a document has several.
     """
+    keep = Scratch(docs.sparkSession)
     marked = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
-    signed = stored(marked.mapInArrow(_signed, "id long, th long, key binary, sig binary"))
+    signed = keep(marked.mapInArrow(_signed, "id long, th long, key binary, sig binary"), "signed")
     some = signed.filter(F.col("key").isNotNull() & F.col("id").isNotNull())
-    reps = stored(some.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
-    nodes = some.join(reps, (F.col("id") == F.col("rep")) & (some["key"] == reps["key"]), "left_semi").dropDuplicates(["id"]).select("id", "th", "sig")
-    nodes = stored(nodes)
-    bands = nodes.select("id", "sig").mapInArrow(_banded(*banding(similarity)), "band long, id long")
-    sizes = bands.groupBy("band").agg(F.count("*").alias("n"), F.min_by("id", F.xxhash64("id")).alias("lead")).filter("n > 1")
-    rows = stored(bands.join(sizes, "band").select("band", "id", "lead", "n"))
-
-    def screened(pairs: DataFrame) -> DataFrame:
-        """Those of the pairs (a < b) whose signatures may be of texts as similar as asked."""
-        sig = nodes.select("id", "sig")
-        near = pairs.join(sig.withColumnsRenamed({"id": "a", "sig": "sa"}), "a").join(sig.withColumnsRenamed({"id": "b", "sig": "sb"}), "b").select("a", "b", "sa", "sb")
-        return stored(near.mapInArrow(_screened(screen(similarity)), "a long, b long"))
-
-    def verified(near: DataFrame) -> DataFrame:
-        """Those of the pairs that are as similar as asked. Texts are exchanged here, so it is done twice only."""
-        wanted = near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct().join(nodes.select("id", "th"), "id")
-        texts = marked.join(wanted, ["id", "th"], "left_semi").dropDuplicates(["id", "th"])
-        shingles = stored(texts.select("id", "text").mapInArrow(_shingled, "id long, shingles binary, times binary"))
-        full = near.join(shingles.withColumnsRenamed({"id": "a", "shingles": "s1", "times": "t1"}), "a").join(shingles.withColumnsRenamed({"id": "b", "shingles": "s2", "times": "t2"}), "b")
-        return stored(full.select("a", "b", "s1", "t1", "s2", "t2").mapInArrow(_verified(similarity), "a long, b long"))
-
-    def pair(x: str, y: str) -> tuple:
-        return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
-
-    found = verified(screened(rows.filter("id <> lead").select(*pair("id", "lead")).distinct()))
-    comps = stored(components(found))
-    # A bucket's lead has met every node there; what isn't of its component still has to meet the others.
-    of = lambda node, name: comps.select(F.col("node").alias(node), F.col("component").alias(f"_{name}"))
-    left = rows.filter("id <> lead").select("band", "id", "lead").join(of("id", "c"), "id", "left").join(of("lead", "m"), "lead", "left")
-    left = left.select("band", "id", F.coalesce("_c", "id").alias("c"), F.coalesce("_m", "lead").alias("main"))
-    near, turn = None, 0
-    while True:
-        sizes = left.groupBy("band").agg(F.count("*").alias("n"), F.count_if(F.col("c") != F.col("main")).alias("others"), F.min("c").alias("c0"), F.max("c").alias("c1")).filter("others > 0 and c0 < c1").select("band", "n", "others")
-        now = stored(left.join(sizes, "band"))
-        if now.isEmpty():
-            break
-        turn += 1
-        many = F.greatest(F.lit(LEADERS), F.floor(F.lit(PAIRS) / F.col("n")))
-        chance = F.pmod(F.xxhash64(F.lit(turn), "band", "id"), F.lit(1 << 20)) * F.col("others") < many * F.lit(1 << 20)
-        marks = now.withColumn("leads", (F.col("c") != F.col("main")) & chance).drop("n", "others")
-        leaders = marks.filter("leads").select("band", F.col("id").alias("lead"), F.col("c").alias("lc"))
-        met = screened(marks.join(leaders, "band").filter("c <> lc and (not leads or id < lead)").select(*pair("id", "lead")).distinct())
-        near = met if near is None else near.unionByName(met)
-        left = marks.filter("not leads").drop("leads")
-    if near is not None:
-        more = verified(stored(near.distinct()))
-        if not more.isEmpty():
-            comps = stored(components(found.unionByName(more)))
-    own = signed.select("id", "th", "key").join(reps, "key", "left")
-    rep = F.when(F.col("id").isNotNull(), F.coalesce("rep", "id"))
-    out = own.select("id", "th", rep.alias("rep")).join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("id", "th", "rep", F.coalesce("component", "rep").alias("class_id"))
-    return out.select(F.col("id").alias("doc_id"), "th", "class_id", F.col("rep").alias("rep_id"))
+    # Stored, so that the numbers stay what they are.
+    nodes = keep(some.groupBy("key").agg(F.min("id").alias("rep"), F.any_value("sig").alias("sig")).withColumn("node", F.monotonically_increasing_id()), "nodes")
+    bands = nodes.select("node", "sig").mapInArrow(_banded(*banding(similarity)), "band long, node long")
+    rows = keep(bands.join(bands.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1"), "band"), "rows")
+    score = rows.groupBy("node").agg((F.sum("n") * 1024 + F.pmod(F.xxhash64("node"), F.lit(1024))).alias("score"))
+    leads = rows.join(score, "node").groupBy("band").agg(F.max_by("node", "score").alias("lead"))
+    rows = keep(rows.join(leads, "band"), "led")
+    wanted = rows.select("node").distinct().join(nodes.select("node", "key", "rep"), "node").join(some.select("id", "th", "key"), "key").filter("id = rep").select("id", "th", "node").dropDuplicates(["node"])
+    texts = marked.join(wanted, ["id", "th"]).dropDuplicates(["id", "th"])
+    shingles = keep(texts.select("node", "text").mapInArrow(_shingled, "node long, shingles binary, times binary"), "shingles")
+    comps = _links(nodes, rows, shingles, similarity, keep)
+    named = nodes.select("key", "node", "rep").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    first = named.groupBy("component").agg(F.min("rep").alias("class_id"), F.count("*").alias("n"))
+    # Of a component's nodes with its smallest doc_id one stays.
+    heads = named.join(first, "component").filter("rep = class_id").groupBy("component").agg(F.min("node").alias("head"))
+    classes = keep(named.join(first, "component").join(heads, "component").select("key", "node", "rep", "component", "class_id", (F.col("node") == F.col("head")).alias("head")), "classes")
+    own = keep(signed.select("id", "th", "key").join(classes, "key", "left").drop("key"), "own")
+    several = own.filter("id is not null").groupBy("id").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("id", "lo")
+    several = keep(several, "several")
+    if not several.isEmpty():  # documents of several texts bring classes together
+        joined = components(own.join(several, "id").select(F.col("component").alias("a"), F.col("lo").alias("b")).distinct()).select(F.col("node").alias("component"), F.col("component").alias("whole"))
+        least = keep(classes.select("component", "class_id").distinct().join(joined, "component"), "joined")
+        least = least.join(least.groupBy("whole").agg(F.min("class_id").alias("least")), "whole").select("component", "least")
+        own = own.join(least, "component", "left").withColumn("class_id", F.coalesce("least", "class_id")).drop("least")
+    keep.drop_but("own", "joined", "several")
+    real = F.col("id").isNotNull()
+    return own.select(F.col("id").alias("doc_id"), "th", F.when(real, F.coalesce("class_id", "id")).alias("class_id"), F.when(real, F.coalesce("rep", "id")).alias("rep_id"), F.coalesce(F.col("head") & (F.col("id") == F.col("rep")), F.lit(True)).alias("kept"))
 
 
 def near_dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """One document of each class: that whose doc_id is the smallest; the columns of docs."""
-    drop = stored(near_classes(docs.select("doc_id", "text"), similarity).filter("doc_id <> class_id").select("doc_id").distinct())
-    return docs.join(drop.withColumnRenamed("doc_id", "_near"), F.col("doc_id") == F.col("_near"), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of docs that stay, with the columns of docs: one document of each class, that whose doc_id is the smallest."""
+    keep = Scratch(docs.sparkSession)
+    i, t = unclashing(docs, "near_id", "near_text")
+    drop = keep(near_classes(docs.select("doc_id", "text"), similarity).filter("not kept").select(F.col("doc_id").alias(i), F.col("th").alias(t)).distinct(), "dropped")
+    here = (docs["doc_id"].cast("long") == F.col(i)) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col(t))
+    return docs.join(drop, here, "left_anti").select(*columns(docs))
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "class_id", "rep_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"))
+    return out.select("doc_id", "class_id", "rep_id", "kept")
