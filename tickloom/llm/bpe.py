@@ -26,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import table
+from .common import by_batches, table
 
 #: Pieces whose tokens a Python worker keeps between slices; the most frequent half survives an overflow.
 REMEMBERED = 300_000
 #: Characters of text in a slice.
-SLICE = 1_000_000
+SLICE = 500_000
 #: A merge at fewer places than this is replayed place by place.
 FEW = 12
 
@@ -52,11 +52,12 @@ class Splitter:
     def __init__(self):
         import regex
 
-        every = "".join(map(chr, range(0x110000)))
         self.kind = np.full(0x110000, OTHER, np.uint8)
-        for kind, name in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\p{White_Space}+")):
-            for m in regex.finditer(name, every):
-                self.kind[m.start() : m.end()] = kind
+        for a in range(0, 0x110000, 1 << 16):
+            some = "".join(map(chr, range(a, a + (1 << 16))))
+            for kind, name in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\p{White_Space}+")):
+                for m in regex.finditer(name, some):
+                    self.kind[a + m.start() : a + m.end()] = kind
 
     def starts(self, chars: np.ndarray, heads: np.ndarray) -> np.ndarray:
         """Where pieces begin. chars: code points of all texts; heads: where the texts that aren't empty begin."""
@@ -137,13 +138,16 @@ class Codec:
     def forget(self, least: int | None = None) -> None:
         """Start anew, or with the pieces that have been used so often."""
         if least is None:
-            self.number: dict[int, int] = {}
+            #: Hashes of the remembered pieces, in order, and the pieces' numbers.
+            self.hash, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int64)
             self.second = np.zeros(0, np.uint64)
             self.tokens, self.ends, self.uses = np.zeros(0, "<u4"), np.zeros(1, np.int64), np.zeros(0, np.int64)
             return
         kept = np.flatnonzero(self.uses >= least)
-        new = dict(zip(kept.tolist(), range(len(kept)), strict=True))
-        self.number = {h: new[k] for h, k in self.number.items() if k in new}
+        new = np.full(len(self.uses), -1, np.int64)
+        new[kept] = np.arange(len(kept))
+        stays = new[self.number] >= 0
+        self.hash, self.number = self.hash[stays], new[self.number[stays]]
         self.tokens, self.ends = ragged(self.tokens, self.ends[:-1][kept], self.ends[1:][kept])
         self.second, self.uses = self.second[kept], self.uses[kept] // 2
 
@@ -300,7 +304,7 @@ class Codec:
             a = b
 
     def _slice(self, texts: list[str]) -> Iterator[bytes]:
-        if len(self.number) > REMEMBERED:
+        if len(self.second) > REMEMBERED:
             self.forget(max(2, int(np.median(self.uses)) + 1))
         every = "".join(texts)
         chars, starts, upto = self.pieces(texts, every)
@@ -308,11 +312,13 @@ class Codec:
         one, two = hashes(chars, starts, ends)
         del chars
         distinct, first, which = np.unique(one, return_index=True, return_inverse=True)
-        number, had = self.number, len(self.number)
-        numbers = [number.setdefault(h, len(number)) for h in distinct.tolist()]
-        numbers = np.array(numbers, np.int64)
-        new = np.flatnonzero(numbers >= had)
-        new = new[np.argsort(numbers[new])]
+        at, numbers = np.searchsorted(self.hash, distinct), np.full(len(distinct), -1, np.int64)
+        had = np.flatnonzero(at < len(self.hash))
+        had = had[self.hash[at[had]] == distinct[had]]
+        numbers[had] = self.number[at[had]]
+        new = np.flatnonzero(numbers < 0)
+        numbers[new] = len(self.second) + np.arange(len(new))
+        self.hash, self.number = np.insert(self.hash, at[new], distinct[new]), np.insert(self.number, at[new], numbers[new])
         self.second = np.r_[self.second, two[first[new]]]
         if (self.second[numbers][which] != two).any():
             raise ValueError("two different pieces have one hash")
@@ -364,7 +370,7 @@ def encoded(docs: DataFrame, path: str, pattern: str, check: bool = False) -> Da
             same = [pa.array([c.decode(x) == (t or "").encode("utf-8", "replace") for x, t in zip(raw, part.column("text").to_pylist(), strict=True)], pa.bool_())] * check
             yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), column, *same], [*keep, *new])
 
-    return docs.select(*[f"`{c}`" for c in keep]).mapInArrow(run, schema)
+    return by_batches(docs.select(*[f"`{c}`" for c in keep]), run, schema)
 
 
 def decoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -378,7 +384,7 @@ def decoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             raw = [c.decode(np.array(x or [], "<u4").tobytes()) for x in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(raw, pa.binary())], [*keep, "decoded"])
 
-    return docs.select(*[f"`{c}`" for c in keep]).mapInArrow(run, schema)
+    return by_batches(docs.select(*[f"`{c}`" for c in keep]), run, schema)
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -390,7 +396,7 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             n, ids, raw = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(raw, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return by_batches(docs.select("doc_id", "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def counted(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -400,7 +406,7 @@ def counted(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         for _, part, tokens in _texts(batches, path, pattern):
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) // 4 for x in tokens], pa.int64())], ["doc_id", "n_tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long")
+    return by_batches(docs.select("doc_id", "text"), run, "doc_id long, n_tokens long")
 
 
 def rank_file() -> tuple[str, str]:

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import by_batches, table
 from .words import PRIME, mixed, slices
 
 WINDOW, LEAST = 16, 16
@@ -181,7 +181,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     n_shared counts the bytes in long runs of chunks that stand elsewhere too, first occurrences included.
     """
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
-    chunks = rows.mapInArrow(_chunked, "d1 long, d2 long, id long, th long, place long, again boolean")
+    chunks = by_batches(rows, _chunked, "d1 long, d2 long, id long, th long, place long, again boolean")
     first = chunks.filter("not again").groupBy("d1", "d2").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").drop("last")
     elsewhere = chunks.filter("not again").join(first, ["d1", "d2"]).select("id", "th", (F.col("place") * 2 + (F.col("id") > F.col("first")).cast("long")).alias("place"))
     within = chunks.filter("again").select("id", "th", (F.col("place") * 2 + 1).alias("place"))

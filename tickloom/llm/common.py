@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Rows that Python workers get at once, unless the session asks for another number than Spark's default.
+BATCH, BATCH_CONF = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,6 +21,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def by_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """mapInArrow in batches of few rows, as texts have any length; workers give back what memory a task has used."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_CONF) == "10000":
+        conf.set(BATCH_CONF, str(BATCH))
+
+    def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        trim()
+
+    return df.mapInArrow(trimmed, schema)
+
+
+def trim() -> None:
+    """Give freed memory back to the system; a reused worker would keep it through all stages."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The session's checkpoint folder; one of our own only where the session names none, as in tests."""
     sc = spark.sparkContext

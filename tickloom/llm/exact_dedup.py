@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import checkpointed, table
+from .common import by_batches, checkpointed, table
 
 RUN = np.dtype([("digest", "S32"), ("no_id", "u1"), ("id", "<i8"), ("rows", "<i8"), ("ties", "<i8"), ("check", "<i8"), ("bytes", "<i8")])
 #: Python's white space of the contract: runs of these become one space.
@@ -107,7 +107,7 @@ def groups(rows: DataFrame, fan_in: int = 8, buckets: int | None = None) -> Data
     """
     n = rows.rdd.getNumPartitions()
     buckets = buckets or max(16, min(65536, n))
-    runs = rows.mapInArrow(_runs(buckets), "bucket int, run long, data binary")
+    runs = by_batches(rows, _runs(buckets), "bucket int, run long, data binary")
     for _ in range(math.ceil(math.log(max(n, 2), fan_in) - 1e-9)):
         runs = runs.withColumn("run", F.floor(F.col("run") / fan_in)).groupBy("bucket", "run").applyInPandas(_merged, "bucket int, run long, data binary")
     return runs.mapInPandas(_flat, "digest binary, keep_id long, group_size long, ties long")

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, columns, table, unclashing
+from .common import Scratch, by_batches, columns, table, unclashing
 from .graph import components
 from .words import PRIME, hashed_words, mixed, slices
 
@@ -238,7 +238,7 @@ def _links(nodes: DataFrame, bands: DataFrame, shingles: DataFrame, similarity:
         """pairs: a, b, stats."""
         s = lambda node, i: shingles.select(F.col("node").alias(node), F.col("shingles").alias(f"s{i}"), F.col("times").alias(f"t{i}"))
         full = pairs.join(s("a", 1), "a").join(s("b", 2), "b").select("a", "b", "s1", "t1", "s2", "t2", "stats")
-        return keep(full.mapInArrow(_met(similarity), MET), name)
+        return keep(by_batches(full, _met(similarity), MET), name)
 
     met = verified(bands.filter("node <> lead").groupBy(F.col("node").alias("a"), F.col("lead").alias("b")).agg(F.max(F.col("n") > 2).alias("stats")), "met")
     comps = keep(components(met.filter("near")), "components-0")
@@ -256,7 +256,7 @@ def _links(nodes: DataFrame, bands: DataFrame, shingles: DataFrame, similarity:
         if now.isEmpty():
             return comps
         here = known.join(now.select("node", "lead", "c").distinct(), ["node", "lead"])
-        spread = keep(here.select("node", "lead", "c", "fresh", "often").mapInArrow(_spread, "node long, lead long, c long, shingle long, times long"), f"spread-{turn}")
+        spread = keep(by_batches(here.select("node", "lead", "c", "fresh", "often"), _spread, "node long, lead long, c long, shingle long, times long"), f"spread-{turn}")
         alone = spread.groupBy("lead", "shingle").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo = hi").select("lead", "shingle")
         own = spread.join(alone, ["lead", "shingle"]).groupBy("node", "lead").agg(F.sum("times").alias("u"))
         facts = here.select("node", "lead", "missing", "weight").join(own, ["node", "lead"], "left").na.fill(0, ["u"])
@@ -276,7 +276,8 @@ def _links(nodes: DataFrame, bands: DataFrame, shingles: DataFrame, similarity:
         pairs = marks.join(first, "band").filter(apart & (similarity_bound(p, q) >= similarity - 1e-9))
         pairs = pairs.select(F.least("node", "node_").alias("a"), F.greatest("node", "node_").alias("b")).distinct()
         sig = lambda node, name: nodes.select(F.col("node").alias(node), F.col("sig").alias(name))
-        pairs = keep(pairs.join(sig("a", "sa"), "a").join(sig("b", "sb"), "b").select("a", "b", "sa", "sb").mapInArrow(_screened(screen(similarity)), "a long, b long"), f"pairs-{turn}")
+        pairs = pairs.join(sig("a", "sa"), "a").join(sig("b", "sb"), "b").select("a", "b", "sa", "sb")
+        pairs = keep(by_batches(pairs, _screened(screen(similarity)), "a long, b long"), f"pairs-{turn}")
         found = verified(pairs.withColumn("stats", F.lit(False)), f"met-{turn}").filter("near").select("a", "b")
         if not found.isEmpty():
             comps = keep(components(found.unionByName(comps.select(F.col("node").alias("a"), F.col("component").alias("b")))), f"components-{turn}")
@@ -291,18 +292,18 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """
     keep = Scratch(docs.sparkSession)
     marked = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
-    signed = keep(marked.mapInArrow(_signed, "id long, th long, key binary, sig binary"), "signed")
+    signed = keep(by_batches(marked, _signed, "id long, th long, key binary, sig binary"), "signed")
     some = signed.filter(F.col("key").isNotNull() & F.col("id").isNotNull())
     # Stored, so that the numbers stay what they are.
     nodes = keep(some.groupBy("key").agg(F.min("id").alias("rep"), F.any_value("sig").alias("sig")).withColumn("node", F.monotonically_increasing_id()), "nodes")
-    bands = nodes.select("node", "sig").mapInArrow(_banded(*banding(similarity)), "band long, node long")
+    bands = by_batches(nodes.select("node", "sig"), _banded(*banding(similarity)), "band long, node long")
     rows = keep(bands.join(bands.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1"), "band"), "rows")
     score = rows.groupBy("node").agg((F.sum("n") * 1024 + F.pmod(F.xxhash64("node"), F.lit(1024))).alias("score"))
     leads = rows.join(score, "node").groupBy("band").agg(F.max_by("node", "score").alias("lead"))
     rows = keep(rows.join(leads, "band"), "led")
     wanted = rows.select("node").distinct().join(nodes.select("node", "key", "rep"), "node").join(some.select("id", "th", "key"), "key").filter("id = rep").select("id", "th", "node").dropDuplicates(["node"])
     texts = marked.join(wanted, ["id", "th"]).dropDuplicates(["id", "th"])
-    shingles = keep(texts.select("node", "text").mapInArrow(_shingled, "node long, shingles binary, times binary"), "shingles")
+    shingles = keep(by_batches(texts.select("node", "text"), _shingled, "node long, shingles binary, times binary"), "shingles")
     comps = _links(nodes, rows, shingles, similarity, keep)
     named = nodes.select("key", "node", "rep").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
     first = named.groupBy("component").agg(F.min("rep").alias("class_id"), F.count("*").alias("n"))

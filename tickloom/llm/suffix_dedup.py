@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored, table
+from .common import by_batches, stored, table
 from .words import PRIME, mixed, slices
 
 LENGTH, GRAM = 400, 32
@@ -372,13 +372,13 @@ def _settle(rows: DataFrame, by: list[str], keep: list[str]) -> DataFrame:
 def removed(docs: DataFrame) -> DataFrame:
     """t, n, spans: byte ranges (pairs of little-endian longs) of the texts that lose bytes. docs: doc_id, text."""
     texts = named(docs.select("text")).filter(F.col("n") >= LENGTH)
-    segs = stored(texts.select("t", "text").mapInArrow(_segmented, "h long, g long, t long, n long, place long"))
+    segs = stored(by_batches(texts.select("t", "text"), _segmented, "h long, g long, t long, n long, place long"))
     known = stored(_settle(segs, ["h", "g"], ["t", "n", "place"]))
     first = F.shiftright("place", 20)
     done = [known.filter("c > 1").select("t", "n", first.alias("a"), (first + F.shiftright("place", 10).bitwiseAND(1023)).alias("z"))]
     # Segments that differ from others with their anchor, and one of each that stands twice to hold them against.
     open_ = known.filter("d > 1 and (c = 1 or t = one)").groupBy("t", "n").agg(F.collect_list(F.struct("h", "place")).alias("segs"))
-    blocks = stored(texts.join(open_, ["t", "n"]).select("t", "text", "segs").mapInArrow(_blocks, BLOCK_DDL))
+    blocks = stored(by_batches(texts.join(open_, ["t", "n"]).select("t", "text", "segs"), _blocks, BLOCK_DDL))
     for width, finer in zip(WIDTHS, [*WIDTHS[1:], None], strict=True):
         settled = stored(_settle(blocks, ["k", "q"], [c for c in BLOCK.names if c not in ("k", "q")]))
         done.append(settled.filter("c > 1").select("t", "n", "a", "z"))
@@ -430,11 +430,11 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     found = removed(docs).withColumnsRenamed({"t": "_t", "n": "_n", "spans": "_spans"})
     text = F.coalesce("text", F.lit(""))
     both = docs.withColumn("_text", text).join(found, (F.xxhash64(text) == F.col("_t")) & (F.octet_length(text) == F.col("_n")), "left").drop("_t", "_n")
-    return both.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("kept", T.BinaryType())]))
+    return by_batches(both, run, T.StructType([*docs.schema.fields, T.StructField("kept", T.BinaryType())]))
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = removed(docs)
     both = named(docs).join(found, ["t", "n"], "left")
-    return both.select("doc_id", "text", "spans").mapInArrow(_kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return by_batches(both.select("doc_id", "text", "spans"), _kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

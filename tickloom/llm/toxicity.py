@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import by_batches, table
 from .words import PRIME, hashed_words, mixed, slices
 
 DIMS = 1 << 20
@@ -97,7 +97,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
     # At most `sample` rows, so they may be broadcast and meet in one task.
     chosen = usable.withColumn("at", F.xxhash64("doc_id")).orderBy("at", "doc_id").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("at", "toxic", F.coalesce("text", F.lit("")).alias("text"))
-    got = rows.mapInArrow(_featured, "at long, toxic int, places binary").repartition(1).mapInArrow(_fit_all, "place long, weight double").toPandas()
+    got = by_batches(rows, _featured, "at long, toxic int, places binary").repartition(1).mapInArrow(_fit_all, "place long, weight double").toPandas()
     got = got.sort_values("place")
     at = got["place"].to_numpy(np.int64)
     w = got["weight"].to_numpy(np.float64)
@@ -125,7 +125,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text: st
                 with np.errstate(over="ignore"):
                     yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(1 / (1 + np.exp(-total)))], [*keep, "score"])
 
-    return d.mapInArrow(run, schema)
+    return by_batches(d, run, schema)
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

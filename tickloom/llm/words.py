@@ -18,8 +18,9 @@ def word_chars() -> np.ndarray:
     import regex
 
     out = np.zeros(0x110000, bool)
-    for m in regex.finditer(r"[\p{L}\p{M}\p{N}\p{Pc}]+", "".join(map(chr, range(0x110000)))):
-        out[m.start() : m.end()] = True
+    for a in range(0, 0x110000, 1 << 16):
+        for m in regex.finditer(r"[\p{L}\p{M}\p{N}\p{Pc}]+", "".join(map(chr, range(a, a + (1 << 16))))):
+            out[a + m.start() : a + m.end()] = True
     return out
 
 
