@@ -29,12 +29,12 @@ ROWS = [(5, "a b"), (3, "a  b"), (9, "a\t\nb"), (1, "a b "), (2, None), (4, ""),
 
 @pytest.mark.parametrize("fan_in,parts", [(2, 7), (8, 3), (3, 1)])
 def test_equals_brute_force(spark, fan_in, parts):
-    d = spark.createDataFrame([(i, t, 0) for i, t in ROWS], DDL).drop("_kept").repartition(parts)
+    d = spark.createDataFrame([(i, t, 0) for i, t in ROWS], DDL).repartition(parts)
     got = E.exact_groups(d, fan_in=fan_in).collect()
     want, least, _ = brute(ROWS)
-    assert by_text(((r["doc_id"] is None, r["doc_id"] or 0), r["_keep_id"], r["_size"], bytes(r["_digest"]).hex()) for r in got) == want
-    kept = [r for r in got if r["_kept"]]
-    assert len(kept) == len(least) and all(r["doc_id"] == r["_keep_id"] for r in kept)
+    assert by_text(((r["row"]["doc_id"] is None, r["row"]["doc_id"] or 0), r["keep_id"], r["group_size"], bytes(r["digest"]).hex()) for r in got) == want
+    kept = [r for r in got if r["kept"]]
+    assert len(kept) == len(least) and all(r["row"]["doc_id"] == r["keep_id"] for r in kept)
     assert E.exact_dedup(d).columns == d.columns and E.exact_dedup(d).count() == len(least)
 
 

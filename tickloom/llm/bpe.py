@@ -23,10 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_batches, table
+from .common import by_batches, packed, table, with_columns
 
 #: Pieces whose tokens a Python worker keeps between slices; the most frequent half survives an overflow.
 REMEMBERED = 300_000
@@ -354,12 +355,16 @@ def _texts(batches: Iterator[pa.RecordBatch], path: str, pattern: str):
             yield c, part, c.encode([t or "" for t in part.column("text").to_pylist()])
 
 
+def _rows(docs: DataFrame, new: list[str], kinds: list[T.DataType], run, text: Column) -> DataFrame:
+    """The columns of docs and those that run makes of `text`, in place of columns of their names."""
+    rows = docs.select(packed(docs), text.alias("text"))
+    schema = T.StructType([rows.schema["row"], *(T.StructField(n, k) for n, k in zip(new, kinds, strict=True))])
+    return with_columns(by_batches(rows, run, schema), docs.columns, *new)
+
+
 def encoded(docs: DataFrame, path: str, pattern: str, check: bool = False) -> DataFrame:
     """docs with `ids` (array of int): the tokens of `text`. check: also `round_trip`, whether they decode to it again."""
     new = ["ids", *["round_trip"] * check]
-    keep = [f.name for f in docs.schema.fields if f.name not in new]
-    kinds = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("round_trip", T.BooleanType())]
-    schema = T.StructType([*docs.select(*[f"`{c}`" for c in keep]).schema.fields, *kinds[: len(new)]])
 
     def run(batches):
         for c, part, tokens in _texts(batches, path, pattern):
@@ -368,23 +373,21 @@ def encoded(docs: DataFrame, path: str, pattern: str, check: bool = False) -> Da
             offsets = pa.array(np.r_[0, np.cumsum([len(x) for x in ids])].astype(np.int32))
             column = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids)))
             same = [pa.array([c.decode(x) == (t or "").encode("utf-8", "replace") for x, t in zip(raw, part.column("text").to_pylist(), strict=True)], pa.bool_())] * check
-            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), column, *same], [*keep, *new])
+            yield pa.RecordBatch.from_arrays([part.column("row"), column, *same], ["row", *new])
 
-    return by_batches(docs.select(*[f"`{c}`" for c in keep]), run, schema)
+    return _rows(docs, new, [T.ArrayType(T.IntegerType()), T.BooleanType()][: len(new)], run, F.col("text"))
 
 
 def decoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """docs with `decoded` (binary): the bytes that the tokens in `ids` stand for; null ids give no bytes."""
-    keep = [f.name for f in docs.schema.fields if f.name != "decoded"]
-    schema = T.StructType([*docs.select(*[f"`{c}`" for c in keep]).schema.fields, T.StructField("decoded", T.BinaryType())])
 
     def run(batches):
         c = codec(path, pattern)
         for b in batches:
-            raw = [c.decode(np.array(x or [], "<u4").tobytes()) for x in b.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(raw, pa.binary())], [*keep, "decoded"])
+            raw = [c.decode(np.array(x or [], "<u4").tobytes()) for x in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(raw, pa.binary())], ["row", "decoded"])
 
-    return by_batches(docs.select(*[f"`{c}`" for c in keep]), run, schema)
+    return _rows(docs, ["decoded"], [T.BinaryType()], run, F.col("ids"))
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_batches, table
+from .common import by_batches, packed, table
 from .words import PRIME, mixed, slices
 
 WINDOW, LEAST = 16, 16
@@ -189,22 +189,17 @@ def repeats(docs: DataFrame) -> DataFrame:
     return elsewhere.unionByName(within).groupBy("id", "th").agg(F.collect_set("place").alias("places")).mapInArrow(_runs, "id long, th long, n_repeats long, n_removed long, n_shared long, spans array<struct<start:long,end:long>>")
 
 
-def with_spans(docs: DataFrame) -> DataFrame:
-    """docs with `_bytes`, `_repeats`, `_removed`, `_shared`, `_spans` (byte ranges, in order, that repeat an earlier place)."""
-    found = repeats(docs).withColumnsRenamed({"id": "_id", "th": "_th", "n_repeats": "_repeats", "n_removed": "_removed", "n_shared": "_shared", "spans": "_spans"})
-    text = F.coalesce("text", F.lit(""))
-    key = (F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)) == F.col("_id")) & (F.xxhash64(text) == F.col("_th"))
-    return docs.withColumn("_bytes", F.octet_length(text).cast("long")).join(found, key, "left").drop("_id", "_th")
-
-
 def substring_dedup(docs: DataFrame) -> DataFrame:
     """docs with the runs of repeated chunks taken out of `text`."""
-    marked = with_spans(docs)
-    raw = F.encode(F.coalesce("text", F.lit("")), "utf-8")
-    ends = F.transform("_spans", lambda s: s["end"])
-    kept = F.concat(F.array(F.lit(0).cast("long")), ends), F.concat(F.transform("_spans", lambda s: s["start"]), F.array(F.col("_bytes")))
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(packed(docs), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(text).alias("th"))
+    marked = rows.join(repeats(docs).select("id", "th", "spans"), ["id", "th"], "left")
+    raw = F.encode(F.coalesce("row.text", F.lit("")), "utf-8")
+    ends = F.transform("spans", lambda s: s["end"])
+    kept = F.concat(F.array(F.lit(0).cast("long")), ends), F.concat(F.transform("spans", lambda s: s["start"]), F.array(F.octet_length(raw).cast("long")))
     pieces = F.zip_with(*kept, lambda a, b: F.decode(F.substring(raw, (a + 1).cast("int"), (b - a).cast("int")), "utf-8"))
-    return marked.withColumn("text", F.when(F.coalesce(F.size("_spans"), F.lit(0)) > 0, F.array_join(pieces, "")).otherwise(F.col("text"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    left = F.when(F.coalesce(F.size("spans"), F.lit(0)) > 0, F.array_join(pieces, "")).otherwise(F.col("row.text"))
+    return marked.select(*[left.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

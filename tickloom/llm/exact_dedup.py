@@ -12,8 +12,8 @@ A group of copies of any size enters a run as one entry, so it is never gathered
 more leave the last round; they are joined to the rows by digest, a join whose large partitions Spark splits.
 
 Defined results: a null text counts as empty; a null doc_id ranks after all others; of rows that agree in
-text and smallest doc_id exactly one stays, chosen by a hash of its other columns; an empty table gives an
-empty result; other columns of the input may have any name.
+text and smallest doc_id exactly one stays, whichever; an empty table gives an empty result; other columns of
+the input may have any name.
 """
 
 from __future__ import annotations
@@ -25,10 +25,9 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import by_batches, checkpointed, table
+from .common import Scratch, by_batches, packed, table
 
 RUN = np.dtype([("digest", "S32"), ("no_id", "u1"), ("id", "<i8"), ("rows", "<i8"), ("ties", "<i8"), ("check", "<i8"), ("bytes", "<i8")])
 #: Python's white space of the contract: runs of these become one space.
@@ -114,33 +113,36 @@ def groups(rows: DataFrame, fan_in: int = 8, buckets: int | None = None) -> Data
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = 8) -> DataFrame:
-    """Every row of docs with `_digest`, `_keep_id`, `_size` and `_kept`."""
+    """row (the columns of docs in a struct), digest, keep_id, group_size, kept of every row of docs."""
+    keep = Scratch(docs.sparkSession)
     text = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACES, " ")
-    marked = docs.withColumn("_digest", F.unhex(F.sha2(text, 256)))
-    found = groups(docs.select(F.unhex(F.sha2(text, 256)).alias("digest"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("check"), F.octet_length(text).cast("long").alias("bytes")), fan_in)
-    found = checkpointed(found)
-    found = found.select(F.col("digest").alias("_found"), F.col("keep_id").alias("_keep"), "group_size", "ties").withColumnsRenamed({"group_size": "_n", "ties": "_ties"})
-    all_ = marked.join(found, F.col("_digest") == F.col("_found"), "left")
-    all_ = all_.withColumn("_size", F.coalesce("_n", F.lit(1).cast("long"))).withColumn("_keep_id", F.when(F.col("_found").isNull(), F.col(id_col)).otherwise(F.col("_keep")))
-    least = F.col("_found").isNull() | F.col(id_col).eqNullSafe(F.col("_keep_id"))
-    if found.filter(F.col("_ties") > 1).isEmpty():
-        out = all_.withColumn("_kept", least)
-    else:  # rows that agree in text and doc_id are rare; only they are numbered
-        tied = F.coalesce(F.col("_ties"), F.lit(1)) > 1
-        numbered = F.row_number().over(W.partitionBy("_digest", id_col).orderBy(F.xxhash64(*[f"`{c}`" for c in docs.columns if c != text_col])))
-        out = all_.filter(~(least & tied)).withColumn("_kept", least).unionByName(all_.filter(least & tied).withColumn("_kept", numbered == 1))
-    return out.drop("_found", "_keep", "_n", "_ties")
+    ident = F.col(id_col).cast("long").alias("id")
+    marked = docs.select(packed(docs), ident, F.unhex(F.sha2(text, 256)).alias("digest"))
+    found = groups(docs.select(F.unhex(F.sha2(text, 256)).alias("digest"), ident, F.xxhash64(text).alias("check"), F.octet_length(text).cast("long").alias("bytes")), fan_in)
+    found = keep(found.withColumnRenamed("digest", "found"), "groups")
+    alone = F.col("found").isNull()
+    all_ = marked.join(found, F.col("digest") == F.col("found"), "left")
+    all_ = all_.withColumn("group_size", F.coalesce("group_size", F.lit(1).cast("long"))).withColumn("keep_id", F.when(alone, F.col("id")).otherwise(F.col("keep_id")))
+    least = alone | F.col("id").eqNullSafe(F.col("keep_id"))
+    if found.filter("ties > 1").isEmpty():
+        out = all_.withColumn("kept", least)
+    else:  # rows that agree in text and doc_id are rare; only they are numbered, each by where it is written
+        tied = least & (F.coalesce("ties", F.lit(1)) > 1)
+        some = keep(all_.filter(tied).withColumn("at", F.monotonically_increasing_id()), "tied")
+        first = some.groupBy("digest").agg(F.min("at").alias("first"))
+        out = all_.filter(~tied).withColumn("kept", least).unionByName(some.join(first, "digest").withColumn("kept", F.col("at") == F.col("first")).drop("at", "first"))
+    return out.select("row", "digest", "keep_id", "group_size", "kept")
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with the columns of docs."""
-    return exact_groups(docs).filter("_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return exact_groups(docs).filter("kept").select("row.*")
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = exact_groups(docs)
-    return out.select("doc_id", F.col("_keep_id").alias("keep_id"), F.col("_size").alias("group_size"), F.col("_kept").alias("kept"), F.lower(F.hex("_digest")).alias("text_sha256"))
+    return out.select("row.doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 OP6_SQL = r"""

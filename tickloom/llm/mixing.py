@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import checkpointed, table
+from .common import checkpointed, packed, table, with_columns
 
 CELLS = 1024
 MAX_SOURCES = 100_000
@@ -75,16 +75,18 @@ def words(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(r"\S+")), F.lit(0)).cast("long")
 
 
-def mix(docs: DataFrame, tokens: Column | None = None, source: str = "source", key: str = "doc_id", max_epochs: float | None = 2.0, target_entropy: float | None = None, budget: float | None = None, n_blocks: int = 64, seed: int = 0) -> DataFrame:
-    """docs, a row as often as it is drawn, with tokens, epoch, position (0 to 1) and block."""
+def drawn(docs: DataFrame, tokens: Column | None = None, source: str = "source", key: str = "doc_id", max_epochs: float | None = 2.0, target_entropy: float | None = None, budget: float | None = None, n_blocks: int = 64, seed: int = 0) -> DataFrame:
+    """row (the columns of docs in a struct) as often as it is drawn, with tokens, epoch, position (0 to 1) and block."""
     spark = docs.sparkSession
-    unit = lambda *x: F.pmod(F.xxhash64(F.lit(seed), F.col(key), *x), F.lit(1 << 52)) / F.lit(float(1 << 52))
-    d = docs.withColumn("tokens", tokens if tokens is not None else words()).withColumn("_source", F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("n"))).withColumn("_cut", unit(F.lit("cut"))).withColumn("_cell", F.floor(F.col("_cut") * CELLS).cast("int"))
-    cells = checkpointed(d.groupBy("_source", "_cell").agg(F.sum("tokens").alias("_t")))
-    per_source = cells.groupBy("_source").agg(F.sum("_t").alias("t")).limit(MAX_SOURCES + 1).collect()
+    unit = lambda *x: F.pmod(F.xxhash64(F.lit(seed), F.col("key"), *x), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    named = F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("n"))
+    d = docs.select(packed(docs), F.col(key).alias("key"), named.alias("source"), (tokens if tokens is not None else words()).alias("tokens"))
+    d = d.withColumn("cut", unit(F.lit("cut"))).withColumn("cell", F.floor(F.col("cut") * CELLS).cast("int"))
+    cells = checkpointed(d.groupBy("source", "cell").agg(F.sum("tokens").alias("t")))
+    per_source = cells.groupBy("source").agg(F.sum("t").alias("t")).limit(MAX_SOURCES + 1).collect()
     if len(per_source) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
-    names, sizes = [r["_source"] for r in per_source], [r["t"] for r in per_source]
+    names, sizes = [r["source"] for r in per_source], [r["t"] for r in per_source]
     weights = tempered(sizes, exponent(sizes, max_epochs, target_entropy, budget))
     total = whole_budget(sizes, weights) if budget is None else budget
     plan = []
@@ -92,23 +94,28 @@ def mix(docs: DataFrame, tokens: Column | None = None, source: str = "source", k
         epochs = total * w / t if t else 1.0
         full = math.floor(epochs + 1e-9)
         plan.append((name, full, max(0, round((epochs - full) * t)), max(epochs, 1e-12)))
-    schema = "_source string, _full int, _rest long, _epochs double"
+    schema = "source string, full int, rest long, epochs double"
     ends = spark.createDataFrame(plan, schema)
     # The hash range of each source in which its last, partial pass ends, and what the ranges before it hold.
-    w = W.partitionBy("_source").orderBy("_cell")
-    cut = cells.withColumn("_upto", F.sum("_t").over(w)).withColumn("_before", F.col("_upto") - F.col("_t")).join(F.broadcast(ends), "_source").filter((F.col("_before") < F.col("_rest")) & (F.col("_upto") >= F.col("_rest")))
-    edge = {r["_source"]: (r["_cell"], r["_before"]) for r in cut.select("_source", "_cell", "_before").collect()}
+    w = W.partitionBy("source").orderBy("cell")
+    cut = cells.withColumn("upto", F.sum("t").over(w)).withColumn("before", F.col("upto") - F.col("t")).join(F.broadcast(ends), "source").filter("before < rest and upto >= rest")
+    edge = {r["source"]: (r["cell"], r["before"]) for r in cut.select("source", "cell", "before").collect()}
     plan = [(*p, *edge.get(p[0], (-1, 0))) for p in plan]
-    marked = d.join(F.broadcast(spark.createDataFrame(plan, schema + ", _edge int, _had long")), "_source")
+    marked = d.join(F.broadcast(spark.createDataFrame(plan, schema + ", edge int, had long")), "source")
     # Whole passes, and the partial pass where it is sure to hold the document.
-    inner = marked.withColumn("_n", F.col("_full") + (F.col("_cell") < F.col("_edge")).cast("int")).filter("_n > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    last = marked.filter(F.col("_cell") == F.col("_edge")).withColumn("_sum", F.sum("tokens").over(W.partitionBy("_source").orderBy("_cut", key, F.xxhash64(*[c for c in docs.columns])).rowsBetween(W.unboundedPreceding, -1)))
-    last = last.filter(F.col("_had") + F.coalesce("_sum", F.lit(0)) < F.col("_rest")).withColumn("epoch", F.col("_full"))
-    both = inner.drop("_n").unionByName(last.drop("_sum"))
+    inner = marked.withColumn("n", F.col("full") + (F.col("cell") < F.col("edge")).cast("int")).filter("n > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    ahead = F.sum("tokens").over(W.partitionBy("source").orderBy("cut", "key", F.xxhash64("row")).rowsBetween(W.unboundedPreceding, -1))
+    last = marked.filter("cell = edge").withColumn("ahead", F.coalesce(ahead, F.lit(0))).filter("had + ahead < rest").withColumn("epoch", F.col("full"))
+    both = inner.drop("n").unionByName(last.drop("ahead"))
     # In the partial pass the documents by the cutting hash fill what is left of the budget evenly.
-    share = F.when(F.col("epoch") < F.col("_full"), F.col("epoch") + unit(F.col("epoch"))).otherwise(F.col("_full") + unit(F.lit("last")) * (F.col("_epochs") - F.col("_full")))
-    both = both.withColumn("position", F.least(share / F.col("_epochs"), F.lit(1.0))).withColumn("block", F.least(F.floor(F.col("position") * n_blocks), F.lit(n_blocks - 1)).cast("int"))
-    return both.drop("_source", "_cut", "_cell", "_full", "_rest", "_epochs", "_edge", "_had")
+    share = F.when(F.col("epoch") < F.col("full"), F.col("epoch") + unit(F.col("epoch"))).otherwise(F.col("full") + unit(F.lit("last")) * (F.col("epochs") - F.col("full")))
+    both = both.withColumn("position", F.least(share / F.col("epochs"), F.lit(1.0))).withColumn("block", F.least(F.floor(F.col("position") * n_blocks), F.lit(n_blocks - 1)).cast("int"))
+    return both.select("row", "tokens", "epoch", "position", "block")
+
+
+def mix(docs: DataFrame, *args, **kwargs) -> DataFrame:
+    """docs, a row as often as it is drawn, with tokens, epoch, position (0 to 1) and block; arguments as of `drawn`."""
+    return with_columns(drawn(docs, *args, **kwargs), docs.columns, "tokens", "epoch", "position", "block")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,8 @@ With slack e > 0 each shard takes up to (1 + e) times the mean.
 
 Defined results: a null text has size 1 and the checksum of the empty text; a null doc_id is hashed like any
 value; repeated rows are separate keys, and which of two identical rows gets which slot is arbitrary; an empty
-table gives an empty result; columns of the input that clash with those added are replaced.
+table gives an empty result; texts of any length are read where they stand; columns of the input that clash with
+those added are replaced.
 """
 
 from __future__ import annotations
@@ -26,10 +27,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import Scratch, packed, table, with_columns
 
 #: Cells of the ring; a power of two. It bounds the counts that reach the driver.
 CELLS = 8192
+#: Keys that one row is spread to at once.
+STEP = 65_536
 
 
 def ring(n_shards: int, vnodes: int, cells: int = CELLS) -> list[tuple[int, int]]:
@@ -92,26 +95,35 @@ def walk(counts: dict[int, int], nodes: list[tuple[int, int]], n_shards: int, sl
     return out
 
 
-def place(df: DataFrame, key: list[Column], n_shards: int = 16, vnodes: int = 64, slack: float = 0.0, order: list[Column] | None = None) -> DataFrame:
-    """df with `shard` (int) and `slot` (long, gapless from 0 in each shard)."""
+def place(df: DataFrame, key: list[Column], n_shards: int = 16, vnodes: int = 64, slack: float = 0.0, times: Column | None = None) -> DataFrame:
+    """df with `shard` (int) and `slot` (long, gapless from 0 in each shard). times: how many keys a row stands for."""
     spark = df.sparkSession
-    keyed = df.withColumn("_at", F.xxhash64(*key)).withColumn("_cell", F.expr(f"cast(pmod(_at, {CELLS}) as int)"))
+    times = F.lit(1).cast("long") if times is None else times.cast("long")
+    keyed = df.select(packed(df), F.xxhash64(*key).alias("at"), F.struct(*key).alias("key"), times.alias("times")).withColumn("cell", F.expr(f"cast(pmod(at, {CELLS}) as int)"))
     nodes = ring(n_shards, vnodes)
-    counts = {r["_cell"]: r["n"] for r in keyed.groupBy("_cell").agg(F.count("*").alias("n")).collect()}
+    counts = {r["cell"]: r["n"] for r in keyed.groupBy("cell").agg(F.sum("times").alias("n")).collect()}
     plan = walk(counts, nodes, n_shards, slack)
     parts = json.dumps([dict(zip(("c", "a", "b", "s", "o"), x, strict=True)) for x in plan])
     plan_df = spark.range(1).select(F.inline(F.from_json(F.lit(parts), "array<struct<c:int,a:bigint,b:bigint,s:int,o:bigint>>")))
-    ranked = keyed.withColumn("_rank", F.row_number().over(W.partitionBy("_cell").orderBy("_at", *(order or key))).cast("long") - 1)
+    ranked = keyed.withColumn("end", F.sum("times").over(W.partitionBy("cell").orderBy("at", "key").rowsBetween(W.unboundedPreceding, 0))).withColumn("first", F.col("end") - F.col("times"))
     # The plan has at most CELLS + shards * vnodes rows, so it may be broadcast whatever the input.
-    joined = ranked.join(F.broadcast(plan_df), (F.col("_cell") == F.col("c")) & (F.col("_rank") >= F.col("a")) & (F.col("_rank") < F.col("b")))
-    return joined.withColumn("shard", F.col("s")).withColumn("slot", F.col("o") + F.col("_rank") - F.col("a")).drop("_at", "_cell", "_rank", "c", "a", "b", "s", "o")
+    joined = ranked.join(F.broadcast(plan_df), (F.col("cell") == F.col("c")) & (F.col("first") < F.col("b")) & (F.col("end") > F.col("a")))
+    # A row that stands for many keys is spread in two steps, so that no list gets long.
+    low, high = F.greatest("first", "a"), F.least("end", "b")
+    step = F.explode(F.sequence(low, high - 1, F.lit(STEP).cast("long")))
+    some = joined.select("row", F.col("s").alias("shard"), (F.col("o") - F.col("a")).alias("off"), high.alias("high"), step.alias("low"))
+    each = some.select("row", "shard", "off", F.explode(F.sequence(F.col("low"), F.least(F.col("low") + STEP, F.col("high")) - 1)).alias("rank"))
+    return with_columns(each.withColumn("slot", F.col("off") + F.col("rank")), df.columns, "shard", "slot")
 
 
 def shard_documents(docs: DataFrame, n_shards: int = 16, vnodes: int = 64) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every document, under the law `rows`."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(F.encode(text, "utf-8")).alias("text_crc32"))
-    placed = place(rows, [F.col("doc_id"), F.col("text_crc32"), F.col("size")], n_shards, vnodes)
+    # Rows that are alike are counted in each partition, so any number of them takes few rows of their cell.
+    alike = rows.withColumn("part", F.spark_partition_id()).groupBy("doc_id", "size", "text_crc32", "part").agg(F.count("*").alias("n"))
+    alike = Scratch(docs.sparkSession)(alike, "alike")
+    placed = place(alike, [F.col("doc_id"), F.col("text_crc32"), F.col("size")], n_shards, vnodes, times=F.col("n"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_batches, stored, table
+from .common import by_batches, packed, stored, table, with_columns
 from .words import PRIME, mixed, slices
 
 LENGTH, GRAM = 400, 32
@@ -419,18 +419,18 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def suffix_dedup(docs: DataFrame) -> DataFrame:
-    """docs with `kept` (binary): the text's bytes without those that are repeated."""
-    names = list(docs.columns)
+    """docs with `kept` (binary, in place of a column of that name): the text's bytes without those that are repeated."""
 
     def run(batches):
         for b in batches:
-            kept = [kept_bytes(t.encode("utf-8", "replace"), s)[0] for t, s in zip(b.column("_text").to_pylist(), b.column("_spans").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(kept, pa.binary())], [*names, "kept"])
+            kept = [kept_bytes(t.encode("utf-8", "replace"), s)[0] for t, s in zip(b.column("text").to_pylist(), b.column("spans").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(kept, pa.binary())], ["row", "kept"])
 
-    found = removed(docs).withColumnsRenamed({"t": "_t", "n": "_n", "spans": "_spans"})
     text = F.coalesce("text", F.lit(""))
-    both = docs.withColumn("_text", text).join(found, (F.xxhash64(text) == F.col("_t")) & (F.octet_length(text) == F.col("_n")), "left").drop("_t", "_n")
-    return by_batches(both, run, T.StructType([*docs.schema.fields, T.StructField("kept", T.BinaryType())]))
+    rows = docs.select(packed(docs), text.alias("text"), F.xxhash64(text).alias("t"), F.octet_length(text).cast("long").alias("n"))
+    both = rows.join(removed(docs), ["t", "n"], "left").select("row", "text", "spans")
+    out = by_batches(both, run, T.StructType([both.schema["row"], T.StructField("kept", T.BinaryType())]))
+    return with_columns(out, docs.columns, "kept")
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ between, each hashed to one of `DIMS` places and present or not. FTRL-proximal l
 coordinate and L1, which leaves few weights that aren't zero; those alone are sent to the executors.
 
 The classifier is fitted on at most `SAMPLE` labelled rows, those with the least hash of their doc_id, so the
-fit costs the same whatever the input; every document is scored. Labels with the remainder that is held out
+fit costs the same whatever the input; of a doc_id with several texts one is learned from. Every document is scored. Labels with the remainder that is held out
 are never read for fitting. Fitting runs in one task, as each step needs the last one's weights; its input is
 bounded by SAMPLE. Scoring is a plain pass without an exchange.
 
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_batches, table
+from .common import by_batches, packed, table, with_columns
 from .words import PRIME, hashed_words, mixed, slices
 
 DIMS = 1 << 20
@@ -97,18 +97,19 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
     # At most `sample` rows, so they may be broadcast and meet in one task.
     chosen = usable.withColumn("at", F.xxhash64("doc_id")).orderBy("at", "doc_id").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("at", "toxic", F.coalesce("text", F.lit("")).alias("text"))
-    got = by_batches(rows, _featured, "at long, toxic int, places binary").repartition(1).mapInArrow(_fit_all, "place long, weight double").toPandas()
+    # One text of each doc_id, however many rows it has, so that the one task gets `sample` rows at most.
+    one = by_batches(rows, _featured, "at long, toxic int, places binary").groupBy("at", "toxic").agg(F.min("places").alias("places"))
+    got = one.repartition(1).mapInArrow(_fit_all, "place long, weight double").toPandas()
     got = got.sort_values("place")
     at = got["place"].to_numpy(np.int64)
     w = got["weight"].to_numpy(np.float64)
     return (at[1:], w[1:], float(w[0])) if len(at) else (np.zeros(0, np.int64), np.zeros(0), -np.inf)
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text: str = "text") -> DataFrame:
-    """docs with `score` (double, 0 to 1)."""
-    keep = [c for c in docs.columns if c != "score"]
-    d = docs.select(*[f"`{c}`" for c in keep])
-    schema = T.StructType([*d.schema.fields, T.StructField("score", T.DoubleType())])
+def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text: str = "text") -> DataFrame:
+    """row (the columns of docs in a struct) and score (double, 0 to 1) of every row of docs."""
+    d = docs.select(packed(docs), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    schema = T.StructType([d.schema["row"], T.StructField("score", T.DoubleType())])
     shared = d.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -116,24 +117,26 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text: st
         dense = np.zeros(DIMS)
         dense[places] = weights
         for b in batches:
-            for part, texts in slices(b, text):
+            for part, texts in slices(b):
                 words, upto = hashed_words(texts)
                 row, place = features(words, upto)
                 some = dense[place] != 0
                 key = np.unique(row[some] * DIMS + place[some])
                 total = np.bincount(key // DIMS, dense[key % DIMS], len(texts)) + intercept
                 with np.errstate(over="ignore"):
-                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(1 / (1 + np.exp(-total)))], [*keep, "score"])
+                    yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(1 / (1 + np.exp(-total)))], ["row", "score"])
 
     return by_batches(d, run, schema)
 
 
+def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text: str = "text") -> DataFrame:
+    """docs with `score` (double, 0 to 1), in place of a column of that name."""
+    return with_columns(scored(docs, model, text), docs.columns, "score")
+
+
 def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that score under the threshold, with the columns of docs."""
-    had = "score" in docs.columns
-    d = docs.withColumnRenamed("score", "_had_score") if had else docs
-    kept = score(d, learn(d, labels)).filter(F.col("score") < threshold).drop("score")
-    return (kept.withColumnRenamed("_had_score", "score") if had else kept).select(*[f"`{c}`" for c in docs.columns])
+    return scored(docs, learn(docs, labels)).filter(F.col("score") < threshold).select("row.*")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
