@@ -31,7 +31,7 @@ DIMS = 1 << 20
 SAMPLE = 8192
 PASSES = 4
 #: Rate and smoothing of FTRL-proximal, and its L1 and L2.
-ALPHA, BETA, L1, L2 = 1.0, 1.0, 4.0, 0.0
+ALPHA, BETA, L1, L2 = 2.0, 1.0, 8.0, 0.0
 THRESHOLD = 0.3
 FOLDS, HELD_OUT = 4, 2
 
