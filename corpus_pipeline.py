@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as
 the next stage's docs. All but the last return the columns of documents.
+
+Defined results of every stage: a null text counts as empty; empty and very long texts are worked on like any
+other; an empty table gives an empty table; extra columns of any name come back as they were, in the last stage
+those that are neither doc_id, lang nor source are left out. What ties, repeated rows and null doc_ids mean is
+stated for each stage.
 """
 
 from __future__ import annotations
@@ -17,24 +22,27 @@ from tickloom.llm.common import shared_folder, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows that score under the threshold; equal texts score alike, so repeated rows go or stay together."""
     return toxicity.reject_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the smallest doc_id, null last; of rows that tie in that, any one."""
     return exact_dedup.exact_dedup(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of near copies the document with the smallest doc_id, with all its rows; a null doc_id or a text without words stays."""
     return near_dedup.near_dedup(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Small sources are repeated, up to twice; no document is left out."""
-    return mixing.mix(docs).select(*[f"`{c}`" for c in docs.columns])
+    """Small sources are repeated, up to twice; no document is left out, and repeated rows are drawn each for itself."""
+    return mixing.drawn(docs).select("row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, ids, n_tokens, and whether decoding gives the text again."""
+    """doc_id, lang, source, ids, n_tokens, and whether decoding gives the text again, of every row."""
     out = bpe.encoded(docs.select("doc_id", "lang", "source", "text"), *bpe.rank_file(), check=True)
     return out.select("doc_id", "lang", "source", "ids", F.size("ids").alias("n_tokens"), "round_trip")
 
