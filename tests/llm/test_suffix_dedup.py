@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tickloom.llm import suffix_dedup as S
 
@@ -38,12 +39,12 @@ def corpus(seed):
     return texts
 
 
-def run(spark, texts):
+def run(spark, texts, shared=False):
     d = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], DDL).repartition(3)
     found = S.removed(d)
-    both = S.named(d).join(found, ["t", "n"], "left").select("doc_id", "text", "spans")
-    rows = both.mapInArrow(S._kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string").collect()
-    return [tuple(r)[1:] for r in sorted(rows)]
+    both = S.named(d).join(found, ["t", "n"], "left").select("doc_id", "text", "spans", F.coalesce("shared", F.lit(0)).cast("long").alias("n_shared"))
+    rows = both.mapInArrow(S._kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared long").collect()
+    return [tuple(r)[1 : 5 + shared] for r in sorted(rows)]
 
 
 @pytest.mark.parametrize("seed,hot,part", [(1, 64, S.PART), (2, 3, S.PART), (3, 1, 1200)])
@@ -87,3 +88,38 @@ def test_range_min():
     low = g.integers(0, 1000, 300)
     high = np.minimum(999, low + g.integers(0, 900, 300))
     assert S.range_min(x, low, high).tolist() == [x[a : b + 1].min() for a, b in zip(low, high)]
+
+
+def test_shared_bytes(spark):
+    """Passages of SHORT + WINNOW - 1 bytes in two documents are found, whatever stands around them; nothing else is."""
+    r = random.Random(9)
+    prose = lambda n: "".join(r.choice("abcdefghij ") for _ in range(n))
+    size = S.SHORT + S.WINNOW - 1
+    passages = [prose(size + k) for k in range(40)]
+    texts = [prose(r.randrange(900)) + p + prose(r.randrange(900)) for p in passages for _ in range(2)]
+    texts += [prose(1500) for _ in range(20)] + ["z" * 3000, "abc" * 1000, prose(100) + (own := prose(300)) + prose(50) + own, None, "", "short"]
+    got = [x[-1] for x in run(spark, texts, True)]
+    for n, p in zip(got[:80], [p for p in passages for _ in range(2)]):
+        assert S.SHORT <= n <= len(p) + 6
+    assert got[80:] == [0] * 20 + [3000, 3000, 0, 0, 0, 0]  # what is removed counts; a short passage twice in one document doesn't
+
+
+def test_copies_do_not_multiply_the_work(spark, monkeypatch):
+    """Blocks of texts with copies beside variants: as many for 40 copies as for 5."""
+    r = random.Random(10)
+    base = "".join(r.choice("abcdefgh ") for _ in range(3000))
+    variants = [base[: 700 * k] + "X" + base[700 * k + 1 :] for k in (1, 2, 3)]
+    rows = {}
+    keep = S.Scratch.__call__
+
+    def kept(self, df, name):
+        out = keep(self, df, name)
+        if name == "blocks":
+            rows[n] = out.count()
+        return out
+
+    monkeypatch.setattr(S.Scratch, "__call__", kept)
+    for n in (5, 40):
+        texts = variants + [base] * n
+        assert run(spark, texts) == brute(texts)
+    assert rows[5] == rows[40] > 0

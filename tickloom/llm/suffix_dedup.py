@@ -18,7 +18,14 @@
 
 A core with more than `HOT` different surroundings is not collected in one task: its blocks are cut into blocks
 of 8 windows, which have longer cores, and if one of those is still as hot, into single windows, which only
-have to be counted. Repeated windows are joined to ranges, and the texts meet their ranges by digest.
+have to be counted. Repeated windows are joined to ranges, and the texts meet their ranges by digest. However
+many copies a text has, it is cut into blocks once.
+
+Beside that law, which passages of under LENGTH bytes never meet, `shared` counts the bytes that are removed or
+that stand in shorter passages of other documents: of every `WINNOW` strings of `SHORT` bytes in a row the one
+with the least hash is a fingerprint, so a common passage of SHORT + WINNOW - 1 bytes has one in common, and the
+bytes under fingerprints that stand in two documents are counted. These are counts of hashes, not of the
+construction, and nothing is removed by them.
 
 The digests are of 64 or 128 bits and stand for equality. Texts are named by a 64-bit digest and their length.
 
@@ -40,10 +47,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_batches, packed, stored, table, with_columns
+from .common import Scratch, by_batches, packed, table, with_columns
 from .words import PRIME, mixed, slices
 
 LENGTH, GRAM = 400, 32
+#: Bytes of a fingerprint, and how many places in a row have one at least.
+SHORT, WINNOW = 128, 128
 #: Different surroundings of a core that one task takes.
 HOT = 64
 #: Strings in a collection, unless one core has more.
@@ -56,10 +65,10 @@ WIDTHS = (64, 8, 1)
 BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * PRIME)
 
 
-def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """Hash of the GRAM bytes from each place on; the last GRAM - 1 mean nothing."""
+def gram_hashes(data: np.ndarray, size: int = GRAM) -> np.ndarray:
+    """Hash of the `size` bytes (a power of two) from each place on; the last size - 1 mean nothing."""
     h, width, factor = BYTES[data], 1, int(PRIME) | 1
-    while width < GRAM:
+    while width < size:
         ahead = h[width:]
         h = h * np.uint64(factor)
         h[:-width] += ahead
@@ -67,27 +76,49 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     return mixed(h)
 
 
-def segments(data: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """(anchor hash, first window, last window, anchor) of each segment. starts: where texts begin, and the end."""
-    n, width = len(data), length - GRAM + 1
-    size = np.diff(starts)
-    long = size >= length
-    if n < length or not long.any():
-        return (np.zeros(0, np.uint64),) + (np.zeros(0, np.int64),) * 3
-    h = gram_hashes(data)
-    place = np.uint64((1 << 24) - 1)
+def least_places(h: np.ndarray, width: int) -> np.ndarray:
+    """The place of the least hash among the `width` from each place on, the first of equal ones; 40 bits are compared."""
+    n, place = len(h), np.uint64((1 << 24) - 1)
     v = np.full(-(-n // width) * width + width, ~np.uint64(0))
     v[:n] = (h & ~place) | np.arange(n, dtype=np.uint64)
     # Sliding minimum: the rest of one stretch of `width` places and the beginning of the next.
     v = v.reshape(-1, width)
     least = np.minimum(np.minimum.accumulate(v[:, ::-1], axis=1)[:, ::-1].ravel()[:n], np.minimum.accumulate(v, axis=1).ravel()[width - 1 : width - 1 + n])
-    anchor = (least & place).astype(np.int64)
-    edge = np.zeros(n + 1, np.int32)
+    return (least & place).astype(np.int64)
+
+
+def within(starts: np.ndarray, n: int, size: int) -> np.ndarray:
+    """Of each of n places whether the `size` bytes from it on lie in one text."""
+    edge, long = np.zeros(n + 1, np.int32), np.diff(starts) >= size
     edge[starts[:-1][long]] += 1
-    edge[starts[1:][long] - length + 1] -= 1
-    whole = np.cumsum(edge[:-1]) > 0  # windows that end in their text
+    edge[starts[1:][long] - size + 1] -= 1
+    return np.cumsum(edge[:-1]) > 0
+
+
+def fingerprints(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, hash) of the fingerprints of all texts; where one stands again and again, few of them."""
+    whole = within(starts, len(data), SHORT + WINNOW - 1)
+    if not whole.any():
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    h = gram_hashes(data, SHORT)
+    at = np.unique(least_places(h, WINNOW)[whole])
+    h = h[at]
+    again = np.r_[False, (h[1:] == h[:-1]) & (np.diff(at) < SHORT // 2)]
+    head = np.flatnonzero(~again)
+    step = (at - np.repeat(at[head], np.diff(np.r_[head, len(at)]))) // (SHORT // 2)
+    kept = ~again | np.r_[True, step[1:] != step[:-1]]
+    return at[kept], h[kept]
+
+
+def segments(data: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
+    """(anchor hash, first window, last window, anchor) of each segment. starts: where texts begin, and the end."""
+    whole = within(starts, len(data), length)
+    if not whole.any():
+        return (np.zeros(0, np.uint64),) + (np.zeros(0, np.int64),) * 3
+    h = gram_hashes(data)
+    anchor = least_places(h, length - GRAM + 1)
     change = np.r_[True, (anchor[1:] != anchor[:-1])]
-    change[starts[:-1][long]] = True
+    change[starts[:-1][np.diff(starts) >= length]] = True
     first = np.flatnonzero(whole & (change | np.r_[True, ~whole[:-1]]))
     last = np.flatnonzero(whole & np.r_[change[1:] | ~whole[1:], True])
     return h[anchor[first]], first, last, anchor[first]
@@ -100,32 +131,44 @@ def _parts(raw: bytes) -> Iterator[tuple[int, bytes]]:
 
 
 def _segmented(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each segment: anchor hash, digest, text (digest, bytes), place (first window, further ones, anchor)."""
+    """A row for each segment: anchor hash, digest, text (digest, bytes), place (first window, further ones, anchor).
+
+    And one for each fingerprint: its hash, 0, text, and as place -1 - 2 * place, less 1 if the text has had it before.
+    """
     for b in batches:
         for part, texts in slices(b):
             raws = [t.encode("utf-8", "replace") for t in texts]
             names = part.column("t").to_pylist()
-            pieces = [(t, len(raw), a, x) for t, raw in zip(names, raws, strict=True) if len(raw) >= LENGTH for a, x in _parts(raw)]
-            at = 0
+            pieces = [(t, len(raw), k, a, x) for k, (t, raw) in enumerate(zip(names, raws, strict=True)) for a, x in _parts(raw)]
+            at, before, had = 0, -1, np.zeros(0, np.uint64)
             while at < len(pieces):
                 to, size = at, 0
-                while to < len(pieces) and (to == at or size + len(pieces[to][3]) <= PART):
-                    size += len(pieces[to][3])
+                while to < len(pieces) and (to == at or size + len(pieces[to][-1]) <= PART):
+                    size += len(pieces[to][-1])
                     to += 1
                 some = pieces[at:to]
                 at = to
                 raw = b"".join(x for *_, x in some)
                 starts = np.r_[0, np.cumsum([len(x) for *_, x in some])]
-                h, first, last, anchor = segments(np.frombuffer(raw, np.uint8), starts)
-                if not len(h):
-                    continue
+                data, owner = np.frombuffer(raw, np.uint8), np.array([k for _, _, k, *_ in some])
+                h, first, last, anchor = segments(data, starts)
                 text = np.searchsorted(starts, first, side="right") - 1
                 digest = np.fromiter((xxhash.xxh3_64_intdigest(raw[x:y], z) for x, y, z in zip(first.tolist(), (last + LENGTH).tolist(), (anchor - first).tolist(), strict=True)), np.uint64, len(first))
-                name = np.array([t for t, *_ in some], np.int64)[text]
-                n_bytes = np.array([n for _, n, *_ in some], np.int64)[text]
-                begin = first - starts[text] + np.array([a for *_, a, _ in some], np.int64)[text]
-                place = begin << 20 | (last - first) << 10 | (anchor - first)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h.view(np.int64), digest.view(np.int64), name, n_bytes, place)], ["h", "g", "t", "n", "place"])
+                name, n_bytes, begin = (np.array([x[c] for x in some], np.int64) for c in (0, 1, 3))
+                place = first - starts[text] + begin[text] << 20 | (last - first) << 10 | (anchor - first)
+                spot, print_ = fingerprints(data, starts)
+                of = np.searchsorted(starts, spot, side="right") - 1
+                own = (spot - starts[of] < PART) | (of + 1 == len(some))  # what a further part of a text holds too is its
+                spot, print_, of = spot[own], print_[own], of[own]
+                order = np.lexsort((spot, print_, owner[of]))
+                again = np.zeros(len(spot), bool)
+                again[order[1:]] = (np.diff(print_[order]) == 0) & (np.diff(owner[of][order]) == 0)
+                again |= (owner[of] == before) & np.isin(print_, had)
+                had = np.r_[had[: len(had) * (owner[-1] == before)], print_[owner[of] == owner[-1]]] if len(raw) >= PART else had[:0]
+                before = owner[-1]
+                mark = -1 - (2 * (spot - starts[of] + begin[of]) + again)
+                cols = ((h.view(np.int64), print_.view(np.int64)), (digest.view(np.int64), np.zeros(len(spot), np.int64)), (name[text], name[of]), (n_bytes[text], n_bytes[of]), (place, mark))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in cols], ["h", "g", "t", "n", "place"])
 
 
 def block_rows(raw: bytes, first: int, more: int, off: int, h: int) -> Iterator[tuple]:
@@ -345,16 +388,22 @@ def _collected(width: int):
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts with the byte ranges to remove, from ranges of windows."""
+    """Texts with the byte ranges to remove and the number of shared bytes, from ranges of windows and fingerprints."""
+
+    def ranges(w: np.ndarray) -> np.ndarray:
+        w = w[np.argsort(w[:, 0], kind="stable")]
+        end = np.maximum.accumulate(w[:, 1])
+        first = np.r_[True, w[1:, 0] > end[:-1]]
+        return np.stack([w[first, 0], end[np.r_[first[1:], True]]], axis=1)
+
     for b in batches:
-        spans = []
-        for own in b.column("windows").to_pylist():
-            w = np.array(sorted((x["a"], x["z"] + LENGTH) for x in own), np.int64)
-            end = np.maximum.accumulate(w[:, 1])
-            first = np.r_[True, w[1:, 0] > end[:-1]]
-            last = np.r_[first[1:], True]
-            spans.append(np.stack([w[first, 0], end[last]], axis=1).astype("<i8").tobytes())
-        yield pa.RecordBatch.from_arrays([b.column("t"), b.column("n"), pa.array(spans, pa.binary())], ["t", "n", "spans"])
+        spans, shared = [], []
+        for own, spots in zip(b.column("windows").to_pylist(), b.column("spots").to_pylist(), strict=True):
+            w = ranges(np.array([(x["a"], x["z"] + LENGTH) for x in own], np.int64)) if own else np.zeros((0, 2), np.int64)
+            spans.append(w.astype("<i8").tobytes() if own else None)
+            every = np.concatenate([w, np.array(spots, np.int64)[:, None] + [0, SHORT]])
+            shared.append(int(np.diff(ranges(every)).sum()) if len(every) else 0)
+        yield pa.RecordBatch.from_arrays([b.column("t"), b.column("n"), pa.array(spans, pa.binary()), pa.array(shared, pa.int64())], ["t", "n", "spans", "shared"])
 
 
 def named(docs: DataFrame) -> DataFrame:
@@ -370,30 +419,42 @@ def _settle(rows: DataFrame, by: list[str], keep: list[str]) -> DataFrame:
 
 
 def removed(docs: DataFrame) -> DataFrame:
-    """t, n, spans: byte ranges (pairs of little-endian longs) of the texts that lose bytes. docs: doc_id, text."""
-    texts = named(docs.select("text")).filter(F.col("n") >= LENGTH)
-    segs = stored(by_batches(texts.select("t", "text"), _segmented, "h long, g long, t long, n long, place long"))
-    known = stored(_settle(segs, ["h", "g"], ["t", "n", "place"]))
+    """t, n, spans, shared of the texts that lose or share bytes: byte ranges (pairs of little-endian longs), number. docs: text."""
+    keep = Scratch(docs.sparkSession)
+    texts = named(docs.select("text")).filter(F.col("n") >= F.least(F.lit(LENGTH), F.lit(SHORT + WINNOW - 1)))
+    segs = keep(by_batches(texts.select("t", "text"), _segmented, "h long, g long, t long, n long, place long"), "segments")
+    prints = segs.filter("place < 0").select("h", "t", "n", F.shiftright(-1 - F.col("place"), 1).alias("a"), ((-1 - F.col("place")) % 2 == 0).alias("first"))
+    common = prints.filter("first").groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h")
+    shared = keep(prints.join(common, "h").select("t", "n", "a").distinct(), "shared")
+    known = keep(_settle(segs.filter("place >= 0"), ["h", "g"], ["t", "n", "place"]), "known")
+    keep.drop_but("known", "shared")
     first = F.shiftright("place", 20)
     done = [known.filter("c > 1").select("t", "n", first.alias("a"), (first + F.shiftright("place", 10).bitwiseAND(1023)).alias("z"))]
     # Segments that differ from others with their anchor, and one of each that stands twice to hold them against.
-    open_ = known.filter("d > 1 and (c = 1 or t = one)").groupBy("t", "n").agg(F.collect_list(F.struct("h", "place")).alias("segs"))
-    blocks = stored(by_batches(texts.join(open_, ["t", "n"]).select("t", "text", "segs"), _blocks, BLOCK_DDL))
+    # A text's copies have the same segments, so each text is listed once, and cut once.
+    open_ = known.filter("d > 1 and (c = 1 or t = one)").select("t", "n", "h", "place").distinct().groupBy("t", "n").agg(F.collect_list(F.struct("h", "place")).alias("segs"))
+    one = texts.join(open_.select("t", "n"), ["t", "n"], "left_semi").groupBy("t", "n").agg(F.any_value("text").alias("text"))
+    blocks = keep(by_batches(one.join(open_, ["t", "n"]).select("t", "text", "segs"), _blocks, BLOCK_DDL), "blocks")
     for width, finer in zip(WIDTHS, [*WIDTHS[1:], None], strict=True):
-        settled = stored(_settle(blocks, ["k", "q"], [c for c in BLOCK.names if c not in ("k", "q")]))
+        settled = keep(_settle(blocks, ["k", "q"], [c for c in BLOCK.names if c not in ("k", "q")]), f"settled-{width}")
         done.append(settled.filter("c > 1").select("t", "n", "a", "z"))
         if finer is None:
             break  # single windows differ in nothing but their core
         rest = settled.filter("d > 1 and (c = 1 or t = one)").dropDuplicates(["k", "q"])
-        done.append(rest.filter(F.col("d") <= HOT).repartition("k").sortWithinPartitions("k").select("k", "t", "n", "a", "left", "right").mapInArrow(_collected(width), "t long, n long, a long, z long"))
+        done.append(by_batches(rest.filter(F.col("d") <= HOT).repartition("k").sortWithinPartitions("k").select("k", "t", "n", "a", "left", "right"), _collected(width), "t long, n long, a long, z long"))
         hot = rest.filter(F.col("d") > HOT)
         if hot.isEmpty():
             break
-        blocks = stored(hot.select("k", "t", "n", "a", "z", "left", "right").mapInArrow(_finer(width, finer), BLOCK_DDL))
+        blocks = keep(by_batches(hot.select("k", "t", "n", "a", "z", "left", "right"), _finer(width, finer), BLOCK_DDL), f"blocks-{finer}")
     every = done[0]
     for x in done[1:]:
         every = every.unionByName(x)
-    return every.groupBy("t", "n").agg(F.collect_set(F.struct("a", "z")).alias("windows")).mapInArrow(_joined, "t long, n long, spans binary")
+    window = F.collect_set(F.when(F.col("z").isNotNull(), F.struct("a", "z")))
+    spot = F.collect_list(F.when(F.col("z").isNull(), F.col("a")))
+    both = every.unionByName(shared.withColumn("z", F.lit(None).cast("long"))).groupBy("t", "n").agg(window.alias("windows"), spot.alias("spots"))
+    out = keep(by_batches(both, _joined, "t long, n long, spans binary, shared long"), "removed")
+    keep.drop_but("removed")
+    return out
 
 
 def kept_bytes(raw: bytes, spans: bytes | None) -> tuple[bytes, int]:
@@ -415,7 +476,7 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 kept, n = kept_bytes(raw, spans)
                 rows.append((len(raw), len(raw) - len(kept), n, hashlib.sha256(kept).hexdigest()))
             cols = list(zip(*rows, strict=True)) if rows else [()] * 4
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)), part.column("n_shared")], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared"])
 
 
 def suffix_dedup(docs: DataFrame) -> DataFrame:
@@ -437,4 +498,5 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = removed(docs)
     both = named(docs).join(found, ["t", "n"], "left")
-    return by_batches(both.select("doc_id", "text", "spans"), _kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    both = both.select("doc_id", "text", "spans", F.coalesce("shared", F.lit(0).cast("long")).alias("n_shared"))
+    return by_batches(both, _kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared long")
