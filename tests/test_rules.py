@@ -1,6 +1,7 @@
 """VAL-4..12, WIN-7/8/11/12, JN-1..10, AGG-7/8, PRD-1..4, GOV-1..8, SRC-4..8."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -194,3 +195,32 @@ def test_src5_src6_src7_src8(spark):
 def test_fn14_pareto_edges(spark):
     r = spark.range(1).select(S.pareto(F.lit(0.0), 100, 0.5).alias("a"), S.pareto(F.lit(1.0), 100, 1.5).alias("b"), S.pareto(F.lit(0.5), 100, 1.0).alias("c")).first()
     assert r["a"] > 9.2e18 and (r["b"], r["c"]) == (100, 200)
+
+
+@pytest.mark.parametrize("span", [None, 60_001, 150_000])
+def test_as_of_equals_brute_force_in_any_ranges(spark, span):
+    r = random.Random(3)
+    rows = [("T" if r.random() < 0.8 else "U", r.randrange(-300_000, 600_000) // 50 * 50, round(r.uniform(1, 9), 4), r.randrange(0, 5), k) for k in range(800)]
+    rows = [x for x in rows if not 100_000 < x[1] < 420_000]  # a stretch without ticks, longer than a range
+    ticks = spark.createDataFrame([(t, ms, p - 0.5, p + 0.5, p, v, k) for t, ms, p, v, k in rows], "ticker string, event_ms long, bid double, ask double, last double, volume long, seq long")
+    asked = [(f"t{k}", r.choice("TUX"), r.randrange(-400_000, 700_000) // 50 * 50) for k in range(300)]
+    trades = spark.createDataFrame(asked, "tradeId string, ticker string, event_ms long")
+    got = {x["tradeId"]: (x["tick_ms"], x["bid"], x["vwap"]) for x in enrichment.as_of(trades, ticks, 60_000, span).collect()}
+    for i, t, ms in asked:
+        mine = [x for x in rows if x[0] == t and x[1] <= ms]
+        near = [x for x in mine if x[1] >= ms - 60_000]
+        last = min((x for x in mine if x[1] == max(y[1] for y in mine)), key=lambda x: x[4], default=None)
+        pv, v = sum(round(x[2] * 10_000) * x[3] for x in near), sum(x[3] for x in near)
+        assert got[i] == (last and last[1], last and last[2] - 0.5, pv / 10_000 / v if v else None)
+
+
+@pytest.mark.parametrize("few", [10_000, 0])
+def test_rules_in_force_by_cells(spark, few):
+    """Broadcast or joined by cells of time, each row meets the same ranges, open, short and very long ones."""
+    r = random.Random(5)
+    spans = [(0, None), (5, 6), (10, 3_600_000 * 16**5 * 3), (-10**9, 10**9), *((a := r.randrange(10**11), a + r.randrange(1, 10**10)) for _ in range(40))]
+    ranges = spark.createDataFrame([(f"R{k}", "X", 1, 1.0, a, z) for k, (a, z) in enumerate(spans)], "ruleId string, ruleType string, version long, threshold double, from_ms long, to_ms long")
+    times = [0, 4, 5, 6, 3_600_000, *(r.randrange(2 * 10**11) for _ in range(100))]
+    got = risk.in_force(spark.createDataFrame([(t,) for t in times], "event_ms long"), ranges, "X", few=few)
+    assert sorted((x["event_ms"], x["ruleId"]) for x in got.collect()) == sorted((t, f"R{k}") for t in times for k, (a, z) in enumerate(spans) if a <= t and (z is None or t < z))
+    assert risk.cells_of(ranges).count() < len(spans) * 200

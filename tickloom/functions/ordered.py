@@ -7,6 +7,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def even_span(df: DataFrame, order: str, rows: int = 2_000_000) -> int:
+    """A span that cuts the rows into ranges of about so many, if they are spread evenly over their order."""
+    r = df.agg(F.min(order).alias("a"), F.max(order).alias("z"), F.count("*").alias("n")).first()
+    return max(1, -(-(r["z"] - r["a"] + 1) // max(1, -(-r["n"] // rows)))) if r["n"] else 1
+
+
 def ranged(df: DataFrame, order: str, span: int | None) -> DataFrame:
     """df with `_part`, the range of `span` in which a row's order lies; None: one range for each key."""
     return df.withColumn("_part", F.lit(0).cast("long") if span is None else F.floor(F.col(order) / span).cast("long"))

@@ -110,6 +110,21 @@ def market_cap(shares: Column, price: Column) -> Column:
     return shares * price / F.lit(1e7)
 
 
+def money(price: Column) -> Column:
+    """A price as a decimal of four digits, so that sums are exact in any order."""
+    return price.cast("decimal(18,4)")
+
+
+def turnover(price: Column, volume: Column) -> Column:
+    """Price times volume, exact."""
+    return (money(price) * volume.cast("decimal(19,0)")).cast("decimal(38,4)")
+
+
+def half_up(x: Column, digits: int) -> Column:
+    """x to so many digits by the same two floating-point steps on every engine; halves go up."""
+    return F.floor(x * 10**digits + 0.5) / 10**digits
+
+
 def event_bucket(event_ms: Column, seconds: int) -> Column:
     """Start of the bucket in seconds; rounds down, below zero too."""
     return (F.floor(event_ms / (seconds * 1000)) * seconds).cast("long")

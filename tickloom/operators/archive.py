@@ -8,18 +8,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import idempotency_key, schema_id
+from .enrichment import small
 
 COORDINATES = ["topic", "partition", "offset"]
+#: Missing offsets that are spelled out at once.
+STEP = 65_536
 
 
-def event_type(value: str = "value", schemas: DataFrame | None = None) -> Column:
+def event_type(value: str = "value") -> Column:
     """Tombstone for a null value, else null: the schema's name is joined in by `classified`."""
     return F.when(F.col(value).isNull(), F.lit("Tombstone"))
 
 
 def classified(records: DataFrame, schemas: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(records with eventType, undecodable records with `failure`). schemas: id, name; one row a schema."""
-    marked = records.withColumn("_id", schema_id("value")).join(F.broadcast(schemas.select(F.col("id").alias("_sid"), F.col("name").alias("_name"))), F.col("_id") == F.col("_sid"), "left")
+    marked = records.withColumn("_id", schema_id("value")).join(small(schemas.select(F.col("id").alias("_sid"), F.col("name").alias("_name"))), F.col("_id") == F.col("_sid"), "left")
     named = marked.withColumn("eventType", F.coalesce(event_type(), F.col("_name"))).drop("_id", "_sid", "_name")
     bad = named.filter(F.col("eventType").isNull()).drop("eventType").withColumn("failure", F.lit("no schema for the payload"))
     return named.filter(F.col("eventType").isNotNull()), bad
@@ -77,8 +80,9 @@ def missing_ranges(records: DataFrame) -> DataFrame:
 
 
 def missing_offsets(records: DataFrame) -> DataFrame:
-    """Every missing offset: only the gaps are spelled out."""
-    return missing_ranges(records).select("topic", "partition", F.explode(F.sequence("firstMissing", "lastMissing")).alias("offset"))
+    """Every missing offset: only the gaps are spelled out, long ones in steps, so that no list gets long."""
+    steps = missing_ranges(records).withColumn("_from", F.explode(F.sequence("firstMissing", "lastMissing", F.lit(STEP).cast("long"))))
+    return steps.select("topic", "partition", F.explode(F.sequence("_from", F.least("lastMissing", F.col("_from") + STEP - 1))).alias("offset"))
 
 
 def partition_columns(rows: DataFrame) -> DataFrame:

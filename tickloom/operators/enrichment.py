@@ -6,36 +6,57 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalars import market_cap, mid_price, price_deviation, spread
+from ..functions.scalars import market_cap, mid_price, price_deviation, spread, turnover
 
 MISS = "REFERENCE_DATA_UNAVAILABLE"
-TICK = ["bid", "ask", "tick_ms", "vwap"]
 #: A dimension is broadcast up to this many rows; beyond, the join is left to Spark.
 BROADCAST_ROWS = 1_000_000
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df, marked for broadcast if its size is checked to be within bounds."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """df, marked for broadcast if its size is checked to be within bounds; what is counted for that is kept."""
+    df = df.persist()
+    if df.limit(rows + 1).count() <= rows:
+        return F.broadcast(df)
+    df.unpersist()
+    return df
 
 
-def as_of(trades: DataFrame, ticks: DataFrame, horizon_ms: int = 300_000) -> DataFrame:
+def as_of(trades: DataFrame, ticks: DataFrame, horizon_ms: int = 300_000, span_ms: int | None = None) -> DataFrame:
     """trades with bid, ask, tick_ms and vwap of the last tick at or before them; null where there is none.
 
-    Ticks and trades are one stream in event order, and each trade takes the last tick before it: one exchange and
-    one sort, linear in the rows, where a range join would pair them. A tick of the trade's own millisecond counts.
-    vwap is over the ticks of the horizon, up to the trade.
+    Ticks are summed by ticker and millisecond; they and the trades are one stream in event order, in which each
+    trade takes the last tick before it, and the horizon's sums as the difference of two running sums: one exchange,
+    one sort, and frames that only grow, so the cost is linear in the rows. A tick of the trade's own millisecond
+    counts. vwap is over the ticks of the horizon, up to the trade; its sums are exact.
+
+    With a span (longer than the horizon) each ticker is cut into ranges of time, so a hot ticker is spread out:
+    a range also holds the ticks that trades at its beginning look back to, and the last tick before it is carried in.
     """
-    tick = F.struct(F.col("bid"), F.col("ask"), F.col("event_ms").alias("tick_ms"))
-    kind = "struct<bid:double,ask:double,tick_ms:bigint>"
+    if span_ms is not None and span_ms <= horizon_ms:
+        raise ValueError("a range of time must be longer than the horizon")
+    part = lambda ms: F.lit(0).cast("long") if span_ms is None else F.floor(ms / span_ms).cast("long")
+    tick = F.struct("bid", "ask", F.col("event_ms").alias("tick_ms"))
+    # Ticks of one millisecond apply first come, first kept.
+    each = ticks.groupBy("ticker", "event_ms").agg(F.min_by(tick, "seq").alias("_tick"), F.sum(turnover(F.col("last"), F.col("volume"))).alias("_pv"), F.sum("volume").alias("_v"))
     cols = [c for c in trades.columns if c not in ("ticker", "event_ms")]
-    one = ticks.select("ticker", "event_ms", F.lit(0).alias("_kind"), tick.alias("_tick"), (F.col("last") * F.col("volume")).alias("_pv"), F.col("volume").cast("double").alias("_v"), F.col("seq").alias("_seq"), F.lit(None).cast(trades.select(F.struct(*cols)).schema[0].dataType).alias("_trade"))
-    two = trades.select("ticker", "event_ms", F.lit(1).alias("_kind"), F.lit(None).cast(kind).alias("_tick"), F.lit(None).cast("double").alias("_pv"), F.lit(None).cast("double").alias("_v"), F.lit(0).cast("long").alias("_seq"), F.struct(*cols).alias("_trade"))
-    # Ticks of one millisecond apply first come, first kept, so the first delivered stands last.
-    by_time = W.partitionBy("ticker").orderBy("event_ms", "_kind", F.col("_seq").desc())
-    back = W.partitionBy("ticker").orderBy("event_ms").rangeBetween(-horizon_ms, 0)
-    d = one.unionByName(two).withColumns({"_tick": F.last("_tick", ignorenulls=True).over(by_time.rowsBetween(W.unboundedPreceding, 0)), "_spv": F.sum("_pv").over(back), "_sv": F.sum("_v").over(back)})
-    d = d.filter("_kind = 1").withColumn("vwap", F.col("_spv") / F.nullif(F.col("_sv"), F.lit(0.0)))
+    kind = trades.select(F.struct(*cols)).schema[0].dataType
+    one = each.select("ticker", "event_ms", part(F.col("event_ms")).alias("_part"), "_tick", "_pv", "_v", F.lit(None).cast(kind).alias("_trade"))
+    if span_ms is not None:
+        ahead = part(F.col("event_ms") + horizon_ms)
+        one = one.unionByName(one.filter(ahead > F.col("_part")).withColumn("_part", F.col("_part") + 1))
+    nothing = {"_tick": each.schema["_tick"].dataType, "_pv": each.schema["_pv"].dataType, "_v": each.schema["_v"].dataType}
+    two = trades.select("ticker", "event_ms", part(F.col("event_ms")).alias("_part"), *[F.lit(None).cast(k).alias(c) for c, k in nothing.items()], F.struct(*cols).alias("_trade"))
+    by_time = W.partitionBy("ticker", "_part").orderBy("event_ms")
+    now, before = by_time.rangeBetween(W.unboundedPreceding, 0), by_time.rangeBetween(W.unboundedPreceding, -horizon_ms - 1)
+    within = lambda c: F.sum(c).over(now) - F.coalesce(F.sum(c).over(before), F.lit(0))
+    d = one.unionByName(two).withColumns({"_tick": F.last("_tick", ignorenulls=True).over(now), "_spv": within("_pv"), "_sv": within("_v")}).filter("_trade is not null")
+    if span_ms is not None:
+        tops = each.groupBy("ticker", (part(F.col("event_ms")) + 1).alias("_part")).agg(F.max_by("_tick", "event_ms").alias("_top"))
+        parts = tops.unionByName(two.select("ticker", "_part").distinct().withColumn("_top", F.lit(None).cast(nothing["_tick"]))).groupBy("ticker", "_part").agg(F.max("_top").alias("_top"))
+        carried = F.last("_top", ignorenulls=True).over(W.partitionBy("ticker").orderBy("_part").rowsBetween(W.unboundedPreceding, 0))
+        d = d.join(parts.select("ticker", "_part", carried.alias("_carried")), ["ticker", "_part"], "left").withColumn("_tick", F.coalesce("_tick", "_carried"))
+    d = d.withColumn("vwap", F.col("_spv").cast("double") / F.nullif(F.col("_sv").cast("double"), F.lit(0.0)))
     return d.select("ticker", "event_ms", "_trade.*", "_tick.*", "vwap")
 
 

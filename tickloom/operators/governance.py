@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import flag
 from ..schemas import ENUMS, FIELDS, RESTRICTED, TOPICS, fields
+from .enrichment import small
 
 KEYS = ["principal", "resourceType", "name", "operation"]
 
@@ -46,7 +47,7 @@ def grants(rules: DataFrame) -> DataFrame:
 
 def decide(requests: DataFrame, rules: DataFrame) -> DataFrame:
     """requests with `decision`: ALLOW by an exact grant, else DENY."""
-    g = F.broadcast(grants(rules).withColumn("_granted", F.lit(True)))  # policies are configuration: a few rows
+    g = small(grants(rules).withColumn("_granted", F.lit(True)))
     return requests.join(g, KEYS, "left").withColumn("decision", F.when(F.col("_granted"), "ALLOW").otherwise("DENY")).drop("_granted")
 
 

@@ -11,10 +11,11 @@ Bucket and retention are parameters; the defaults hold 31 buckets in a dense fee
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.ordered import max_before, max_from
-from ..functions.scalars import event_bucket
+from ..functions.scalars import event_bucket, turnover
 
 BUCKET_S, RETAIN_S = 10, 300
 
@@ -47,15 +48,15 @@ def surviving(ticks: DataFrame, bucket_s: int = BUCKET_S, retain_s: int = RETAIN
 
 
 def window_buckets(ticks: DataFrame, bucket_s: int = BUCKET_S, retain_s: int = RETAIN_S, span: int | None = None) -> DataFrame:
-    """ticker, bucket, pv, v of the buckets that are left."""
-    return surviving(ticks, bucket_s, retain_s, span).groupBy("ticker", "bucket").agg(F.sum(F.col("last") * F.col("volume")).alias("pv"), F.sum(F.col("volume").cast("double")).alias("v"))
+    """ticker, bucket, pv (decimal: an exact sum), v of the buckets that are left."""
+    return surviving(ticks, bucket_s, retain_s, span).groupBy("ticker", "bucket").agg(F.sum(turnover(F.col("last"), F.col("volume"))).alias("pv"), F.sum(F.col("volume").cast("double")).alias("v"))
 
 
 def vwap(buckets: DataFrame, horizon_s: int = RETAIN_S) -> DataFrame:
     """ticker, vwap, n_buckets over the buckets in the reader's horizon; null at volume 0 (the rule is ours)."""
-    newest = buckets.groupBy("ticker").agg(F.max("bucket").alias("_newest"))
-    live = buckets.join(newest, "ticker").filter(F.col("bucket") > F.col("_newest") - horizon_s)
-    return live.groupBy("ticker").agg((F.sum("pv") / F.nullif(F.sum("v"), F.lit(0.0))).alias("vwap"), F.count("*").alias("n_buckets"))
+    # A ticker has few buckets, so its newest is found in a window over them and nothing is computed twice.
+    live = buckets.withColumn("_newest", F.max("bucket").over(W.partitionBy("ticker"))).filter(F.col("bucket") > F.col("_newest") - horizon_s)
+    return live.groupBy("ticker").agg((F.sum("pv").cast("double") / F.nullif(F.sum("v"), F.lit(0.0))).alias("vwap"), F.count("*").alias("n_buckets"))
 
 
 def outcome_counts(ticks: DataFrame, span: int | None = None) -> DataFrame:

@@ -6,8 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .enrichment import small
-
 
 def rule_ranges(events: DataFrame) -> DataFrame:
     """ruleId, version, threshold, from_ms, to_ms (exclusive, null: open) of the versions that were in force.
@@ -21,10 +19,39 @@ def rule_ranges(events: DataFrame) -> DataFrame:
     return d.filter(F.col("state") == "ACTIVE").select("ruleId", "ruleType", "version", "threshold", F.col("effective_ms").alias("from_ms"), "to_ms")
 
 
-def in_force(rows: DataFrame, ranges: DataFrame, rule_type: str, at: str = "event_ms") -> DataFrame:
-    """rows, once for each rule of the type that was in force at their time. Rules are few: their number is checked."""
+#: A tree of time: cells of an hour, each level's 16 times as long as the one's below; and the end of open ranges.
+HOUR, FAN, LEVELS, END_MS = 3_600_000, 16, 6, 253_402_300_800_000
+
+
+def cells_of(ranges: DataFrame) -> DataFrame:
+    """ranges, once for each cell of the fewest that cover them: level and cell. At most 30 a level, but for the last."""
+    end = F.coalesce("to_ms", F.lit(END_MS))
+    low = [F.floor(F.col("from_ms") / HOUR)] + [F.ceil(F.col("from_ms") / (HOUR * FAN**k)) for k in range(1, LEVELS)]
+    high = [F.ceil(end / HOUR)] + [F.floor(end / (HOUR * FAN**k)) for k in range(1, LEVELS)]
+    lists = []
+    for k in range(LEVELS):
+        every = lambda a, z, k=k: F.when(z > a, F.transform(F.sequence(a, z - 1), lambda c: F.struct(F.lit(k).alias("level"), c.alias("cell")))).otherwise(F.array())
+        if k + 1 < LEVELS:
+            covered = low[k + 1] < high[k + 1]
+            lists += [every(low[k], F.when(covered, low[k + 1] * FAN).otherwise(high[k])), F.when(covered, every(high[k + 1] * FAN, high[k])).otherwise(F.array())]
+        else:
+            lists.append(every(low[k], high[k]))
+    return ranges.withColumn("_at", F.explode(F.concat(*lists))).select(*ranges.columns, "_at.level", "_at.cell")
+
+
+def in_force(rows: DataFrame, ranges: DataFrame, rule_type: str, at: str = "event_ms", few: int = 10_000) -> DataFrame:
+    """rows, once for each rule of the type that was in force at their time.
+
+    Up to `few` ranges are broadcast; more are joined on equal cells of time, of which each row looks at LEVELS.
+    """
     mine = ranges.filter(F.col("ruleType") == rule_type)
-    return rows.join(small(mine, 10_000), (F.col(at) >= F.col("from_ms")) & (F.col("to_ms").isNull() | (F.col(at) < F.col("to_ms"))))
+    inside = (F.col(at) >= F.col("from_ms")) & (F.col("to_ms").isNull() | (F.col(at) < F.col("to_ms")))
+    if mine.limit(few + 1).count() <= few:
+        return rows.join(F.broadcast(mine), inside)
+    levels = F.array(*[F.struct(F.lit(k).alias("_level"), F.floor(F.col(at) / (HOUR * FAN**k)).alias("_cell")) for k in range(LEVELS)])
+    seen = rows.withColumn("_in", F.explode(levels))
+    both = seen.join(cells_of(mine), (F.col("_in._level") == F.col("level")) & (F.col("_in._cell") == F.col("cell")) & inside)
+    return both.drop("_in", "level", "cell")
 
 
 def price_deviation_alerts(enriched: DataFrame, ranges: DataFrame) -> DataFrame:

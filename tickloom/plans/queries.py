@@ -9,14 +9,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import cache_key, correlation_id, idempotency_key
+from ..functions.ordered import even_span
+from ..functions.scalars import cache_key, correlation_id, half_up, idempotency_key
 from ..functions.validation import tick_reasons, version_guard
 from ..operators import archive, cases, corporate_actions, dead_letters, enrichment, governance, market_state, positions, reconciliation, reference_data, risk
 from ..sources import generators
 from . import views as V
 
-#: Ranges of delivery order into which a ticker's rows are cut, so that a hot ticker is spread out.
-SPAN = 1_000_000_000_000
+#: Delivery order of one of these queries' ranges, into many of which each ticker's rows are cut, and their span of time.
+SPAN, SPAN_MS = 2_000_000_000, 518_400_000
 WASH_MS = 3_600_000
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -38,9 +39,10 @@ outcomes AS (SELECT *, CASE WHEN prev IS NULL OR event_ms > prev THEN 'APPLIED'
                     top IS NULL OR "offset" > top AS accepted FROM o)"""
 _BUCKETS = f"""b AS (SELECT *, CAST(floor(event_ms / {V.BUCKET_S * 1000}.0) AS BIGINT) * {V.BUCKET_S} AS bucket FROM outcomes WHERE accepted),
 c AS (SELECT *, max(bucket) OVER (PARTITION BY ticker ORDER BY seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ahead FROM b),
-buckets AS (SELECT ticker, bucket, sum(last * volume) AS pv, sum(CAST(volume AS DOUBLE)) AS v FROM c WHERE bucket >= ahead - {V.RETAIN_S} GROUP BY ALL)"""
+buckets AS (SELECT ticker, bucket, sum(CAST(last AS DECIMAL(18,4)) * volume) AS pv, sum(CAST(volume AS DOUBLE)) AS v FROM c WHERE bucket >= ahead - {V.RETAIN_S} GROUP BY ALL)"""
+_R = "floor({x} * 10000 + 0.5) / 10000"
 _VWAP = f"""WITH {V.TICKS}, {_OUTCOMES}, {_BUCKETS}, n AS (SELECT *, max(bucket) OVER (PARTITION BY ticker) AS newest FROM buckets)
-SELECT ticker, round(sum(pv) / nullif(sum(v), 0), 4) AS vwap, count(*) AS n_buckets FROM n WHERE bucket > newest - {V.HORIZON_S} GROUP BY ticker"""
+SELECT ticker, {_R.format(x="CAST(sum(pv) AS DOUBLE) / nullif(sum(v), 0)")} AS vwap, count(*) AS n_buckets FROM n WHERE bucket > newest - {V.HORIZON_S} GROUP BY ticker"""
 
 
 @query(f"WITH {V.TICKS}, {_OUTCOMES} SELECT ticker, seq, event_ms, outcome FROM outcomes")
@@ -59,15 +61,16 @@ def window_accepts(spark, sf_dir):
     return market_state.accepted(V.ticks(spark, sf_dir), SPAN).select("ticker", "seq", "offset", "accepted")
 
 
-@query(f"WITH {V.TICKS}, {_OUTCOMES}, {_BUCKETS} SELECT ticker, bucket, round(pv, 4) AS pv, v FROM buckets")
+@query(f"WITH {V.TICKS}, {_OUTCOMES}, {_BUCKETS} SELECT ticker, bucket, CAST(pv AS DOUBLE) AS pv, v FROM buckets")
 def window_buckets(spark, sf_dir):
-    return market_state.window_buckets(V.ticks(spark, sf_dir), V.BUCKET_S, V.RETAIN_S, SPAN).select("ticker", "bucket", F.round("pv", 4).alias("pv"), "v")
+    return market_state.window_buckets(V.ticks(spark, sf_dir), V.BUCKET_S, V.RETAIN_S, SPAN).select("ticker", "bucket", F.col("pv").cast("double").alias("pv"), "v")
 
 
 @query(_VWAP)
 def vwap(spark, sf_dir):
-    b = market_state.window_buckets(V.ticks(spark, sf_dir), V.BUCKET_S, V.RETAIN_S)
-    return market_state.vwap(b, V.HORIZON_S).select("ticker", F.round("vwap", 4).alias("vwap"), "n_buckets")
+    t = V.ticks(spark, sf_dir)
+    b = market_state.window_buckets(t, V.BUCKET_S, V.RETAIN_S, even_span(t, "seq"))
+    return market_state.vwap(b, V.HORIZON_S).select("ticker", half_up(F.col("vwap"), 4).alias("vwap"), "n_buckets")
 
 
 @query(f"""WITH {V.TICKS}, {_OUTCOMES} SELECT count(*) FILTER (outcome = 'APPLIED') AS applied, count(*) FILTER (outcome = 'DUPLICATE') AS stale_duplicate,
@@ -156,14 +159,14 @@ def archive_manifest(spark, sf_dir):
 
 
 def _failures(spark, sf_dir):
-    e = V.table(spark, sf_dir, "events").filter("event_id % 13 = 0")
-    d = e.withColumn("k", F.explode(F.sequence(F.lit(0), (F.col("event_id") % 3).cast("int"))))
+    """None to three failures of every event's record."""
+    d = V.table(spark, sf_dir, "events").withColumn("k", F.explode(F.expr("slice(array(0, 1, 2), 1, cast(event_id % 4 as int))")))
     i = F.col("event_id")
     return d.select(F.concat(F.lit("topic-"), (i % 4).cast("string")).alias("topic"), (F.floor(i / 4) % 12).cast("int").alias("partition"), F.floor(i / 48).alias("offset"), (V.epoch_ms("ts") + F.col("k") * 100).alias("failed_ms"))
 
 
-_FAILED = """SELECT 'topic-' || (event_id % 4) AS topic, CAST((event_id // 4) % 12 AS INTEGER) AS "partition", event_id // 48 AS "offset", event_id % 3 + 1 AS "retryCount",
-(epoch_us(ts) // 1000) AS "firstFailureMs", (epoch_us(ts) // 1000) + event_id % 3 * 100 AS "lastFailureMs" FROM events WHERE event_id % 13 = 0"""
+_FAILED = """SELECT 'topic-' || (event_id % 4) AS topic, CAST((event_id // 4) % 12 AS INTEGER) AS "partition", event_id // 48 AS "offset", event_id % 4 AS "retryCount",
+(epoch_us(ts) // 1000) AS "firstFailureMs", (epoch_us(ts) // 1000) + (event_id % 4 - 1) * 100 AS "lastFailureMs" FROM events WHERE event_id % 4 > 0"""
 
 
 @query(_FAILED)
@@ -171,14 +174,14 @@ def failure_attempts(spark, sf_dir):
     return dead_letters.attempts(_failures(spark, sf_dir))
 
 
-@query(f"""WITH {V.ARCHIVE}, f AS ({_FAILED}), d AS (SELECT DISTINCT * FROM archive WHERE event_id % 13 < 2)
+@query(f"""WITH {V.ARCHIVE}, f AS ({_FAILED}), d AS (SELECT DISTINCT * FROM archive)
 SELECT d.topic || '.dlq' AS topic, d.key, d.topic AS "originalTopic", d."partition" AS "originalPartition", d."offset" AS "originalOffset", coalesce(d.value, '') AS payload,
 'SinkError: sink rejected the batch <- IOError: ' || CASE WHEN event_id % 2 = 0 THEN 'connection reset' ELSE 'null' END AS "failureReason", 'IOError' AS "exceptionClass",
 CASE WHEN event_id % 2 = 0 THEN 'connection reset' ELSE 'null' END AS "exceptionMessage", 500 AS stack_chars,
 CAST(coalesce(f."retryCount", 1) AS INTEGER) AS "retryCount", coalesce(f."firstFailureMs", {_NOW}) AS first_ms, coalesce(f."lastFailureMs", {_NOW}) AS last_ms, corr AS "correlationId"
 FROM d LEFT JOIN f ON d.topic = f.topic AND d."partition" = f."partition" AND d."offset" = f."offset" """)
 def dead_letter_rows(spark, sf_dir):
-    r = V.archive(spark, sf_dir).filter("event_id % 13 < 2").dropDuplicates(archive.COORDINATES)
+    r = V.archive(spark, sf_dir).dropDuplicates(archive.COORDINATES)
     r = dead_letters.with_attempts(r, dead_letters.attempts(_failures(spark, sf_dir)), F.lit(_NOW))
     cause = F.struct(F.lit("IOError").alias("class"), F.when(F.col("event_id") % 2 == 0, "connection reset").alias("message"))
     r = r.withColumns({"chain": F.array(F.struct(F.lit("SinkError").alias("class"), F.lit("sink rejected the batch").alias("message")), cause), "stack": F.repeat(F.lit("at frame "), 100)})
@@ -194,9 +197,9 @@ def headers(spark, sf_dir):
 _ONCE = f"WITH {V.TRADES}, once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY \"tradeId\" ORDER BY seq) AS k FROM trades) WHERE k = 1)"
 _HORIZON_MS = V.HORIZON_S * 1000
 _QUOTED = f"""{_ONCE}, {V.TICKS}, {V.INSTRUMENTS}, firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ticker, event_ms ORDER BY seq) AS f FROM ticks) WHERE f = 1),
-sums AS (SELECT ticker, event_ms, sum(last * volume) AS pv, sum(CAST(volume AS DOUBLE)) AS v FROM ticks GROUP BY ALL),
+sums AS (SELECT ticker, event_ms, sum(CAST(last AS DECIMAL(18,4)) * volume) AS pv, sum(CAST(volume AS DOUBLE)) AS v FROM ticks GROUP BY ALL),
 j AS (SELECT o.*, t.bid, t.ask, t.event_ms AS tick_ms FROM once o ASOF LEFT JOIN firsts t ON o.ticker = t.ticker AND o.event_ms >= t.event_ms),
-w AS (SELECT times.ticker, times.event_ms, sum(s.pv) / nullif(sum(s.v), 0) AS vwap FROM (SELECT DISTINCT ticker, event_ms FROM once) times
+w AS (SELECT times.ticker, times.event_ms, CAST(sum(s.pv) AS DOUBLE) / nullif(sum(s.v), 0) AS vwap FROM (SELECT DISTINCT ticker, event_ms FROM once) times
       LEFT JOIN sums s ON s.ticker = times.ticker AND s.event_ms BETWEEN times.event_ms - {_HORIZON_MS} AND times.event_ms GROUP BY ALL),
 quoted AS (SELECT j.*, w.vwap FROM j JOIN w ON j.ticker = w.ticker AND j.event_ms = w.event_ms),
 one AS (SELECT ticker, arg_min("sharesOutstanding", "instrumentId") AS shares FROM latest GROUP BY ticker)"""
@@ -208,20 +211,19 @@ def _once(spark, sf_dir):
 
 
 def _quoted(spark, sf_dir):
-    return enrichment.as_of(_once(spark, sf_dir), V.ticks(spark, sf_dir), _HORIZON_MS)
+    return enrichment.as_of(_once(spark, sf_dir), V.ticks(spark, sf_dir), _HORIZON_MS, SPAN_MS)
 
 
-@query(_QUOTED + ' SELECT "tradeId", ticker, event_ms, tick_ms, bid, ask, round(vwap, 4) AS vwap FROM quoted')
+@query(_QUOTED + f' SELECT "tradeId", ticker, event_ms, tick_ms, bid, ask, {_R.format(x="vwap")} AS vwap FROM quoted')
 def enrich_asof(spark, sf_dir):
-    return _quoted(spark, sf_dir).select("tradeId", "ticker", "event_ms", "tick_ms", "bid", "ask", F.round("vwap", 4).alias("vwap"))
+    return _quoted(spark, sf_dir).select("tradeId", "ticker", "event_ms", "tick_ms", "bid", "ask", half_up(F.col("vwap"), 4).alias("vwap"))
 
 
-@query(_QUOTED + """ SELECT "tradeId", q.ticker, round((bid + ask) / 2, 4) AS mid, round(ask - bid, 4) AS spread, round(vwap, 4) AS vwap, round(shares * price / 1e7 + 1e-7, 4) AS "marketCap",
-round((price - (bid + ask) / 2) / nullif((bid + ask) / 2, 0) * 100, 4) AS deviation, q.event_ms - tick_ms AS "dataAgeMs" FROM quoted q JOIN one ON q.ticker = one.ticker WHERE tick_ms IS NOT NULL""")
+@query(_QUOTED + f""" SELECT "tradeId", q.ticker, {_R.format(x="(bid + ask) / 2")} AS mid, {_R.format(x="(ask - bid)")} AS spread, {_R.format(x="vwap")} AS vwap, {_R.format(x="shares * price / 1e7")} AS "marketCap",
+{_R.format(x="(price - (bid + ask) / 2) / nullif((bid + ask) / 2, 0) * 100")} AS deviation, q.event_ms - tick_ms AS "dataAgeMs" FROM quoted q JOIN one ON q.ticker = one.ticker WHERE tick_ms IS NOT NULL""")
 def enrich_full(spark, sf_dir):
     good, _ = enrichment.enriched(_quoted(spark, sf_dir), _latest_instruments(spark, sf_dir))
-    r = lambda c: F.round(c, 4).alias(c)
-    return good.select("tradeId", "ticker", r("mid"), r("spread"), r("vwap"), F.round(F.col("marketCap") + 1e-7, 4).alias("marketCap"), r("deviation"), "dataAgeMs")
+    return good.select("tradeId", "ticker", *[half_up(F.col(c), 4).alias(c) for c in ("mid", "spread", "vwap", "marketCap", "deviation")], "dataAgeMs")
 
 
 @query(_QUOTED + """ SELECT "tradeId", q.ticker, 'REFERENCE_DATA_UNAVAILABLE' AS failure FROM quoted q LEFT JOIN one ON q.ticker = one.ticker WHERE tick_ms IS NULL OR shares IS NULL""")
@@ -240,9 +242,9 @@ max(event_ms) AS as_of, arg_max(struct_pack(i := "tradeId", p := price), struct_
 
 
 @query(f"""{_ONCE}, {_POSITIONS} SELECT "accountId", "traderId", ticker, buy - sell AS "netQuantity", buy AS "grossBuyQuantity", sell AS "grossSellQuantity",
-round((buy - sell) * l.p + 1e-5, 2) AS "marketValue", as_of AS "asOfMs", l.i AS "lastProcessedTradeId" FROM p""")
+floor((buy - sell) * l.p * 100 + 0.5) / 100 AS "marketValue", as_of AS "asOfMs", l.i AS "lastProcessedTradeId" FROM p""")
 def positions_snapshot(spark, sf_dir):
-    return positions.positions(V.trades(spark, sf_dir)).withColumn("marketValue", F.round(F.col("marketValue") + 1e-5, 2))
+    return positions.positions(V.trades(spark, sf_dir)).withColumn("marketValue", half_up(F.col("marketValue"), 2))
 
 
 @query(f"WITH {V.RULES} SELECT * FROM ranges")
@@ -254,10 +256,10 @@ _FORCE = "r.from_ms <= {t} AND (r.to_ms IS NULL OR {t} < r.to_ms)"
 
 
 @query(_QUOTED + f""", {V.RULES}, d AS (SELECT q.*, (price - (bid + ask) / 2) / nullif((bid + ask) / 2, 0) * 100 AS deviation FROM quoted q JOIN one ON q.ticker = one.ticker WHERE tick_ms IS NOT NULL)
-SELECT "tradeId", "ruleId", r.version, round(deviation, 4) AS deviation, r.threshold FROM d JOIN ranges r ON r."ruleType" = 'PRICE_DEVIATION' AND {_FORCE.format(t="d.event_ms")} WHERE abs(deviation) > r.threshold""")
+SELECT "tradeId", "ruleId", r.version, {_R.format(x="deviation")} AS deviation, r.threshold FROM d JOIN ranges r ON r."ruleType" = 'PRICE_DEVIATION' AND {_FORCE.format(t="d.event_ms")} WHERE abs(deviation) > r.threshold""")
 def price_deviation_alerts(spark, sf_dir):
     good, _ = enrichment.enriched(_quoted(spark, sf_dir), _latest_instruments(spark, sf_dir))
-    return risk.price_deviation_alerts(good, risk.rule_ranges(V.rule_events(spark, sf_dir))).select("tradeId", "ruleId", "version", F.round("deviation", 4).alias("deviation"), "threshold")
+    return risk.price_deviation_alerts(good, risk.rule_ranges(V.rule_events(spark, sf_dir))).select("tradeId", "ruleId", "version", half_up(F.col("deviation"), 4).alias("deviation"), "threshold")
 
 
 @query(f"""{_ONCE}, {_POSITIONS}, {V.RULES} SELECT "accountId", "traderId", ticker, buy - sell AS "netQuantity", "ruleId", r.version FROM p
@@ -375,6 +377,8 @@ def _folder(spark) -> str:
     """A folder that driver and executors share: the session's checkpoint folder, or one of our own where none is set."""
     sc = spark.sparkContext
     if not sc.getConf().get("spark.checkpoint.dir") and sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tickloom-checkpoint-"))
     return f"{sc._jsc.sc().getCheckpointDir().get()}/stream-{uuid.uuid4().hex}"
 
