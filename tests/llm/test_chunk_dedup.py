@@ -21,13 +21,7 @@ def plain_cuts(raw):
                 at.append(j)
     at = sorted(set(at))
     kept = [x for k, x in enumerate(at) if k == 0 or x - at[k - 1] >= C.LEAST]
-    out = [0] if raw else []
-    for x in [*kept, len(raw)]:
-        while x - out[-1] > C.LONGEST and raw:
-            break
-        if x < len(raw):
-            out.append(x)
-    return out
+    return [0, *kept] if raw else []
 
 
 def prose(r, n):
@@ -106,3 +100,48 @@ def test_parts_change_no_cut(monkeypatch):
     whole = C.chunks(data, starts)[0].tolist()
     monkeypatch.setattr(C, "PART", 100)
     assert C.chunks(data, starts)[0].tolist() == whole
+
+
+def plain_repeats(rows):
+    """id -> (n_repeats, n_removed, n_shared) by dictionaries, from the chunks of each text."""
+    chunked = {}
+    for i, text in rows:
+        raw = text.encode()
+        at = C.chunks(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0].tolist() if raw else []
+        chunked[i] = [(a, z, raw[a:z]) for a, z in zip(at, [*at[1:], len(raw)])]
+    owners = {}
+    for i, own in chunked.items():
+        for *_, x in own:
+            owners.setdefault(x, set()).add(i)
+
+    def long_runs(spans):
+        total, run = 0, None
+        for a, z in [*spans, (None, None)]:
+            if run and run[1] == a:
+                run = (run[0], z)
+            else:
+                total += run[1] - run[0] if run and run[1] - run[0] >= C.LEAST_RUN else 0
+                run = (a, z)
+        return total
+
+    out = {}
+    for i, own in chunked.items():
+        seen, later, either = set(), [], []
+        for a, z, x in own:
+            if x in seen or min(owners[x]) < i:
+                later.append((a, z))
+            if x in seen or len(owners[x]) > 1:
+                either.append((a, z))
+            seen.add(x)
+        if either:
+            out[i] = (len(later), long_runs(later), long_runs(either))
+    return out
+
+
+def test_runs_equal_a_plain_version(spark):
+    r = random.Random(12)
+    shared = [prose(r, n) for n in (5, 20, 30, 60, 300)]
+    rows = [(i, " ".join(r.choice([prose(r, r.randrange(1, 40)), r.choice(shared)]) for _ in range(r.randrange(1, 8)))) for i in range(120)]
+    rows += [(200, "z" * 4000), (201, "ab " * 900), (202, "a" + "z" * 3000 + prose(r, 30))]  # long stretches without a valid cut
+    got = C.repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {x["id"]: (x["n_repeats"], x["n_removed"], x["n_shared"]) for x in got} == plain_repeats(rows)

@@ -4,6 +4,7 @@ import math
 from collections import Counter, defaultdict
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tickloom.llm import mixing as M
@@ -58,3 +59,35 @@ def test_odd_rows(spark):
     got = M.mix(d)
     assert Counter(r["doc_id"] for r in got.collect() if r["epoch"] == 0) == {1: 1, 2: 1, 3: 2, None: 1, 4: 1}
     assert M.mix(d.limit(0)).collect() == []
+
+
+def unit(key, *more):
+    """The hash of a row as the engine takes it: each value is hashed with the last hash as its seed."""
+    h = xxhash.xxh64_intdigest((0).to_bytes(4, "little"), 42)
+    for x in (key, *more):
+        raw = x.encode() if isinstance(x, str) else x.to_bytes(8, "little")
+        h = xxhash.xxh64_intdigest(raw, h)
+    return (h & ((1 << 52) - 1)) / (1 << 52)
+
+
+@pytest.mark.parametrize("budget", [None, 1000.0, 6000.0])
+def test_draws_equal_a_plain_simulation(spark, budget):
+    d = corpus(spark)
+    docs = [(r["doc_id"], r["source"], len((r["text"] or "").split())) for r in d.collect()]
+    names = sorted({s for _, s, _ in docs})
+    size = [sum(n for _, s, n in docs if s == name) for name in names]
+    w = M.tempered(size, M.exponent(size, 2.0, None, budget))
+    total = M.whole_budget(size, w) if budget is None else budget
+    want = set()
+    for name, t, x in zip(names, size, w):
+        own = sorted((unit(i, "cut"), i, n) for i, s, n in docs if s == name)
+        epochs = total * x / t
+        full = math.floor(epochs + 1e-9)
+        want |= {(i, e) for _, i, _ in own for e in range(full)}
+        left = round((epochs - full) * t)
+        for _, i, n in own:
+            if left > 0:
+                want.add((i, full))
+            left -= n
+    got = [(r["doc_id"], r["epoch"]) for r in M.mix(d, budget=budget).collect()]
+    assert len(got) == len(set(got)) and set(got) == want

@@ -3,6 +3,8 @@
 import random
 import zlib
 
+import numpy as np
+
 from pyspark.sql import functions as F
 
 from tickloom.llm import toxicity as T
@@ -52,3 +54,40 @@ def test_odd_rows(spark):
     labelled = spark.createDataFrame([(1, 1), (1, 0), (2, 0)], "doc_id long, toxic int")
     assert all(0 <= r["score"] <= 1 for r in T.score(docs, T.learn(docs, labelled)).collect())
     assert T.reject_toxic(docs.limit(0), labels).collect() == []
+
+
+def plain_fit(rows, labels, passes):
+    """FTRL-proximal one coordinate at a time."""
+    z, n, bias = {}, {}, T.DIMS
+
+    def weight(i):
+        s, l1 = z.get(i, 0.0), 0.0 if i == bias else T.L1
+        return 0.0 if abs(s) <= l1 else ((1 if s > 0 else -1) * l1 - s) / ((T.BETA + n.get(i, 0.0) ** 0.5) / T.ALPHA + T.L2)
+
+    for _ in range(passes):
+        for x, y in zip(rows, labels):
+            w = {i: weight(i) for i in [*x, bias]}
+            g = 1 / (1 + np.exp(-sum(w.values()))) - y
+            for i in w:
+                rate = ((n.get(i, 0.0) + g * g) ** 0.5 - n.get(i, 0.0) ** 0.5) / T.ALPHA
+                z[i] = z.get(i, 0.0) + g - rate * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+    return {i: weight(i) for i in z if i != bias and weight(i)}, weight(bias)
+
+
+def test_fit_equals_one_coordinate_at_a_time():
+    r = random.Random(2)
+    rows = [sorted(r.sample(range(40), r.randrange(0, 12))) for _ in range(300)]
+    labels = np.array([int(3 in x or (5 in x and r.random() < 0.9)) for x in rows])
+    w, b = T.fit([np.array(x, np.int64) for x in rows], labels, 6)
+    want, bias = plain_fit(rows, labels.tolist(), 6)
+    assert set(np.flatnonzero(w).tolist()) == set(want) and want and abs(b - bias) < 1e-9
+    assert all(abs(w[i] - v) < 1e-9 for i, v in want.items())
+
+
+def test_copies_of_a_labelled_row_change_nothing(spark):
+    """A doc_id is learned from once, however many rows it has."""
+    docs, labels = corpus(spark, 200)
+    many = docs.unionByName(docs.filter("doc_id < 6").crossJoin(spark.range(50)).drop("id"))
+    a, b = T.learn(docs, labels), T.learn(many, labels)
+    assert a[0].tolist() == b[0].tolist() and a[1].tolist() == b[1].tolist() and a[2] == b[2]

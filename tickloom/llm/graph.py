@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import Scratch
 
 
 def _star(pairs: DataFrame, own: bool) -> DataFrame:
@@ -23,15 +23,16 @@ def components(links: DataFrame) -> DataFrame:
     A node with very many links is never gathered: its least neighbour is an aggregate that starts on the map
     side, and its links are joined to that, a join whose large partitions Spark splits.
     """
-    edges = stored(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
+    keep, turn, before = Scratch(links.sparkSession), 0, None
+    edges = keep(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges-0")
     while True:  # large-star and small-star settle in O(log^2) rounds
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        small = stored(_star(large.select(F.col("a").alias("u"), F.col("b").alias("v")), True))
-        now = small.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        edges = small
+        turn += 1
+        edges = keep(_star(large.select(F.col("a").alias("u"), F.col("b").alias("v")), True), f"edges-{turn}")
+        keep.drop_but(f"edges-{turn}")
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
         before = now

@@ -4,8 +4,12 @@ Vectors are packed into shards of `SHARD` rows, and the stated queries into bloc
 each group of query blocks once. Within such a meeting every shard gets a ball tree; a query descends first
 into the child whose upper bound (inner product with the centre, plus the query's length times the radius) is
 larger, and leaves out a node whose bound is under its current k-th score. That score is carried from leaf to
-leaf and from shard to shard, so later shards are cut by what earlier ones found. Each meeting returns k rows
-a query at most, and the last step takes the best k of them.
+leaf and from shard to shard. One group of shards goes first; the k-th scores that it finds go with the queries
+to all others, which leave out and return nothing under them, so what meets in the last step is little more
+than k rows a query, however many groups there are.
+
+Where products may be beyond what doubles hold exactly, scores are taken by whole numbers of any size, one by
+one and without the tree: the same results, for vectors with components of some 10^7 and more only.
 
 Components are scaled to integers, so scores are exact and ties are true ties; a node is left out only if
 its bound is strictly under the k-th score, as an equal score may have a smaller identifier.
@@ -27,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import Scratch, table
 
 SHARD = 4096
 LEAF = 128
@@ -65,8 +69,9 @@ class BallTree:
 class Search:
     """The best k candidates so far of each query in a block."""
 
-    def __init__(self, ids: np.ndarray, q: np.ndarray, k: int):
+    def __init__(self, ids: np.ndarray, q: np.ndarray, k: int, least: np.ndarray | None = None):
         self.ids, self.q, self.k = ids, q, k
+        self.least = np.full(len(q), -np.inf) if least is None else least  # scores under these are of no use
         self.length = np.sqrt((q * q).sum(axis=1))
         self.score = np.full((len(q), k), -np.inf)
         self.found = np.full((len(q), k), np.iinfo(np.int64).max)
@@ -82,7 +87,7 @@ class Search:
 
     def _descend(self, tree: BallTree, at: int, who: np.ndarray) -> None:
         node = tree.nodes[at]
-        who = who[self.bound(node, who) >= self.score[who, -1]]
+        who = who[self.bound(node, who) >= np.maximum(self.score[who, -1], self.least[who])]
         if not len(who):
             return
         if node[4] < 0:
@@ -99,6 +104,7 @@ class Search:
         ids = tree.ids[a:b]
         s = self.q[who] @ tree.x[a:b].T
         s[self.ids[who][:, None] == ids[None, :]] = -np.inf
+        s[s < self.least[who][:, None]] = -np.inf
         hit = ((s >= self.score[who, -1:]) & (s > -np.inf)).any(axis=1)
         if hit.any():
             who, s = who[hit], s[hit]
@@ -122,23 +128,24 @@ def _packed(rows: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        held: dict[int, tuple[list, list]] = {}
+        held: dict[int, tuple[list, list, list]] = {}
         part, n = TaskContext.get().partitionId(), 0
-        schema = pa.schema([("no", pa.int64()), ("dim", pa.int32()), ("ids", pa.binary()), ("data", pa.binary())])
+        schema = pa.schema([("no", pa.int64()), ("dim", pa.int32()), ("ids", pa.binary()), ("data", pa.binary()), ("least", pa.binary())])
 
         def out(dim: int):
             nonlocal n
-            ids, vectors = held.pop(dim)
+            ids, vectors, least = held.pop(dim)
             n += 1
-            return pa.RecordBatch.from_arrays([pa.array([part << 32 | n]), pa.array([dim], pa.int32()), pa.array([np.array(ids, "<i8").tobytes()]), pa.array([np.concatenate(vectors).astype("<f8").tobytes()])], schema=schema)
+            return pa.RecordBatch.from_arrays([pa.array([part << 32 | n]), pa.array([dim], pa.int32()), pa.array([np.array(ids, "<i8").tobytes()]), pa.array([np.concatenate(vectors).astype("<f8").tobytes()]), pa.array([np.array(least, "<f8").tobytes()])], schema=schema)
 
         for b in batches:
             vectors = b.column("v")
             flat, at = vectors.values.to_numpy(zero_copy_only=False), vectors.offsets.to_numpy()
-            for k, i in enumerate(b.column("id").to_pylist()):
+            for k, (i, x) in enumerate(zip(b.column("id").to_pylist(), b.column("least").to_pylist(), strict=True)):
                 dim = int(at[k + 1] - at[k])
-                ids, own = held.setdefault(dim, ([], []))
+                ids, own, least = held.setdefault(dim, ([], [], []))
                 ids.append(i)
+                least.append(-np.inf if x is None else x)
                 own.append(flat[at[k] : at[k + 1]])
                 if len(ids) == rows:
                     yield out(dim)
@@ -161,7 +168,7 @@ def _meeting(k: int):
                 rows = list(plain(qids, q, np.concatenate([i for i, _ in parts]), np.concatenate([x for _, x in parts]), k))
                 out.append(tuple(np.array(c, np.int64) for c in zip(*rows, strict=True)) if rows else (np.zeros(0, np.int64),) * 3)
                 continue
-            search = Search(qids, q, k)
+            search = Search(qids, q, k, np.concatenate([np.frombuffer(x, "<f8") for x in mine["least"]]))
             for ids, x in parts:
                 search.run(BallTree(ids, x))
             good = search.score > -np.inf
@@ -186,16 +193,30 @@ def _floor(x):
 
 def top_k(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score. vectors: id, v; is_query: a condition on id."""
-    n = vectors.count()
+    keep = Scratch(vectors.sparkSession)
+    out = "no long, dim int, ids binary, data binary, least binary"
+    asked = keep(vectors.filter(is_query).distinct(), "asked")
+    n, n_asked = vectors.count(), asked.count()
     n_groups = max(8, -(-n // (SHARD * SHARDS_TOGETHER)))
     per_shard = min(SHARD, max(64, -(-n // 64)))
-    asked = vectors.filter(is_query).distinct()
-    n_asked = asked.count()
     n_blocks = max(1, -(-n_asked // (1024 * BLOCKS_TOGETHER)))
-    shards = vectors.mapInArrow(_packed(per_shard), "no long, dim int, ids binary, data binary").withColumn("g", F.expr(f"cast(pmod(xxhash64(no), {n_groups}) as int)")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    # The stated queries, in blocks, meet all groups of shards.
-    blocks = asked.mapInArrow(_packed(1024), "no long, dim int, ids binary, data binary").withColumn("b", F.expr(f"cast(pmod(xxhash64(no), {n_blocks}) as int)")).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))))
-    best = shards.groupBy("g", "b").cogroup(blocks.groupBy("g", "b")).applyInPandas(_meeting(k), "query_id long, vec_id long, score long")
+    none = F.lit(None).cast("double").alias("least")
+    shards = keep(vectors.select("id", "v", none).mapInArrow(_packed(per_shard), out).withColumn("g", F.expr(f"cast(pmod(xxhash64(no), {n_groups}) as int)")), "shards")
+
+    def met(some: DataFrame, queries: DataFrame, groups: list[int]) -> DataFrame:
+        """The stated queries, in blocks, meet the groups of shards."""
+        theirs = some.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+        blocks = queries.mapInArrow(_packed(1024), out).withColumn("b", F.expr(f"cast(pmod(xxhash64(no), {n_blocks}) as int)")).withColumn("g", F.explode(F.sequence(*map(F.lit, groups))))
+        return theirs.groupBy("g", "b").cogroup(blocks.groupBy("g", "b")).applyInPandas(_meeting(k), "query_id long, vec_id long, score long")
+
+    first = keep(met(shards.filter("g = 0"), asked.select("id", "v", none), [0, 0]), "first")
+    # Of a query that is asked with several vectors the scores are not told apart, so nothing is left out for it.
+    known = first.groupBy("query_id").agg(F.min("score").cast("double").alias("least"), F.count("*").alias("n")).filter(F.col("n") == k)
+    once = asked.groupBy("id").agg(F.count("*").alias("times")).filter("times = 1")
+    known = known.join(once, F.col("query_id") == F.col("id"), "left_semi")
+    # A long's limits stand for scores beyond them.
+    known = known.filter(F.abs("least") < EXACT).select(F.col("query_id").alias("id"), "least")
+    best = first.unionByName(met(shards.filter("g > 0"), asked.join(known, "id", "left").select("id", "v", "least"), [1, n_groups - 1]))
     w = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Characters of text that are worked on at once.
-SLICE = 400_000
+SLICE = 200_000
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
