@@ -32,9 +32,9 @@ def test_equals_brute_force(spark, fan_in, parts):
     d = spark.createDataFrame([(i, t, 0) for i, t in ROWS], DDL).repartition(parts)
     got = E.exact_groups(d, fan_in=fan_in).collect()
     want, least, _ = brute(ROWS)
-    assert by_text(((r["row"]["doc_id"] is None, r["row"]["doc_id"] or 0), r["keep_id"], r["group_size"], bytes(r["digest"]).hex()) for r in got) == want
+    assert by_text(((r["caller_0"] is None, r["caller_0"] or 0), r["keep_id"], r["group_size"], bytes(r["digest"]).hex()) for r in got) == want
     kept = [r for r in got if r["kept"]]
-    assert len(kept) == len(least) and all(r["row"]["doc_id"] == r["keep_id"] for r in kept)
+    assert len(kept) == len(least) and all(r["caller_0"] == r["keep_id"] for r in kept)
     assert E.exact_dedup(d).columns == d.columns and E.exact_dedup(d).count() == len(least)
 
 

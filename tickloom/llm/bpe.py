@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_batches, packed, table, with_columns
+from .common import by_batches, packed, restored, table
 
 #: Pieces whose tokens a Python worker keeps between slices; the most frequent half survives an overflow.
 REMEMBERED = 300_000
@@ -357,23 +357,27 @@ def _texts(batches: Iterator[pa.RecordBatch], path: str, pattern: str):
 
 def _rows(docs: DataFrame, new: list[str], kinds: list[T.DataType], run, text: Column) -> DataFrame:
     """The columns of docs and those that run makes of `text`, in place of columns of their names."""
-    rows = docs.select(packed(docs), text.alias("text"))
-    schema = T.StructType([rows.schema["row"], *(T.StructField(n, k) for n, k in zip(new, kinds, strict=True))])
-    return with_columns(by_batches(rows, run, schema), docs.columns, *new)
+    callers = [f"caller_{k}" for k in range(len(docs.columns))]
+    rows = docs.select(*packed(docs), text.alias("text"))
+    schema = T.StructType([*rows.select(*callers).schema, *(T.StructField(n, k) for n, k in zip(new, kinds, strict=True))])
+    return restored(by_batches(rows, run(callers), schema), docs.columns, *new)
 
 
 def encoded(docs: DataFrame, path: str, pattern: str, check: bool = False) -> DataFrame:
     """docs with `ids` (array of int): the tokens of `text`. check: also `round_trip`, whether they decode to it again."""
     new = ["ids", *["round_trip"] * check]
 
-    def run(batches):
-        for c, part, tokens in _texts(batches, path, pattern):
-            raw = list(tokens)
-            ids = [np.frombuffer(x, "<i4") for x in raw]
-            offsets = pa.array(np.r_[0, np.cumsum([len(x) for x in ids])].astype(np.int32))
-            column = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids)))
-            same = [pa.array([c.decode(x) == (t or "").encode("utf-8", "replace") for x, t in zip(raw, part.column("text").to_pylist(), strict=True)], pa.bool_())] * check
-            yield pa.RecordBatch.from_arrays([part.column("row"), column, *same], ["row", *new])
+    def run(callers: list[str]):
+        def encode(batches):
+            for c, part, tokens in _texts(batches, path, pattern):
+                raw = list(tokens)
+                ids = [np.frombuffer(x, "<i4") for x in raw]
+                offsets = pa.array(np.r_[0, np.cumsum([len(x) for x in ids])].astype(np.int32))
+                column = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids)))
+                same = [pa.array([c.decode(x) == (t or "").encode("utf-8", "replace") for x, t in zip(raw, part.column("text").to_pylist(), strict=True)], pa.bool_())] * check
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in callers), column, *same], [*callers, *new])
+
+        return encode
 
     return _rows(docs, new, [T.ArrayType(T.IntegerType()), T.BooleanType()][: len(new)], run, F.col("text"))
 
@@ -381,11 +385,14 @@ def encoded(docs: DataFrame, path: str, pattern: str, check: bool = False) -> Da
 def decoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """docs with `decoded` (binary): the bytes that the tokens in `ids` stand for; null ids give no bytes."""
 
-    def run(batches):
-        c = codec(path, pattern)
-        for b in batches:
-            raw = [c.decode(np.array(x or [], "<u4").tobytes()) for x in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(raw, pa.binary())], ["row", "decoded"])
+    def run(callers: list[str]):
+        def decode(batches):
+            c = codec(path, pattern)
+            for b in batches:
+                raw = [c.decode(np.array(x or [], "<u4").tobytes()) for x in b.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*(b.column(k) for k in callers), pa.array(raw, pa.binary())], [*callers, "decoded"])
+
+        return decode
 
     return _rows(docs, ["decoded"], [T.BinaryType()], run, F.col("ids"))
 

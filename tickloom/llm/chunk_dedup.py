@@ -192,14 +192,15 @@ def repeats(docs: DataFrame) -> DataFrame:
 def substring_dedup(docs: DataFrame) -> DataFrame:
     """docs with the runs of repeated chunks taken out of `text`."""
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select(packed(docs), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(text).alias("th"))
+    rows = docs.select(*packed(docs), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(text).alias("th"))
     marked = rows.join(repeats(docs).select("id", "th", "spans"), ["id", "th"], "left")
-    raw = F.encode(F.coalesce("row.text", F.lit("")), "utf-8")
+    text = F.col(f"caller_{docs.columns.index('text')}")
+    raw = F.encode(F.coalesce(text, F.lit("")), "utf-8")
     ends = F.transform("spans", lambda s: s["end"])
     kept = F.concat(F.array(F.lit(0).cast("long")), ends), F.concat(F.transform("spans", lambda s: s["start"]), F.array(F.octet_length(raw).cast("long")))
     pieces = F.zip_with(*kept, lambda a, b: F.decode(F.substring(raw, (a + 1).cast("int"), (b - a).cast("int")), "utf-8"))
-    left = F.when(F.coalesce(F.size("spans"), F.lit(0)) > 0, F.array_join(pieces, "")).otherwise(F.col("row.text"))
-    return marked.select(*[left.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
+    left = F.when(F.coalesce(F.size("spans"), F.lit(0)) > 0, F.array_join(pieces, "")).otherwise(text)
+    return marked.select(*[(left if c == "text" else F.col(f"caller_{k}")).alias(c) for k, c in enumerate(docs.columns)])
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -93,12 +93,12 @@ def columns(df: DataFrame) -> list[Column]:
     return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
 
 
-def packed(df: DataFrame) -> Column:
-    """All columns of df in one struct, so that no name of theirs meets one of ours; `row.*` brings them back."""
-    return F.struct(*columns(df)).alias("row")
+def packed(df: DataFrame) -> list[Column]:
+    """All columns of df as `caller_0`, `caller_1` and so on, so that no name of theirs meets one of ours."""
+    return [c.alias(f"caller_{k}") for k, c in enumerate(columns(df))]
 
 
-def with_columns(df: DataFrame, names: list[str], *added: str) -> DataFrame:
-    """The caller's columns (names, packed in `row`) but for those that clash with the added ones, and the added ones."""
+def restored(df: DataFrame, names: list[str], *added: str) -> DataFrame:
+    """The caller's columns under their names, but for those that clash with the added ones, and the added ones."""
     taken = {c.lower() for c in added}
-    return df.select(*[F.col("row").getField(c).alias(c) for c in names if c.lower() not in taken], *added)
+    return df.select(*[F.col(f"caller_{k}").alias(c) for k, c in enumerate(names) if c.lower() not in taken], *added)

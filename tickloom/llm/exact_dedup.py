@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, by_batches, packed, table
+from .common import Scratch, by_batches, packed, restored, table
 
 RUN = np.dtype([("digest", "S32"), ("no_id", "u1"), ("id", "<i8"), ("rows", "<i8"), ("ties", "<i8"), ("check", "<i8"), ("bytes", "<i8")])
 #: Python's white space of the contract: runs of these become one space.
@@ -113,11 +113,11 @@ def groups(rows: DataFrame, fan_in: int = 8, buckets: int | None = None) -> Data
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = 8) -> DataFrame:
-    """row (the columns of docs in a struct), digest, keep_id, group_size, kept of every row of docs."""
+    """caller_0 and so on (the columns of docs), digest, keep_id, group_size, kept of every row of docs."""
     keep = Scratch(docs.sparkSession)
     text = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACES, " ")
     ident = F.col(id_col).cast("long").alias("id")
-    marked = docs.select(packed(docs), ident, F.unhex(F.sha2(text, 256)).alias("digest"))
+    marked = docs.select(*packed(docs), ident, F.unhex(F.sha2(text, 256)).alias("digest"))
     found = groups(docs.select(F.unhex(F.sha2(text, 256)).alias("digest"), ident, F.xxhash64(text).alias("check"), F.octet_length(text).cast("long").alias("bytes")), fan_in)
     found = keep(found.withColumnRenamed("digest", "found"), "groups")
     alone = F.col("found").isNull()
@@ -131,18 +131,18 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         some = keep(all_.filter(tied).withColumn("at", F.monotonically_increasing_id()), "tied")
         first = some.groupBy("digest").agg(F.min("at").alias("first"))
         out = all_.filter(~tied).withColumn("kept", least).unionByName(some.join(first, "digest").withColumn("kept", F.col("at") == F.col("first")).drop("at", "first"))
-    return out.select("row", "digest", "keep_id", "group_size", "kept")
+    return out.select(*[f"caller_{k}" for k in range(len(docs.columns))], "digest", "keep_id", "group_size", "kept")
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with the columns of docs."""
-    return exact_groups(docs).filter("kept").select("row.*")
+    return restored(exact_groups(docs).filter("kept"), docs.columns)
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = exact_groups(docs)
-    return out.select("row.doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+    out = exact_groups(docs).withColumn("text_sha256", F.lower(F.hex("digest")))
+    return restored(out, docs.columns, "keep_id", "group_size", "kept", "text_sha256").drop("text")
 
 
 OP6_SQL = r"""

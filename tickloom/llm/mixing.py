@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import checkpointed, packed, table, with_columns
+from .common import checkpointed, packed, restored, table
 
 CELLS = 1024
 MAX_SOURCES = 100_000
@@ -76,11 +76,11 @@ def words(text: str = "text") -> Column:
 
 
 def drawn(docs: DataFrame, tokens: Column | None = None, source: str = "source", key: str = "doc_id", max_epochs: float | None = 2.0, target_entropy: float | None = None, budget: float | None = None, n_blocks: int = 64, seed: int = 0) -> DataFrame:
-    """row (the columns of docs in a struct) as often as it is drawn, with tokens, epoch, position (0 to 1) and block."""
-    spark = docs.sparkSession
+    """Each row of docs (caller_0 and so on) as often as it is drawn, with tokens, epoch, position (0 to 1) and block."""
+    spark, callers = docs.sparkSession, [f"caller_{k}" for k in range(len(docs.columns))]
     unit = lambda *x: F.pmod(F.xxhash64(F.lit(seed), F.col("key"), *x), F.lit(1 << 52)) / F.lit(float(1 << 52))
     named = F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("n"))
-    d = docs.select(packed(docs), F.col(key).alias("key"), named.alias("source"), (tokens if tokens is not None else words()).alias("tokens"))
+    d = docs.select(*packed(docs), F.col(key).alias("key"), named.alias("source"), (tokens if tokens is not None else words()).alias("tokens"))
     d = d.withColumn("cut", unit(F.lit("cut"))).withColumn("cell", F.floor(F.col("cut") * CELLS).cast("int"))
     cells = checkpointed(d.groupBy("source", "cell").agg(F.sum("tokens").alias("t")))
     per_source = cells.groupBy("source").agg(F.sum("t").alias("t")).limit(MAX_SOURCES + 1).collect()
@@ -104,18 +104,23 @@ def drawn(docs: DataFrame, tokens: Column | None = None, source: str = "source",
     marked = d.join(F.broadcast(spark.createDataFrame(plan, schema + ", edge int, had long")), "source")
     # Whole passes, and the partial pass where it is sure to hold the document.
     inner = marked.withColumn("n", F.col("full") + (F.col("cell") < F.col("edge")).cast("int")).filter("n > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    ahead = F.sum("tokens").over(W.partitionBy("source").orderBy("cut", "key", F.xxhash64("row")).rowsBetween(W.unboundedPreceding, -1))
+    ahead = F.sum("tokens").over(W.partitionBy("source").orderBy("cut", "key", F.xxhash64(*callers)).rowsBetween(W.unboundedPreceding, -1))
     last = marked.filter("cell = edge").withColumn("ahead", F.coalesce(ahead, F.lit(0))).filter("had + ahead < rest").withColumn("epoch", F.col("full"))
     both = inner.drop("n").unionByName(last.drop("ahead"))
     # In the partial pass the documents by the cutting hash fill what is left of the budget evenly.
     share = F.when(F.col("epoch") < F.col("full"), F.col("epoch") + unit(F.col("epoch"))).otherwise(F.col("full") + unit(F.lit("last")) * (F.col("epochs") - F.col("full")))
     both = both.withColumn("position", F.least(share / F.col("epochs"), F.lit(1.0))).withColumn("block", F.least(F.floor(F.col("position") * n_blocks), F.lit(n_blocks - 1)).cast("int"))
-    return both.select("row", "tokens", "epoch", "position", "block")
+    return both.select(*callers, "tokens", "epoch", "position", "block")
 
 
 def mix(docs: DataFrame, *args, **kwargs) -> DataFrame:
     """docs, a row as often as it is drawn, with tokens, epoch, position (0 to 1) and block; arguments as of `drawn`."""
-    return with_columns(drawn(docs, *args, **kwargs), docs.columns, "tokens", "epoch", "position", "block")
+    return restored(drawn(docs, *args, **kwargs), docs.columns, "tokens", "epoch", "position", "block")
+
+
+def repeated(docs: DataFrame, *args, **kwargs) -> DataFrame:
+    """docs, a row as often as it is drawn, and nothing else."""
+    return restored(drawn(docs, *args, **kwargs), docs.columns)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

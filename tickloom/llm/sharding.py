@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, packed, table, with_columns
+from .common import Scratch, packed, restored, table
 
 #: Cells of the ring; a power of two. It bounds the counts that reach the driver.
 CELLS = 8192
@@ -97,9 +97,9 @@ def walk(counts: dict[int, int], nodes: list[tuple[int, int]], n_shards: int, sl
 
 def place(df: DataFrame, key: list[Column], n_shards: int = 16, vnodes: int = 64, slack: float = 0.0, times: Column | None = None) -> DataFrame:
     """df with `shard` (int) and `slot` (long, gapless from 0 in each shard). times: how many keys a row stands for."""
-    spark = df.sparkSession
+    spark, callers = df.sparkSession, [f"caller_{k}" for k in range(len(df.columns))]
     times = F.lit(1).cast("long") if times is None else times.cast("long")
-    keyed = df.select(packed(df), F.xxhash64(*key).alias("at"), F.struct(*key).alias("key"), times.alias("times")).withColumn("cell", F.expr(f"cast(pmod(at, {CELLS}) as int)"))
+    keyed = df.select(*packed(df), F.xxhash64(*key).alias("at"), F.struct(*key).alias("key"), times.alias("times")).withColumn("cell", F.expr(f"cast(pmod(at, {CELLS}) as int)"))
     nodes = ring(n_shards, vnodes)
     counts = {r["cell"]: r["n"] for r in keyed.groupBy("cell").agg(F.sum("times").alias("n")).collect()}
     plan = walk(counts, nodes, n_shards, slack)
@@ -111,9 +111,9 @@ def place(df: DataFrame, key: list[Column], n_shards: int = 16, vnodes: int = 64
     # A row that stands for many keys is spread in two steps, so that no list gets long.
     low, high = F.greatest("first", "a"), F.least("end", "b")
     step = F.explode(F.sequence(low, high - 1, F.lit(STEP).cast("long")))
-    some = joined.select("row", F.col("s").alias("shard"), (F.col("o") - F.col("a")).alias("off"), high.alias("high"), step.alias("low"))
-    each = some.select("row", "shard", "off", F.explode(F.sequence(F.col("low"), F.least(F.col("low") + STEP, F.col("high")) - 1)).alias("rank"))
-    return with_columns(each.withColumn("slot", F.col("off") + F.col("rank")), df.columns, "shard", "slot")
+    some = joined.select(*callers, F.col("s").alias("shard"), (F.col("o") - F.col("a")).alias("off"), high.alias("high"), step.alias("low"))
+    each = some.select(*callers, "shard", "off", F.explode(F.sequence(F.col("low"), F.least(F.col("low") + STEP, F.col("high")) - 1)).alias("rank"))
+    return restored(each.withColumn("slot", F.col("off") + F.col("rank")), df.columns, "shard", "slot")
 
 
 def shard_documents(docs: DataFrame, n_shards: int = 16, vnodes: int = 64) -> DataFrame:

@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, by_batches, packed, table, with_columns
+from .common import Scratch, by_batches, packed, restored, table
 from .words import PRIME, mixed, slices
 
 LENGTH, GRAM = 400, 32
@@ -485,13 +485,14 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             kept = [kept_bytes(t.encode("utf-8", "replace"), s)[0] for t, s in zip(b.column("text").to_pylist(), b.column("spans").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(kept, pa.binary())], ["row", "kept"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in callers), pa.array(kept, pa.binary())], [*callers, "kept"])
 
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select(packed(docs), text.alias("text"), F.xxhash64(text).alias("t"), F.octet_length(text).cast("long").alias("n"))
-    both = rows.join(removed(docs), ["t", "n"], "left").select("row", "text", "spans")
-    out = by_batches(both, run, T.StructType([both.schema["row"], T.StructField("kept", T.BinaryType())]))
-    return with_columns(out, docs.columns, "kept")
+    callers = [f"caller_{k}" for k in range(len(docs.columns))]
+    rows = docs.select(*packed(docs), text.alias("text"), F.xxhash64(text).alias("t"), F.octet_length(text).cast("long").alias("n"))
+    both = rows.join(removed(docs), ["t", "n"], "left").select(*callers, "text", "spans")
+    out = by_batches(both, run, T.StructType([*both.select(*callers).schema, T.StructField("kept", T.BinaryType())]))
+    return restored(out, docs.columns, "kept")
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_batches, packed, table, with_columns
+from .common import by_batches, packed, restored, table
 from .words import PRIME, hashed_words, mixed, slices
 
 DIMS = 1 << 20
@@ -107,9 +107,10 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
 
 
 def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text: str = "text") -> DataFrame:
-    """row (the columns of docs in a struct) and score (double, 0 to 1) of every row of docs."""
-    d = docs.select(packed(docs), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    schema = T.StructType([d.schema["row"], T.StructField("score", T.DoubleType())])
+    """caller_0 and so on (the columns of docs) and score (double, 0 to 1) of every row of docs."""
+    callers = [f"caller_{k}" for k in range(len(docs.columns))]
+    d = docs.select(*packed(docs), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    schema = T.StructType([*d.select(*callers).schema, T.StructField("score", T.DoubleType())])
     shared = d.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -124,19 +125,19 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text: s
                 key = np.unique(row[some] * DIMS + place[some])
                 total = np.bincount(key // DIMS, dense[key % DIMS], len(texts)) + intercept
                 with np.errstate(over="ignore"):
-                    yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(1 / (1 + np.exp(-total)))], ["row", "score"])
+                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in callers), pa.array(1 / (1 + np.exp(-total)))], [*callers, "score"])
 
     return by_batches(d, run, schema)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text: str = "text") -> DataFrame:
     """docs with `score` (double, 0 to 1), in place of a column of that name."""
-    return with_columns(scored(docs, model, text), docs.columns, "score")
+    return restored(scored(docs, model, text), docs.columns, "score")
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that score under the threshold, with the columns of docs."""
-    return scored(docs, learn(docs, labels)).filter(F.col("score") < threshold).select("row.*")
+    return restored(scored(docs, learn(docs, labels)).filter(F.col("score") < threshold), docs.columns)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
