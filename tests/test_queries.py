@@ -11,12 +11,12 @@ import pytest
 from tickloom.plans import queries as Q
 
 SF, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
-MONEY = ["enrich_asof", "enrich_full", "vwap", "window_buckets", "window_accepts", "positions_snapshot", "price_deviation_alerts", "dead_letter_rows"]
+MONEY = ["enrich_asof", "enrich_full", "vwap", "window_buckets", "window_accepts", "positions_snapshot", "price_deviation_alerts", "dead_letter_rows", "stream_market_state", "price_scalars"]
 
 
 def connected(sf):
     c = duckdb.connect()
-    for t in ("customer", "supplier", "part", "orders", "lineitem", "events"):
+    for t in ("nation", "customer", "supplier", "part", "orders", "lineitem", "events"):
         c.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
     return c
 

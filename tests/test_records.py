@@ -1,5 +1,7 @@
 """PRJ-1, WIN-6, AGG-4/6/9, JN-7, SNK-8, FN-1..11, SRC-3/10."""
 
+import random
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -136,3 +138,16 @@ def test_src10_change_capture(spark):
     got = good.orderBy("sourceChangePosition").collect()
     assert [r["sourceChangePosition"] for r in got] == ["1", "2"] and bad.count() == 1
     assert (got[0]["side"], got[0]["sourceSystem"], got[0]["sourceRecordKey"], got[0]["migrationBatchId"]) == ("BUY", "legacy", "9", "m1")
+
+
+def test_bounded_once_equals_the_window(spark):
+    """In Spark as one by one, for windows shorter and longer than the distance of repeats."""
+    r = random.Random(1)
+    rows = [(f"t{r.randrange(2)}", r.randrange(2), r.randrange(12), seq) for seq in range(400)]
+    d = spark.createDataFrame(rows, "topic string, partition int, offset long, seq long").repartition(5)
+    for n in (1, 3, 50):
+        windows, want = {}, []
+        for t, p, o, s in rows:
+            if windows.setdefault((t, p), A.BoundedWindow(n)).write(o, lambda _: None):
+                want.append((t, p, o, s))
+        assert sorted(tuple(x) for x in A.bounded_once(d, n, "seq").collect()) == sorted(want)

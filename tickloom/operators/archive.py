@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import OrderedDict
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,6 +61,25 @@ class BoundedWindow:
         return True
 
 
+def bounded_once(records: DataFrame, n: int, order: str) -> DataFrame:
+    """records as `BoundedWindow` lets them through, for each topic and partition in the order in which they came.
+
+    A partition's records pass one writer in a row, as they do there, and only the window is held.
+    """
+
+    def run(batches):
+        window, of = BoundedWindow(n), None
+        for b in batches:
+            kept = []
+            for topic, partition, offset in zip(*(b.column(c).to_pylist() for c in COORDINATES), strict=True):
+                if (topic, partition) != of:
+                    window, of = BoundedWindow(n), (topic, partition)
+                kept.append(window.write(offset, lambda _: None))
+            yield b.filter(pa.array(kept, pa.bool_()))
+
+    return records.repartition("topic", "partition").sortWithinPartitions("topic", "partition", order).mapInArrow(run, records.schema)
+
+
 def coverage(records: DataFrame) -> DataFrame:
     """Archived, duplicate and missing records of each topic and partition; missing fails, duplicates only warn.
 

@@ -200,7 +200,7 @@ def name_chain(modules: DataFrame, applications: DataFrame, principals: DataFram
 
 def crossing_edges(edges: DataFrame, planes: DataFrame, allowed: list[tuple[str, str]]) -> DataFrame:
     """Dependencies between planes that aren't allowed. edges: src, dst; planes: module, plane."""
-    p = F.broadcast(planes)
+    p = small(planes)
     d = edges.join(p.select(F.col("module").alias("src"), F.col("plane").alias("from_plane")), "src").join(p.select(F.col("module").alias("dst"), F.col("plane").alias("to_plane")), "dst")
     ok = F.concat_ws(">", "from_plane", "to_plane").isin([f"{a}>{b}" for a, b in allowed])
     return d.filter((F.col("from_plane") != F.col("to_plane")) & ~ok)

@@ -59,6 +59,15 @@ def vwap(buckets: DataFrame, horizon_s: int = RETAIN_S) -> DataFrame:
     return live.groupBy("ticker").agg((F.sum("pv").cast("double") / F.nullif(F.sum("v"), F.lit(0.0))).alias("vwap"), F.count("*").alias("n_buckets"))
 
 
+def rebuilt(log: DataFrame, bucket_s: int = BUCKET_S, retain_s: int = RETAIN_S, horizon_s: int = RETAIN_S, span: int | None = None) -> DataFrame:
+    """Both outputs from the whole log, from its first offset on: each ticker's latest tick, with vwap and n_buckets.
+
+    A log that has been replayed gives what it gave at first: a replayed tick is older or a duplicate for the
+    latest state, and its offset adds nothing to the window.
+    """
+    return latest(log).join(vwap(window_buckets(log, bucket_s, retain_s, span), horizon_s), "ticker", "left")
+
+
 def outcome_counts(ticks: DataFrame, span: int | None = None) -> DataFrame:
     """Counters: stale writes by reason, and ticks whose volume the offset guard skipped."""
     d = accepted(outcomes(ticks, span), span)

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,24 +11,11 @@ from ..functions.validation import tick_reasons, version_guard
 from ..operators import archive, cases, corporate_actions, dead_letters, enrichment, governance, market_state, positions, reconciliation, reference_data, risk
 from ..sources import generators
 from . import views as V
+from .registry import QUERIES, SQL, folder, query  # noqa: F401
 
 #: Delivery order of one of these queries' ranges, into many of which each ticker's rows are cut, and their span of time.
 SPAN, SPAN_MS = 2_000_000_000, 518_400_000
 WASH_MS = 3_600_000
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 _PREV = "max({v}) OVER (PARTITION BY ticker ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
 _OUTCOMES = f"""o AS (SELECT *, {_PREV.format(v="event_ms")} AS prev, {_PREV.format(v='"offset"')} AS top FROM ticks),
 outcomes AS (SELECT *, CASE WHEN prev IS NULL OR event_ms > prev THEN 'APPLIED' WHEN event_ms = prev THEN 'DUPLICATE' ELSE 'OLDER' END AS outcome,
@@ -151,11 +134,12 @@ def missing_offsets(spark, sf_dir):
     return archive.missing_offsets(V.archive(spark, sf_dir))
 
 
-@query(f"""WITH {V.ARCHIVE}, m AS (SELECT DISTINCT topic, "partition", "offset", ts_ms, CASE WHEN value IS NULL THEN 'Tombstone' ELSE event_type END AS event_type FROM archive)
+@query(f"""WITH {V.ARCHIVE}, m AS (SELECT DISTINCT topic, "partition", "offset", ts_ms, CASE WHEN value IS NULL THEN 'Tombstone' ELSE event_type END AS event_type,
+  CAST('0x' || substr(sha256(topic || '-' || "partition" || '-' || "offset" || coalesce(value, '')), 1, 15) AS BIGINT) AS d FROM archive)
 SELECT CAST(year(make_timestamp_ms(ts_ms)) AS INTEGER) AS year, CAST(month(make_timestamp_ms(ts_ms)) AS INTEGER) AS month, CAST(day(make_timestamp_ms(ts_ms)) AS INTEGER) AS day, event_type, topic, "partition",
-count(*) AS records, min("offset") AS "firstOffset", max("offset") AS "lastOffset" FROM m GROUP BY ALL""")
+count(*) AS records, min("offset") AS "firstOffset", max("offset") AS "lastOffset", CAST(sum(d) AS VARCHAR) AS digest FROM m GROUP BY ALL""")
 def archive_manifest(spark, sf_dir):
-    return archive.manifest(_archived(spark, sf_dir)).drop("digest")
+    return archive.manifest(_archived(spark, sf_dir))
 
 
 def _failures(spark, sf_dir):
@@ -373,35 +357,35 @@ def trade_walk(spark, sf_dir):
     return generators.trades(spark, 1000, seed=7)
 
 
-def _folder(spark) -> str:
-    """A folder that driver and executors share: the session's checkpoint folder, or one of our own where none is set."""
-    sc = spark.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir") and sc._jsc.sc().getCheckpointDir().isEmpty():
-        if not sc.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tickloom-checkpoint-"))
-    return f"{sc._jsc.sc().getCheckpointDir().get()}/stream-{uuid.uuid4().hex}"
-
-
-@query(SQL["market_outcomes"])
+@query(f"""WITH {V.TICKS}, {_OUTCOMES}, {_BUCKETS}, k AS (SELECT ticker, seq, bucket FROM b),
+h AS (SELECT o.ticker, o.seq, k.bucket, k.seq AS s FROM outcomes o JOIN k ON k.ticker = o.ticker AND k.seq <= o.seq),
+g AS (SELECT h.ticker, h.seq, h.bucket, max(x.bucket) AS ahead FROM (SELECT ticker, seq, bucket, max(s) AS s FROM h GROUP BY ALL) h
+      JOIN k x ON x.ticker = h.ticker AND x.seq BETWEEN h.s AND h.seq GROUP BY ALL),
+n AS (SELECT ticker, seq, count(*) FILTER (bucket >= ahead - {V.RETAIN_S}) AS n FROM g GROUP BY ALL)
+SELECT o.ticker, o.seq, o.event_ms, o.outcome, o.accepted AS "windowApplied", coalesce(n.n, 0) AS "windowBuckets" FROM outcomes o LEFT JOIN n ON n.ticker = o.ticker AND n.seq = o.seq""")
 def stream_market_state(spark, sf_dir):
-    """The stateful operator over the whole input as a stream; its outcomes are those of the batch query."""
+    """The stateful operator over the whole input as a stream of several batches; its outcomes are those of the batch query."""
     from ..streaming.market import ROCKSDB, TICKS, market_updates
 
-    at = _folder(spark)
-    V.ticks(spark, sf_dir).write.parquet(f"{at}/in")
+    at, ticks = folder(spark), V.ticks(spark, sf_dir)
+    span = even_span(ticks.withColumn("seq", F.col("seq")), "seq", 200_000)
+    first, last = ticks.agg(F.min("seq"), F.max("seq")).first()
+    for low in range(first, last + 1, span) if first is not None else []:  # a file for each batch, in order of delivery
+        ticks.filter(F.col("seq").between(low, low + span - 1)).coalesce(1).write.mode("append").parquet(f"{at}/in")
+    if first is None:
+        ticks.write.parquet(f"{at}/in")
     # Without data there is nothing to wait for: batches for timers alone would never end.
     settings = ROCKSDB | {"spark.sql.streaming.noDataMicroBatches.enabled": "false"}
     had = {k: spark.conf.get(k, None) for k in settings}
     for k, v in settings.items():
         spark.conf.set(k, v)
     try:
-        stream = spark.readStream.schema(TICKS).parquet(f"{at}/in")
+        stream = spark.readStream.schema(TICKS).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
         market_updates(stream, V.BUCKET_S, V.RETAIN_S).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/cp").trigger(availableNow=True).start().awaitTermination()
     finally:
         for k, v in had.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    return spark.read.parquet(f"{at}/out").select("ticker", "seq", "event_ms", "outcome")
+    return spark.read.parquet(f"{at}/out").select("ticker", "seq", "event_ms", "outcome", "windowApplied", "windowBuckets")
 
 
 @query(f"""WITH {V.ARCHIVE} SELECT DISTINCT topic || '-' || "partition" || '-' || "offset" AS "idempotencyKey", CASE WHEN value IS NULL THEN 'Tombstone' ELSE 'Event' END AS "eventType", coalesce(value, '') AS payload
@@ -411,7 +395,7 @@ def stream_archive(spark, sf_dir):
     from ..schemas import RECORD
     from ..streaming.archive import archive_stream
 
-    at = _folder(spark)
+    at = folder(spark)
     frame = F.concat(F.unhex(F.lit("0000000001")), F.col("value"))
     V.archive(spark, sf_dir).withColumn("value", frame).select(*RECORD.names).write.parquet(f"{at}/in")
     schemas = spark.createDataFrame([(1, "Event")], "id long, name string")
@@ -423,3 +407,6 @@ def stream_archive(spark, sf_dir):
 def entry(spark: SparkSession) -> DataFrame:
     """The flagship: volume-weighted average price per ticker over the surviving window."""
     return vwap(spark, "/root/testdata/sf0.001")
+
+
+from . import checks  # noqa: E402, F401  registers its queries
