@@ -124,5 +124,5 @@ def repeated(docs: DataFrame, *args, **kwargs) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").withColumn("tokens", words()).select("doc_id", "source", "tokens")
-    return mix(docs, F.col("tokens")).select("doc_id", "source", "tokens", "epoch", "position", "block")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mix(docs).select("doc_id", "source", "tokens", "epoch", "position", "block")
