@@ -29,7 +29,7 @@ def outcomes(ticks: DataFrame, span: int | None = None) -> DataFrame:
 
 def latest(ticks: DataFrame) -> DataFrame:
     """The tick of each ticker with the greatest event time, the first delivered of equals: an aggregate, no window."""
-    cols = ["bid", "ask", "last", "volume", "event_ms", "offset"]
+    cols = ["bid", "ask", "last", "volume", "event_ms", "offset", *[c for c in ("produced_ms", "correlationId") if c in ticks.columns]]
     best = F.max_by(F.struct(*cols), F.struct("event_ms", -F.col("seq"))).alias("t")
     return ticks.groupBy("ticker").agg(best).select("ticker", *[f"t.{c}" for c in cols])
 

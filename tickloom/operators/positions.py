@@ -3,16 +3,23 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def first_delivered(trades: DataFrame) -> DataFrame:
+    """trades without redelivered copies: of each tradeId the row with the least seq, picked before and after the exchange."""
+    by_seq = W.partitionBy("tradeId").orderBy("seq")
+    return trades.withColumn("_n", F.row_number().over(by_seq)).filter("_n = 1").drop("_n")
+
+
 def positions(trades: DataFrame) -> DataFrame:
     """Net and gross quantities of each account, trader and ticker; market value at the last trade's price.
 
     A redelivered trade counts once: the copy delivered first. trades: tradeId, accountId, traderId, ticker, side,
     quantity, price, event_ms, seq.
     """
-    once = trades.groupBy("tradeId").agg(F.min_by(F.struct(*[c for c in trades.columns if c != "tradeId"]), "seq").alias("t")).select("tradeId", "t.*")
+    once = first_delivered(trades)
     buy = F.sum(F.when(F.col("side") == "BUY", F.col("quantity")).otherwise(0))
     sell = F.sum(F.when(F.col("side") == "SELL", F.col("quantity")).otherwise(0))
     last = F.max_by(F.struct("tradeId", "price"), F.struct("event_ms", "seq"))

@@ -73,7 +73,7 @@ def bounded_idempotence(spark, sf_dir):
     return archive.bounded_once(d.select("topic", "partition", "offset", "seq"), 1, "seq")
 
 
-@query(f"WITH l AS ({SQL['market_latest']}), v AS ({SQL['vwap']}) SELECT l.ticker, bid, ask, last, volume, event_ms, \"offset\", v.vwap, v.n_buckets FROM l LEFT JOIN v ON l.ticker = v.ticker")
+@query(f"WITH l AS ({SQL['market_latest']}), v AS ({SQL['vwap']}) SELECT l.ticker, bid, ask, last, volume, event_ms, \"offset\", produced_ms, \"correlationId\", v.vwap, v.n_buckets FROM l LEFT JOIN v ON l.ticker = v.ticker")
 def market_rebuild(spark, sf_dir):
     """The log, replayed from its first offset, gives what it gave at first."""
     t = V.ticks(spark, sf_dir)
@@ -188,3 +188,24 @@ def edges_crossing(spark, sf_dir):
 def names_and_flags(spark, sf_dir):
     d = V.table(spark, sf_dir, "events").withColumns({"topic": F.concat(F.lit("topic-"), (F.col("event_id") % 4).cast("string")), "ticker": F.concat(F.lit("T"), F.col("user_id").cast("string"))})
     return d.select("event_id", S.flag(F.col("event_type")).alias("flag"), S.dlq_topic().alias("dlq"), S.cache_key("ticker", "window").alias("cache_key"))
+
+
+@query(f"""WITH {V.TRADES}, once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY "tradeId" ORDER BY seq) AS k FROM trades) WHERE k = 1), {V.TICKS}, {V.INSTRUMENTS},
+l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY event_ms DESC, seq) AS m FROM ticks) WHERE m = 1),
+one AS (SELECT ticker, arg_min("sharesOutstanding", "instrumentId") AS shares FROM latest GROUP BY ticker)
+SELECT "tradeId", o.ticker, floor((bid + ask) / 2 * 10000 + 0.5) / 10000 AS mid, floor(shares * price / 1e7 * 10000 + 0.5) / 10000 AS "marketCap", o.event_ms - l.event_ms AS "dataAgeMs", true AS timed
+FROM once o JOIN l ON o.ticker = l.ticker JOIN one ON o.ticker = one.ticker""")
+def stream_enrichment(spark, sf_dir):
+    """Trades as a stream of several batches, enriched with the market as it is now."""
+    from ..operators import positions, reference_data
+    from ..streaming.enrichment import enrichment_stream
+
+    at = folder(spark)
+    trades = positions.first_delivered(V.trades(spark, sf_dir)).withColumn("produced_ms", F.col("event_ms"))
+    trades.write.parquet(f"{at}/in")
+    market_state.latest(V.ticks(spark, sf_dir)).write.parquet(f"{at}/state")
+    reference_data.latest_instruments(reference_data.publishable(V.instruments(spark, sf_dir), "reference-data")[0]).write.parquet(f"{at}/instruments")
+    stream = spark.readStream.schema(trades.schema).option("maxFilesPerTrigger", 4).parquet(f"{at}/in")
+    enrichment_stream(stream, lambda: spark.read.parquet(f"{at}/state"), lambda: spark.read.parquet(f"{at}/instruments"), f"{at}/out", f"{at}/misses", f"{at}/cp").awaitTermination()
+    d = spark.read.parquet(f"{at}/out")
+    return d.select("tradeId", "ticker", S.half_up(F.col("mid"), 4).alias("mid"), S.half_up(F.col("marketCap"), 4).alias("marketCap"), "dataAgeMs", (F.col("enrichmentLatencyMs") == F.col("enrichedAtMs") - F.col("produced_ms")).alias("timed"))

@@ -34,7 +34,7 @@ def market_outcomes(spark, sf_dir):
 
 
 @query(f"""WITH {V.TICKS}, r AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY event_ms DESC, seq) AS k FROM ticks)
-SELECT ticker, bid, ask, last, volume, event_ms, "offset", 'market:{{' || ticker || '}}:tick' AS cache_key FROM r WHERE k = 1""")
+SELECT ticker, bid, ask, last, volume, event_ms, "offset", produced_ms, "correlationId", 'market:{{' || ticker || '}}:tick' AS cache_key FROM r WHERE k = 1""")
 def market_latest(spark, sf_dir):
     return market_state.latest(V.ticks(spark, sf_dir)).withColumn("cache_key", cache_key("ticker", "tick"))
 
@@ -190,8 +190,7 @@ one AS (SELECT ticker, arg_min("sharesOutstanding", "instrumentId") AS shares FR
 
 
 def _once(spark, sf_dir):
-    t = V.trades(spark, sf_dir)
-    return t.groupBy("tradeId").agg(F.min_by(F.struct(*[c for c in t.columns if c != "tradeId"]), "seq").alias("t")).select("tradeId", "t.*")
+    return positions.first_delivered(V.trades(spark, sf_dir))
 
 
 def _quoted(spark, sf_dir):

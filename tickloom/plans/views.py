@@ -27,6 +27,7 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("T"), F.col("user_id").cast("string")).alias("ticker"), (F.col("value") - 0.5).alias("bid"), (F.col("value") + 0.5).alias("ask"), F.col("value").alias("last"),
         F.get_json_object("props", "$.k").cast("long").alias("volume"), (F.floor(epoch_ms("ts") / SIX_HOURS_MS) * SIX_HOURS_MS).cast("long").alias("event_ms"), at.alias("offset"), at.alias("seq"),
     )
+    d = d.withColumns({"produced_ms": F.col("event_ms") + F.col("offset") % 1000, "correlationId": F.concat(F.lit("corr-"), F.col("offset").cast("string"))})
     return d.unionByName(d.filter("offset % 10 = 0").withColumn("seq", F.col("seq") + 500_000_000))
 
 
@@ -36,7 +37,8 @@ TICKS = f"""t0 AS (
          CAST(floor((epoch_us(ts) // 1000) / {SIX_HOURS_MS}.0) AS BIGINT) * {SIX_HOURS_MS} AS event_ms,
          (event_id + event_id * 7919 % 1000) * 1000000 + event_id AS "offset",
          (event_id + event_id * 7919 % 1000) * 1000000 + event_id AS seq FROM events),
-ticks AS (SELECT * FROM t0 UNION ALL SELECT * REPLACE (seq + 500000000 AS seq) FROM t0 WHERE "offset" % 10 = 0)"""
+t1 AS (SELECT *, event_ms + "offset" % 1000 AS produced_ms, 'corr-' || "offset" AS "correlationId" FROM t0),
+ticks AS (SELECT * FROM t1 UNION ALL SELECT * REPLACE (seq + 500000000 AS seq) FROM t1 WHERE "offset" % 10 = 0)"""
 
 
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:

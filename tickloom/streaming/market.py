@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.market_state import BUCKET_S, RETAIN_S
 
 OUT = "ticker string, seq long, event_ms long, outcome string, windowApplied boolean, windowBuckets long, last double"
-TICKS = "ticker string, bid double, ask double, last double, volume long, event_ms long, offset long, seq long"
+TICKS = "ticker string, bid double, ask double, last double, volume long, event_ms long, offset long, seq long, produced_ms long, correlationId string"
+LEAST = np.iinfo(np.int64).min
 
 
 class MarketState(StatefulProcessor):
@@ -24,41 +27,42 @@ class MarketState(StatefulProcessor):
         self.bucket_s, self.retain_s, self.ttl_ms = bucket_s, retain_s, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.tick = handle.getValueState("tick", "event_ms long, bid double, ask double, last double, volume long, offset long")
+        self.tick = handle.getValueState("tick", "event_ms long, bid double, ask double, last double, volume long, offset long, produced_ms long, correlationId string")
         self.top = handle.getValueState("top", "offset long", self.ttl_ms)
         self.window = handle.getMapState("window", "bucket long", "pv double, v double", self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         frame = pd.concat(list(rows)).sort_values("seq", kind="stable")  # a batch's rows come in any order
-        state = self.tick.get()
-        newest = state[0] if state else None
-        held = self.top.get()
-        top = held[0] if held else None
+        ms, offsets = frame["event_ms"].to_numpy(np.int64), frame["offset"].to_numpy(np.int64)
+        state, held = self.tick.get(), self.top.get()
+        # Both guards are running maxima, so the rows are judged all at once.
+        newest = np.maximum.accumulate(np.r_[state[0] if state else LEAST, ms])[:-1]
+        top = np.maximum.accumulate(np.r_[held[0] if held else LEAST, offsets])
+        outcome = np.where(ms > newest, "APPLIED", np.where(ms == newest, "DUPLICATE", "OLDER"))
+        added = offsets > top[:-1]
         buckets = {k[0]: list(v) for k, v in self.window.iterator()}
-        before, moved, applied, out = set(buckets), set(), None, []
-        for t in frame.itertuples(index=False):
-            outcome = "APPLIED" if newest is None or t.event_ms > newest else "DUPLICATE" if t.event_ms == newest else "OLDER"
-            if outcome == "APPLIED":
-                newest, applied = t.event_ms, t
-            added = top is None or t.offset > top
-            if added:
-                top = t.offset
-                b = t.event_ms // (self.bucket_s * 1000) * self.bucket_s
-                pv, v = buckets.get(b, (0.0, 0.0))
-                buckets[b] = [pv + t.last * t.volume, v + float(t.volume)]
-                moved.add(b)
-                for old in [x for x in buckets if x < b - self.retain_s]:
+        before, at = set(buckets), np.flatnonzero(added)
+        counts = np.full(len(at) + 1, len(buckets))
+        if len(at):
+            bucket = ms[at] // (self.bucket_s * 1000) * self.bucket_s
+            v = frame["volume"].to_numpy(np.float64)[at]
+            pv = frame["last"].to_numpy(np.float64)[at] * v
+            first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])  # ticks in a row of one bucket count at once
+            for a, z, b, x, y in zip(first.tolist(), [*first[1:].tolist(), len(at)], bucket[first].tolist(), np.add.reduceat(pv, first).tolist(), np.add.reduceat(v, first).tolist(), strict=True):
+                had = buckets.get(b, (0.0, 0.0))
+                buckets[b] = [had[0] + x, had[1] + y]
+                for old in [o for o in buckets if o < b - self.retain_s]:
                     del buckets[old]
-            out.append((key[0], t.seq, t.event_ms, outcome, added, len(buckets), t.last))
-        if applied is not None:
-            self.tick.update(tuple(x.item() if hasattr(x, "item") else x for x in (applied.event_ms, applied.bid, applied.ask, applied.last, applied.volume, applied.offset)))
-        if moved:
-            self.top.update((int(top),))
+                counts[a + 1 : z + 1] = len(buckets)
+            self.top.update((int(top[-1]),))
             for b in before - set(buckets):
                 self.window.removeKey((int(b),))
             for b in buckets:  # all of them: the whole window's expiry is put off by a write
                 self.window.updateValue((int(b),), (float(buckets[b][0]), float(buckets[b][1])))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
+        if (outcome == "APPLIED").any():
+            t = frame.iloc[np.flatnonzero(outcome == "APPLIED")[-1]]
+            self.tick.update((int(t["event_ms"]), float(t["bid"]), float(t["ask"]), float(t["last"]), int(t["volume"]), int(t["offset"]), None if pd.isna(t["produced_ms"]) else int(t["produced_ms"]), None if pd.isna(t["correlationId"]) else t["correlationId"]))
+        yield pd.DataFrame({"ticker": key[0], "seq": frame["seq"].to_numpy(), "event_ms": ms, "outcome": outcome, "windowApplied": added, "windowBuckets": counts[np.cumsum(added)], "last": frame["last"].to_numpy()})
 
     def close(self) -> None:
         pass
@@ -66,6 +70,8 @@ class MarketState(StatefulProcessor):
 
 def market_updates(ticks: DataFrame, bucket_s: int = BUCKET_S, retain_s: int = RETAIN_S, ttl_ms: int = 600_000) -> DataFrame:
     """A row for each tick: its outcome, whether its volume counted, and the buckets held then. Needs the RocksDB state store."""
+    for name, kind in (("produced_ms", "long"), ("correlationId", "string")):  # a feed may lack them
+        ticks = ticks if name in ticks.columns else ticks.withColumn(name, F.lit(None).cast(kind))
     return ticks.groupBy("ticker").transformWithStateInPandas(MarketState(bucket_s, retain_s, ttl_ms), outputStructType=OUT, outputMode="Append", timeMode="ProcessingTime")
 
 
