@@ -56,3 +56,12 @@ def test_movement_is_limited(spark):
 
 def test_empty(spark):
     assert S.shard_documents(spark.createDataFrame([], DDL)).collect() == []
+
+
+def test_very_long_texts_and_rows_that_are_alike(spark):
+    rows = [(1, "é" * 300_000), (2, None)] + [(None, "same")] * 700
+    got = S.shard_documents(spark.createDataFrame(rows, DDL).repartition(3)).collect()
+    assert max(r["size"] for r in got) == 600_001 and len(got) == 702
+    n = Counter(r["shard"] for r in got)
+    assert max(n.values()) - min(n.values()) <= 1
+    assert all(sorted(r["slot"] for r in got if r["shard"] == s) == list(range(n[s])) for s in n)
