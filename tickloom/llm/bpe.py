@@ -32,7 +32,7 @@ from .common import by_batches, packed, restored, table
 #: Pieces whose tokens a Python worker keeps between slices; the most frequent half survives an overflow.
 REMEMBERED = 300_000
 #: Characters of text in a slice.
-SLICE = 500_000
+SLICE = 250_000
 #: A merge at fewer places than this is replayed place by place.
 FEW = 12
 

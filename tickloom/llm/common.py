@@ -22,13 +22,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def by_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
-    """mapInArrow in batches of few rows, as texts have any length; workers give back what memory a task has used."""
+    """mapInArrow in batches of few rows, as texts have any length; workers give back what memory a batch has used."""
     conf = df.sparkSession.conf
     if conf.get(BATCH_CONF) == "10000":
         conf.set(BATCH_CONF, str(BATCH))
 
+    def fed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b
+            trim()
+
     def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from run(batches)
+        yield from run(fed(batches))
         trim()
 
     return df.mapInArrow(trimmed, schema)
