@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, by_batches, packed, restored, table
+from .common import Scratch, by_batches, packed, restored, table, trim
 
 RUN = np.dtype([("digest", "S32"), ("no_id", "u1"), ("id", "<i8"), ("rows", "<i8"), ("ties", "<i8"), ("check", "<i8"), ("bytes", "<i8")])
 #: Python's white space of the contract: runs of these become one space.
@@ -90,13 +90,14 @@ def _merged(key, pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"bucket": [key[0]], "run": [key[1]], "data": [run.tobytes()]})
 
 
-def _flat(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        for data in pdf["data"]:
-            run = np.frombuffer(data, RUN)
-            run = run[run["rows"] > 1]
-            digests = run["digest"].tolist()
-            yield pd.DataFrame({"digest": pd.Series([x.ljust(32, b"\0") for x in digests], dtype=object), "keep_id": pd.array(run["id"], "Int64").copy() if not run["no_id"].any() else pd.array([None if n else i for n, i in zip(run["no_id"].tolist(), run["id"].tolist(), strict=True)], "Int64"), "group_size": run["rows"].copy(), "ties": run["ties"].copy()})
+def _merged_groups(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The last merge of a bucket, and of its run the groups of two rows or more: one Python worker for both."""
+    run = merge([np.frombuffer(x, RUN) for x in pdf["data"]])
+    run = run[run["rows"] > 1]
+    ids = [None if n else i for n, i in zip(run["no_id"].tolist(), run["id"].tolist(), strict=True)]
+    out = pd.DataFrame({"digest": pd.Series([x.ljust(32, b"\0") for x in run["digest"].tolist()], dtype=object), "keep_id": pd.array(ids, "Int64"), "group_size": run["rows"].copy(), "ties": run["ties"].copy()})
+    trim()
+    return out
 
 
 def groups(rows: DataFrame, fan_in: int = 8, buckets: int | None = None) -> DataFrame:
@@ -107,9 +108,13 @@ def groups(rows: DataFrame, fan_in: int = 8, buckets: int | None = None) -> Data
     n = rows.rdd.getNumPartitions()
     buckets = buckets or max(16, min(65536, n))
     runs = by_batches(rows, _runs(buckets), "bucket int, run long, data binary")
-    for _ in range(math.ceil(math.log(max(n, 2), fan_in) - 1e-9)):
-        runs = runs.withColumn("run", F.floor(F.col("run") / fan_in)).groupBy("bucket", "run").applyInPandas(_merged, "bucket int, run long, data binary")
-    return runs.mapInPandas(_flat, "digest binary, keep_id long, group_size long, ties long")
+    rounds = math.ceil(math.log(max(n, 2), fan_in) - 1e-9)
+    for k in range(1, rounds + 1):
+        met = runs.withColumn("run", F.floor(F.col("run") / fan_in)).groupBy("bucket", "run")
+        if k == rounds:
+            return met.applyInPandas(_merged_groups, "digest binary, keep_id long, group_size long, ties long")
+        runs = met.applyInPandas(_merged, "bucket int, run long, data binary")
+    raise AssertionError("there is one round at least")
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = 8) -> DataFrame:
