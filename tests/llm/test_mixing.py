@@ -91,3 +91,18 @@ def test_draws_equal_a_plain_simulation(spark, budget):
             left -= n
     got = [(r["doc_id"], r["epoch"]) for r in M.mix(d, budget=budget).collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+@pytest.mark.parametrize("args", [{"max_epochs": 2.0}, {"max_epochs": 2.0, "budget": 3000.0}, {"target_entropy": 1.0, "max_epochs": None}])
+def test_plan_joined_or_broadcast(spark, args, monkeypatch):
+    d = corpus(spark)
+    want = sorted(map(str, M.mix(d, **args).collect()))
+    monkeypatch.setattr(M, "BROADCAST", 0)
+    assert sorted(map(str, M.mix(d, **args).collect())) == want
+
+
+def test_any_number_of_sources(spark):
+    n = 120_000
+    d = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("w "), F.when(F.col("id") % 3 == 0, "w w").otherwise("")).alias("text"), F.col("id").cast("string").alias("source"))
+    got = M.mix(d, max_epochs=3.0).groupBy("tokens").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs")).collect()
+    assert {r["tokens"]: (r["n"], r["docs"]) for r in got} == {3: (n // 3, n // 3), 1: (3 * (n - n // 3), n - n // 3)}

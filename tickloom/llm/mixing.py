@@ -12,7 +12,9 @@ hash, until the source's budget is spent: that cut is found from sums over `CELL
 range where the budget ends is put in order. `position` runs from 0 to 1 over a source's whole budget, and
 `block` cuts all positions into equal parts, so each block holds every source by its weight.
 
-Tables of one row for each source are collected and broadcast; more than `MAX_SOURCES` are refused.
+There may be any number of sources. The driver only gets sums over them, for a few exponents at once; the table of
+one row for each source is broadcast up to `BROADCAST` bytes and joined by source beyond, where Spark splits large
+sources.
 
 Defined results: tokens are counted by `tokens`, a Column, here runs of characters that aren't white space;
 null texts have none; a source without tokens has weight 0 and is seen once; null is a source of its own;
@@ -23,6 +25,7 @@ clash with those added are replaced.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -30,8 +33,10 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, packed, restored, table
 
-CELLS = 1024
-MAX_SOURCES = 100_000
+#: Hash ranges of a source; rows of one of them are put in order by one task.
+CELLS = 65_536
+#: Bytes of the sources' plan that are broadcast at most, and what one source takes beside its name.
+BROADCAST, PLAN_ROW = 16 << 20, 96
 
 
 def entropy(weights: list[float]) -> float:
@@ -50,27 +55,80 @@ def whole_budget(tokens: list[int], weights: list[float]) -> float:
     return max((t / w for t, w in zip(tokens, weights, strict=True) if w), default=0.0)
 
 
-def exponent(tokens: list[int], max_epochs: float | None = None, target_entropy: float | None = None, budget: float | None = None) -> float:
-    """The exponent in [0, 1] that meets the repetition limit or the target entropy as closely as any can."""
+def entropy_of(powers: tuple[float, float], a: float) -> float:
+    """Entropy of the weights of exponent a. powers: the sums of p ** a and of p ** a * ln p over all shares p."""
+    return math.log(powers[0]) - a * powers[1] / powers[0]
 
-    def flat_enough(a: float) -> bool:
-        w = tempered(tokens, a)
-        if target_entropy is not None:
-            return entropy(w) >= target_entropy
-        b = whole_budget(tokens, w) if budget is None else budget
-        return max((b * x / t for x, t in zip(w, tokens, strict=True) if t), default=0.0) > max_epochs
 
-    if flat_enough(1.0):
-        return 1.0
-    if not flat_enough(0.0):
-        return 0.0
+def bisected(sums: Callable[[list[float]], list[tuple[float, float]]], total: int, least: int, most: int, max_epochs: float | None, target_entropy: float | None, budget: float | None) -> float:
+    """The exponent, from sums over all sources with tokens alone. sums: `powers` of each of a few exponents.
+
+    A source's tokens t have weight (t / total) ** a / powers[0], so for a up to 1 the smallest source is seen most
+    often, and the largest needs the greatest budget. [0, 1] is halved four times for each call of `sums`.
+    """
+
+    def flat_enough(a: float, powers: tuple[float, float]) -> bool:
+        if target_entropy is not None:
+            return entropy_of(powers, a) >= target_entropy
+        if budget is None:
+            return (most / least) ** (1 - a) > max_epochs
+        return budget * (least / total) ** a / powers[0] / least > max_epochs
+
+    def flat(points: list[float]) -> list[bool]:
+        unread = target_entropy is None and budget is None
+        return [flat_enough(a, x) for a, x in zip(points, [(0.0, 0.0)] * len(points) if unread else sums(points), strict=True)]
+
+    at_0, at_1 = flat([0.0, 1.0])
+    if at_1 or not at_0:
+        return 1.0 if at_1 else 0.0
     low, high = 0.0, 1.0
-    for _ in range(60):
-        mid = (low + high) / 2
-        low, high = (mid, high) if flat_enough(mid) else (low, mid)
+    for _ in range(15):
+        points = [low + (high - low) * k / 16 for k in range(17)]
+        known = flat(points[1:-1])
+        x, y = 0, 16
+        while y - x > 1:
+            mid = (x + y) // 2
+            x, y = (mid, y) if known[mid - 1] else (x, mid)
+        low, high = points[x], points[y]
     return low if target_entropy is not None else high
 
 
+def exponent(tokens: list[int], max_epochs: float | None = None, target_entropy: float | None = None, budget: float | None = None) -> float:
+    """The exponent in [0, 1] that meets the repetition limit or the target entropy as closely as any can."""
+    some = [t for t in tokens if t]
+    if not some:
+        return 1.0
+    total = sum(some)
+
+    def sums(points: list[float]) -> list[tuple[float, float]]:
+        return [(sum((t / total) ** a for t in some), sum((t / total) ** a * math.log(t / total) for t in some)) for a in points]
+
+    return bisected(sums, total, min(some), max(some), max_epochs, target_entropy, budget)
+
+
+def epochs_of(sizes: DataFrame, max_epochs: float | None, target_entropy: float | None, budget: float | None) -> DataFrame:
+    """sizes (source, t) with full (whole passes), rest (tokens of the last one) and epochs, whatever the number of sources."""
+    some = sizes.filter("t > 0")
+    facts = some.agg(F.sum("t").alias("total"), F.min("t").alias("least"), F.max("t").alias("most")).first()
+    total, least, most = facts["total"], facts["least"], facts["most"]
+    seen = F.lit(1.0)
+    if total:
+        share = F.col("t") / F.lit(float(total))
+
+        def sums(points: list[float]) -> list[tuple[float, float]]:
+            power = [F.pow(share, F.lit(a)) for a in points]
+            row = some.agg(*[x for p in power for x in (F.sum(p), F.sum(p * F.log(share)))]).first()
+            return list(zip(row[::2], row[1::2], strict=True))
+
+        a = bisected(sums, total, least, most, max_epochs, target_entropy, budget)
+        norm = sums([a])[0][0]
+        whole = most / ((most / total) ** a / norm) if budget is None else budget
+        seen = F.when(F.col("t") > 0, F.lit(whole) * (F.pow(share, F.lit(a)) / F.lit(norm)) / F.col("t")).otherwise(1.0)
+    out = sizes.withColumn("epochs", seen).withColumn("full", F.floor(F.col("epochs") + 1e-9).cast("int"))
+    rest = F.greatest(F.lit(0).cast("long"), F.rint((F.col("epochs") - F.col("full")) * F.col("t")).cast("long"))
+    return out.withColumn("rest", rest).withColumn("epochs", F.greatest("epochs", F.lit(1e-12)))
+
+
 def words(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(r"\S+")), F.lit(0)).cast("long")
 
@@ -83,25 +141,14 @@ def drawn(docs: DataFrame, tokens: Column | None = None, source: str = "source",
     d = docs.select(*packed(docs), F.col(key).alias("key"), named.alias("source"), (tokens if tokens is not None else words()).alias("tokens"))
     d = d.withColumn("cut", unit(F.lit("cut"))).withColumn("cell", F.floor(F.col("cut") * CELLS).cast("int"))
     cells = checkpointed(d.groupBy("source", "cell").agg(F.sum("tokens").alias("t")))
-    per_source = cells.groupBy("source").agg(F.sum("t").alias("t")).limit(MAX_SOURCES + 1).collect()
-    if len(per_source) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    names, sizes = [r["source"] for r in per_source], [r["t"] for r in per_source]
-    weights = tempered(sizes, exponent(sizes, max_epochs, target_entropy, budget))
-    total = whole_budget(sizes, weights) if budget is None else budget
-    plan = []
-    for name, t, w in zip(names, sizes, weights, strict=True):
-        epochs = total * w / t if t else 1.0
-        full = math.floor(epochs + 1e-9)
-        plan.append((name, full, max(0, round((epochs - full) * t)), max(epochs, 1e-12)))
-    schema = "source string, full int, rest long, epochs double"
-    ends = spark.createDataFrame(plan, schema)
+    ends = checkpointed(epochs_of(cells.groupBy("source").agg(F.sum("t").alias("t")), max_epochs, target_entropy, budget).drop("t"))
     # The hash range of each source in which its last, partial pass ends, and what the ranges before it hold.
     w = W.partitionBy("source").orderBy("cell")
-    cut = cells.withColumn("upto", F.sum("t").over(w)).withColumn("before", F.col("upto") - F.col("t")).join(F.broadcast(ends), "source").filter("before < rest and upto >= rest")
-    edge = {r["source"]: (r["cell"], r["before"]) for r in cut.select("source", "cell", "before").collect()}
-    plan = [(*p, *edge.get(p[0], (-1, 0))) for p in plan]
-    marked = d.join(F.broadcast(spark.createDataFrame(plan, schema + ", edge int, had long")), "source")
+    cut = cells.withColumn("upto", F.sum("t").over(w)).withColumn("had", F.col("upto") - F.col("t")).join(ends.select("source", "rest"), "source").filter("had < rest and upto >= rest")
+    cut = cut.select("source", F.col("cell").alias("edge"), "had")
+    plan = checkpointed(ends.join(cut, "source", "left").na.fill({"edge": -1, "had": 0}))
+    size = plan.agg(F.sum(F.octet_length("source") + PLAN_ROW).alias("n")).first()["n"] or 0
+    marked = d.join(F.broadcast(plan) if size <= BROADCAST else plan, "source")
     # Whole passes, and the partial pass where it is sure to hold the document.
     inner = marked.withColumn("n", F.col("full") + (F.col("cell") < F.col("edge")).cast("int")).filter("n > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     ahead = F.sum("tokens").over(W.partitionBy("source").orderBy("cut", "key", F.xxhash64(*callers)).rowsBetween(W.unboundedPreceding, -1))
