@@ -145,3 +145,13 @@ def test_runs_equal_a_plain_version(spark):
     rows += [(200, "z" * 4000), (201, "ab " * 900), (202, "a" + "z" * 3000 + prose(r, 30))]  # long stretches without a valid cut
     got = C.repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     assert {x["id"]: (x["n_repeats"], x["n_removed"], x["n_shared"]) for x in got} == plain_repeats(rows)
+
+
+def test_rows_without_a_doc_id_are_compared(spark):
+    r = random.Random(21)
+    shared = prose(r, 120)
+    rows = [(None, prose(r, 30) + shared + prose(r, 30)) for _ in range(3)]
+    got = C.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 3 and {x["id"] for x in got} == {C.LAST} and sorted(x["n_removed"] > 300 for x in got) == [False, True, True]
+    left = [x["text"] for x in C.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sum(shared in x for x in left) == 1

@@ -17,9 +17,10 @@ many documents is not gathered; chunks are joined to it by digest, a join whose
 Only places go through exchanges, never texts. Chunking is done once for the aggregate and once for the join,
 as that costs less than keeping every chunk.
 
-Defined results: a null text counts as empty and has no chunks; a null doc_id comes after all others; rows
-that share a doc_id are not compared with each other, and rows that also share the text get the same result;
-an empty table gives an empty result; extra columns may have any name.
+Defined results: a null text counts as empty and has no chunks; rows with a null doc_id come after all doc_ids under
+2 ** 62, in the order of their texts' hashes, and are compared with each other unless their texts are equal; rows
+that share a doc_id are not compared with each other, and rows that also share the text get the same result; an
+empty table gives an empty result; extra columns may have any name.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import by_batches, packed, table
@@ -175,18 +176,25 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("id"), b.column("th"), pa.array(repeats_, pa.int64()), pa.array(removed, pa.int64()), pa.array(shared, pa.int64()), pa.array(spans, kind)], ["id", "th", "n_repeats", "n_removed", "n_shared", "spans"])
 
 
+def unnamed(th: str = "th") -> Column:
+    """Where a row without a doc_id stands among doc_ids, by its text's hash: in the upper half of positive numbers."""
+    return F.lit(1 << 62) + F.shiftrightunsigned(th, 2)
+
+
 def repeats(docs: DataFrame) -> DataFrame:
     """id, th, n_repeats, n_removed, n_shared, spans of the rows that hold shared chunks; a null doc_id is id LAST.
 
     n_shared counts the bytes in long runs of chunks that stand elsewhere too, first occurrences included.
     """
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
+    rows = rows.withColumn("id", F.coalesce("id", unnamed()))
     chunks = by_batches(rows, _chunked, "d1 long, d2 long, id long, th long, place long, again boolean")
     first = chunks.filter("not again").groupBy("d1", "d2").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").drop("last")
     elsewhere = chunks.filter("not again").join(first, ["d1", "d2"]).select("id", "th", (F.col("place") * 2 + (F.col("id") > F.col("first")).cast("long")).alias("place"))
     within = chunks.filter("again").select("id", "th", (F.col("place") * 2 + 1).alias("place"))
     # Rows that are alike in doc_id and text give each place more than once.
-    return elsewhere.unionByName(within).groupBy("id", "th").agg(F.collect_set("place").alias("places")).mapInArrow(_runs, "id long, th long, n_repeats long, n_removed long, n_shared long, spans array<struct<start:long,end:long>>")
+    both = elsewhere.unionByName(within).withColumn("id", F.when(F.col("id") == unnamed(), F.lit(LAST)).otherwise(F.col("id")))
+    return both.groupBy("id", "th").agg(F.collect_set("place").alias("places")).mapInArrow(_runs, "id long, th long, n_repeats long, n_removed long, n_shared long, spans array<struct<start:long,end:long>>")
 
 
 def substring_dedup(docs: DataFrame) -> DataFrame:
