@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, packed, restored, table
 
-#: Hash ranges of a source; rows of one of them are put in order by one task.
-CELLS = 65_536
+#: Hash ranges of a source, whose sums are added up in two levels; rows of one range are put in order by one task.
+CELLS, FINE = 65_536, 256
 #: Bytes of the sources' plan that are broadcast at most, and what one source takes beside its name.
 BROADCAST, PLAN_ROW = 16 << 20, 96
 
@@ -129,6 +129,13 @@ def epochs_of(sizes: DataFrame, max_epochs: float | None, target_entropy: float
     return out.withColumn("rest", rest).withColumn("epochs", F.greatest("epochs", F.lit(1e-12)))
 
 
+def ending(parts: DataFrame, needs: DataFrame) -> DataFrame:
+    """source, rest, at, had: the part in which a source's rest ends, and what comes before it. needs: source, rest, before."""
+    upto = F.col("before") + F.sum("t").over(W.partitionBy("source").orderBy("at"))
+    found = parts.join(needs, "source").withColumn("upto", upto).withColumn("had", F.col("upto") - F.col("t"))
+    return found.filter("had < rest and upto >= rest").select("source", "rest", "at", "had")
+
+
 def words(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(r"\S+")), F.lit(0)).cast("long")
 
@@ -143,9 +150,10 @@ def drawn(docs: DataFrame, tokens: Column | None = None, source: str = "source",
     cells = checkpointed(d.groupBy("source", "cell").agg(F.sum("tokens").alias("t")))
     ends = checkpointed(epochs_of(cells.groupBy("source").agg(F.sum("t").alias("t")), max_epochs, target_entropy, budget).drop("t"))
     # The hash range of each source in which its last, partial pass ends, and what the ranges before it hold.
-    w = W.partitionBy("source").orderBy("cell")
-    cut = cells.withColumn("upto", F.sum("t").over(w)).withColumn("had", F.col("upto") - F.col("t")).join(ends.select("source", "rest"), "source").filter("had < rest and upto >= rest")
-    cut = cut.select("source", F.col("cell").alias("edge"), "had")
+    coarse = ending(cells.groupBy("source", F.floor(F.col("cell") / FINE).alias("at")).agg(F.sum("t").alias("t")), ends.select("source", "rest", F.lit(0).cast("long").alias("before")))
+    fine = cells.withColumn("coarse", F.floor(F.col("cell") / FINE)).join(coarse.select("source", F.col("at").alias("coarse")), ["source", "coarse"])
+    cut = ending(fine.select("source", F.col("cell").alias("at"), "t"), coarse.select("source", "rest", F.col("had").alias("before")))
+    cut = cut.select("source", F.col("at").alias("edge"), "had")
     plan = checkpointed(ends.join(cut, "source", "left").na.fill({"edge": -1, "had": 0}))
     size = plan.agg(F.sum(F.octet_length("source") + PLAN_ROW).alias("n")).first()["n"] or 0
     marked = d.join(F.broadcast(plan) if size <= BROADCAST else plan, "source")
