@@ -10,7 +10,7 @@ import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tickloom.llm import bpe, lengths
+from tickloom.llm import bpe, lengths, words
 
 PATH, PATTERN = bpe.rank_file()
 RANKS = bpe.read_ranks(PATH)
@@ -71,6 +71,23 @@ def test_forgetting_keeps_results():
     assert 0 < len(c.number) == len(c.hash) and list(c.encode(texts)) == want
 
 
+def thue_morse(n, a="a", b="b"):
+    return "".join(a if bin(k).count("1") % 2 == 0 else b for k in range(n))
+
+
+@pytest.mark.parametrize("n", [16, 64, 65, 1024, 2048, 4096])
+def test_regular_strings_are_told_apart(n, monkeypatch):
+    one, two = thue_morse(n), thue_morse(n, "b", "a")
+    c = bpe.Codec(RANKS, PATTERN)
+    for texts in ([one, two, one], [two], [one + " " + two]):  # also from one slice to the next
+        assert [ids(x) for x in c.encode(texts)] == [TRUE.encode_ordinary(t) for t in texts]
+    monkeypatch.setattr(bpe, "hashes", lambda chars, starts, ends: (ends - starts, chars[starts].astype(np.uint64)))  # clashes
+    c = bpe.Codec(RANKS, PATTERN)
+    assert [ids(x) for t in (one, two, "xy yx xx") for x in c.encode([t, "ab " + t])] == [TRUE.encode_ordinary(x) for t in (one, two, "xy yx xx") for x in (t, "ab " + t)]
+    h, _ = words.hashed_words([one, two, "ab ba"])
+    assert len(set(h.tolist())) == 4
+
+
 def test_queries_on_rows(spark):
     rows = [(i, t, "x", 1) for i, t in enumerate(ODD)] + [(None, None, "x", 1), (3, "the the", "x", 1), (3, "the the", "x", 1)]
     d = spark.createDataFrame(rows, "doc_id long, text string, ids string, n_tokens int").repartition(3)

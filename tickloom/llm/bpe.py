@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import by_batches, packed, restored, table
+from .words import mixed
 
 #: Pieces whose tokens a Python worker keeps between slices; the most frequent half survives an overflow.
 REMEMBERED = 300_000
@@ -90,18 +91,12 @@ class Splitter:
 
 
 def hashes(chars: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent hashes of each piece's code points."""
+    """Two independent hashes of each piece's code points, each the sum of a random number for every character at every place."""
     size = ends - starts
     within = np.arange(len(chars), dtype=np.int32) - np.repeat(starts.astype(np.int32), size)
-    longest = int(size.max())
-    out = []
-    for seed in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
-        power = np.multiply.accumulate(np.full(longest, seed, np.uint64))
-        x = (chars.astype(np.uint64) + np.uint64(seed >> 40)) * np.uint64(seed ^ 0x5851F42D4C957F2D)
-        x ^= x >> np.uint64(31)
-        x *= power[within]
-        out.append(np.add.reduceat(x, starts))
-    return out[0], out[1]
+    key = chars.astype(np.uint64) << np.uint64(32) | within.astype(np.uint64)
+    one = mixed(key + np.uint64(0x9E3779B97F4A7C15))
+    return np.add.reduceat(one, starts), np.add.reduceat(mixed(one ^ np.uint64(0xC2B2AE3D27D4EB4F)), starts)
 
 
 def ragged(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -261,10 +256,8 @@ class Codec:
         ends = np.r_[0, np.cumsum(alive)][start]
         return tok[alive].astype("<u4"), ends
 
-    def learn(self, new: list[str]) -> None:
-        """Append the tokens of the pieces that have just been numbered."""
-        if not new:
-            return
+    def tokenized(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of these pieces, and where each piece's end, after a 0."""
         raw = [p.encode("utf-8", "replace") for p in new]
         one = np.array([self.ranks.get(w, -1) for w in raw], np.int64)
         rest = one < 0
@@ -277,6 +270,13 @@ class Codec:
         replayed = np.ones(len(out), bool)
         replayed[to[:-1][~rest]] = False
         out[replayed] = flat
+        return out, to
+
+    def learn(self, new: list[str]) -> None:
+        """Append the tokens of the pieces that have just been numbered."""
+        if not new:
+            return
+        out, to = self.tokenized(new)
         self.tokens = np.concatenate([self.tokens, out])
         self.ends = np.r_[self.ends, self.ends[-1] + to[1:]]
         self.uses = np.r_[self.uses, np.zeros(len(new), np.int64)]
@@ -304,7 +304,7 @@ class Codec:
             yield from self._slice(texts[a:b]) if n else [b""] * (b - a)
             a = b
 
-    def _slice(self, texts: list[str]) -> Iterator[bytes]:
+    def _slice(self, texts: list[str]) -> list[bytes]:
         if len(self.second) > REMEMBERED:
             self.forget(max(2, int(np.median(self.uses)) + 1))
         every = "".join(texts)
@@ -313,23 +313,36 @@ class Codec:
         one, two = hashes(chars, starts, ends)
         del chars
         distinct, first, which = np.unique(one, return_index=True, return_inverse=True)
+        if (two[first][which] != two).any():
+            return self._apart(every, starts, ends, upto)
         at, numbers = np.searchsorted(self.hash, distinct), np.full(len(distinct), -1, np.int64)
         had = np.flatnonzero(at < len(self.hash))
         had = had[self.hash[at[had]] == distinct[had]]
         numbers[had] = self.number[at[had]]
+        if (self.second[numbers[had]] != two[first[had]]).any():
+            return self._apart(every, starts, ends, upto)
         new = np.flatnonzero(numbers < 0)
         numbers[new] = len(self.second) + np.arange(len(new))
         self.hash, self.number = np.insert(self.hash, at[new], distinct[new]), np.insert(self.number, at[new], numbers[new])
         self.second = np.r_[self.second, two[first[new]]]
-        if (self.second[numbers][which] != two).any():
-            raise ValueError("two different pieces have one hash")
         self.learn([every[x:y] for x, y in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
         self.uses[numbers] += np.bincount(which, minlength=len(distinct))
         which = numbers[which]
         tokens, to = ragged(self.tokens, self.ends[which], self.ends[which + 1])
-        cuts = to[upto].tolist()
-        for x, y in zip(cuts[:-1], cuts[1:], strict=True):
-            yield tokens[x:y].tobytes()
+        return self._cut(tokens, to[upto])
+
+    def _apart(self, every: str, starts: np.ndarray, ends: np.ndarray, upto: np.ndarray) -> list[bytes]:
+        """A slice in which two pieces share a first hash but not the second: by the pieces themselves, nothing remembered."""
+        pieces = [every[x:y] for x, y in zip(starts.tolist(), ends.tolist(), strict=True)]
+        new = {p: k for k, p in enumerate(dict.fromkeys(pieces))}
+        flat, to = self.tokenized(list(new))
+        which = np.fromiter(map(new.__getitem__, pieces), np.int64, len(pieces))
+        tokens, to = ragged(flat, to[which], to[which + 1])
+        return self._cut(tokens, to[upto])
+
+    @staticmethod
+    def _cut(tokens: np.ndarray, cuts: np.ndarray) -> list[bytes]:
+        return [tokens[x:y].tobytes() for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
     def decode(self, ids: bytes) -> bytes:
         x = np.frombuffer(ids, "<u4").astype(np.int64)

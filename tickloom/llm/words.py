@@ -51,8 +51,9 @@ def hashed_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     at = (starts - starts[0]).astype(np.int32)
     size = np.diff(np.r_[at, len(chars)])
     within = np.arange(len(chars), dtype=np.int32) - np.repeat(at, size)
-    power = np.multiply.accumulate(np.full(int(size.max()), PRIME, np.uint64))
-    x = mixed(chars.astype(np.uint64) + PRIME) * power[within]
+    # Each character at each place has a random number of its own: no regular strings agree in their sums, as those do
+    # that are read as polynomials.
+    x = mixed((chars.astype(np.uint64) << np.uint64(32) | within.astype(np.uint64)) + PRIME)
     x[~inside] = 0
     return mixed(np.add.reduceat(x, at)), np.searchsorted(starts, ends)
 
