@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chunk_dedup, cohorts, exact_dedup, lengths, mixing, near_dedup, sharding, suffix_dedup, topk, toxicity
+from . import bpe, chunk_dedup, cohorts, exact_dedup, lengths, mixing, near_dedup, sharding, suffix_dedup, topk, toxicity, transducer
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_near_dedup": near_dedup.op9_near_dedup,
         "op10_mixing": mixing.op10_mixing,
         "op12_cohorts": cohorts.op12_cohorts,
+        "op13_transducer": transducer.op13_transducer,
     }
 
 
