@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chunk_dedup, cohorts, exact_dedup, lengths, mixing, near_dedup, sharding, suffix_dedup, topk, toxicity, transducer
+from . import bpe, chunk_dedup, cohorts, exact_dedup, hard_negatives, lengths, mixing, near_dedup, sharding, suffix_dedup, topk, toxicity, transducer
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,10 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_substring_dedup": chunk_dedup.op8_substring_dedup,
         "op9_near_dedup": near_dedup.op9_near_dedup,
         "op10_mixing": mixing.op10_mixing,
+        "op11_hard_negatives": hard_negatives.op11_hard_negatives,
         "op12_cohorts": cohorts.op12_cohorts,
         "op13_transducer": transducer.op13_transducer,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_topk": topk.OP2_SQL, "op6_exact_dedup": exact_dedup.OP6_SQL, "op12_cohorts": cohorts.OP12_SQL}
+    return {"op2_exact_topk": topk.OP2_SQL, "op6_exact_dedup": exact_dedup.OP6_SQL, "op11_hard_negatives": hard_negatives.OP11_SQL, "op12_cohorts": cohorts.OP12_SQL}

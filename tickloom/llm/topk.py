@@ -179,10 +179,10 @@ def _meeting(k: int):
     return meet
 
 
-def scaled(vectors: DataFrame, id_col: str = "vec_id", col: str = "embedding", scale: int = 256) -> DataFrame:
-    """id, v (array of whole doubles) of the vectors that take part."""
+def scaled(vectors: DataFrame, id_col: str = "vec_id", col: str = "embedding", scale: int = 256, also: tuple[str, ...] = ()) -> DataFrame:
+    """id, v (array of whole doubles) of the vectors that take part, and what else is asked for."""
     ok = F.col(id_col).isNotNull() & (F.size(col) > 0) & F.forall(col, lambda x: x.isNotNull() & (F.abs(x.cast("double")) < float("inf")))
-    return vectors.filter(F.coalesce(ok, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), F.transform(col, lambda x: _floor(F.lit(float(scale)) * x.cast("double"))).alias("v"))
+    return vectors.filter(F.coalesce(ok, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), F.transform(col, lambda x: _floor(F.lit(float(scale)) * x.cast("double"))).alias("v"), *also)
 
 
 def _floor(x):
