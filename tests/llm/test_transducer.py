@@ -129,3 +129,9 @@ def test_rows(spark, monkeypatch):
 def test_counts(spark):
     d = spark.createDataFrame([(1, "the cat the"), (2, None), (3, "x<|endoftext|> the"), (3, "z" * 100)], "doc_id long, text string")
     assert {bytes(r["word"]): r["n"] for r in X.word_counts(d, PATH, KIND).collect()} == {b"the": 1, b" cat": 1, b" the": 2, b"x": 1}
+
+
+def test_frequent_words_by_marks(spark):
+    d = spark.createDataFrame([(f"w{k}".encode(), n) for k, n in enumerate([1, 1, 1, 5, 5, 6, 100, 1000])], "word binary, n long")
+    for most, want in ((0, []), (1, [7]), (2, [6, 7]), (3, [5, 6, 7]), (4, [5, 6, 7]), (5, [3, 4, 5, 6, 7]), (7, [3, 4, 5, 6, 7]), (8, list(range(8)))):
+        assert sorted(int(bytes(r["word"])[1:]) for r in X.frequent(d, most).collect()) == want

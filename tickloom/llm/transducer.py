@@ -1,6 +1,6 @@
 """BPE encoding and decoding with a minimal acyclic transducer as the lexicon of frequent words.
 
-Words are counted over the whole corpus; the `WORDS_KEPT` most frequent are merged once and compiled into a transducer: an
+Words are counted over the whole corpus; the most frequent, at most `WORDS_KEPT`, are merged once and compiled into a transducer: an
 automaton over their bytes in which equal suffixes share their states, and whose arcs and final states carry the token ids.
 Ids stand as early as all words that share an arc agree on them, so that what is left to the suffixes is more often equal.
 The automaton is a file of flat arrays. Executors fetch it once each, and all their Python workers map it into memory.
@@ -15,7 +15,7 @@ stands between them is encoded for itself. Decoding gives each id's bytes; what
 
 Defined results: a null text counts as empty and has no tokens; a text of any length is encoded whole, in slices that
 never cut a text; words of more than `LONGEST` bytes are merged like other unseen words, in n log n steps; repeated rows give
-repeated results; of words that tie in their counts the least ones are kept; an empty table gives an empty result and an
+repeated results; words of about one count are kept all or none, and words that stand once are not; an empty table gives an empty result and an
 empty lexicon; columns of the caller stay, but for those that have a result's name.
 """
 
@@ -39,12 +39,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import OTHER, SPACE, Codec, Splitter, hashes, ragged
-from .common import by_batches, packed, restored, shared_folder, table
+from .common import Scratch, by_batches, packed, restored, shared_folder, table
 
 #: Words in the lexicon, and the most bytes of one.
 WORDS_KEPT, LONGEST = 65_536, 48
 #: Characters of text in a slice, words that a task counts before it hands them on, unseen words a worker remembers.
 SLICE, COUNTED, REMEMBERED = 250_000, 200_000, 50_000
+#: Marks between a count and its double, at one of which the lexicon ends.
+MARKS = 32
 
 
 class Vocabulary:
@@ -400,13 +402,30 @@ def word_counts(docs: DataFrame, vocabulary: str, kind: np.ndarray) -> DataFrame
     return by_batches(docs.select("text"), run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def frequent(counts: DataFrame, n_words: int) -> DataFrame:
+    """The words of the highest counts, n_words at most: all whose count lies above a mark. counts: word, n.
+
+    The mark is found in a histogram of at most `64 * MARKS` rows, so no task has to hand its best words to the driver.
+    """
+    mark = F.floor(F.log2("n") * MARKS).cast("int")
+    sizes = counts.groupBy(mark.alias("mark")).agg(F.count("*").alias("words")).orderBy(F.col("mark").desc()).collect()
+    total, least = 0, None
+    for r in sizes:
+        total += r["words"]
+        if total > n_words:
+            break
+        least = r["mark"]
+    return counts.filter(mark >= least) if least is not None else counts.limit(0)
+
+
 def compiled(docs: DataFrame, vocabulary: str, n_words: int = WORDS_KEPT) -> str:
     """Compile the lexicon of docs' most frequent words; the name under which executors find it. At most n_words reach the driver."""
-    spark, v, kind = docs.sparkSession, Vocabulary(vocabulary), character_classes(vocabulary)
-    top = word_counts(docs, vocabulary, kind).orderBy(F.col("n").desc(), "word").limit(n_words)
+    spark, v, kind, keep = docs.sparkSession, Vocabulary(vocabulary), character_classes(vocabulary), Scratch(docs.sparkSession)
+    counts = keep(word_counts(docs, vocabulary, kind).filter("n > 1"), "counts")
     build = Builder()
-    for word in sorted(bytes(r["word"]) for r in top.collect()):
+    for word in sorted(bytes(r["word"]) for r in frequent(counts, n_words).select("word").collect()):
         build.add(word, tuple(v.merged(word)))
+    keep.drop_but()
     return shipped(spark, as_file(build.arrays() | {"kind": kind}))
 
 
