@@ -11,7 +11,7 @@ import pytest
 from tickloom.plans import queries as Q
 
 SF, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
-MONEY = ["enrich_asof", "enrich_full", "vwap", "window_buckets", "window_accepts", "positions_snapshot", "price_deviation_alerts", "dead_letter_rows", "stream_market_state", "price_scalars"]
+MONEY = ["enrich_asof", "enrich_full", "vwap", "window_buckets", "window_accepts", "positions_snapshot", "price_deviation_alerts", "dead_letter_rows", "stream_market_state", "live_enrichment", "price_scalars"]
 
 
 def connected(sf):

@@ -39,9 +39,14 @@ def max_before(df: DataFrame, key: list[str], order: str, value: Column, out: st
 
 
 def max_from(df: DataFrame, key: list[str], order: str, value: Column, out: str, span: int | None = None) -> DataFrame:
-    """df with `out`: the maximum of value over the row itself and the key's later rows."""
+    """df with `out`: the maximum of value over the row itself and the key's later rows.
+
+    `order` must be unique within a key. The rows are gone through from the last on, so that frames only grow and the cost
+    is linear; a frame that ends at the last row would be added up anew for each row.
+    """
+    back = lambda *by: W.partitionBy(*by).orderBy(F.col(order).desc()).rowsBetween(W.unboundedPreceding, 0)
     if span is None:
-        return df.withColumn(out, F.max(value).over(W.partitionBy(*key).orderBy(order).rowsBetween(0, W.unboundedFollowing)))
-    within = F.max(value).over(W.partitionBy(*key, "_part").orderBy(order).rowsBetween(0, W.unboundedFollowing))
+        return df.withColumn(out, F.max(value).over(back(*key)))
+    within = F.max(value).over(back(*key, "_part"))
     d = _carried(ranged(df, order, span), key, value, "_carried", False)
     return d.withColumn(out, F.greatest(within, F.col("_carried"))).drop("_part", "_carried")

@@ -9,17 +9,16 @@ from pyspark.sql import functions as F
 from ..functions.scalars import market_cap, mid_price, price_deviation, spread, turnover
 
 MISS = "REFERENCE_DATA_UNAVAILABLE"
-#: A dimension is broadcast up to this many rows; beyond, the join is left to Spark.
-BROADCAST_ROWS = 1_000_000
+#: A dimension is broadcast up to this size by the plan's statistics, or up to so many rows where it has none.
+BROADCAST_BYTES, BROADCAST_ROWS = 32 << 20, 100_000
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df, marked for broadcast if its size is checked to be within bounds; what is counted for that is kept."""
-    df = df.persist()
-    if df.limit(rows + 1).count() <= rows:
-        return F.broadcast(df)
-    df.unpersist()
-    return df
+    """df, marked for broadcast if its size is checked to be within bounds; else the join is left to Spark. Nothing is kept."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size < 1 << 62:
+        return F.broadcast(df) if size <= BROADCAST_BYTES else df
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def as_of(trades: DataFrame, ticks: DataFrame, horizon_ms: int = 300_000, span_ms: int | None = None) -> DataFrame:
@@ -62,7 +61,7 @@ def as_of(trades: DataFrame, ticks: DataFrame, horizon_ms: int = 300_000, span_m
 
 def at_latest(trades: DataFrame, latest: DataFrame) -> DataFrame:
     """trades with the market state as it is now (the live rule)."""
-    state = latest.select("ticker", "bid", "ask", F.col("event_ms").alias("tick_ms"))
+    state = latest.select("ticker", "bid", "ask", F.col("event_ms").alias("tick_ms"), *[c for c in ("vwap",) if c in latest.columns])
     return trades.join(small(state), "ticker", "left")
 
 

@@ -72,11 +72,14 @@ def unusual_volume_alerts(ticks: DataFrame, ranges: DataFrame, back: int = 20) -
 def wash_trades(trades: DataFrame, window_ms: int) -> DataFrame:
     """Buys with a sell of the same trader and ticker within window_ms: the nearest, before or after.
 
-    One pass in event order finds the last sell before and the first after each buy, so no pairs are made.
+    One pass in event order and one against it find the last sell before and the first after each buy, so no pairs are
+    made. Both frames only grow, so the cost is linear; tradeId is unique, so nothing is equal in this order.
     """
-    w = W.partitionBy("traderId", "ticker").orderBy("event_ms", "tradeId")
+    own = W.partitionBy("traderId", "ticker")
+    there = own.orderBy("event_ms", "tradeId").rowsBetween(W.unboundedPreceding, -1)
+    back = own.orderBy(F.col("event_ms").desc(), F.col("tradeId").desc()).rowsBetween(W.unboundedPreceding, -1)
     sell = F.when(F.col("side") == "SELL", F.struct(F.col("event_ms").alias("ms"), F.col("tradeId").alias("id")))
-    d = trades.withColumns({"_b": F.last(sell, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1)), "_a": F.first(sell, ignorenulls=True).over(w.rowsBetween(1, W.unboundedFollowing))})
+    d = trades.withColumns({"_b": F.last(sell, ignorenulls=True).over(there), "_a": F.last(sell, ignorenulls=True).over(back)})
     before, after = F.col("event_ms") - F.col("_b.ms"), F.col("_a.ms") - F.col("event_ms")
     gap = F.least(before, after)
     d = d.filter("side = 'BUY'").withColumn("gapMs", gap).filter(F.col("gapMs") <= window_ms)

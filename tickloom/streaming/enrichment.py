@@ -11,21 +11,31 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.enrichment import at_latest, enriched
 
 
-def enrich_batch(state: Callable[[], DataFrame], instruments: Callable[[], DataFrame], out: str, misses: str) -> Callable[[DataFrame, int], None]:
+def enrich_batch(state: Callable[[], DataFrame | None], instruments: Callable[[], DataFrame], out: str, misses: str) -> Callable[[DataFrame, int], None]:
     """foreachBatch function. A batch that is run again overwrites its own folders, so each trade stands there once.
 
-    state and instruments are read anew for each batch; enrichmentLatencyMs is the time from production to now.
+    state and instruments are asked anew for each batch and nothing of them is kept; without a state all trades are misses.
+    With a column vwap in the state trades get it as vwap5Min. enrichmentLatencyMs is the time from production to now.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        good, bad = enriched(at_latest(batch, state()), instruments())
-        now = F.unix_millis(F.current_timestamp())
-        good.withColumns({"enrichedAtMs": now, "enrichmentLatencyMs": now - F.col("produced_ms")}).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-        bad.write.mode("overwrite").parquet(f"{misses}/batch={batch_id}")
+        batch = batch.persist()
+        try:
+            now_known = state()
+            if now_known is None:
+                now_known = batch.sparkSession.createDataFrame([], "ticker string, bid double, ask double, event_ms long, vwap double")
+            good, bad = enriched(at_latest(batch, now_known), instruments())
+            if "vwap" in good.columns:
+                good, bad = good.withColumnRenamed("vwap", "vwap5Min"), bad.withColumnRenamed("vwap", "vwap5Min")
+            now = F.unix_millis(F.current_timestamp())
+            good.withColumns({"enrichedAtMs": now, "enrichmentLatencyMs": now - F.col("produced_ms")}).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+            bad.write.mode("overwrite").parquet(f"{misses}/batch={batch_id}")
+        finally:
+            batch.unpersist()
 
     return run
 
 
-def enrichment_stream(trades: DataFrame, state: Callable[[], DataFrame], instruments: Callable[[], DataFrame], out: str, misses: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Start it. trades: ticker, price, event_ms, produced_ms and any more."""
+def enrichment_stream(trades: DataFrame, state: Callable[[], DataFrame | None], instruments: Callable[[], DataFrame], out: str, misses: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Start it. trades: ticker, price, event_ms, produced_ms and any more; state: as `market.market_now` gives it."""
     return trades.writeStream.foreachBatch(enrich_batch(state, instruments, out, misses)).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

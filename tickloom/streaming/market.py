@@ -1,18 +1,27 @@
-"""Market state as one stateful operator per ticker."""
+"""Market state as one stateful operator per ticker, and as tables that others can read."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from ..operators import market_state
 from ..operators.market_state import BUCKET_S, RETAIN_S
-
-OUT = "ticker string, seq long, event_ms long, outcome string, windowApplied boolean, windowBuckets long, last double"
+from .session import STATEFUL
+from .versions import Versions
+
+#: `state` is set in a ticker's last row of a batch only: both states as they are then.
+OUT = "ticker string, seq long, event_ms long, outcome string, windowApplied boolean, windowBuckets long, last double, state string"
+STATE = "tick struct<event_ms:long,bid:double,ask:double,last:double,volume:long,offset:long,produced_ms:long,correlationId:string>, buckets array<struct<bucket:long,pv:double,v:double>>, lastOffset long"
+TICK = ["event_ms", "bid", "ask", "last", "volume", "offset", "produced_ms", "correlationId"]
+#: Both states of a ticker, published as one version.
+TABLES = {"tick": ["ticker"], "window": ["ticker"]}
 TICKS = "ticker string, bid double, ask double, last double, volume long, event_ms long, offset long, seq long, produced_ms long, correlationId string"
 LEAST = np.iinfo(np.int64).min
 
@@ -61,8 +70,10 @@ class MarketState(StatefulProcessor):
                 self.window.updateValue((int(b),), (float(buckets[b][0]), float(buckets[b][1])))
         if (outcome == "APPLIED").any():
             t = frame.iloc[np.flatnonzero(outcome == "APPLIED")[-1]]
-            self.tick.update((int(t["event_ms"]), float(t["bid"]), float(t["ask"]), float(t["last"]), int(t["volume"]), int(t["offset"]), None if pd.isna(t["produced_ms"]) else int(t["produced_ms"]), None if pd.isna(t["correlationId"]) else t["correlationId"]))
-        yield pd.DataFrame({"ticker": key[0], "seq": frame["seq"].to_numpy(), "event_ms": ms, "outcome": outcome, "windowApplied": added, "windowBuckets": counts[np.cumsum(added)], "last": frame["last"].to_numpy()})
+            state = (int(t["event_ms"]), float(t["bid"]), float(t["ask"]), float(t["last"]), int(t["volume"]), int(t["offset"]), None if pd.isna(t["produced_ms"]) else int(t["produced_ms"]), None if pd.isna(t["correlationId"]) else t["correlationId"])
+            self.tick.update(state)
+        now = {"tick": dict(zip(TICK, state, strict=True)), "buckets": [{"bucket": int(b), "pv": float(x), "v": float(y)} for b, (x, y) in sorted(buckets.items())], "lastOffset": int(top[-1])}
+        yield pd.DataFrame({"state": [None] * (len(frame) - 1) + [json.dumps(now)], "ticker": key[0], "seq": frame["seq"].to_numpy(), "event_ms": ms, "outcome": outcome, "windowApplied": added, "windowBuckets": counts[np.cumsum(added)], "last": frame["last"].to_numpy()})
 
     def close(self) -> None:
         pass
@@ -75,4 +86,48 @@ def market_updates(ticks: DataFrame, bucket_s: int = BUCKET_S, retain_s: int = R
     return ticks.groupBy("ticker").transformWithStateInPandas(MarketState(bucket_s, retain_s, ttl_ms), outputStructType=OUT, outputMode="Append", timeMode="ProcessingTime")
 
 
-ROCKSDB = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+def market_tables(spark, path: str) -> Versions:
+    return Versions(spark, path, TABLES)
+
+
+def publish_state(tables: Versions, out: str | None = None, ttl_ms: int = 600_000) -> Callable[[DataFrame, int], None]:
+    """foreachBatch function over `market_updates`: both states of the tickers that have changed appear as one version.
+
+    out: also write each tick's outcome there; a batch that is run again overwrites its own folder.
+    """
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()  # the stateful operator runs once for all that is written
+        try:
+            if out:
+                batch.drop("state").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+            s = batch.filter("state is not null").select("ticker", F.from_json("state", STATE).alias("s"))
+            expires = F.unix_millis(F.current_timestamp()) + ttl_ms
+            tables.publish(batch_id, {"tick": s.select("ticker", "s.tick.*"), "window": s.select("ticker", "s.buckets", "s.lastOffset", expires.alias("expires_ms"))})
+        finally:
+            batch.unpersist()
+
+    return run
+
+
+def market_stream(ticks: DataFrame, tables: Versions, checkpoint: str, out: str | None = None, bucket_s: int = BUCKET_S, retain_s: int = RETAIN_S, ttl_ms: int = 600_000, trigger: dict | None = None) -> StreamingQuery:
+    """Keep the tables up to date with the ticks. The stream's session must be one that `session.stateful` gave."""
+    updates = market_updates(ticks, bucket_s, retain_s, ttl_ms)
+    return updates.writeStream.foreachBatch(publish_state(tables, out, ttl_ms)).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def market_now(tables: Versions, horizon_s: int = RETAIN_S, now_ms: int | None = None) -> DataFrame | None:
+    """Each ticker's latest tick, with vwap over the reader's horizon, both of one version; null before the first.
+
+    A window that has expired by now_ms (or the current time) is left out, as its keys would be.
+    """
+    version = tables.current()
+    tick, window = tables.read("tick", version), tables.read("window", version)
+    if tick is None:
+        return None
+    now = F.lit(now_ms) if now_ms is not None else F.unix_millis(F.current_timestamp())
+    buckets = window.filter(F.col("expires_ms") > now).select("ticker", F.explode("buckets").alias("b")).select("ticker", "b.*")
+    return tick.join(market_state.vwap(buckets, horizon_s), "ticker", "left")
+
+
+ROCKSDB = {"spark.sql.streaming.stateStore.providerClass": STATEFUL["spark.sql.streaming.stateStore.providerClass"]}
