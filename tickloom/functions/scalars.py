@@ -35,16 +35,20 @@ def root_message(chain: str) -> Column:
     return F.coalesce(F.try_element_at(chain, F.lit(-1))["message"], F.lit("null"))
 
 
+# Fixed value: the header's name.
+CORRELATION_ID = "correlationId"
+
+
 def correlation_id(headers: str) -> Column:
     """The last correlationId header, or null."""
-    return F.decode(F.try_element_at(F.filter(headers, lambda h: h["key"] == "correlationId"), F.lit(-1))["value"], "UTF-8")
+    return F.decode(F.try_element_at(F.filter(headers, lambda h: h["key"] == CORRELATION_ID), F.lit(-1))["value"], "UTF-8")
 
 
 def headers(correlation: str | None, trace: str) -> Column:
     """correlationId (unless None), then traceparent and tracestate if the trace map has them; a null map has none."""
     one = lambda name, value: F.when(value.isNotNull(), F.struct(F.lit(name).alias("key"), F.encode(value, "UTF-8").alias("value")))
     traced = [one(x, F.col(trace)[x]) for x in ("traceparent", "tracestate")]
-    return F.array_compact(F.array(*([one("correlationId", F.col(correlation))] if correlation else []), *traced))
+    return F.array_compact(F.array(*([one(CORRELATION_ID, F.col(correlation))] if correlation else []), *traced))
 
 
 def schema_id(value: str) -> Column:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections import OrderedDict
+import itertools
+from collections import OrderedDict, deque
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -61,21 +63,49 @@ class BoundedWindow:
         return True
 
 
+def let_through(ring: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(which of the offsets pass, one after the other; the last n that have passed, oldest first, ring being those before).
+
+    As `BoundedWindow` would have it. Where nothing can fall out of the window, all are judged at once.
+    """
+    if n <= 0:
+        raise ValueError("the window must be positive")
+    passes = np.zeros(len(offsets), bool)
+    if len(ring) + len(offsets) <= n:
+        passes[np.unique(offsets, return_index=True)[1]] = True
+        passes &= ~np.isin(offsets, ring)
+    else:
+        held, line = set(ring.tolist()), deque(ring.tolist())
+        for k, o in enumerate(offsets.tolist()):
+            if o not in held:
+                passes[k] = True
+                held.add(o)
+                line.append(o)
+                if len(line) > n:
+                    held.discard(line.popleft())
+    return passes, np.concatenate([ring, offsets[passes]])[-n:]
+
+
 def bounded_once(records: DataFrame, n: int, order: str) -> DataFrame:
     """records as `BoundedWindow` lets them through, for each topic and partition in the order in which they came.
 
-    A partition's records pass one writer in a row, as they do there, and only the window is held.
+    A partition's records pass one writer in a row, as they do there, and only the window is held. What is to be kept up over
+    several batches goes through `streaming.archive.once`.
     """
 
     def run(batches):
-        window, of = BoundedWindow(n), None
+        ring, of = np.zeros(0, np.int64), None
         for b in batches:
+            topics, partitions = (b.column(c).to_numpy(zero_copy_only=False) for c in COORDINATES[:2])
+            offsets = b.column("offset").to_numpy()
+            cuts = np.flatnonzero((topics[1:] != topics[:-1]) | (partitions[1:] != partitions[:-1])) + 1
             kept = []
-            for topic, partition, offset in zip(*(b.column(c).to_pylist() for c in COORDINATES), strict=True):
-                if (topic, partition) != of:
-                    window, of = BoundedWindow(n), (topic, partition)
-                kept.append(window.write(offset, lambda _: None))
-            yield b.filter(pa.array(kept, pa.bool_()))
+            for x, y in itertools.pairwise([0, *cuts.tolist(), b.num_rows]) if b.num_rows else ():
+                if (topics[x], partitions[x]) != of:
+                    ring, of = np.zeros(0, np.int64), (topics[x], partitions[x])
+                passes, ring = let_through(ring, offsets[x:y], n)
+                kept.append(passes)
+            yield b.filter(pa.array(np.concatenate(kept))) if kept else b
 
     return records.repartition("topic", "partition").sortWithinPartitions("topic", "partition", order).mapInArrow(run, records.schema)
 

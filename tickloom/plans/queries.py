@@ -649,22 +649,6 @@ def stream_market_state(spark, sf_dir):
     return spark.read.parquet(f"{at}/out").select("ticker", "seq", "event_ms", "outcome", "windowApplied", "windowBuckets")
 
 
-@query(f"""WITH {V.ARCHIVE} SELECT DISTINCT topic || '-' || "partition" || '-' || "offset" AS "idempotencyKey", CASE WHEN value IS NULL THEN 'Tombstone' ELSE 'Event' END AS "eventType", coalesce(value, '') AS payload
-FROM archive""")
-def stream_archive(spark, sf_dir):
-    """The archive stream over the whole input: framed payloads, decoded by schema id, written once."""
-    from ..schemas import RECORD
-    from ..streaming.archive import archive_stream
-
-    at = folder(spark)
-    frame = F.concat(F.unhex(F.lit("0000000001")), F.col("value"))
-    V.archive(spark, sf_dir).withColumn("value", frame).select(*RECORD.names).write.parquet(f"{at}/in")
-    schemas = spark.createDataFrame([(1, "Event")], "id long, name string")
-    archive_stream(spark.readStream.schema(RECORD).parquet(f"{at}/in"), schemas, f"{at}/archive", f"{at}/dlq", f"{at}/cp").awaitTermination()
-    rows = spark.read.option("recursiveFileLookup", "false").parquet(f"{at}/archive")
-    return rows.select("idempotencyKey", "eventType", F.decode(F.substring(F.col("payload"), F.lit(6), F.octet_length("payload")), "UTF-8").alias("payload"))
-
-
 def entry(spark: SparkSession) -> DataFrame:
     """The flagship: volume-weighted average price per ticker over the surviving window."""
     return vwap(spark, "/root/testdata/sf0.001")

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import half_up
 from ..operators import positions, reference_data
-from ..streaming import enrichment, market
+from ..schemas import RECORD
+from ..streaming import archive, enrichment, failures, market
 from ..streaming.session import stateful
 from . import views as V
 from .deliveries import EVENLY, Deliveries, evenly
@@ -51,3 +52,62 @@ def live_enrichment(spark, sf_dir):
     cols = ["tradeId", "ticker", (F.col("quantity") % 2).alias("delivery"), half_up((F.col("bid") + F.col("ask")) / 2, 4).alias("mid"), "tick_ms", half_up(F.col("vwap5Min"), 4).alias("vwap5Min")]
     good = spark.read.parquet(f"{at}/out").select(*cols, F.lit(False).alias("missed"))
     return good.unionByName(spark.read.parquet(f"{at}/misses").select(*cols, F.lit(True).alias("missed")))
+
+
+def _framed(spark, sf_dir, bad=None):
+    """Events as records whose payloads name their schema; where bad holds they don't."""
+    frame = F.concat(F.unhex(F.lit("0000000001")), F.col("value"))
+    d = V.archive(spark, sf_dir).withColumn("value", frame if bad is None else F.when(bad, F.encode(F.lit("poison"), "UTF-8")).otherwise(frame))
+    return d.withColumn("n", F.col("partition") + F.col("offset") * 12)
+
+
+def _late(n):
+    """In which of three deliveries a record comes: most by their time, a few long after the others, some in all three."""
+    return F.when(n % 11 == 0, F.lit(2)).otherwise(n % 2)
+
+
+@query(f"""WITH {V.ARCHIVE} SELECT DISTINCT topic || '-' || "partition" || '-' || "offset" AS "idempotencyKey", CASE WHEN value IS NULL THEN 'Tombstone' ELSE 'Event' END AS "eventType", coalesce(value, '') AS payload
+FROM archive""")
+def stream_archive(spark, sf_dir):
+    """The archive stream over three deliveries with records that come late and records that come again, restarted between them."""
+    at, own = folder(spark), stateful(spark)
+    d = _framed(spark, sf_dir)
+    again = d.filter("n % 7 = 0").withColumn("delivery", F.lit(1)).unionByName(d.filter("n % 5 = 0").withColumn("delivery", F.lit(2)))
+    come = Deliveries(spark, d.withColumn("delivery", _late(F.col("n"))).unionByName(again).select(*RECORD.names, F.col("delivery").alias("of")), F.col("of"), f"{at}/in")
+    schemas = own.createDataFrame([(1, "Event")], "id long, name string")
+    for k in range(3):
+        come.come(k)
+        archive.archive_stream(come.stream(own), schemas, f"{at}/archive", f"{at}/dlq", f"{at}/cp").awaitTermination()
+    rows = spark.read.parquet(f"{at}/archive")
+    return rows.select("idempotencyKey", "eventType", F.decode(F.substring(F.col("payload"), F.lit(6), F.octet_length("payload")), "UTF-8").alias("payload"))
+
+
+def _flaky(record, attempt):
+    """A sink that takes some records at the second or third attempt, some never, and says of some that they are at fault."""
+    n = record["partition"] + record["offset"] * 12
+    if n % 19 == 0:
+        raise failures.Poison("not for us")
+    if n % 13 == 0 or attempt <= (2 if n % 11 == 0 else 1 if n % 7 == 0 else 0):
+        raise OSError(f"connection {n % 3} reset")
+
+
+@query(f"""WITH {V.ARCHIVE}, d AS (SELECT DISTINCT topic, "partition", "offset", value, corr, "partition" + "offset" * 12 AS n FROM archive),
+k AS (SELECT *, value IS NOT NULL AND n % 17 = 0 AS broken FROM d)
+SELECT topic, "partition", "offset", CASE WHEN broken OR n % 19 = 0 OR n % 13 = 0 THEN 'given up' ELSE 'archived' END AS outcome,
+CASE WHEN broken THEN 1 WHEN n % 19 = 0 THEN 1 WHEN n % 13 = 0 THEN 3 END AS "retryCount",
+CASE WHEN broken THEN 'DecodeError' WHEN n % 19 = 0 THEN 'Poison' WHEN n % 13 = 0 THEN 'OSError' END AS "exceptionClass",
+CASE WHEN broken THEN 'no schema for the payload' WHEN n % 19 = 0 THEN 'not for us' WHEN n % 13 = 0 THEN 'connection ' || n % 3 || ' reset' END AS "exceptionMessage",
+CASE WHEN broken OR n % 19 = 0 OR n % 13 = 0 THEN corr END AS "correlationId" FROM k""")
+def stream_failures(spark, sf_dir):
+    """Records tried one by one in two deliveries: what fails three times, or can't be decoded, is given up, all others are archived."""
+    at, own = folder(spark), stateful(spark)
+    d = _framed(spark, sf_dir, F.col("value").isNotNull() & ((F.col("partition") + F.col("offset") * 12) % 17 == 0))
+    come = Deliveries(spark, d.select(*RECORD.names), F.col("offset") % 2, f"{at}/in")
+    schemas = own.createDataFrame([(1, "Event")], "id long, name string")
+    sink = failures.by_record(_flaky, ["topic", "partition", "offset"], ["topic", "partition", "offset"])
+    for k in range(2):
+        come.come(k)
+        archive.archive_stream(come.stream(own), schemas, f"{at}/archive", f"{at}/dlq", f"{at}/cp", attempt=sink).awaitTermination()
+    good = spark.read.parquet(f"{at}/archive").select("topic", "partition", "offset", F.lit("archived").alias("outcome"), *[F.lit(None).cast(t).alias(c) for c, t in (("retryCount", "int"), ("exceptionClass", "string"), ("exceptionMessage", "string"), ("correlationId", "string"))])
+    bad = spark.read.parquet(f"{at}/dlq").select(F.col("originalTopic").alias("topic"), F.col("originalPartition").alias("partition"), F.col("originalOffset").alias("offset"), F.lit("given up").alias("outcome"), "retryCount", "exceptionClass", "exceptionMessage", "correlationId")
+    return good.unionByName(bad)

@@ -1,57 +1,95 @@
-"""The archive as a stream: decode, quarantine, deduplicate, write; offsets are committed after the write."""
+"""The archive as a stream: decode, quarantine, let each record through once, write; offsets are committed after the write."""
 
 from __future__ import annotations
 
-import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from ..operators.archive import COORDINATES, classified, partition_columns, projected
+from ..functions.scalars import CORRELATION_ID, correlation_id
+from ..operators.archive import COORDINATES, classified, let_through, partition_columns, projected
 from ..operators.dead_letters import dead_letters
+from ..schemas import RECORD
+from .failures import Attempt, Outage, attempted, chain, given_up, with_retry  # noqa: F401
 
+#: Archived keys of a topic partition that are remembered.
+WINDOW = 100_000
+PASSED = "topic string, partition int, offset long, key string, value binary, timestamp timestamp, correlationId string, arrival long"
 
-class Outage(Exception):
-    """A dependency is down: the batch must fail, so that it is run again from the checkpoint. Nothing is quarantined."""
 
+class RecentKeys(StatefulProcessor):
+    """The last n offsets that a topic partition has let through, oldest first. There is no clock: late records pass too.
 
-def with_retry(write: Callable[[], None], attempts: int = 3, first_s: float = 0.1, factor: float = 2.0, most_s: float = 5.0, budget_s: float = 5.0, sleep=time.sleep) -> int:
-    """Call write until it returns; the attempts it took. The last failure is raised, and an outage at once."""
-    waited, pause = 0.0, first_s
-    for n in range(1, attempts + 1):
-        try:
-            write()
-            return n
-        except Outage:
-            raise
-        except Exception:
-            pause = min(pause, most_s)
-            if n == attempts or waited + pause > budget_s:
-                raise
-            sleep(pause)
-            waited += pause
-            pause *= factor
-    raise AssertionError("unreachable")
-
-
-def archive_batch(schemas: DataFrame, archive: str, quarantine: str, group: str, instance: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch function. A batch that is run again overwrites its own folders, so each row stands there once."""
+    The state is committed with the batch, so a key counts as archived only after the batch has been written.
+    """
+
+    def __init__(self, n: int):
+        self.n = n
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.ring = handle.getValueState("ring", "offsets binary")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(rows)).sort_values(["arrival", "offset"], kind="stable")
+        held = self.ring.get()
+        passes, ring = let_through(np.frombuffer(held[0], "<i8") if held else np.zeros(0, np.int64), frame["offset"].to_numpy(np.int64), self.n)
+        self.ring.update((ring.astype("<i8").tobytes(),))
+        yield frame[passes]
+
+    def close(self) -> None:
+        pass
+
+
+def once(records: DataFrame, window: int = WINDOW, arrival: str | None = None) -> DataFrame:
+    """The records that aren't among the last `window` that their topic partition let through; headers but the correlation id go.
+
+    arrival: a column with the order in which they came; without one they count as having come by offset within a batch.
+    """
+    order = F.lit(0).cast("long") if arrival is None else F.col(arrival).cast("long")
+    rows = records.select(*COORDINATES, "key", "value", "timestamp", correlation_id("headers").alias("correlationId"), order.alias("arrival"))
+    d = rows.groupBy("topic", "partition").transformWithStateInPandas(RecentKeys(window), outputStructType=PASSED, outputMode="Append", timeMode="None")
+    header = F.array(F.struct(F.lit(CORRELATION_ID).alias("key"), F.encode("correlationId", "UTF-8").alias("value")))
+    return d.withColumn("headers", F.when(F.col("correlationId").isNotNull(), header)).select(*RECORD.names)
+
+
+def archive_batch(schemas: DataFrame, archive: str, quarantine: str, group: str, instance: str, attempt: Attempt | None = None, attempts_at: str | None = None, attempts: int = 3) -> Callable[[DataFrame, int], None]:
+    """foreachBatch function. A batch that is run again overwrites its own folders, so each row stands there once.
+
+    attempt: also do this with each decoded record, and archive those with which it comes to an end; the others are
+    quarantined with the number of their attempts, which are kept under attempts_at. Undecodable records aren't tried.
+    """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        good, bad = classified(batch, schemas)
-        rows = partition_columns(projected(good))
-        now = F.unix_millis(F.current_timestamp())
-        failed = bad.withColumns({"chain": F.array(F.struct(F.lit("DecodeError").alias("class"), F.col("failure").alias("message"))), "stack": F.lit(""), "retryCount": F.lit(1).cast("long"), "firstFailureMs": now, "lastFailureMs": now})
-        with_retry(lambda: rows.write.mode("overwrite").partitionBy("year", "month", "day", "event_type").parquet(f"{archive}/batch={batch_id}"))
-        # The dead letters belong to the same batch: if they can't be written, its offsets aren't committed.
-        with_retry(lambda: dead_letters(failed, group, instance).write.mode("overwrite").parquet(f"{quarantine}/batch={batch_id}"))
+        batch = batch.persist()  # the stateful plan runs once for all that is written
+        try:
+            good, bad = classified(batch, schemas)
+            now = F.unix_millis(F.current_timestamp())
+            once = {"chain": F.array(F.struct(F.lit("DecodeError").alias("class"), F.col("failure").alias("message"))), "retryCount": F.lit(1).cast("long"), "firstFailureMs": now, "lastFailureMs": now}
+            failed = bad.withColumns(once)
+            if attempt:
+                rounds = attempted(good, f"{attempts_at}/batch={batch_id}", COORDINATES, attempt, attempts)
+                lost = given_up(rounds, COORDINATES)
+                failed = failed.unionByName(good.join(lost, COORDINATES).withColumn("chain", chain()).select(*failed.columns))
+                good = good.join(lost.select(*COORDINATES), COORDINATES, "left_anti")
+            rows = partition_columns(projected(good))
+            with_retry(lambda: rows.write.mode("overwrite").partitionBy("year", "month", "day", "event_type").parquet(f"{archive}/batch={batch_id}"))
+            # The dead letters belong to the same batch: if they can't be written, its offsets aren't committed.
+            letters = dead_letters(failed.withColumn("stack", F.lit("")), group, instance)
+            with_retry(lambda: letters.write.mode("overwrite").parquet(f"{quarantine}/batch={batch_id}"))
+        finally:
+            batch.unpersist()
 
     return run
 
 
-def archive_stream(records: DataFrame, schemas: DataFrame, archive: str, quarantine: str, checkpoint: str, group: str = "audit", instance: str = "audit-0", lateness: str = "7 days", trigger: dict | None = None) -> StreamingQuery:
-    """Start the archive. Undecodable records are passed through deduplication too; both kinds are written once."""
-    once = records.withWatermark("timestamp", lateness).dropDuplicatesWithinWatermark(COORDINATES)
-    return once.writeStream.foreachBatch(archive_batch(schemas, archive, quarantine, group, instance)).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+def archive_stream(records: DataFrame, schemas: DataFrame, archive: str, quarantine: str, checkpoint: str, group: str = "audit", instance: str = "audit-0", window: int = WINDOW, arrival: str | None = None, attempt: Attempt | None = None, attempts: int = 3, trigger: dict | None = None) -> StreamingQuery:
+    """Start the archive. The records' session must be one that `session.stateful` gave.
+
+    Undecodable records are let through once too; both kinds are written once, however late they come.
+    """
+    write = archive_batch(schemas, archive, quarantine, group, instance, attempt, f"{quarantine}-attempts", attempts)
+    return once(records, window, arrival).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
