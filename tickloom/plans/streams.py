@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 from ..functions.scalars import half_up
 from ..operators import positions, reference_data
 from ..schemas import RECORD
-from ..streaming import archive, enrichment, failures, market
+from ..streaming import archive, enrichment, failures, market, rebuild, reference
+from ..streaming import positions as positions_stream
 from ..streaming.session import stateful
+from ..streaming.versions import Versions
 from . import views as V
 from .deliveries import EVENLY, Deliveries, evenly
-from .registry import folder, query
+from .registry import SQL, folder, query
+from .sinks import flaky
 
 _R = "floor({x} * 10000 + 0.5) / 10000"
 #: Longer than any run, so that no window expires on the way.
@@ -82,15 +85,6 @@ def stream_archive(spark, sf_dir):
     return rows.select("idempotencyKey", "eventType", F.decode(F.substring(F.col("payload"), F.lit(6), F.octet_length("payload")), "UTF-8").alias("payload"))
 
 
-def _flaky(record, attempt):
-    """A sink that takes some records at the second or third attempt, some never, and says of some that they are at fault."""
-    n = record["partition"] + record["offset"] * 12
-    if n % 19 == 0:
-        raise failures.Poison("not for us")
-    if n % 13 == 0 or attempt <= (2 if n % 11 == 0 else 1 if n % 7 == 0 else 0):
-        raise OSError(f"connection {n % 3} reset")
-
-
 @query(f"""WITH {V.ARCHIVE}, d AS (SELECT DISTINCT topic, "partition", "offset", value, corr, "partition" + "offset" * 12 AS n FROM archive),
 k AS (SELECT *, value IS NOT NULL AND n % 17 = 0 AS broken FROM d)
 SELECT topic, "partition", "offset", CASE WHEN broken OR n % 19 = 0 OR n % 13 = 0 THEN 'given up' ELSE 'archived' END AS outcome,
@@ -104,10 +98,57 @@ def stream_failures(spark, sf_dir):
     d = _framed(spark, sf_dir, F.col("value").isNotNull() & ((F.col("partition") + F.col("offset") * 12) % 17 == 0))
     come = Deliveries(spark, d.select(*RECORD.names), F.col("offset") % 2, f"{at}/in")
     schemas = own.createDataFrame([(1, "Event")], "id long, name string")
-    sink = failures.by_record(_flaky, ["topic", "partition", "offset"], ["topic", "partition", "offset"])
+    sink = failures.by_record(flaky, ["topic", "partition", "offset"], ["topic", "partition", "offset"])
     for k in range(2):
         come.come(k)
         archive.archive_stream(come.stream(own), schemas, f"{at}/archive", f"{at}/dlq", f"{at}/cp", attempt=sink).awaitTermination()
     good = spark.read.parquet(f"{at}/archive").select("topic", "partition", "offset", F.lit("archived").alias("outcome"), *[F.lit(None).cast(t).alias(c) for c, t in (("retryCount", "int"), ("exceptionClass", "string"), ("exceptionMessage", "string"), ("correlationId", "string"))])
     bad = spark.read.parquet(f"{at}/dlq").select(F.col("originalTopic").alias("topic"), F.col("originalPartition").alias("partition"), F.col("originalOffset").alias("offset"), F.lit("given up").alias("outcome"), "retryCount", "exceptionClass", "exceptionMessage", "correlationId")
     return good.unionByName(bad)
+
+
+@query(f"""WITH {V.INSTRUMENTS}, last AS (SELECT * FROM latest WHERE CAST(substr("instrumentId", 2) AS BIGINT) % 10 <> 0)
+SELECT "instrumentId", 'row' AS kind, ticker, "sharesOutstanding", "referenceVersion", '' AS reasons FROM last
+UNION ALL SELECT "instrumentId", 'reject', ticker, "sharesOutstanding", "referenceVersion", 'VERSION_NOT_NEWER' FROM guarded WHERE NOT accepted
+UNION ALL SELECT "instrumentId", 'reject', ticker, "sharesOutstanding", "referenceVersion", concat_ws(',', CASE WHEN trim(ticker) = '' THEN 'BLANK_TICKER' END, CASE WHEN "sharesOutstanding" <= 0 THEN 'SHARES_NOT_POSITIVE' END)
+FROM instruments WHERE trim(ticker) = '' OR "sharesOutstanding" <= 0""")
+def stream_instruments(spark, sf_dir):
+    """Versions of instruments in three deliveries with a restart before each, then tombstones of some in a fourth."""
+    at, own = folder(spark), stateful(spark)
+    d = V.instruments(spark, sf_dir).withColumn("deleted", F.lit(False))
+    gone = d.filter("seq = 0 and cast(substr(instrumentId, 2) as long) % 10 = 0").withColumns({"deleted": F.lit(True), "seq": F.lit(3).cast("long")})
+    come = Deliveries(spark, d.unionByName(gone), F.col("seq"), f"{at}/in")
+    tables = Versions(own, f"{at}/tables", reference.TABLES)
+    for k in range(4):
+        come.come(k)
+        reference.reference_stream(come.stream(own), tables, f"{at}/rejects", f"{at}/cp", "reference-data").awaitTermination()
+    cols = ["ticker", "sharesOutstanding", "referenceVersion"]
+    rows = tables.read("instrument", tables.current()).select("instrumentId", F.lit("row").alias("kind"), *cols, F.lit("").alias("reasons"))
+    return rows.unionByName(spark.read.parquet(f"{at}/rejects").select("instrumentId", F.lit("reject").alias("kind"), *cols, "reasons"))
+
+
+@query(SQL["positions_snapshot"])
+def stream_positions(spark, sf_dir):
+    """Trades in three deliveries; what is delivered twice comes again in a later one and changes nothing."""
+    at, own = folder(spark), stateful(spark)
+    d = V.trades(spark, sf_dir)
+    come = Deliveries(spark, d, F.when(F.col("seq") % 2 == 1, 2).otherwise(F.col("quantity") % 2), f"{at}/in")
+    tables = Versions(own, f"{at}/tables", positions_stream.TABLES)
+    for k in range(3):
+        come.come(k)
+        positions_stream.position_stream(come.stream(own), tables, f"{at}/cp").awaitTermination()
+    return positions_stream.snapshots(tables).withColumn("marketValue", half_up(F.col("marketValue"), 2))
+
+
+@query(SQL["market_rebuild"])
+def stream_rebuild(spark, sf_dir):
+    """Market state of the first half of the log, then rebuilt from all of it under readers; what they see after the swap."""
+    at, own = folder(spark), stateful(spark)
+    ticks = V.ticks(spark, sf_dir)
+    come, both = Deliveries(spark, ticks, evenly(ticks, "seq", 2), f"{at}/ticks"), rebuild.Generations(own, f"{at}/market", market.TABLES)
+    for k in (0, 1):
+        come.come(k)
+        run = lambda tables, cp: market.market_stream(come.stream(own), tables, cp, None, V.BUCKET_S, V.RETAIN_S, TTL_MS).awaitTermination()
+        both.rebuild(run)
+    d = market.market_now(both.tables(), V.HORIZON_S).withColumn("vwap", half_up(F.col("vwap"), 4))
+    return d.select("ticker", "bid", "ask", "last", "volume", "event_ms", "offset", "produced_ms", "correlationId", "vwap", "n_buckets")
