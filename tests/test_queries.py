@@ -54,7 +54,5 @@ def compare(spark, duck, name, sf):
     assert shown(df.select(*cols).collect()) == shown([tuple(r[rel.columns.index(c)] for c in cols) for r in rel.fetchall()])
 
 
-def test_rows_only_queries(spark):
-    for name in set(Q.QUERIES) - set(Q.SQL):
-        assert Q.QUERIES[name](spark, SF).count() == 1000
-    assert Q.entry(spark).count() > 0
+def test_every_query_has_sql(spark):
+    assert set(Q.QUERIES) == set(Q.SQL) and Q.entry(spark).count() > 0

@@ -224,3 +224,21 @@ def test_rules_in_force_by_cells(spark, few):
     got = risk.in_force(spark.createDataFrame([(t,) for t in times], "event_ms long"), ranges, "X", few=few)
     assert sorted((x["event_ms"], x["ruleId"]) for x in got.collect()) == sorted((t, f"R{k}") for t in times for k, (a, z) in enumerate(spans) if a <= t and (z is None or t < z))
     assert risk.cells_of(ranges).count() < len(spans) * 200
+
+
+@pytest.mark.parametrize("block,span", [(3, None), (5, 7), (65_536, 40)])
+def test_agg8_volume_in_blocks(spark, block, span):
+    r = random.Random(block)
+    rows = [("H" if r.random() < 0.7 else f"T{k % 4}", k * 3 % 400, r.randrange(1, 20)) for k in range(400)]
+    rows = list({(t, s): (t, s, v) for t, s, v in rows}.values())
+    d = spark.createDataFrame([(t, s, v, 10) for t, s, v in rows], "ticker string, seq long, volume long, event_ms long")
+    ranges = spark.createDataFrame([("R", "UNUSUAL_VOLUME", 1, 1.5, 0, None)], "ruleId string, ruleType string, version long, threshold double, from_ms long, to_ms long")
+    want = set()
+    for t in {x[0] for x in rows}:
+        mine = sorted(x[1:] for x in rows if x[0] == t)
+        for k in range(3, len(mine)):
+            mean = sum(v for _, v in mine[k - 3 : k]) / 3
+            if mine[k][1] > 1.5 * mean:
+                want.add((t, mine[k][0], round(mean, 6)))
+    got = risk.unusual_volume_alerts(d, ranges, 3, span, block)
+    assert {(x["ticker"], x["seq"], round(x["meanVolume"], 6)) for x in got.collect()} == want and want

@@ -50,3 +50,15 @@ def max_from(df: DataFrame, key: list[str], order: str, value: Column, out: str,
     within = F.max(value).over(back(*key, "_part"))
     d = _carried(ranged(df, order, span), key, value, "_carried", False)
     return d.withColumn(out, F.greatest(within, F.col("_carried"))).drop("_part", "_carried")
+
+
+def numbered(df: DataFrame, key: list[str], order: str, out: str, span: int | None = None) -> DataFrame:
+    """df with `out`: the row's number within its key from 0 on, in an order that is unique there.
+
+    With a span, rows are numbered within ranges of order, and the counts of the ranges before, of which there are few, are added.
+    """
+    d = ranged(df, order, span)
+    within = F.row_number().over(W.partitionBy(*key, "_part").orderBy(order)) - 1
+    before = F.sum("_n").over(W.partitionBy(*key).orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
+    counts = d.groupBy(*key, "_part").agg(F.count("*").alias("_n")).select(*key, "_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    return d.withColumn("_within", within).join(counts, [*key, "_part"]).withColumn(out, F.col("_within") + F.col("_before")).drop("_part", "_within", "_before")

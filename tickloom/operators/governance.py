@@ -64,6 +64,20 @@ def topic_catalogue(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "name string, partitions int, config string")
 
 
+def topic_use(catalogue: DataFrame, records: DataFrame) -> DataFrame:
+    """The catalogue with the records of each topic, and how many lie in a partition that it hasn't. records: name, p."""
+    some = records.groupBy("name", "p").agg(F.count("*").alias("n"))
+    d = catalogue.join(some, "name", "left")
+    n = F.coalesce("n", F.lit(0))
+    return d.groupBy("name", "partitions", "config").agg(F.sum(n).alias("records"), F.sum(F.when(F.col("p") >= F.col("partitions"), n).otherwise(0)).alias("misplaced"))
+
+
+def grants_used(arguments: DataFrame, requests: DataFrame) -> DataFrame:
+    """Grants with the number of requests of their principal for their name. requests: principal, name."""
+    some = requests.groupBy("principal", "name").agg(F.count("*").alias("requests"))
+    return arguments.join(some, ["principal", "name"], "left").select(*arguments.columns, F.coalesce("requests", F.lit(0)).alias("requests"))
+
+
 def subject_catalogue(spark: SparkSession) -> DataFrame:
     """subject, schema, reference of the topics that carry one; an enriched trade refers to the raw trade's subject."""
     rows = [(f"{t}-value", s, "trades.raw-value" if s == "EnrichedTradeEvent" else "-") for t, (_, _, s) in TOPICS.items() if s]

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.ordered import numbered
+
 
 def rule_ranges(events: DataFrame) -> DataFrame:
     """ruleId, version, threshold, from_ms, to_ms (exclusive, null: open) of the versions that were in force.
@@ -62,11 +64,21 @@ def position_limit_alerts(positions: DataFrame, ranges: DataFrame) -> DataFrame:
     return in_force(positions, ranges, "POSITION_LIMIT_BREACH", "asOfMs").filter(F.abs("netQuantity") > F.col("threshold"))
 
 
-def unusual_volume_alerts(ticks: DataFrame, ranges: DataFrame, back: int = 20) -> DataFrame:
-    """Ticks whose volume is more than the threshold times the mean of the `back` ticks before them."""
-    w = W.partitionBy("ticker").orderBy("seq").rowsBetween(-back, -1)
-    d = ticks.withColumns({"meanVolume": F.avg("volume").over(w), "_n": F.count("*").over(w)}).filter(F.col("_n") == back)
-    return in_force(d, ranges, "UNUSUAL_VOLUME").filter(F.col("volume") > F.col("threshold") * F.col("meanVolume")).drop("_n")
+def unusual_volume_alerts(ticks: DataFrame, ranges: DataFrame, back: int = 20, span: int | None = None, block: int = 65_536) -> DataFrame:
+    """Ticks whose volume is more than the threshold times the mean of the `back` ticks before them.
+
+    A ticker's ticks are numbered and cut into blocks, each of which also holds the last `back` ticks before it; so a hot ticker is
+    spread out, however its ticks lie in time.
+    """
+    if block < back:
+        raise ValueError("a block must hold what its first ticks look back to")
+    n = F.col("_at")
+    d = numbered(ticks, ["ticker"], "seq", "_at", span).withColumn("_block", F.floor(n / block))
+    ahead = d.filter(n % block >= block - back).withColumn("_block", F.col("_block") + 1)
+    w = W.partitionBy("ticker", "_block").orderBy("_at").rowsBetween(-back, -1)
+    d = d.withColumn("_own", F.lit(True)).unionByName(ahead.withColumn("_own", F.lit(False)))
+    d = d.withColumns({"meanVolume": F.avg("volume").over(w), "_n": F.count("*").over(w)}).filter(F.col("_own") & (F.col("_n") == back))
+    return in_force(d, ranges, "UNUSUAL_VOLUME").filter(F.col("volume") > F.col("threshold") * F.col("meanVolume")).drop("_n", "_at", "_block", "_own")
 
 
 def wash_trades(trades: DataFrame, window_ms: int) -> DataFrame:

@@ -139,18 +139,31 @@ def price_scalars(spark, sf_dir):
 _TOPICS = ", ".join(f"('{t}', {p}, '{'cleanup.policy=compact' if d is None else f'retention.ms={d * 86_400_000}'}')" for t, (p, d, _) in TOPICS.items())
 
 
-@query(f"SELECT * FROM (VALUES {_TOPICS}) v(name, partitions, config)")
+_NAMES = ", ".join(f"'{t}'" for t in TOPICS)
+
+
+@query(f"""WITH c AS (SELECT * FROM (VALUES {_TOPICS}) v(name, partitions, config)), r AS (SELECT [{_NAMES}][event_id % {len(TOPICS) + 1} + 1] AS name, user_id % 16 AS p FROM events)
+SELECT c.name, CAST(c.partitions AS INTEGER) AS partitions, c.config, count(r.name) AS records, count(*) FILTER (r.p >= c.partitions) AS misplaced FROM c LEFT JOIN r ON c.name = r.name GROUP BY ALL""")
 def topic_catalogue(spark, sf_dir):
-    return governance.topic_catalogue(spark)
+    """The catalogue's topics, with the records that came to each and those in a partition that it hasn't."""
+    name = F.try_element_at(F.array(*map(F.lit, TOPICS)), (F.col("event_id") % (len(TOPICS) + 1) + 1).cast("int"))
+    records = V.table(spark, sf_dir, "events").select(name.alias("name"), (F.col("user_id") % 16).alias("p"))
+    return governance.topic_use(governance.topic_catalogue(spark), records)
 
 
 _RULES = ", ".join(f"('{p}', '{t}', '{n}', '{o}')" for p, t, n, ops in governance.POLICIES for o in ops)
+_WHO = sorted({p[0] for p in governance.POLICIES})
+_WHAT = sorted({p[2] for p in governance.POLICIES})
 
 
-@query(f"""SELECT principal, "resourceType", name, operation, '--add --allow-principal User:' || principal || ' --operation ' || operation || ' --' || replace(lower("resourceType"), '_', '-') || ' ' || name AS arguments
-FROM (VALUES {_RULES}) v(principal, "resourceType", name, operation)""")
+@query(f"""WITH g AS (SELECT principal, "resourceType", name, operation, '--add --allow-principal User:' || principal || ' --operation ' || operation || ' --' || replace(lower("resourceType"), '_', '-') || ' ' || name AS arguments
+  FROM (VALUES {_RULES}) v(principal, "resourceType", name, operation)), r AS (SELECT [{", ".join(f"'{w}'" for w in _WHO)}][user_id % {len(_WHO)} + 1] AS principal, [{", ".join(f"'{w}'" for w in _WHAT)}][event_id % {len(_WHAT)} + 1] AS name FROM events)
+SELECT g.*, count(r.name) AS requests FROM g LEFT JOIN r ON r.principal = g.principal AND r.name = g.name GROUP BY ALL""")
 def grant_arguments(spark, sf_dir):
-    return governance.grant_arguments(governance.policies(spark))
+    """The argument line of each grant, with the requests that it would answer."""
+    pick = lambda xs, c: F.element_at(F.array(*map(F.lit, xs)), (F.col(c) % len(xs) + 1).cast("int"))
+    requests = V.table(spark, sf_dir, "events").select(pick(_WHO, "user_id").alias("principal"), pick(_WHAT, "event_id").alias("name"))
+    return governance.grants_used(governance.grant_arguments(governance.policies(spark)), requests)
 
 
 @query("SELECT n_name AS name, 'r' || n_regionkey AS namespace FROM nation WHERE n_nationkey % 4 = 0 OR n_nationkey % 7 = 1")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -230,9 +232,21 @@ def positions_snapshot(spark, sf_dir):
     return positions.positions(V.trades(spark, sf_dir)).withColumn("marketValue", half_up(F.col("marketValue"), 2))
 
 
-@query(f"WITH {V.RULES} SELECT * FROM ranges")
+_ALL_RULES = f"""re AS (SELECT 'R' || s_suppkey % 7 AS "ruleId", 'TYPE-' || s_suppkey % 3 AS "ruleType", CAST(s_suppkey AS BIGINT) AS version, ['ACTIVE', 'DRAFT', 'RETIRED', 'ACTIVE', 'REJECTED'][s_suppkey % 5 + 1] AS state,
+  s_suppkey % 11 = 0 AS alone, CAST(s_suppkey % 13 AS DOUBLE) AS threshold, {V.START_MS} + s_suppkey * 7919 % 43200 * 60000 AS f FROM supplier),
+rr AS (SELECT *, lead(f) OVER (PARTITION BY "ruleId" ORDER BY f, version) AS t FROM re WHERE state IN ('ACTIVE', 'RETIRED', 'REJECTED') AND (state <> 'ACTIVE' OR NOT alone))"""
+
+
+@query(f"""WITH {_ALL_RULES} SELECT "ruleId", "ruleType", version, threshold, f AS from_ms, t AS to_ms FROM rr WHERE state = 'ACTIVE'""")
 def rule_in_force(spark, sf_dir):
-    return risk.rule_ranges(V.rule_events(spark, sf_dir))
+    """Suppliers as the life of rules: drafts, rules that were approved by their maker, versions that end others."""
+    k = F.col("s_suppkey").cast("long")
+    state = F.element_at(F.array(*map(F.lit, ["ACTIVE", "DRAFT", "RETIRED", "ACTIVE", "REJECTED"])), (k % 5 + 1).cast("int"))
+    events = V.table(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("R"), (k % 7).cast("string")).alias("ruleId"), F.concat(F.lit("TYPE-"), (k % 3).cast("string")).alias("ruleType"), k.alias("version"), state.alias("state"),
+        F.lit("ann").alias("makerSubject"), F.when(k % 11 == 0, "ann").otherwise("bob").alias("checkerSubject"), (k % 13).cast("double").alias("threshold"), (F.lit(V.START_MS) + k * 7919 % 43_200 * 60_000).alias("effective_ms"),
+    )
+    return risk.rule_ranges(events)
 
 
 _FORCE = "r.from_ms <= {t} AND (r.to_ms IS NULL OR {t} < r.to_ms)"
@@ -255,7 +269,7 @@ def position_limit_alerts(spark, sf_dir):
 @query(f"""WITH {V.TICKS}, {V.RULES}, m AS (SELECT *, avg(volume) OVER b AS mean, count(*) OVER b AS n FROM ticks WINDOW b AS (PARTITION BY ticker ORDER BY seq ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING))
 SELECT ticker, seq, volume, round(mean, 4) AS "meanVolume", "ruleId" FROM m JOIN ranges r ON r."ruleType" = 'UNUSUAL_VOLUME' AND {_FORCE.format(t="m.event_ms")} WHERE n = 20 AND volume > r.threshold * mean""")
 def unusual_volume_alerts(spark, sf_dir):
-    return risk.unusual_volume_alerts(V.ticks(spark, sf_dir), risk.rule_ranges(V.rule_events(spark, sf_dir))).select("ticker", "seq", "volume", F.round("meanVolume", 4).alias("meanVolume"), "ruleId")
+    return risk.unusual_volume_alerts(V.ticks(spark, sf_dir), risk.rule_ranges(V.rule_events(spark, sf_dir)), span=SPAN).select("ticker", "seq", "volume", F.round("meanVolume", 4).alias("meanVolume"), "ruleId")
 
 
 _COARSE = "event_ms - event_ms % 3600000 AS event_ms"
@@ -344,16 +358,33 @@ def market_freshness(spark, sf_dir):
     return market_state.freshness(V.ticks(spark, sf_dir), F.lit(_NOW))
 
 
-@query()
+_DT = "(60.0::DOUBLE / (252 * 6.5::DOUBLE * 3600))"
+_WALK = f"""st AS (SELECT 'T' || user_id AS ticker, event_id AS seq, epoch_us(ts) // 1000 AS event_ms, (event_id % 997 + 1) / 1000.0::DOUBLE AS u,
+  CAST((0.08::DOUBLE - 0.25::DOUBLE * 0.25::DOUBLE / 2) * {_DT} + 0.25::DOUBLE * power({_DT}, 0.5) * (value / 100 - 0.5) AS DECIMAL(30,15)) AS step FROM events),
+walk AS (SELECT *, 100 * exp(CAST(sum(step) OVER (PARTITION BY ticker ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE)) AS last FROM st)"""
+_MODEL = generators.TickModel(mu=0.08, sigma=0.25, step_seconds=60.0, spread_bps=5.0, volume_scale=100.0, volume_alpha=1.5)
+
+
+def _walk(spark, sf_dir):
+    """Events as shocks of their users' prices."""
+    e, i = V.table(spark, sf_dir, "events"), F.col("event_id")
+    rows = e.select(F.concat(F.lit("T"), F.col("user_id").cast("string")).alias("ticker"), i.alias("seq"), V.epoch_ms("ts").alias("event_ms"), (F.col("value") / 100 - 0.5).alias("shock"), ((i % 997 + 1) / 1000.0).alias("u"), F.lit(100.0).alias("start"))
+    return generators.walked(rows, _MODEL)
+
+
+@query(f"""WITH {_WALK} SELECT ticker, seq, event_ms, {_R.format(x="last")} AS last, {_R.format(x="(last * (1 - 5.0::DOUBLE / 20000))")} AS bid, {_R.format(x="(last * (1 + 5.0::DOUBLE / 20000))")} AS ask,
+CAST(floor(100.0::DOUBLE / power(u, 1.0::DOUBLE / 1.5)) AS BIGINT) AS volume FROM walk""")
 def gbm_walk(spark, sf_dir):
-    """Random, so without SQL: 1,000 ticks of the price walk."""
-    return generators.ticks(spark, 1000, seed=7)
+    """The price walk of each user's events."""
+    return _walk(spark, sf_dir).select("ticker", "seq", "event_ms", *[half_up(F.col(c), 4).alias(c) for c in ("last", "bid", "ask")], "volume")
 
 
-@query()
+@query(f"""WITH {_WALK} SELECT 'trade-' || sha256(CAST(seq AS VARCHAR)) AS "tradeId", ticker, seq % 500 + 1 AS quantity, {_R.format(x="(CASE WHEN seq % 2 = 0 THEN last * (1 + 5.0::DOUBLE / 20000) ELSE last * (1 - 5.0::DOUBLE / 20000) END)")} AS price,
+CASE WHEN seq % 2 = 0 THEN 'BUY' ELSE 'SELL' END AS side, 'trader-' || seq % 10 AS "traderId", 'account-' || seq // 10 % 10 AS "accountId", event_ms FROM walk""")
 def trade_walk(spark, sf_dir):
-    """Random, so without SQL: 1,000 generated trades."""
-    return generators.trades(spark, 1000, seed=7)
+    """A trade at each step of the walk."""
+    d = generators.trades_at(_walk(spark, sf_dir))
+    return d.select("tradeId", "ticker", "quantity", half_up(F.col("price"), 4).alias("price"), "side", "traderId", "accountId", "event_ms")
 
 
 @query(f"""WITH {V.TICKS}, {_OUTCOMES}, {_BUCKETS}, k AS (SELECT ticker, seq, bucket FROM b),
@@ -517,7 +548,7 @@ def position_limit_alerts(spark, sf_dir):
 @query(f"""WITH {V.TICKS}, {V.RULES}, m AS (SELECT *, avg(volume) OVER b AS mean, count(*) OVER b AS n FROM ticks WINDOW b AS (PARTITION BY ticker ORDER BY seq ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING))
 SELECT ticker, seq, volume, round(mean, 4) AS "meanVolume", "ruleId" FROM m JOIN ranges r ON r."ruleType" = 'UNUSUAL_VOLUME' AND {_FORCE.format(t="m.event_ms")} WHERE n = 20 AND volume > r.threshold * mean""")
 def unusual_volume_alerts(spark, sf_dir):
-    return risk.unusual_volume_alerts(V.ticks(spark, sf_dir), risk.rule_ranges(V.rule_events(spark, sf_dir))).select("ticker", "seq", "volume", F.round("meanVolume", 4).alias("meanVolume"), "ruleId")
+    return risk.unusual_volume_alerts(V.ticks(spark, sf_dir), risk.rule_ranges(V.rule_events(spark, sf_dir)), span=SPAN).select("ticker", "seq", "volume", F.round("meanVolume", 4).alias("meanVolume"), "ruleId")
 
 
 _COARSE = "event_ms - event_ms % 3600000 AS event_ms"
@@ -650,8 +681,8 @@ def stream_market_state(spark, sf_dir):
 
 
 def entry(spark: SparkSession) -> DataFrame:
-    """The flagship: volume-weighted average price per ticker over the surviving window."""
-    return vwap(spark, "/root/testdata/sf0.001")
+    """The flagship: volume-weighted average price per ticker over the surviving window, of the tables in $TICKLOOM_SF_DIR."""
+    return vwap(spark, os.environ.get("TICKLOOM_SF_DIR", "/root/testdata/sf0.001"))
 
 
 from . import checks, streams  # noqa: E402, F401  register their queries

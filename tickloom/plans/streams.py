@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scalars import half_up
-from ..operators import positions, reference_data
+from ..operators import cases, intervals, manifests, positions, reconciliation, reference_data, related, risk
+from ..operators.archive import partition_columns
 from ..schemas import RECORD
-from ..streaming import archive, enrichment, failures, market, rebuild, reference
+from ..streaming import archive, enrichment, failures, market, rebuild, reference, rules
 from ..streaming import positions as positions_stream
 from ..streaming.session import stateful
 from ..streaming.versions import Versions
@@ -152,3 +153,105 @@ def stream_rebuild(spark, sf_dir):
         both.rebuild(run)
     d = market.market_now(both.tables(), V.HORIZON_S).withColumn("vwap", half_up(F.col("vwap"), 4))
     return d.select("ticker", "bid", "ask", "last", "volume", "event_ms", "offset", "produced_ms", "correlationId", "vwap", "n_buckets")
+
+
+@query(SQL["archive_coverage"])
+def coverage_by_deliveries(spark, sf_dir):
+    """Coverage kept up over three deliveries by merging blocks of intervals; what was archived before isn't read again."""
+    at = folder(spark)
+    d = V.archive(spark, sf_dir).withColumn("of", _late(F.col("partition") + F.col("offset") * 12))
+    tables = Versions(spark, f"{at}/tables", {"blocks": intervals.KEY})
+    for k in range(3):
+        new, old = intervals.blocks(d.filter(F.col("of") == k)), tables.read("blocks", tables.current(before=k))
+        tables.publish(k, {"blocks": new if old is None else intervals.merged(old, new)})
+    return intervals.coverage(tables.read("blocks", tables.current()))
+
+
+@query(f"""WITH {V.ARCHIVE}, o AS (SELECT DISTINCT topic, "partition", "offset" FROM archive), n AS (SELECT *, lead("offset") OVER (PARTITION BY topic, "partition" ORDER BY "offset") AS nxt FROM o)
+SELECT topic, "partition", "offset" + 1 AS "firstMissing", nxt - 1 AS "lastMissing" FROM n WHERE nxt > "offset" + 1""")
+def missing_ranges(spark, sf_dir):
+    return intervals.missing_ranges(intervals.blocks(V.archive(spark, sf_dir)))
+
+
+@query(f"""WITH {V.ARCHIVE}, d AS (SELECT DISTINCT topic, "partition", "offset", topic || '-' || "partition" || '-' || "offset" AS key, coalesce(value, '') AS payload, make_timestamp_ms(ts_ms) AS t FROM archive),
+l AS (SELECT *, sha256(strlen(key) || ':' || key || strlen(payload) || ':' || payload) AS leaf FROM d),
+b AS (SELECT year(t) AS y, month(t) AS m, day(t) AS d, topic, "partition", "offset" // {manifests.FAN} AS block, sha256(string_agg(leaf, '' ORDER BY "offset")) AS h FROM l GROUP BY ALL),
+p AS (SELECT y, m, d, topic, "partition", sha256(string_agg(h, '' ORDER BY block)) AS h FROM b GROUP BY ALL)
+SELECT CAST(y AS INTEGER) AS year, CAST(m AS INTEGER) AS month, CAST(d AS INTEGER) AS day, sha256(string_agg(h, '' ORDER BY topic, "partition")) AS root FROM p GROUP BY ALL""")
+def archive_roots(spark, sf_dir):
+    """The root of the tree of digests over each day's records."""
+    d = V.archive(spark, sf_dir).dropDuplicates(["topic", "partition", "offset"]).withColumn("eventType", F.lit("Event"))
+    rows = partition_columns(d.withColumnRenamed("value", "payload"))
+    return manifests.roots(manifests.leaves(rows), ["year", "month", "day"])
+
+
+_SETTLE_MS, _FIRST_MS, _LATER_MS = 3_600_000, V.START_MS + 10_000_000, V.START_MS + 40_000_000
+
+
+@query(f"""WITH {V.LEDGERS}, i0 AS (SELECT o_orderkey AS k, {V.START_MS} + o_orderkey % 7200 * 1000 AS seen FROM orders WHERE o_orderkey % 59 <> 0),
+x0 AS (SELECT "referenceId" AS k, {V.START_MS} + "referenceId" % 7200 * 1000 + CASE WHEN "referenceId" % 5 = 0 THEN 9000000 ELSE 1000 END AS seen FROM e1),
+at AS (SELECT unnest([{_FIRST_MS}, {_LATER_MS}]) AS now_ms),
+i AS (SELECT now_ms, k, count(*) AS n, min(seen) AS seen FROM i0, at WHERE seen <= now_ms GROUP BY ALL), x AS (SELECT now_ms, k, count(*) AS n, min(seen) AS seen FROM x0, at WHERE seen <= now_ms GROUP BY ALL),
+f AS (SELECT coalesce(i.now_ms, x.now_ms) AS now_ms, coalesce(i.k, x.k) AS "referenceId", i.n AS i_n, x.n AS e_n, coalesce(i.seen, x.seen) AS seen FROM i FULL OUTER JOIN x ON i.now_ms = x.now_ms AND i.k = x.k),
+v AS (SELECT f.*, a.amount AS ia, b.amount AS ea, a.state AS si, b.state AS se FROM f LEFT JOIN internal a ON a."referenceId" = f."referenceId" AND i_n IS NOT NULL LEFT JOIN external b ON b."referenceId" = f."referenceId" AND e_n IS NOT NULL),
+g AS (SELECT *, i_n IS NULL OR e_n IS NULL AS alone FROM v),
+k AS (SELECT *, CASE WHEN alone AND seen + {_SETTLE_MS} >= now_ms THEN 'TIMING_UNCERTAINTY' WHEN alone THEN 'MISSING_PARTICIPANT' WHEN i_n > 1 OR e_n > 1 THEN 'DUPLICATE_REFERENCE' WHEN abs(ia - ea) > 0 AND abs(ia - ea) <= 1 THEN 'ROUNDING_OR_FEE_CANDIDATE'
+  WHEN abs(ia - ea) > 1 THEN 'AMOUNT_MISMATCH' WHEN si <> se THEN 'CONFLICTING_STATE' END AS "observationType" FROM g)
+SELECT now_ms, "referenceId", "observationType", ia AS "internalAmount", ea AS "externalAmount", CASE WHEN alone THEN 1 ELSE 2 END AS "participantsObserved",
+CASE WHEN NOT alone THEN 'COMPLETE' WHEN seen + {_SETTLE_MS} >= now_ms THEN 'INCOMPLETE_EXPECTED' ELSE 'INCOMPLETE_UNKNOWN' END AS completeness FROM k WHERE "observationType" IS NOT NULL""")
+def recon_over_time(spark, sf_dir):
+    """What is observed at two times: what is in flight is expected at first, and unknown or settled later."""
+    inner, outer = V.ledger_sides(spark, sf_dir)
+    k = F.col("referenceId")
+    seen = F.lit(V.START_MS) + k % 7200 * 1000
+    inner, outer = inner.withColumn("seen_ms", seen), outer.withColumn("seen_ms", seen + F.when(k % 5 == 0, 9_000_000).otherwise(1000))
+    each = [reconciliation.observations(inner, outer, 1.0, now, _SETTLE_MS).drop("expectedParticipants").withColumn("now_ms", F.lit(now)) for now in (_FIRST_MS, _LATER_MS)]
+    return each[0].unionByName(each[1])
+
+
+_LEGAL = ", ".join(f"'{x}'" for x in cases.LEGAL)
+
+
+@query(f"""WITH {V.CASES}, s AS (SELECT "caseId", count(*) AS n_events, list_reduce(list_prepend({{'s': '', 'bad': 0}}, list({{'s': state, 'bad': 0}} ORDER BY event_ms, seq)),
+  lambda a, x: CASE WHEN CASE WHEN a.s = '' THEN x.s = 'OPEN' ELSE a.s || '>' || x.s IN ({_LEGAL}) END THEN {{'s': x.s, 'bad': a.bad}} ELSE {{'s': a.s, 'bad': a.bad + 1}} END) AS r FROM cases GROUP BY 1)
+SELECT "caseId", r.s AS state, n_events, CAST(r.bad AS BIGINT) AS n_illegal FROM s""")
+def case_states(spark, sf_dir):
+    """The state that each case is really in, illegal events left out."""
+    return cases.case_states(V.case_events(spark, sf_dir), 518_400_000, 4)
+
+
+@query(f"""WITH {V.TRADES}, once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY "tradeId" ORDER BY seq) AS k FROM trades) WHERE k = 1),
+g AS (SELECT b."tradeId", b.ticker, b."accountId", min(abs(b.event_ms - s.event_ms)) AS "gapMs" FROM once b JOIN once s ON b.side = 'BUY' AND s.side = 'SELL' AND b.ticker = s.ticker AND b."accountId" = s."accountId" GROUP BY ALL)
+SELECT * FROM g WHERE "gapMs" <= 3600000""")
+def related_wash_trades(spark, sf_dir):
+    """Opposing trades between related traders; here those of one account are, as each trader trades for one."""
+    once = positions.first_delivered(V.trades(spark, sf_dir))
+    return related.related_wash_trades(once, 3_600_000, folder(spark)).select("tradeId", "ticker", "accountId", "gapMs")
+
+
+_RULES = f"""re AS (SELECT s_suppkey AS version, 25 + s_suppkey % 20 AS threshold, {V.START_MS} + s_suppkey * 7919 % 43200 * 60000 AS f FROM supplier),
+rr AS (SELECT *, lead(f) OVER (ORDER BY f, version) AS t FROM re)"""
+
+
+def _over(trades, ranges):
+    return risk.in_force(trades, ranges, "QUANTITY").filter("quantity > threshold").select("tradeId", "ruleId", "version", "threshold", "quantity")
+
+
+@query(f"""WITH {V.TRADES}, once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY "tradeId" ORDER BY seq) AS k FROM trades) WHERE k = 1), {_RULES}
+SELECT "tradeId", 'R-QTY' AS "ruleId", version, CAST(threshold AS DOUBLE) AS threshold, quantity FROM once JOIN rr ON f <= event_ms AND (t IS NULL OR event_ms < t) WHERE quantity > threshold""")
+def stream_rules(spark, sf_dir):
+    """Versions of a rule and trades in turn; trades ahead of the rules wait for them, over a restart."""
+    at, own = folder(spark), stateful(spark)
+    s = F.col("s_suppkey").cast("long")
+    events = V.table(spark, sf_dir, "supplier").select(F.lit("R-QTY").alias("ruleId"), F.lit("QUANTITY").alias("ruleType"), s.alias("version"), F.lit("ACTIVE").alias("state"), F.lit("ann").alias("makerSubject"), F.lit("bob").alias("checkerSubject"), (25 + s % 20).cast("double").alias("threshold"), (F.lit(V.START_MS) + s * 7919 % 43_200 * 60_000).alias("effective_ms"))
+    end = events.limit(1).select(*[(F.lit(None).cast(f.dataType) if f.name != "effective_ms" else F.lit(V.START_MS * 2)).alias(f.name) for f in events.schema])
+    late = F.when(F.col("effective_ms") < V.START_MS + 1_296_000_000, 0).otherwise(1)
+    rules_in = Deliveries(spark, events.unionByName(end), late, f"{at}/rules")
+    trades_in = Deliveries(spark, positions.first_delivered(V.trades(spark, sf_dir)).select("tradeId", "event_ms", "quantity"), F.col("quantity") % 2, f"{at}/trades")
+    known, held = rules.rule_tables(own, f"{at}/known"), Versions(own, f"{at}/held", rules.HELD_TABLES)
+    for k in (0, 1):
+        rules_in.come(k)
+        rules.rule_stream(rules_in.stream(own), known, f"{at}/cp-rules").awaitTermination()
+        trades_in.come(k)
+        rules.alert_stream(trades_in.stream(own), known, held, f"{at}/out", f"{at}/cp-trades", _over).awaitTermination()
+    return spark.read.parquet(f"{at}/out").select("tradeId", "ruleId", "version", "threshold", "quantity")

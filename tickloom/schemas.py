@@ -45,6 +45,7 @@ ENUMS = {
     "ReconciliationObservationType": ["DUPLICATE_REFERENCE", "AMOUNT_MISMATCH", "CONFLICTING_STATE", "MISSING_PARTICIPANT", "TIMING_UNCERTAINTY", "ROUNDING_OR_FEE_CANDIDATE"],
     "ObservationCompleteness": ["COMPLETE", "INCOMPLETE_EXPECTED", "INCOMPLETE_UNKNOWN"],
 }
+# Topics, their partitions and retention are the platform's catalogue.
 #: topic: (partitions, retention in days or None if compacted, schema or None)
 TOPICS = {
     "trades.raw": (12, 7, "TradeEvent"),

@@ -50,18 +50,37 @@ class Pace:
         return spark.readStream.format("rate-micro-batch").option("rowsPerBatch", self.batch).option("advanceMillisPerBatch", round(self.interval_seconds * 1000)).load()
 
 
+def walked(rows: DataFrame, model: TickModel) -> DataFrame:
+    """Ticks from given shocks: each ticker's price is a geometric Brownian walk from its start, in order of seq.
+
+    rows: ticker, seq, event_ms, shock, u (of the volume, 0 to 1), start. Log steps are summed as decimals, so that the walk
+    depends on no order of addition: one window, no loop.
+    """
+    m = model
+    step = log_step(m.mu, m.sigma, m.step_seconds, F.col("shock")).cast("decimal(30,15)")
+    walk = F.sum(step).over(W.partitionBy("ticker").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)).cast("double")
+    d = rows.withColumn("last", F.col("start") * F.exp(walk))
+    return d.select("ticker", bid("last", m.spread_bps).alias("bid"), ask("last", m.spread_bps).alias("ask"), "last", pareto(F.col("u"), m.volume_scale, m.volume_alpha).alias("volume"), "event_ms", F.col("seq").alias("offset"), "seq")
+
+
+def trades_at(walk: DataFrame, traders: int = 10) -> DataFrame:
+    """A trade for each tick, buys at the ask and sells at the bid, by the tick's number."""
+    n, side = F.col("seq"), F.when(F.col("seq") % 2 == 0, "BUY").otherwise("SELL")
+    of = lambda kind, k: F.concat(F.lit(f"{kind}-"), (F.floor(n / k) % traders).cast("string"))
+    return walk.select(F.concat(F.lit("trade-"), F.sha2(n.cast("string"), 256)).alias("tradeId"), "ticker", (n % 500 + 1).alias("quantity"), F.when(n % 2 == 0, F.col("ask")).otherwise(F.col("bid")).alias("price"), side.alias("side"), of("trader", 1).alias("traderId"), of("account", 10).alias("accountId"), "event_ms", "seq")
+
+
 def ticks(spark: SparkSession, n: int, model: TickModel | None = None, seed: int = 0, start_ms: int = 1_740_000_000_000, enabled: bool = True) -> DataFrame:
     """n ticks, round robin over the tickers, each ticker's price a geometric Brownian walk.
 
-    Prices are running sums of log steps per ticker, so the walk is one window, not a loop.
+    The shocks are random; `walked` makes prices of them.
     """
     m = model or TickModel()
     names = sorted(m.prices)
     d = spark.range(n if enabled else 0).withColumns({"seq": F.col("id"), "_i": F.pmod("id", F.lit(len(names))).cast("int"), "_z": F.randn(seed), "_u": F.rand(seed + 1)})
     at = lambda xs: F.element_at(F.array(*map(F.lit, xs)), F.col("_i") + 1)
-    walk = F.sum(log_step(m.mu, m.sigma, m.step_seconds, F.col("_z"))).over(W.partitionBy("ticker").orderBy("seq").rowsBetween(W.unboundedPreceding, 0))
-    d = d.withColumn("ticker", at(names)).withColumn("last", at([m.prices[x] for x in names]) * F.exp(walk))
-    return d.select("ticker", bid("last", m.spread_bps).alias("bid"), ask("last", m.spread_bps).alias("ask"), "last", pareto(F.col("_u"), m.volume_scale, m.volume_alpha).alias("volume"), (F.lit(start_ms) + F.col("seq") * round(m.step_seconds * 1000)).cast("long").alias("event_ms"), F.col("seq").alias("offset"), "seq")
+    event_ms = (F.lit(start_ms) + F.col("seq") * round(m.step_seconds * 1000)).cast("long")
+    return walked(d.select(at(names).alias("ticker"), "seq", event_ms.alias("event_ms"), F.col("_z").alias("shock"), F.col("_u").alias("u"), at([m.prices[x] for x in names]).alias("start")), m)
 
 
 def trades(spark: SparkSession, n: int, tickers: list[str] | None = None, seed: int = 0, start_ms: int = 1_740_000_000_000, enabled: bool = True) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..functions.scalars import CORRELATION_ID, correlation_id
+from ..operators import manifests
 from ..operators.archive import COORDINATES, classified, let_through, partition_columns, projected
 from ..operators.dead_letters import dead_letters
 from ..schemas import RECORD
@@ -56,14 +57,17 @@ def once(records: DataFrame, window: int = WINDOW, arrival: str | None = None) -
     return d.withColumn("headers", F.when(F.col("correlationId").isNotNull(), header)).select(*RECORD.names)
 
 
-def archive_batch(schemas: DataFrame, archive: str, quarantine: str, group: str, instance: str, attempt: Attempt | None = None, attempts_at: str | None = None, attempts: int = 3) -> Callable[[DataFrame, int], None]:
+def archive_batch(schemas: DataFrame, archive: str, quarantine: str, group: str, instance: str, attempt: Attempt | None = None, attempts_at: str | None = None, attempts: int = 3, sign_with: bytes | None = None) -> Callable[[DataFrame, int], None]:
     """foreachBatch function. A batch that is run again overwrites its own folders, so each row stands there once.
 
     attempt: also do this with each decoded record, and archive those with which it comes to an end; the others are
     quarantined with the number of their attempts, which are kept under attempts_at. Undecodable records aren't tried.
+    sign_with: the key by which a manifest of the batch's files is signed and written beside them.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
+        if sign_with is not None and manifests.written(batch.sparkSession, archive, batch_id):
+            return  # all of it was there before the manifest
         batch = batch.persist()  # the stateful plan runs once for all that is written
         try:
             good, bad = classified(batch, schemas)
@@ -80,16 +84,18 @@ def archive_batch(schemas: DataFrame, archive: str, quarantine: str, group: str,
             # The dead letters belong to the same batch: if they can't be written, its offsets aren't committed.
             letters = dead_letters(failed.withColumn("stack", F.lit("")), group, instance)
             with_retry(lambda: letters.write.mode("overwrite").parquet(f"{quarantine}/batch={batch_id}"))
+            if sign_with is not None:
+                manifests.write_manifest(batch.sparkSession, archive, batch_id, sign_with)
         finally:
             batch.unpersist()
 
     return run
 
 
-def archive_stream(records: DataFrame, schemas: DataFrame, archive: str, quarantine: str, checkpoint: str, group: str = "audit", instance: str = "audit-0", window: int = WINDOW, arrival: str | None = None, attempt: Attempt | None = None, attempts: int = 3, trigger: dict | None = None) -> StreamingQuery:
+def archive_stream(records: DataFrame, schemas: DataFrame, archive: str, quarantine: str, checkpoint: str, group: str = "audit", instance: str = "audit-0", window: int = WINDOW, arrival: str | None = None, attempt: Attempt | None = None, attempts: int = 3, sign_with: bytes | None = None, trigger: dict | None = None) -> StreamingQuery:
     """Start the archive. The records' session must be one that `session.stateful` gave.
 
     Undecodable records are let through once too; both kinds are written once, however late they come.
     """
-    write = archive_batch(schemas, archive, quarantine, group, instance, attempt, f"{quarantine}-attempts", attempts)
+    write = archive_batch(schemas, archive, quarantine, group, instance, attempt, f"{quarantine}-attempts", attempts, sign_with)
     return once(records, window, arrival).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -70,12 +70,15 @@ class Versions:
     def _all(self) -> list[str]:
         return [n for n in self.files.names(f"{self.path}/versions") if n.isdigit()]
 
+    def numbered(self, number: int) -> dict:
+        return json.loads(self.files.read(f"{self.path}/versions/{number:012d}")) | {"number": number}
+
     def current(self, before: int | None = None) -> dict | None:
         """The last version, or the last that is of a batch before the stated one; null if there is none."""
         for name in reversed(self._all()):
-            version = json.loads(self.files.read(f"{self.path}/versions/{name}"))
+            version = self.numbered(int(name))
             if before is None or version["batch"] < before:
-                return version | {"number": int(name)}
+                return version
         return None
 
     def read(self, table: str, version: dict | None) -> DataFrame | None:
