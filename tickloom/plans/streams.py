@@ -190,8 +190,8 @@ _SETTLE_MS, _FIRST_MS, _LATER_MS = 3_600_000, V.START_MS + 10_000_000, V.START_M
 
 @query(f"""WITH {V.LEDGERS}, i0 AS (SELECT o_orderkey AS k, {V.START_MS} + o_orderkey % 7200 * 1000 AS seen FROM orders WHERE o_orderkey % 59 <> 0),
 x0 AS (SELECT "referenceId" AS k, {V.START_MS} + "referenceId" % 7200 * 1000 + CASE WHEN "referenceId" % 5 = 0 THEN 9000000 ELSE 1000 END AS seen FROM e1),
-at AS (SELECT unnest([{_FIRST_MS}, {_LATER_MS}]) AS now_ms),
-i AS (SELECT now_ms, k, count(*) AS n, min(seen) AS seen FROM i0, at WHERE seen <= now_ms GROUP BY ALL), x AS (SELECT now_ms, k, count(*) AS n, min(seen) AS seen FROM x0, at WHERE seen <= now_ms GROUP BY ALL),
+times AS (SELECT unnest([{_FIRST_MS}, {_LATER_MS}]) AS now_ms),
+i AS (SELECT now_ms, k, count(*) AS n, min(seen) AS seen FROM i0, times WHERE seen <= now_ms GROUP BY ALL), x AS (SELECT now_ms, k, count(*) AS n, min(seen) AS seen FROM x0, times WHERE seen <= now_ms GROUP BY ALL),
 f AS (SELECT coalesce(i.now_ms, x.now_ms) AS now_ms, coalesce(i.k, x.k) AS "referenceId", i.n AS i_n, x.n AS e_n, coalesce(i.seen, x.seen) AS seen FROM i FULL OUTER JOIN x ON i.now_ms = x.now_ms AND i.k = x.k),
 v AS (SELECT f.*, a.amount AS ia, b.amount AS ea, a.state AS si, b.state AS se FROM f LEFT JOIN internal a ON a."referenceId" = f."referenceId" AND i_n IS NOT NULL LEFT JOIN external b ON b."referenceId" = f."referenceId" AND e_n IS NOT NULL),
 g AS (SELECT *, i_n IS NULL OR e_n IS NULL AS alone FROM v),
