@@ -129,3 +129,32 @@ def test_str12_readers_see_one_generation(spark, tmp_path):
     assert g.tables().read("a", g.tables().current()).first()["n"] == 2 and g.checkpoint(0) != g.checkpoint(1)
     g.drop_before(1)
     assert g.files.names(str(tmp_path / "g")) == ["finished", "generation-1"]
+
+
+def test_str7_bad_ticks_never_reach_the_state(spark, tmp_path):
+    tables, nan = market.market_tables(stateful(spark), str(tmp_path / "state")), float("nan")
+    for rows in ([("A", 1.0, 3.0, 2.0, 10, 1_000, 1, 1), ("A", nan, 3.0, 2.0, 10, 2_000, 2, 2)], [("A", 1.0, 3.0, 9.0, -5, 3_000, 3, 3), ("A", 2.0, 2.0, 2.0, 10, 3_500, 4, 4), ("B", 1.0, 1.0, 1.0, 1, 9_000_000, 5, 5)]):
+        good, bad = market.valid(feed(spark, tmp_path / "in", rows, TICK_DDL), F.lit(4_000))
+        market.market_stream(good, tables, str(tmp_path / "cp")).awaitTermination()
+        market.quarantine_stream(bad, str(tmp_path / "bad"), str(tmp_path / "cp-bad")).awaitTermination()
+    assert [(r["ticker"], r["event_ms"], r["vwap"]) for r in market.market_now(tables).collect()] == [("A", 3_500, 2.0)]
+    assert sorted((r["seq"], *r["reasons"]) for r in spark.read.parquet(str(tmp_path / "bad")).collect()) == [(2, "PRICE_NOT_FINITE"), (3, "NEGATIVE_VOLUME"), (5, "FUTURE_EVENT")]
+
+
+def test_str8_jn1_misses_are_tried_again(spark, tmp_path):
+    """B is known from the second attempt on, C never; A isn't tried again."""
+    asked = []
+
+    def state():
+        asked.append(1)
+        known = [("A", 1.0, 3.0, len(asked))] + [("B", 2.0, 4.0, len(asked))] * (len(asked) > 1)
+        return spark.createDataFrame(known, "ticker string, bid double, ask double, event_ms long")
+
+    instruments = spark.createDataFrame([(f"I{t}", t, 100) for t in "ABC"], "instrumentId string, ticker string, sharesOutstanding long")
+    trades = spark.createDataFrame([(t, t, 10.0, 5_000, 5_000) for t in "ABC"], "tradeId string, ticker string, price double, event_ms long, produced_ms long")
+    run = enrichment.enrich_batch(state, lambda: instruments, str(tmp_path / "out"), str(tmp_path / "misses"), str(tmp_path / "attempts"), first_s=0.01)
+    for _ in range(2):  # a batch that is run again asks for nothing
+        run(trades, 0)
+        assert len(asked) == 3
+        assert sorted((r["tradeId"], r["mid"], r["tick_ms"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [("A", 2.0, 1), ("B", 3.0, 2)]
+        assert [(r["tradeId"], r["failure"], r["retryCount"]) for r in spark.read.parquet(str(tmp_path / "misses")).collect()] == [("C", "REFERENCE_DATA_UNAVAILABLE", 3)]

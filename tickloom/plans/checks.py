@@ -9,7 +9,7 @@ from ..functions import validation, wire
 from ..functions.ordered import even_span
 from ..operators import archive, governance, market_state
 from ..schemas import RECORD, TOPICS
-from ..sources import cdc, records
+from ..sources import cdc, generators, records
 from . import views as V
 from .registry import SQL, folder, query
 
@@ -222,3 +222,37 @@ def stream_enrichment(spark, sf_dir):
     enrichment_stream(stream, lambda: spark.read.parquet(f"{at}/state"), lambda: spark.read.parquet(f"{at}/instruments"), f"{at}/out", f"{at}/misses", f"{at}/cp").awaitTermination()
     d = spark.read.parquet(f"{at}/out")
     return d.select("tradeId", "ticker", S.half_up(F.col("mid"), 4).alias("mid"), S.half_up(F.col("marketCap"), 4).alias("marketCap"), "dataAgeMs", (F.col("enrichmentLatencyMs") == F.col("enrichedAtMs") - F.col("produced_ms")).alias("timed"))
+
+
+@query(f"""SELECT 'CA' || p_partkey AS "corporateActionId", 'T' || (p_partkey % 190) AS ticker, p_partkey % 4 = 1 AS split, {V.START_MS} AS announced_ms, {V.START_MS} + p_partkey % 1000 * 60000 AS effective_ms FROM part WHERE p_partkey % 3 = 0""")
+def seeded_actions(spark, sf_dir):
+    """Corporate actions seeded from a table, in force so many seconds after now."""
+    k = F.col("p_partkey")
+    kind = F.when(k % 4 == 1, "STOCK_SPLIT").otherwise("EARNINGS_ANNOUNCEMENT")
+    attributes = F.when(k % 4 == 1, F.create_map(F.lit("splitRatio"), F.lit("2:1"))).otherwise(F.create_map().cast("map<string,string>"))
+    rows = V.table(spark, sf_dir, "part").filter("p_partkey % 3 = 0").select(F.concat(F.lit("CA"), k.cast("string")).alias("corporateActionId"), F.concat(F.lit("T"), (k % 190).cast("string")).alias("ticker"), kind.alias("actionType"), attributes.alias("attributes"), (k % 1000 * 60).alias("effective_in_seconds"))
+    d = generators.seed_corporate_actions(spark, rows, F.timestamp_millis(F.lit(V.START_MS)))
+    return d.select("corporateActionId", "ticker", (F.try_element_at("attributes", F.lit("splitRatio")) == "2:1").eqNullSafe(True).alias("split"), F.unix_millis("announcedAt").alias("announced_ms"), F.unix_millis("effectiveAt").alias("effective_ms"))
+
+
+@query("""SELECT 'I' || p_partkey AS "instrumentId", 'T' || (p_partkey % 190) AS ticker, CAST(p_size AS BIGINT) * 1000000 AS "sharesOutstanding", CAST(1 AS BIGINT) AS "referenceVersion" FROM part""")
+def seeded_instruments(spark, sf_dir):
+    """The instrument master seeded from a table: each at version 1, all of which the version guard lets through."""
+    k = F.col("p_partkey")
+    rows = V.table(spark, sf_dir, "part").select(F.concat(F.lit("I"), k.cast("string")).alias("instrumentId"), F.concat(F.lit("T"), (k % 190).cast("string")).alias("ticker"), (F.col("p_size").cast("long") * 1_000_000).alias("sharesOutstanding"))
+    good = validation.version_guard(generators.seed_instruments(spark, rows)).filter("accepted")
+    return good.select("instrumentId", "ticker", "sharesOutstanding", "referenceVersion")
+
+
+@query(f"""WITH {V.TRADES} SELECT 'trades.raw' AS topic, ticker AS key, "tradeId", quantity, price, side, "traderId", event_ms, 'corr-' || seq AS "correlationId", 'p' || seq AS trace FROM trades""")
+def trades_published(spark, sf_dir):
+    """Trades published by ticker with their trace headers, and what a consumer makes of the records."""
+    at, t = folder(spark), V.trades(spark, sf_dir)
+    n = F.col("seq").cast("string")
+    body = F.struct("tradeId", "ticker", "quantity", "price", "side", "traderId", "event_ms")
+    t = t.withColumns({"value": F.encode(F.to_json(body), "UTF-8"), "c": F.concat(F.lit("corr-"), n), "t": F.create_map(F.lit("traceparent"), F.concat(F.lit("p"), n))})
+    records.publish(records.keyed(t.withColumn("h", S.headers("c", "t")), "trades.raw", "ticker", "value", "h"), path=at)
+    d = spark.read.schema("key string, value binary, headers array<struct<key:string,value:binary>>, topic string").parquet(at)
+    event = F.from_json(F.decode("value", "UTF-8"), "tradeId string, ticker string, quantity long, price double, side string, traderId string, event_ms long")
+    trace = F.decode(F.element_at(F.filter("headers", lambda h: h["key"] == "traceparent"), 1)["value"], "UTF-8")
+    return d.withColumn("e", event).select("topic", "key", "e.tradeId", "e.quantity", "e.price", "e.side", "e.traderId", "e.event_ms", S.correlation_id("headers").alias("correlationId"), trace.alias("trace"))

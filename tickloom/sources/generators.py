@@ -97,14 +97,20 @@ def trades(spark: SparkSession, n: int, tickers: list[str] | None = None, seed:
     )
 
 
-def seed_corporate_actions(spark: SparkSession, rows: list[tuple], now: Column | None = None, enabled: bool = True) -> DataFrame:
+def _seeds(spark: SparkSession, rows: list[tuple] | DataFrame, enabled: bool, ddl: str) -> DataFrame:
+    """Seeds from a list or a table; none if they are switched off."""
+    d = rows if isinstance(rows, DataFrame) else spark.createDataFrame(rows, ddl)
+    return d if enabled else d.limit(0)
+
+
+def seed_corporate_actions(spark: SparkSession, rows: list[tuple] | DataFrame, now: Column | None = None, enabled: bool = True) -> DataFrame:
     """Seeded actions that take effect effective_in_seconds after now. rows: id, ticker, type, attributes, seconds."""
-    d = spark.createDataFrame(rows if enabled else [], "corporateActionId string, ticker string, actionType string, attributes map<string,string>, effective_in_seconds long")
+    d = _seeds(spark, rows, enabled, "corporateActionId string, ticker string, actionType string, attributes map<string,string>, effective_in_seconds long")
     at = F.current_timestamp() if now is None else now
     return d.withColumn("announcedAt", at).withColumn("effectiveAt", F.timestamp_seconds(F.unix_seconds("announcedAt") + F.col("effective_in_seconds"))).drop("effective_in_seconds")
 
 
-def seed_instruments(spark: SparkSession, rows: list[tuple], enabled: bool = True) -> DataFrame:
+def seed_instruments(spark: SparkSession, rows: list[tuple] | DataFrame, enabled: bool = True) -> DataFrame:
     """The instrument master, every instrument at version 1. rows: id, ticker, shares outstanding."""
-    d = spark.createDataFrame(rows if enabled else [], "instrumentId string, ticker string, sharesOutstanding long")
+    d = _seeds(spark, rows, enabled, "instrumentId string, ticker string, sharesOutstanding long")
     return d.withColumn("referenceVersion", F.lit(1).cast("long")).withColumn("seq", F.monotonically_increasing_id())

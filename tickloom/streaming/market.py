@@ -7,10 +7,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from ..functions.validation import split, tick_reasons
 from ..operators import market_state
 from ..operators.market_state import BUCKET_S, RETAIN_S
 from .session import STATEFUL
@@ -86,6 +87,17 @@ def market_updates(ticks: DataFrame, bucket_s: int = BUCKET_S, retain_s: int = R
     return ticks.groupBy("ticker").transformWithStateInPandas(MarketState(bucket_s, retain_s, ttl_ms), outputStructType=OUT, outputMode="Append", timeMode="ProcessingTime")
 
 
+def valid(ticks: DataFrame, now_ms: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(ticks that may be projected, the others with `reasons`), of a stream too: a bad tick must not reach the state."""
+    return split(ticks, tick_reasons(now_ms))
+
+
+def quarantine_stream(bad: DataFrame, out: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Write rejected ticks, each once, from the same log as the projection and with a checkpoint of its own, so neither waits for the other."""
+    rows = bad.withColumn("rejectedAtMs", F.unix_millis(F.current_timestamp()))
+    return rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
 def market_tables(spark, path: str) -> Versions:
     return Versions(spark, path, TABLES)
 
