@@ -246,8 +246,8 @@ def _meeting(k: int, axes: dict[int, np.ndarray], share: tuple[int, int] | None)
 
 
 def _first(found: DataFrame, k: int) -> DataFrame:
-    """The k best rows of each anchor and positive, with `rank`; a positive that stands twice is told by `nth`."""
-    w = W.partitionBy("anchor_id", "positive_id", "nth").orderBy(F.col("score").desc(), "vec_id")
+    """The k best rows of each anchor and positive, with `rank`."""
+    w = W.partitionBy("anchor_id", "positive_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
@@ -284,7 +284,7 @@ def hard_negatives(vectors: DataFrame, is_anchor: Column, k_positive: int = 5, k
 
     zero = F.array(F.lit(0).cast("long"))
     found = searched(anchors.withColumns({"positive": zero, "high": zero}), k_positive, None, "positives")
-    positives = keep(_first(found.withColumn("nth", F.lit(0)), k_positive).select("anchor_id", "vec_id", "score"), "positives")
+    positives = keep(_first(found, k_positive).select("anchor_id", "vec_id", "score"), "positives")
     # At most k_positive an anchor. A positive that stands several times asks once and gets its rows each time.
     each = positives.groupBy("anchor_id", "vec_id", "score").agg(F.count("*").alias("times"))
     lists = each.groupBy("anchor_id").agg(F.sort_array(F.collect_list(F.struct("vec_id", "score", "times"))).alias("p"))
@@ -292,9 +292,9 @@ def hard_negatives(vectors: DataFrame, is_anchor: Column, k_positive: int = 5, k
     filled = lambda f, x: F.concat(F.transform("p", lambda p: p[f]), F.array_repeat(F.lit(x).cast("long"), F.lit(k_positive) - F.size("p")))
     asked = anchors.join(lists, F.col("id") == F.col("anchor_id")).select("id", "label", "v", filled("vec_id", int(NONE)).alias("positive"), filled("score", -1).alias("high"))
     found = searched(asked, k_negative, (low, high), "negatives").filter(F.col("positive_id") != int(NONE))
-    out = _first(found.withColumn("nth", F.lit(0)), k_negative)
+    out = _first(found, k_negative)
     out = out.join(each.select("anchor_id", F.col("vec_id").alias("positive_id"), F.col("score").alias("positive_score"), "times"), ["anchor_id", "positive_id", "positive_score"])
-    out = out.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
+    out = out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
     out = keep(out.select("anchor_id", "positive_id", F.col("rank").cast("int").alias("rank"), F.col("vec_id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score")), "out")
     keep.drop_but("out")
     return out
