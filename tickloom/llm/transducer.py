@@ -44,7 +44,7 @@ from .common import Scratch, by_batches, packed, restored, shared_folder, table
 #: Words in the lexicon, and the most bytes of one.
 WORDS_KEPT, LONGEST = 65_536, 48
 #: Characters of text in a slice, words that a task counts before it hands them on, unseen words a worker remembers.
-SLICE, COUNTED, REMEMBERED = 250_000, 200_000, 50_000
+SLICE, COUNTED, REMEMBERED = 1_000_000, 200_000, 50_000
 #: Marks between a count and its double, at one of which the lexicon ends.
 MARKS = 32
 
