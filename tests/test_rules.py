@@ -2,13 +2,16 @@
 
 import json
 import random
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tickloom import schemas
 from tickloom.functions import scalars as S
 from tickloom.functions import validation as V
+from tickloom.functions.ordered import max_from
 from tickloom.operators import cases, corporate_actions, enrichment, governance, positions, reconciliation, reference_data, risk
 from tickloom.sources import generators as G
 
@@ -242,3 +245,18 @@ def test_agg8_volume_in_blocks(spark, block, span):
                 want.add((t, mine[k][0], round(mean, 6)))
     got = risk.unusual_volume_alerts(d, ranges, 3, span, block)
     assert {(x["ticker"], x["seq"], round(x["meanVolume"], 6)) for x in got.collect()} == want and want
+
+
+def test_frames_of_one_hot_key_grow_only(spark):
+    """40,000 rows of one key; a frame that ended at the last row took most of a minute."""
+    n = 40_000
+    d = spark.range(n).selectExpr("'k' as ticker", "id as seq", "(id * 7919) % 10007 as x").cache()
+    assert d.count() == n
+    began = time.perf_counter()
+    got = np.array([r["m"] for r in max_from(d, ["ticker"], "seq", F.col("x"), "m").orderBy("seq").select("m").collect()])
+    x = np.arange(n) * 7919 % 10007
+    assert (got == np.maximum.accumulate(x[::-1])[::-1]).all()
+    t = d.selectExpr("ticker", "'t' as traderId", "cast(seq as string) as tradeId", "seq * 10 as event_ms", "if(x % 50 = 0, 'SELL', 'BUY') as side")
+    hits = risk.wash_trades(t, 100)
+    assert hits.count() == sum(1 for k in range(n) if x[k] % 50 and (x[max(0, k - 10) : k + 11] % 50 == 0).any())
+    assert time.perf_counter() - began < 25
