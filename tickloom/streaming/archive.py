@@ -17,8 +17,8 @@ from ..operators.dead_letters import dead_letters
 from ..schemas import RECORD
 from .failures import Attempt, Outage, attempted, chain, given_up, with_retry  # noqa: F401
 
-#: Archived keys of a topic partition that are remembered.
-WINDOW = 100_000
+#: Offsets of a topic partition whose state is one row: a bit each.
+BLOCK = 4096
 PASSED = "topic string, partition int, offset long, key string, value binary, timestamp timestamp, correlationId string, arrival long"
 
 
@@ -45,14 +45,44 @@ class RecentKeys(StatefulProcessor):
         pass
 
 
-def once(records: DataFrame, window: int = WINDOW, arrival: str | None = None) -> DataFrame:
-    """The records that aren't among the last `window` that their topic partition let through; headers but the correlation id go.
+class EveryKey(StatefulProcessor):
+    """Which of a block's offsets have been let through, for ever: BLOCK bits, however often and however late they come."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.bits = handle.getValueState("bits", "bits binary")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(rows)).sort_values("arrival", kind="stable")
+        held = self.bits.get()
+        seen = np.unpackbits(np.frombuffer(held[0], np.uint8)).astype(bool) if held else np.zeros(BLOCK, bool)
+        at = frame["offset"].to_numpy(np.int64) % BLOCK
+        passes = np.zeros(len(at), bool)
+        passes[np.unique(at, return_index=True)[1]] = True
+        passes &= ~seen[at]
+        if passes.any():
+            seen[at] = True
+            self.bits.update((np.packbits(seen).tobytes(),))
+        yield frame[passes].drop(columns="block")
+
+    def close(self) -> None:
+        pass
+
+
+def once(records: DataFrame, window: int | None = None, arrival: str | None = None) -> DataFrame:
+    """The records that their topic partition hasn't let through before; headers but the correlation id go.
+
+    A bit for each offset is kept, in blocks that are spread over the tasks. window: only the last so many keys of a topic partition
+    are remembered, by one task each, and what comes again after them is let through again.
 
     arrival: a column with the order in which they came; without one they count as having come by offset within a batch.
     """
     order = F.lit(0).cast("long") if arrival is None else F.col(arrival).cast("long")
     rows = records.select(*COORDINATES, "key", "value", "timestamp", correlation_id("headers").alias("correlationId"), order.alias("arrival"))
-    d = rows.groupBy("topic", "partition").transformWithStateInPandas(RecentKeys(window), outputStructType=PASSED, outputMode="Append", timeMode="None")
+    state = {"outputStructType": PASSED, "outputMode": "Append", "timeMode": "None"}
+    if window is None:
+        d = rows.withColumn("block", F.floor(F.col("offset") / BLOCK)).groupBy("topic", "partition", "block").transformWithStateInPandas(EveryKey(), **state)
+    else:
+        d = rows.groupBy("topic", "partition").transformWithStateInPandas(RecentKeys(window), **state)
     header = F.array(F.struct(F.lit(CORRELATION_ID).alias("key"), F.encode("correlationId", "UTF-8").alias("value")))
     return d.withColumn("headers", F.when(F.col("correlationId").isNotNull(), header)).select(*RECORD.names)
 
@@ -92,7 +122,7 @@ def archive_batch(schemas: DataFrame, archive: str, quarantine: str, group: str,
     return run
 
 
-def archive_stream(records: DataFrame, schemas: DataFrame, archive: str, quarantine: str, checkpoint: str, group: str = "audit", instance: str = "audit-0", window: int = WINDOW, arrival: str | None = None, attempt: Attempt | None = None, attempts: int = 3, sign_with: bytes | None = None, trigger: dict | None = None) -> StreamingQuery:
+def archive_stream(records: DataFrame, schemas: DataFrame, archive: str, quarantine: str, checkpoint: str, group: str = "audit", instance: str = "audit-0", window: int | None = None, arrival: str | None = None, attempt: Attempt | None = None, attempts: int = 3, sign_with: bytes | None = None, trigger: dict | None = None) -> StreamingQuery:
     """Start the archive. The records' session must be one that `session.stateful` gave.
 
     Undecodable records are let through once too; both kinds are written once, however late they come.
