@@ -191,12 +191,8 @@ quoted AS (SELECT j.*, w.vwap FROM j JOIN w ON j.ticker = w.ticker AND j.event_m
 one AS (SELECT ticker, arg_min("sharesOutstanding", "instrumentId") AS shares FROM latest GROUP BY ticker)"""
 
 
-def _once(spark, sf_dir):
-    return positions.first_delivered(V.trades(spark, sf_dir))
-
-
 def _quoted(spark, sf_dir):
-    return enrichment.as_of(_once(spark, sf_dir), V.ticks(spark, sf_dir), _HORIZON_MS, SPAN_MS)
+    return enrichment.as_of(V.trades_once(spark, sf_dir, "tradeId", "ticker", "price", "event_ms"), V.ticks(spark, sf_dir), _HORIZON_MS, SPAN_MS)
 
 
 @query(_QUOTED + f' SELECT "tradeId", ticker, event_ms, tick_ms, bid, ask, {_R.format(x="vwap")} AS vwap FROM quoted')
@@ -219,7 +215,7 @@ def enrich_misses(spark, sf_dir):
 @query(f"""{_ONCE}, {V.TICKS}, l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY event_ms DESC, seq) AS m FROM ticks) WHERE m = 1)
 SELECT "tradeId", o.ticker, l.bid, l.ask, l.event_ms AS tick_ms FROM once o LEFT JOIN l ON o.ticker = l.ticker""")
 def enrich_latest(spark, sf_dir):
-    return enrichment.at_latest(_once(spark, sf_dir), market_state.latest(V.ticks(spark, sf_dir))).select("tradeId", "ticker", "bid", "ask", "tick_ms")
+    return enrichment.at_latest(V.trades_once(spark, sf_dir), market_state.latest(V.ticks(spark, sf_dir))).select("tradeId", "ticker", "bid", "ask", "tick_ms")
 
 
 _POSITIONS = """p AS (SELECT "accountId", "traderId", ticker, CAST(sum(CASE WHEN side = 'BUY' THEN quantity ELSE 0 END) AS BIGINT) AS buy, CAST(sum(CASE WHEN side = 'SELL' THEN quantity ELSE 0 END) AS BIGINT) AS sell,
@@ -229,7 +225,7 @@ max(event_ms) AS as_of, arg_max(struct_pack(i := "tradeId", p := price), struct_
 @query(f"""{_ONCE}, {_POSITIONS} SELECT "accountId", "traderId", ticker, buy - sell AS "netQuantity", buy AS "grossBuyQuantity", sell AS "grossSellQuantity",
 floor((buy - sell) * l.p * 100 + 0.5) / 100 AS "marketValue", as_of AS "asOfMs", l.i AS "lastProcessedTradeId" FROM p""")
 def positions_snapshot(spark, sf_dir):
-    return positions.positions(V.trades(spark, sf_dir)).withColumn("marketValue", half_up(F.col("marketValue"), 2))
+    return positions.positions_of(V.trades_once(spark, sf_dir)).withColumn("marketValue", half_up(F.col("marketValue"), 2))
 
 
 _ALL_RULES = f"""re AS (SELECT 'R' || s_suppkey % 7 AS "ruleId", 'TYPE-' || s_suppkey % 3 AS "ruleType", CAST(s_suppkey AS BIGINT) AS version, ['ACTIVE', 'DRAFT', 'RETIRED', 'ACTIVE', 'REJECTED'][s_suppkey % 5 + 1] AS state,
@@ -262,7 +258,7 @@ def price_deviation_alerts(spark, sf_dir):
 @query(f"""{_ONCE}, {_POSITIONS}, {V.RULES} SELECT "accountId", "traderId", ticker, buy - sell AS "netQuantity", "ruleId", r.version FROM p
 JOIN ranges r ON r."ruleType" = 'POSITION_LIMIT_BREACH' AND {_FORCE.format(t="p.as_of")} WHERE abs(buy - sell) > r.threshold""")
 def position_limit_alerts(spark, sf_dir):
-    p = positions.positions(V.trades(spark, sf_dir))
+    p = positions.positions_of(V.trades_once(spark, sf_dir))
     return risk.position_limit_alerts(p, risk.rule_ranges(V.rule_events(spark, sf_dir))).select("accountId", "traderId", "ticker", "netQuantity", "ruleId", "version")
 
 
@@ -280,14 +276,14 @@ buys AS (SELECT * FROM k WHERE side = 'BUY'), sells AS (SELECT * FROM k WHERE si
 g AS (SELECT b."tradeId", b.ticker, b."traderId", min(abs(b.event_ms - s.event_ms)) AS "gapMs" FROM buys b JOIN sells s ON b.ticker = s.ticker AND b."traderId" = s."traderId" GROUP BY ALL)
 SELECT * FROM g WHERE "gapMs" <= {WASH_MS}""")
 def wash_trades(spark, sf_dir):
-    t = _once(spark, sf_dir).withColumn("traderId", F.concat(F.lit("t"), F.expr("seq div 2000000000 % 40").cast("string")))
+    t = V.trades_once(spark, sf_dir).withColumn("traderId", F.concat(F.lit("t"), F.expr("seq div 2000000000 % 40").cast("string")))
     return risk.wash_trades(t, WASH_MS).select("tradeId", "ticker", "traderId", "gapMs")
 
 
 @query(f"""{_ONCE}, ca AS (SELECT 'T' || (p_partkey % 190) AS ticker, {V.START_MS} + p_partkey * 1000 + (p_partkey % 11 - 1) * 86400000 AS e FROM part)
 SELECT "tradeId" AS "alertId", ticker FROM once o WHERE quantity > 45 AND NOT EXISTS (SELECT 1 FROM ca WHERE ca.ticker = o.ticker AND abs(o.event_ms - ca.e) <= 86400000)""")
 def alerts_unexplained(spark, sf_dir):
-    alerts = _once(spark, sf_dir).filter("quantity > 45").select(F.col("tradeId").alias("alertId"), "ticker", F.col("event_ms").alias("alert_ms"))
+    alerts = V.trades_once(spark, sf_dir).filter("quantity > 45").select(F.col("tradeId").alias("alertId"), "ticker", F.col("event_ms").alias("alert_ms"))
     return corporate_actions.unexplained(alerts, V.corporate_actions(spark, sf_dir), 86_400_000).select("alertId", "ticker")
 
 

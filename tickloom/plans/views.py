@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.positions import first_delivered
+
 BUCKET_S, RETAIN_S, HORIZON_S = 3600, 259_200, 259_200
 START_MS = 1_704_067_200_000
 SIX_HOURS_MS = 21_600_000
@@ -41,17 +43,32 @@ t1 AS (SELECT *, event_ms + "offset" % 1000 AS produced_ms, 'corr-' || "offset"
 ticks AS (SELECT * FROM t1 UNION ALL SELECT * REPLACE (seq + 500000000 AS seq) FROM t1 WHERE "offset" % 10 = 0)"""
 
 
-def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order lines as trades within the month of the ticks; a twentieth is delivered twice."""
+def _trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`trades` with the order that each belongs to. What is delivered twice is spelled out row by row, so the join runs once."""
     d = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     k, n, p = F.col("l_orderkey"), F.col("l_linenumber").cast("long"), F.col("l_partkey")
     d = d.select(
+        k.alias("orderKey"),
         F.concat_ws("-", k.cast("string"), n.cast("string"), p.cast("string"), F.col("l_suppkey").cast("string"), F.col("l_quantity").cast("long").cast("string"), F.col("l_returnflag")).alias("tradeId"), F.concat(F.lit("T"), (p % 200).cast("string")).alias("ticker"),
         F.col("l_quantity").cast("long").alias("quantity"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.when(F.col("l_returnflag") == "R", "SELL").otherwise("BUY").alias("side"),
         F.concat(F.lit("trader-"), F.col("o_custkey").cast("string")).alias("traderId"), F.concat(F.lit("account-"), (F.col("o_custkey") % 50).cast("string")).alias("accountId"),
         (F.lit(START_MS) + (k * 7919 + n * 104729 + p * 31) % 43200 * 60_000).alias("event_ms"), (((k * 10 + n) * 10_000_000 + p) * 200 + F.col("l_quantity").cast("long") * 2).alias("seq"),
     )
-    return d.unionByName(d.filter("(seq div 2000000000) % 20 = 0").withColumn("seq", F.col("seq") + 1))
+    times = F.when(F.expr("(seq div 2000000000) % 20 = 0"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    return d.withColumn("_again", F.explode(times)).withColumn("seq", F.col("seq") + F.col("_again")).drop("_again")
+
+
+def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as trades within the month of the ticks; a twentieth is delivered twice."""
+    return _trades(spark, sf_dir).drop("orderKey")
+
+
+def trades_once(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
+    """Those columns (or all) of `trades` as delivered first. A trade's copies are of one order, by which the join has dealt them."""
+    d = _trades(spark, sf_dir)
+    d = d.select(*dict.fromkeys(["orderKey", "tradeId", "seq", *cols])) if cols else d
+    d = first_delivered(d, "orderKey").drop("orderKey")
+    return d.select(*cols) if cols else d
 
 
 TRADES = f"""r0 AS (
