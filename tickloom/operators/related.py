@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .enrichment import small
+
 
 def _stored(df: DataFrame, at: str) -> DataFrame:
     """Write df and go on from there, so that a lost executor costs no round before."""
@@ -46,14 +48,18 @@ def related_wash_trades(trades: DataFrame, window_ms: int, at: str) -> DataFrame
     """Buys with a sell of the same ticker by a related trader or account within window_ms: the nearest, the earlier of two as near.
 
     Time is cut into ranges of the window's length, and a sell stands in its own range and both beside it, so that a group
-    with a third of all trades is spread out by time. Within a range both frames only grow.
+    with a third of all trades is spread out by time. Within a range both frames only grow. A trade's trader and account are in one
+    group, so its account tells it; accounts are few where traders are many. Of a sell only time and id are handed out.
     """
     node = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col(c))
     found = groups(trades.select(node("trader", "traderId").alias("a"), node("account", "accountId").alias("b")).distinct(), at)
-    d = trades.withColumn("node", node("trader", "traderId")).join(found, "node").drop("node")
+    of_account = found.filter(F.startswith("node", F.lit("account:"))).select(F.substring("node", len("account:") + 1, 1 << 30).alias("accountId"), "grp")
+    d = trades.join(small(of_account), "accountId").select(*trades.columns, "grp")
     part = F.floor(F.col("event_ms") / window_ms)
     buys = d.filter("side = 'BUY'").withColumn("_part", part)
-    sells = d.filter("side = 'SELL'").withColumn("_part", F.explode(F.array(part - 1, part, part + 1)))
+    told = ("ticker", "event_ms", "tradeId", "side", "grp")
+    sells = d.filter("side = 'SELL'").select(*[c if c in told else F.lit(None).cast(d.schema[c].dataType).alias(c) for c in d.columns])
+    sells = sells.withColumn("_part", F.explode(F.array(part - 1, part, part + 1)))
     own = W.partitionBy("grp", "ticker", "_part")
     there = own.orderBy("event_ms", "tradeId").rowsBetween(W.unboundedPreceding, -1)
     back = own.orderBy(F.col("event_ms").desc(), F.col("tradeId").desc()).rowsBetween(W.unboundedPreceding, -1)
