@@ -5,7 +5,7 @@ number by one rename, when all its parts are written, so a reader sees all table
 that is run again after its version has appeared changes nothing. After `compact_after` changes a new base is written;
 parts and versions that the last `keep` versions don't name are deleted.
 
-A batch writes only the keys that it changes. Reading takes each key's last change, an aggregate that starts on the map side.
+A batch writes only the keys that it changes. Reading takes each key's last change, or the sum of its changes (`Added`), an aggregate that starts on the map side.
 """
 
 from __future__ import annotations
@@ -20,6 +20,17 @@ from pyspark.sql import types as T
 GONE = "_gone"
 
 
+class Added(list):
+    """Key columns of a table whose changes add up: reading sums `sums` over all of a key's changes and takes the greatest of the others.
+
+    A batch then writes what it adds and needs nothing of what stands there. Such a table loses no keys.
+    """
+
+    def __init__(self, keys: list[str], sums: list[str]):
+        super().__init__(keys)
+        self.sums = sums
+
+
 class Files:
     """Small files in any store that Hadoop knows."""
 
@@ -93,7 +104,9 @@ class Versions:
         every = numbered[0]
         for p in numbered[1:]:
             every = every.unionByName(p)
-        rest = [c for c in parts[0].columns if c not in self.keys[table]]
+        keys, rest = self.keys[table], [c for c in parts[0].columns if c not in self.keys[table]]
+        if isinstance(keys, Added):
+            return every.groupBy(*keys).agg(*[(F.sum if c in keys.sums else F.max)(c).alias(c) for c in rest if c != GONE])
         last = every.groupBy(*self.keys[table]).agg(F.max_by(F.struct(*rest), "_part").alias("_last"))
         d = last.select(*self.keys[table], *[F.col(f"_last.{c}").alias(c) for c in rest])
         return d.filter(f"not {GONE}").drop(GONE) if GONE in rest else d
