@@ -210,15 +210,18 @@ SELECT "tradeId", o.ticker, floor((bid + ask) / 2 * 10000 + 0.5) / 10000 AS mid,
 FROM once o JOIN l ON o.ticker = l.ticker JOIN one ON o.ticker = one.ticker""")
 def stream_enrichment(spark, sf_dir):
     """Trades as a stream of several batches, enriched with the market as it is now."""
-    from ..operators import positions, reference_data
+    from ..operators import reference_data
     from ..streaming.enrichment import enrichment_stream
+    from ..streaming.versions import Files
 
     at = folder(spark)
-    trades = positions.first_delivered(V.trades(spark, sf_dir)).withColumn("produced_ms", F.col("event_ms"))
+    trades = V.trades_once(spark, sf_dir, "tradeId", "ticker", "price", "event_ms").withColumn("produced_ms", F.col("event_ms"))
     trades.write.parquet(f"{at}/in")
     market_state.latest(V.ticks(spark, sf_dir)).write.parquet(f"{at}/state")
     reference_data.latest_instruments(reference_data.publishable(V.instruments(spark, sf_dir), "reference-data")[0]).write.parquet(f"{at}/instruments")
-    stream = spark.readStream.schema(trades.schema).option("maxFilesPerTrigger", 4).parquet(f"{at}/in")
+    # Four batches or so, each with a quarter of the files: a batch of a fixed few would leave most cores idle.
+    files = sum(n.endswith(".parquet") for n in Files(spark, at).names(f"{at}/in"))
+    stream = spark.readStream.schema(trades.schema).option("maxFilesPerTrigger", max(4, -(-files // 4))).parquet(f"{at}/in")
     enrichment_stream(stream, lambda: spark.read.parquet(f"{at}/state"), lambda: spark.read.parquet(f"{at}/instruments"), f"{at}/out", f"{at}/misses", f"{at}/cp").awaitTermination()
     d = spark.read.parquet(f"{at}/out")
     return d.select("tradeId", "ticker", S.half_up(F.col("mid"), 4).alias("mid"), S.half_up(F.col("marketCap"), 4).alias("marketCap"), "dataAgeMs", (F.col("enrichmentLatencyMs") == F.col("enrichedAtMs") - F.col("produced_ms")).alias("timed"))
