@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.ordered import numbered
+from .enrichment import small
 
 
 def rule_ranges(events: DataFrame) -> DataFrame:
@@ -41,18 +42,21 @@ def cells_of(ranges: DataFrame) -> DataFrame:
     return ranges.withColumn("_at", F.explode(F.concat(*lists))).select(*ranges.columns, "_at.level", "_at.cell")
 
 
-def in_force(rows: DataFrame, ranges: DataFrame, rule_type: str, at: str = "event_ms", few: int = 10_000) -> DataFrame:
+def in_force(rows: DataFrame, ranges: DataFrame, rule_type: str, at: str = "event_ms", few: int = 32) -> DataFrame:
     """rows, once for each rule of the type that was in force at their time.
 
-    Up to `few` ranges are broadcast; more are joined on equal cells of time, of which each row looks at LEVELS.
+    Up to `few` ranges are broadcast and each row looks at all of them; more are joined on equal cells of time, of which each row
+    looks at one for each level that the ranges have; the cells are broadcast as far as they are small.
     """
     mine = ranges.filter(F.col("ruleType") == rule_type)
     inside = (F.col(at) >= F.col("from_ms")) & (F.col("to_ms").isNull() | (F.col(at) < F.col("to_ms")))
     if mine.limit(few + 1).count() <= few:
         return rows.join(F.broadcast(mine), inside)
-    levels = F.array(*[F.struct(F.lit(k).alias("_level"), F.floor(F.col(at) / (HOUR * FAN**k)).alias("_cell")) for k in range(LEVELS)])
+    cells = cells_of(mine)
+    found = sorted(r["level"] for r in cells.select("level").distinct().collect())
+    levels = F.array(*[F.struct(F.lit(k).alias("_level"), F.floor(F.col(at) / (HOUR * FAN**k)).alias("_cell")) for k in found or [0]])
     seen = rows.withColumn("_in", F.explode(levels))
-    both = seen.join(cells_of(mine), (F.col("_in._level") == F.col("level")) & (F.col("_in._cell") == F.col("cell")) & inside)
+    both = seen.join(small(cells), (F.col("_in._level") == F.col("level")) & (F.col("_in._cell") == F.col("cell")) & inside)
     return both.drop("_in", "level", "cell")
 
 

@@ -41,7 +41,7 @@ def live_enrichment(spark, sf_dir):
     """Ticks and trades in turn: the first trades meet the market after half of the ticks, the others after all of them."""
     at, own = folder(spark), stateful(spark)
     ticks = V.ticks(spark, sf_dir)
-    trades = positions.first_delivered(V.trades(spark, sf_dir)).withColumn("produced_ms", F.col("event_ms"))
+    trades = V.trades_once(spark, sf_dir, "tradeId", "ticker", "quantity", "price", "event_ms").withColumn("produced_ms", F.col("event_ms"))
     ticks_in = Deliveries(spark, ticks, evenly(ticks, "seq", 2), f"{at}/ticks")
     trades_in = Deliveries(spark, trades, F.col("quantity") % 2, f"{at}/trades")
     known, _ = reference_data.publishable(V.instruments(spark, sf_dir), "reference-data")
@@ -225,7 +225,7 @@ g AS (SELECT b."tradeId", b.ticker, b."accountId", min(abs(b.event_ms - s.event_
 SELECT * FROM g WHERE "gapMs" <= 3600000""")
 def related_wash_trades(spark, sf_dir):
     """Opposing trades between related traders; here those of one account are, as each trader trades for one."""
-    once = positions.first_delivered(V.trades(spark, sf_dir))
+    once = V.trades_once(spark, sf_dir, "tradeId", "ticker", "side", "traderId", "accountId", "event_ms")
     return related.related_wash_trades(once, 3_600_000, folder(spark)).select("tradeId", "ticker", "accountId", "gapMs")
 
 
@@ -247,7 +247,7 @@ def stream_rules(spark, sf_dir):
     end = events.limit(1).select(*[(F.lit(None).cast(f.dataType) if f.name != "effective_ms" else F.lit(V.START_MS * 2)).alias(f.name) for f in events.schema])
     late = F.when(F.col("effective_ms") < V.START_MS + 1_296_000_000, 0).otherwise(1)
     rules_in = Deliveries(spark, events.unionByName(end), late, f"{at}/rules")
-    trades_in = Deliveries(spark, positions.first_delivered(V.trades(spark, sf_dir)).select("tradeId", "event_ms", "quantity"), F.col("quantity") % 2, f"{at}/trades")
+    trades_in = Deliveries(spark, V.trades_once(spark, sf_dir, "tradeId", "event_ms", "quantity"), F.col("quantity") % 2, f"{at}/trades")
     known, held = rules.rule_tables(own, f"{at}/known"), Versions(own, f"{at}/held", rules.HELD_TABLES)
     for k in (0, 1):
         rules_in.come(k)
