@@ -25,6 +25,7 @@ TICK = ["event_ms", "bid", "ask", "last", "volume", "offset", "produced_ms", "co
 TABLES = {"tick": ["ticker"], "window": ["ticker"]}
 TICKS = "ticker string, bid double, ask double, last double, volume long, event_ms long, offset long, seq long, produced_ms long, correlationId string"
 LEAST = np.iinfo(np.int64).min
+BUCKET = np.dtype([("bucket", "<i8"), ("pv", "<f8"), ("v", "<f8")])
 
 
 class MarketState(StatefulProcessor):
@@ -38,25 +39,28 @@ class MarketState(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.tick = handle.getValueState("tick", "event_ms long, bid double, ask double, last double, volume long, offset long, produced_ms long, correlationId string")
-        self.top = handle.getValueState("top", "offset long", self.ttl_ms)
-        self.window = handle.getMapState("window", "bucket long", "pv double, v double", self.ttl_ms)
+        # The offset guard and the buckets (bucket, pv, v, each as 8 bytes) are one value: read once, written once, gone together.
+        self.window = handle.getValueState("window", "offset long, buckets binary", self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values("seq", kind="stable")  # a batch's rows come in any order
-        ms, offsets = frame["event_ms"].to_numpy(np.int64), frame["offset"].to_numpy(np.int64)
-        state, held = self.tick.get(), self.top.get()
+        frames = list(rows)
+        frame = frames[0] if len(frames) == 1 else pd.concat(frames)
+        order = np.argsort(frame["seq"].to_numpy(np.int64), kind="stable")  # a batch's rows come in any order
+        column = lambda c, kind: frame[c].to_numpy(kind)[order]
+        ms, offsets, seq, last = column("event_ms", np.int64), column("offset", np.int64), column("seq", np.int64), column("last", np.float64)
+        state, held = self.tick.get(), self.window.get()
         # Both guards are running maxima, so the rows are judged all at once.
         newest = np.maximum.accumulate(np.r_[state[0] if state else LEAST, ms])[:-1]
         top = np.maximum.accumulate(np.r_[held[0] if held else LEAST, offsets])
         outcome = np.where(ms > newest, "APPLIED", np.where(ms == newest, "DUPLICATE", "OLDER"))
         added = offsets > top[:-1]
-        buckets = {k[0]: list(v) for k, v in self.window.iterator()}
-        before, at = set(buckets), np.flatnonzero(added)
+        buckets = {b: [x, y] for b, x, y in np.frombuffer(held[1], BUCKET).tolist()} if held else {}
+        at = np.flatnonzero(added)
         counts = np.full(len(at) + 1, len(buckets))
         if len(at):
             bucket = ms[at] // (self.bucket_s * 1000) * self.bucket_s
-            v = frame["volume"].to_numpy(np.float64)[at]
-            pv = frame["last"].to_numpy(np.float64)[at] * v
+            v = column("volume", np.float64)[at]
+            pv = last[at] * v
             first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])  # ticks in a row of one bucket count at once
             for a, z, b, x, y in zip(first.tolist(), [*first[1:].tolist(), len(at)], bucket[first].tolist(), np.add.reduceat(pv, first).tolist(), np.add.reduceat(v, first).tolist(), strict=True):
                 had = buckets.get(b, (0.0, 0.0))
@@ -64,17 +68,13 @@ class MarketState(StatefulProcessor):
                 for old in [o for o in buckets if o < b - self.retain_s]:
                     del buckets[old]
                 counts[a + 1 : z + 1] = len(buckets)
-            self.top.update((int(top[-1]),))
-            for b in before - set(buckets):
-                self.window.removeKey((int(b),))
-            for b in buckets:  # all of them: the whole window's expiry is put off by a write
-                self.window.updateValue((int(b),), (float(buckets[b][0]), float(buckets[b][1])))
+            self.window.update((int(top[-1]), np.array([(b, *x) for b, x in buckets.items()], BUCKET).tobytes()))
         if (outcome == "APPLIED").any():
-            t = frame.iloc[np.flatnonzero(outcome == "APPLIED")[-1]]
+            t = frame.iloc[order[np.flatnonzero(outcome == "APPLIED")[-1]]]
             state = (int(t["event_ms"]), float(t["bid"]), float(t["ask"]), float(t["last"]), int(t["volume"]), int(t["offset"]), None if pd.isna(t["produced_ms"]) else int(t["produced_ms"]), None if pd.isna(t["correlationId"]) else t["correlationId"])
             self.tick.update(state)
         now = {"tick": dict(zip(TICK, state, strict=True)), "buckets": [{"bucket": int(b), "pv": float(x), "v": float(y)} for b, (x, y) in sorted(buckets.items())], "lastOffset": int(top[-1])}
-        yield pd.DataFrame({"state": [None] * (len(frame) - 1) + [json.dumps(now)], "ticker": key[0], "seq": frame["seq"].to_numpy(), "event_ms": ms, "outcome": outcome, "windowApplied": added, "windowBuckets": counts[np.cumsum(added)], "last": frame["last"].to_numpy()})
+        yield pd.DataFrame({"state": [None] * (len(frame) - 1) + [json.dumps(now)], "ticker": key[0], "seq": seq, "event_ms": ms, "outcome": outcome, "windowApplied": added, "windowBuckets": counts[np.cumsum(added)], "last": last})
 
     def close(self) -> None:
         pass
