@@ -166,6 +166,52 @@ def test_a_large_group_just_under_the_similarity(spark, monkeypatch):
     assert len(set(want.tolist())) > 300 and sum(n for _, n in made) < 2 * len(texts)
 
 
+def test_a_large_group_with_words_put_in_left_out_and_changed(spark, monkeypatch):
+    """What differs from the lead differs in number too, so counts alone let most pairs pass."""
+    made = []
+    spread = N.Scratch.__call__
+    monkeypatch.setattr(N.Scratch, "__call__", lambda self, df, name: (lambda out: made.append(out.count() if name.startswith("pairs") else 0) or out)(spread(self, df, name)))
+    r = random.Random(5)
+    base = prose(r, 150)
+    texts = []
+    for _ in range(800):
+        words = list(base)
+        for _ in range(r.choice((1, 2, 3, 4, 5, 6))):
+            i, word, how = r.randrange(len(words)), f"w{r.randrange(3000)}", r.randrange(3)
+            words[i : i + (how != 1)] = [word] if how else []
+        texts.append(" ".join(words))
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {x["doc_id"]: x["class_id"] for x in N.near_classes(d).collect()}
+    bags = [bag(t) for t in texts]
+    assert all(n == 1 for b in bags for n in b.values())  # so shares of common shingles are the similarity
+    at = {x: k for k, x in enumerate({x for b in bags for x in b})}
+    has = np.zeros((len(texts), len(at)), np.float32)
+    for i, b in enumerate(bags):
+        has[i, [at[x] for x in b]] = 1
+    common, size = has @ has.T, has.sum(axis=1)
+    near = common / (size[:, None] + size - common) >= N.SIMILARITY - 1e-6
+    want = np.arange(len(texts))
+    while (want != (now := np.array([want[row].min() for row in near]))).any():
+        want = now
+    assert got == dict(enumerate(want.tolist()))
+    assert sum(made) < 2 * len(texts)
+
+
+def test_differences_hold():
+    """Bits that only one of two nodes has are no more than the shingles that only one of them has, for short and long leads."""
+    g = np.random.default_rng(7)
+    for size in (1, 63, 64, 65, 900):
+        for _ in range(20):
+            lead = np.unique(g.integers(0, 1 << N.SHINGLE_BITS, size, np.uint64))
+            pool = g.integers(0, 1 << N.SHINGLE_BITS, 2 * size, np.uint64)
+            made = [(np.unique(g.choice(pool, g.integers(0, size + 1))), g.random(len(lead)) < g.choice([0.1, 0.6, 1.0])) for _ in range(2)]
+            (fx, ax), (fy, ay) = made
+            (mx, bx), (my, by) = (N.differences(f, a) for f, a in made)
+            both = int(np.unpackbits((mx & my).view(np.uint8)).sum())
+            assert bx + ay.sum() - both <= len(np.setdiff1d(fx, fy)) + (ay & ~ax).sum()
+            assert by + ax.sum() - both <= len(np.setdiff1d(fy, fx)) + (ax & ~ay).sum()
+
+
 def test_bound_holds():
     """The similarity of two weighted sets is at most what the facts about each and a third tell."""
     g = np.random.default_rng(3)

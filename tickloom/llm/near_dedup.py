@@ -21,8 +21,17 @@ Nodes that can pass with no other node of a bucket, by the bucket's extremes of
 groups of documents that share a template, or that lie just under the similarity, cost a pass over their nodes.
 What passes is met in rounds: about `LEADERS` nodes outside the lead's component (eight times more in each
 round) meet all that pass, pairs are screened by signatures and verified, components and u are brought up to
-date, until no bucket holds two components. No link that banding finds between components is lost, and no cap is
-set on buckets.
+date, until no bucket holds two components. Nodes meet by the lead that they have met, so a pair is made once
+however many buckets both are in, and only if it passes a second exact bound, which knows where the two differ
+from the lead: a bit for each shingle of the lead that a node lacks, and hashed bits (`FRESH` for each shingle of
+the lead) for those that it has and the lead lacks. If x has f(x) bits of the latter kind, and i bits of any kind
+are set for both nodes,
+
+    P = 1 - (f(x) + a(y) - i) / W(x),   Q = 1 - (f(y) + a(x) - i) / W(y),
+
+as a bit that only one of them has stands for a shingle at least that only one of them has. So the pairs that are
+made are near ones, almost all. No link that banding finds between components is lost, and no cap is set on
+buckets.
 
 Defined results: words are lower-case runs of letters, marks, numbers and connecting lines; a text of one to
 four words is one shingle; a text without words (null and empty ones too) is in a class of its own doc_id; a
@@ -53,6 +62,8 @@ MISS = 1e-4
 #: Nodes of a bucket that meet others in the first round, at least; more if the bucket makes no more than PAIRS pairs.
 LEADERS, PAIRS = 32, 65_536
 SHINGLE_BITS = 44
+#: Bits for shingles that a node has and its lead lacks, for each shingle of the lead.
+FRESH = 4
 
 
 def banding(similarity: float) -> tuple[int, int]:
@@ -182,7 +193,17 @@ def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([shingle[x:y].tobytes() for x, y in pairs], pa.binary()), pa.array(often, pa.binary())], ["node", "shingles", "times"])
 
 
-MET = "a long, b long, near boolean, missing long, weight long, fresh binary, often binary"
+MET = "a long, b long, near boolean, missing long, weight long, fresh binary, often binary, mask array<long>, bits long"
+
+
+def differences(fresh: np.ndarray, lacked: np.ndarray) -> tuple[np.ndarray, int]:
+    """Bits of what a node has and its lead lacks, then of what it lacks of the lead, and how many of the former are set."""
+    n = -(-len(lacked) // 64) * 64
+    bits = np.zeros((FRESH + 1) * n, bool)
+    bits[(fresh % np.uint64(FRESH * n)).astype(np.int64)] = True
+    have = int(np.count_nonzero(bits))
+    bits[FRESH * n : FRESH * n + len(lacked)] = lacked
+    return np.packbits(bits).view(np.int64), have
 
 
 def _met(least: float, batch: int = 64):
@@ -199,7 +220,11 @@ def _met(least: float, batch: int = 64):
             similarity = probability_jaccard(x, wx, y, np.frombuffer(t2, "<u4") if t2 else np.ones(len(y), "<u4"))
         else:
             similarity = common / (len(x) + len(y) - common)
-        rest = (x[~both].tobytes(), wx[~both].tobytes()) if stats else (None, None)
+        rest = (None, None, None, None)
+        if stats:
+            lacked = np.ones(len(y), bool)
+            lacked[at[both]] = False
+            rest = (x[~both].tobytes(), wx[~both].tobytes(), *differences(x[~both], lacked))
         return similarity >= least - 1e-12, len(y) - common, int(wx.sum()), *rest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,9 +232,9 @@ def _met(least: float, batch: int = 64):
             for at in range(0, b.num_rows, batch):  # few pairs' shingles at once
                 part = b.slice(at, batch)
                 out = [one(*row) for row in zip(*(part.column(c).to_pylist() for c in ("s1", "t1", "s2", "t2", "stats")), strict=True)]
-                kinds = (pa.bool_(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+                kinds = (pa.bool_(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.int64())
                 cols = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), *cols], ["a", "b", "near", "missing", "weight", "fresh", "often"])
+                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), *cols], ["a", "b", "near", "missing", "weight", "fresh", "often", "mask", "bits"])
 
     return run
 
@@ -231,6 +256,20 @@ def similarity_bound(p: Column, q: Column) -> Column:
     return F.when((p > 0) & (q > 0), 1 / (1 / p + 1 / q - 1)).otherwise(0.0)
 
 
+def _pairs(ends: DataFrame, similarity: float) -> DataFrame:
+    """a, b of nodes of different components that met one lead, share a bucket which one of them leads, and may be similar."""
+    first = ends.filter(F.size("heads") > 0)
+    first = first.select("lead", *[F.col(c).alias(f"{c}_") for c in ends.columns if c != "lead"])
+    p = 1 - (F.col("u") + F.greatest(F.lit(0), F.col("missing_") - F.col("missing"))) / F.col("weight")
+    q = 1 - (F.col("u_") + F.greatest(F.lit(0), F.col("missing") - F.col("missing_"))) / F.col("weight_")
+    both = F.aggregate(F.zip_with("mask", "mask_", lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda n, x: n + x)
+    p2 = 1 - (F.col("bits") + F.col("missing_") - both) / F.col("weight")
+    q2 = 1 - (F.col("bits_") + F.col("missing") - both) / F.col("weight_")
+    apart = (F.col("c") != F.col("c_")) & F.arrays_overlap("bands", "heads_") & (~F.arrays_overlap("heads", "bands_") | (F.col("node") < F.col("node_")))
+    may = (similarity_bound(p, q) >= similarity - 1e-9) & apart & (similarity_bound(p2, q2) >= similarity - 1e-9)
+    return ends.join(first, "lead").filter(may).select(F.least("node", "node_").alias("a"), F.greatest("node", "node_").alias("b"))
+
+
 def _links(nodes: DataFrame, bands: DataFrame, shingles: DataFrame, similarity: float, keep: Scratch) -> DataFrame:
     """node, component of every node that banding links with another. bands: band, node, n, lead; shingles: node, shingles, times."""
 
@@ -269,12 +308,11 @@ def _links(nodes: DataFrame, bands: DataFrame, shingles: DataFrame, similarity:
         chance = F.pmod(F.xxhash64(F.lit(turn), "node"), F.lit(1 << 20)) * F.col("others") < many * F.lit(1 << 20)
         marks = may.join(may.groupBy("band").agg(*of_band).filter(is_open).select("band", "n", "others"), "band")
         marks = keep(marks.withColumn("leads", (F.col("c") != F.col("main")) & chance).drop("n", "others"), f"marks-{turn}")
-        first = marks.filter("leads").select("band", *[F.col(c).alias(f"{c}_") for c in ("node", "c", "missing", "weight", "u")])
-        p = 1 - (F.col("u") + F.greatest(F.lit(0), F.col("missing_") - F.col("missing"))) / F.col("weight")
-        q = 1 - (F.col("u_") + F.greatest(F.lit(0), F.col("missing") - F.col("missing_"))) / F.col("weight_")
-        apart = (F.col("c") != F.col("c_")) & (~F.col("leads") | (F.col("node") < F.col("node_")))
-        pairs = marks.join(first, "band").filter(apart & (similarity_bound(p, q) >= similarity - 1e-9))
-        pairs = pairs.select(F.least("node", "node_").alias("a"), F.greatest("node", "node_").alias("b")).distinct()
+        # A node's buckets with one lead, and those that it leads, are as many as bands at most.
+        sets = [F.collect_list("band").alias("bands"), F.collect_list(F.when(F.col("leads"), F.col("band"))).alias("heads")]
+        ends = marks.groupBy("node", "lead", "c", "missing", "weight", "u").agg(*sets)
+        ends = keep(ends.join(known.select("node", "lead", "mask", "bits"), ["node", "lead"]), f"ends-{turn}")
+        pairs = _pairs(ends, similarity).distinct()
         sig = lambda node, name: nodes.select(F.col("node").alias(node), F.col("sig").alias(name))
         pairs = pairs.join(sig("a", "sa"), "a").join(sig("b", "sb"), "b").select("a", "b", "sa", "sb")
         pairs = keep(by_batches(pairs, _screened(screen(similarity)), "a long, b long"), f"pairs-{turn}")
