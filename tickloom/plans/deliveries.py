@@ -24,6 +24,10 @@ class Deliveries:
         if self.files.exists(f"{self.at}/all/{name}"):
             self.files.fs.rename(self.files.at(f"{self.at}/all/{name}"), self.files.at(f"{self.path}/{name}"))
 
+    def gone(self, k: int) -> None:
+        """What has been worked off is taken away, as a topic's retention does; a stream doesn't read it again."""
+        self.files.delete(f"{self.path}/delivery={k}")
+
     def stream(self, session: SparkSession) -> DataFrame:
         return session.readStream.schema(self.schema).parquet(self.path).select(*self.schema.names)
 

@@ -131,15 +131,15 @@ def stream_instruments(spark, sf_dir):
 @query(SQL["positions_snapshot"])
 def stream_positions(spark, sf_dir):
     """Trades in three deliveries; what is delivered twice comes again in a later one and changes nothing."""
-    at, own = folder(spark), stateful(spark)
-    d = V.trades(spark, sf_dir)
+    at, own = folder(spark), stateful(spark, lean=True)
     number = F.when(F.pmod("seq", F.lit(2)) == 1, 2).otherwise(F.coalesce(F.pmod("quantity", F.lit(2)), F.lit(0)))  # 0 to 2 for any quantity, or its trade would never come
-    come = Deliveries(spark, d, number, f"{at}/in")
+    come = Deliveries(own, V.trades(own, sf_dir), number, f"{at}/in")
     tables = Versions(own, f"{at}/tables", positions_stream.TABLES)
     for k in range(3):
         come.come(k)
         positions_stream.position_stream(come.stream(own), tables, f"{at}/cp").awaitTermination()
-    return positions_stream.snapshots(tables).withColumn("marketValue", half_up(F.col("marketValue"), 2))
+        come.gone(k)
+    return positions_stream.snapshots(Versions(spark, f"{at}/tables", positions_stream.TABLES)).withColumn("marketValue", half_up(F.col("marketValue"), 2))
 
 
 @query(SQL["market_rebuild"])

@@ -15,18 +15,17 @@ SUMS = ["grossBuyQuantity", "grossSellQuantity"]
 TABLES = {"position": Added(KEY, SUMS)}
 
 
-def sums(trades: DataFrame) -> DataFrame:
-    """What trades add to each position: an aggregate that starts on the map side, so a hot position is no hot task."""
-    of = lambda side: F.sum(F.when(F.col("side") == side, F.col("quantity")).otherwise(0))
-    last = F.max(F.struct("event_ms", "seq", "tradeId", "price")).alias("last")
-    return trades.groupBy(*KEY).agg(of("BUY").alias(SUMS[0]), of("SELL").alias(SUMS[1]), last)
+def added(trades: DataFrame) -> DataFrame:
+    """What each trade adds to its position. They are summed when they are read or compacted, so a batch isn't exchanged by position."""
+    of = lambda side: F.when(F.col("side") == side, F.col("quantity")).otherwise(0)
+    return trades.select(*KEY, of("BUY").alias(SUMS[0]), of("SELL").alias(SUMS[1]), F.struct("event_ms", "seq", "tradeId", "price").alias("last"))
 
 
 def update(tables: Versions) -> Callable[[DataFrame, int], None]:
     """foreachBatch function: adds a batch's trades to the positions, however often it is run; only what it adds is written."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        tables.publish(batch_id, {"position": sums(batch)})
+        tables.publish(batch_id, {"position": added(batch)})
 
     return run
 

@@ -23,7 +23,7 @@ GONE = "_gone"
 class Added(list):
     """Key columns of a table whose changes add up: reading sums `sums` over all of a key's changes and takes the greatest of the others.
 
-    A batch then writes what it adds and needs nothing of what stands there. Such a table loses no keys.
+    A batch then writes what it adds, in as many rows of a key as it likes, and needs nothing of what stands there. Such a table loses no keys.
     """
 
     def __init__(self, keys: list[str], sums: list[str]):
@@ -112,7 +112,7 @@ class Versions:
         return d.filter(f"not {GONE}").drop(GONE) if GONE in rest else d
 
     def publish(self, batch_id: int, changes: dict[str, DataFrame]) -> bool:
-        """Write the changes of a batch, at most one a key, and let them appear as one version; False if they have before."""
+        """Write the changes of a batch, at most one a key (of `Added` any number), and let them appear as one version; False if they have before."""
         now = self.current()
         if now and batch_id <= now["batch"]:
             return False
